@@ -40,3 +40,67 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from landweave.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from landweave.llm.sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+# Places follow from MD5, which both engines have. The checksum comes from a table of 256 entries
+# made by rule, folded over the bytes of each text.
+_SQL["op2_sharding"] = """
+WITH RECURSIVE crc(i, v, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM crc WHERE k < 8
+), entries AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8),
+texts AS (
+  SELECT DISTINCT coalesce(text, '') AS text FROM documents
+), sums AS (
+  SELECT text, xor(list_reduce(
+      list_transform(range(0, octet_length(encode(text))), lambda p: ('0x' || substr(hex(encode(text)), 2 * p + 1, 2))::BIGINT),
+      lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295) AS crc
+  FROM texts, entries
+), rows AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(d.text, ''))) + 8 AS size, crc, md5('shard-1:' || coalesce(doc_id::VARCHAR, 'null')) AS hash
+  FROM documents d JOIN sums s ON coalesce(d.text, '') = s.text
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash, doc_id, size, crc) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM rows
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n), hash, source) - 1 AS place, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, source, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 24 // total)::INT AS shard,
+  (place - ((place * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed
+"""
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from landweave.llm.mixing import mixed_order
+
+    return mixed_order(table(spark, sf_dir, "documents"))
+
+
+_SQL["op8_mixing"] = """
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT count(*) FROM documents) * (1.0::DOUBLE / (SELECT count(*) FROM sizes)) / n AS rate FROM sizes),
+cdf AS (
+  SELECT source, rate, 0 AS k, -rate AS p, exp(-rate) AS f FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p + ln(rate) - ln((k + 1)::DOUBLE), f + exp(p + ln(rate) - ln((k + 1)::DOUBLE))
+  FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
+), drawn AS (
+  SELECT doc_id, source, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+), counted AS (
+  SELECT d.doc_id, d.source, count(*) AS copies FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.f <= d.u GROUP BY ALL
+), copied AS (
+  SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted
+)
+SELECT doc_id, source, copies::INT AS mix_copies, copy::INT AS mix_copy,
+  (row_number() OVER (ORDER BY md5('mix-1-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), doc_id, source) - 1)::BIGINT AS mix_place
+FROM copied
+"""
