@@ -104,3 +104,10 @@ SELECT doc_id, source, copies::INT AS mix_copies, copy::INT AS mix_copy,
   (row_number() OVER (ORDER BY md5('mix-1-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), doc_id, source) - 1)::BIGINT AS mix_place
 FROM copied
 """
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from landweave.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
