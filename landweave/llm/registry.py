@@ -111,3 +111,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from landweave.llm.pii import find_pii
 
     return find_pii(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from landweave.llm.warc import audit, damaged, records
+
+    pages = table(spark, sf_dir, "pages")
+    return audit(records(pages), records(damaged(pages)))
+
+
+_SQL["op9_warc_audit"] = """
+WITH base AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5('record:' || coalesce(page_id::VARCHAR, 'null') || ':' || coalesce(url, '')) AS k,
+    ('0x' || substr(md5('warc-1:' || coalesce(page_id::VARCHAR, 'null')), 1, 2))::INT < 4 AND length(coalesce(html, '')) > 0 AS hit
+  FROM pages
+), rec AS (
+  SELECT page_id, hit, 'WARC/1.1' || e'\\r\\nWARC-Type: resource\\r\\nWARC-Record-ID: <urn:uuid:' || substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-' || substr(k, 13, 4) || '-' || substr(k, 17, 4) || '-' || substr(k, 21, 12)
+    || e'>\\r\\nWARC-Target-URI: ' || url || e'\\r\\nWARC-Date: 2024-01-01T00:00:00Z\\r\\nContent-Type: text/html\\r\\nContent-Length: ' || octet_length(encode(html)) || e'\\r\\n\\r\\n' || html || e'\\r\\n\\r\\n' AS record
+  FROM base
+), placed AS (
+  SELECT page_id, hit, sha256(record) AS sha256, octet_length(encode(record))::BIGINT AS length,
+    row_number() OVER (ORDER BY md5('place:' || coalesce(page_id::VARCHAR, 'null')), page_id, sha256(record)) - 1 AS place
+  FROM rec
+)
+SELECT page_id, (place // 512)::BIGINT AS archive,
+  coalesce(sum(length) OVER (PARTITION BY place // 512 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
+  length, sha256, CASE WHEN hit THEN 'corrupt' ELSE 'intact' END AS status
+FROM placed
+"""
