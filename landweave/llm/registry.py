@@ -140,3 +140,12 @@ SELECT page_id, (place // 512)::BIGINT AS archive,
   length, sha256, CASE WHEN hit THEN 'corrupt' ELSE 'intact' END AS status
 FROM placed
 """
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from landweave.llm.pieces import sample_segmentations
+
+    return sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
