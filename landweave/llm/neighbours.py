@@ -30,7 +30,7 @@ BLOCK = 16_384
 LEAST = 1024
 VERIFY = 0.15
 #: Half window of the first level in standard deviations of the difference of two rows' projections, and the factor between levels.
-FIRST, WIDER = 0.6, 1.15
+FIRST, WIDER = 0.7, 1.15
 K = 20
 SEED = 11
 
@@ -56,7 +56,7 @@ def search(block: np.ndarray, queries: np.ndarray, top_norm: float, k: int, own:
     placed = scaled @ directions[:dim] + tail[:, None] * directions[dim]
     norms = np.sqrt(np.einsum("ij,ij->i", queries, queries, dtype=np.float64))
     centres = (queries / norms[:, None]).astype(np.float32) @ directions[:dim]
-    order = np.argsort(placed, axis=0, kind="stable").T.astype(np.int32).copy()
+    order = np.argsort(placed, axis=0, kind="stable").T.astype(np.intp).copy()
     arrays = np.take_along_axis(placed.T, order, axis=1)
     spread = float(np.sqrt(2.0) * placed.std(axis=0).mean()) or 1.0
     need, wanted = int(np.ceil(SHARE * PROJECTIONS)), min(n, max(LEAST, int(VERIFY * n)) + k)
