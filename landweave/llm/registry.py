@@ -168,3 +168,30 @@ WITH v AS (
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from landweave.llm.substrings import removed
+
+    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_SQL["op6_substring_dedup"] = """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35
+), wins AS (
+  SELECT s.doc_id, p, sha256(array_to_string(ws[p:p + 34], ' ')) AS k FROM starts s JOIN w USING (doc_id)
+), twice AS (
+  SELECT doc_id, p FROM wins WHERE k IN (SELECT k FROM wins GROUP BY k HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM twice
+), lists AS (
+  SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(g, i)), lambda i: ws[i]) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id)
+"""
