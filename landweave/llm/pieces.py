@@ -15,7 +15,7 @@ best unopened set is the threshold ``kappa`` of the inclusion score 1 - exp(-exp
   the format itself uses for a space.
 * An empty or null text has the one empty segmentation. Repeated rows give repeated samples. A null key
   is a key of its own. Other columns aren't read.
-* Texts are handled in pieces of 2 MB, a single longer text at once; the lattice of each distinct word of a
+* Texts are handled in pieces of 4 MB, a single longer text at once; the lattice of each distinct word of a
   piece is built once.
 """
 
@@ -25,17 +25,24 @@ import functools
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import joined, slices, utf8
+from landweave.llm.common import MASK, joined, slices, utf8
 
 K = 2
 SPACE = "▁"
 
+LETTER, MARK = "A-Za-z\u00c0-\u024f", "!-/:-@\\[-`{-~"
+#: A word ends before a space or a line break, and where its first mark follows a letter.
+WORDS = re.compile(f"{SPACE}*[^{SPACE}\n{MARK}]*[{LETTER}](?=[{MARK}])|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+").findall
+INSIDE = re.compile(f"[{LETTER}][{MARK}]")
+
+
 
 class Model:
     """Pieces of a SentencePiece model file."""
@@ -44,8 +51,8 @@ class Model:
         self.normal = {p: k for k, (p, t) in enumerate(zip(pieces, kinds, strict=True)) if t == "normal"}
         self.bytes = {int(p[3:5], 16): k for k, (p, t) in enumerate(zip(pieces, kinds, strict=True)) if t == "byte"}
         self.longest = max(map(len, self.normal))
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.normal):
-            raise ValueError("pieces that hold an inner space or a line break aren't supported")
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p or INSIDE.search(p) for p in self.normal):
+            raise ValueError("pieces that hold an inner space, a line break or a mark after a letter aren't supported")
         if len(self.bytes) != 256:
             raise ValueError("a model with byte fallback is needed")
         # a Zipf law over ranks: the least likely pieces share the last rank
@@ -74,9 +81,6 @@ def load(path: str) -> Model:
     return Model([sp.id_to_piece(k) for k in range(size)], [sp.get_score(k) for k in range(size)], [kind(k) for k in range(size)])
 
 
-WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+").findall
-
-
 def words_of(text: str) -> list[str]:
     """The normalised text in parts that no piece crosses."""
     return WORDS(SPACE + text.replace(" ", SPACE)) if text else []
@@ -134,35 +138,48 @@ class Prefixes:
         return out
 
 
+class Numbers(dict):
+    """word -> its number, in the order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Lattices:
     """Lattices of a set of words in flat arrays, built for all words in step.
 
     Each character is a node; nodes own runs of edges. Edge arrays: ``cum`` the cumulative conditional
-    probability within the node (1 at its last edge), ``logp`` the conditional log-probability, ``missed``
-    the log-probability of the node's other edges, ``piece``, and ``to`` (a node, or -1 at the word's end).
+    probability within the node (1 at its last edge), ``logp`` the conditional log-probability (exactly 0 for
+    an only edge), ``piece``, and ``to`` (a node, or -1 at the word's end).
     """
 
     def __init__(self, model: Model, prefixes: Prefixes, words: list[str]):
+        """Word k of the list starts at node ``start[k]``."""
         text = "".join(words)
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        self.start = dict(zip(words, (ends - sizes).tolist(), strict=True))
+        self.start = ends - sizes
         n = len(codes)
         end = np.repeat(ends, sizes)
         logs = model.log_table
         # edges: strings that are pieces, longer and longer ones from each node
         active, h = np.arange(n), np.zeros(n, np.uint64)
-        froms, lengths, pieces = [], [], []
+        froms, lengths, pieces, slots = [], [], [], []
+        have = np.zeros(n + 1, np.int64)  # edges of each node so far
         size = 0
         while len(active):
             size += 1
             h = h * Prefixes.BASE + codes[active + size - 1] + np.uint64(1)
             found = prefixes.find(h)
             hit = found >= 0
-            froms.append(active[hit])
-            lengths.append(np.full(int(hit.sum()), size))
+            own = active[hit]
+            froms.append(own)
+            lengths.append(np.full(len(own), size))
             pieces.append(found[hit])
+            slots.append(have[own])
+            have[own] += 1
             if size == 1:
                 unknown = active[~hit]
             on = (found >= -1) & (active + size < end[active])
@@ -173,18 +190,24 @@ class Lattices:
         froms.append(unknown)
         lengths.append(np.ones(len(unknown), np.int64))
         pieces.append(np.array([model.bytes[x[0]] for x in extra], np.int64))
-        source, length, piece = (np.concatenate(x).astype(np.int64) for x in (froms, lengths, pieces))
-        order = np.argsort(source, kind="stable")
-        source, length, piece = source[order], length[order], piece[order]
-        first = np.searchsorted(source, np.arange(n + 1))
+        slots.append(have[unknown])
+        have[unknown] += 1
+        first = np.cumsum(have) - have  # edges in the order of their nodes, shorter pieces first
+        size_ = int(have.sum())
+        more = sum(len(x) - 1 for x in extra)  # one more edge for each further byte
+        source, length, piece = np.zeros(size_, np.int64), np.zeros(size_, np.int64), np.zeros(size_ + more, np.int32)
+        for f, l, x, k in zip(froms, lengths, pieces, slots, strict=True):
+            spot = first[f] + k
+            source[spot], length[spot], piece[spot] = f, l, x
         # log mass of all paths from each node, backwards from the words' ends
-        weight = logs[piece]
+        weight = logs[piece[:size_]]
         weight[first[unknown]] = 0.0  # such a node has this edge alone
         target = source + length
         away = end - np.arange(n)  # characters to the word's end
         beta = np.zeros(n + 1)
-        by = np.argsort(away[source], kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(away[source], minlength=1))]) if n else np.zeros(1, np.int64)
+        far = away[source]
+        by = np.argsort(far.astype(np.uint16) if n and away.max() < 1 << 16 else far, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=1))]) if n else np.zeros(1, np.int64)
         inner = target < end[source] if n else np.zeros(0, bool)
         step = np.zeros(len(source))
         for d in range(1, len(cuts) - 1):
@@ -198,17 +221,15 @@ class Lattices:
             top = np.maximum.reduceat(v, begin)
             count = np.diff(np.concatenate([begin, [len(e)]]))
             beta[own[begin]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), begin))
-        logp = np.minimum(step - beta[source], 0.0)
-        p = np.exp(logp)
-        total = np.concatenate([[0.0], np.cumsum(p)])
+        logp, cum = np.zeros(size_ + more), np.ones(size_ + more)
+        np.minimum(step - beta[source], 0.0, out=logp[:size_])
+        total = np.concatenate([[0.0], np.cumsum(np.exp(logp[:size_]))])
         # sums restart at each node; rounding over a long array is kept out by the differences' scale
-        cum = total[1:] - total[first[source]]
-        only = first[source + 1] - first[source] == 1
-        cum[first[1:] - 1] = 1.0 if n else cum[:0]
-        logp[only] = 0.0
-        with np.errstate(divide="ignore"):
-            missed = np.where(only, -np.inf, np.log(-np.expm1(np.minimum(logp, -1e-300))))
-        to = np.where(inner, target, -1)
+        cum[:size_] = total[1:] - total[first[source]]
+        cum[first[1:] - 1] = 1.0
+        logp[first[:-1][have[:-1] == 1]] = 0.0
+        to = np.full(size_ + more, -1)
+        to[:size_][inner] = target[inner]
         # the other bytes of characters that aren't in the vocabulary: nodes with one edge each
         if extra:
             more_piece, more_to, more_from, node = [], [], [], n
@@ -222,12 +243,9 @@ class Lattices:
                     more_to.append(node + 1 if k < len(x) - 2 else last)
                     more_from.append(node)
                     node += 1
-            m = len(more_piece)
-            piece = np.concatenate([piece, np.array(more_piece, np.int64)])
-            to = np.concatenate([to, np.array(more_to, np.int64)])
-            first = np.concatenate([first, first[-1] + 1 + np.arange(m)])
-            cum, logp, missed = np.concatenate([cum, np.ones(m)]), np.concatenate([logp, np.zeros(m)]), np.concatenate([missed, np.full(m, -np.inf)])
-        self.first, self.cum, self.logp, self.missed, self.piece, self.to = first, cum, logp, missed, piece.astype(np.int32), to
+            piece[size_:], to[size_:] = more_piece, more_to
+            first = np.concatenate([first, first[-1] + 1 + np.arange(more)])
+        self.first, self.cum, self.logp, self.piece, self.to = first, cum, logp, piece, to
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node at which the cumulative probability reaches ``u``."""
@@ -276,6 +294,20 @@ def paths(t: Lattices, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray,
     return sizes, edges, out
 
 
+def untaken(logp: np.ndarray) -> np.ndarray:
+    """log(1 - p), -inf where p is 1."""
+    with np.errstate(divide="ignore"):
+        return np.log(-np.expm1(logp))
+
+
+def uniform_one(key: int, stream: int) -> float:
+    """``uniform`` of one counter."""
+    z = (key + stream * 0x9E3779B97F4A7C15) & MASK
+    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & MASK
+    return (((z ^ (z >> 31)) >> 11) + 0.5) * 2.0**-53
+
+
 def truncated(g: np.ndarray, top: np.ndarray) -> np.ndarray:
     """Gumbel values ``g`` conditioned to lie below ``top``."""
     return -np.logaddexp(-top, -g)
@@ -302,9 +334,11 @@ LEAST, MOST = -3.7, 36.8
 def sampled(texts: list[str], keys: np.ndarray, model: Model, prefixes: Prefixes, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to ``k`` samples (piece ids, log p, log inclusion score), best first."""
     split = [words_of(t) for t in texts]
-    t = Lattices(model, prefixes, list(dict.fromkeys(w for ws in split for w in ws)))
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    starts = np.fromiter((t.start[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+    numbers = Numbers()
+    number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+    t = Lattices(model, prefixes, list(numbers))
+    starts = t.start[number]
     from_ = np.cumsum(counts) - counts
     rows = [Row() for _ in texts]
     live = np.arange(len(texts))
@@ -326,17 +360,20 @@ def sampled(texts: list[str], keys: np.ndarray, model: Model, prefixes: Prefixes
         words = np.repeat(place, sizes)
         total = np.concatenate([[0.0], np.cumsum(t.logp[edge])])
         prefix = total[:-1] - np.repeat(total[ends - per] - before[live], per)  # log p before each decision
-        rest = prefix + t.missed[edge]  # log mass of the paths not taken here
         # Sets that can't be among the k best whatever their draw are left out: any k sets bound them.
         row_of = np.repeat(np.arange(len(live)), per)
         early = np.flatnonzero(np.arange(len(edge)) - np.repeat(ends - per, per) < 64)
-        close = tops(rest[early], np.bincount(row_of[early], minlength=len(live)), k)
+        rest = prefix[early] + untaken(t.logp[edge[early]])  # log mass of the paths not taken there
+        close = tops(rest, np.bincount(row_of[early], minlength=len(live)), k)
         floor = np.full(len(live), -np.inf)
         if close:
             ok = close[-1] >= 0
-            floor[ok] = rest[early][close[-1][ok]] + LEAST - MOST
-        some = np.flatnonzero((rest >= floor[row_of]) & ~np.isneginf(rest))
-        bound = truncated(rest[some] + gumbel(uniform(key[some], 2)), value[live][row_of[some]])
+            floor[ok] = rest[close[-1][ok]] + LEAST - MOST
+        some = np.flatnonzero(prefix >= floor[row_of])
+        rest = prefix[some] + untaken(t.logp[edge[some]])
+        keep = ~np.isneginf(rest)
+        some, rest = some[keep], rest[keep]
+        bound = truncated(rest + gumbel(uniform(key[some], 2)), value[live][row_of[some]])
         best = tops(bound, np.bincount(row_of[some], minlength=len(live)), k - s)
         for n, d in enumerate(live):
             row, lo, hi = rows[d], ends[n] - per[n], ends[n]
@@ -406,21 +443,23 @@ def opened(row: Row, t: Lattices, key: np.uint64, s: int) -> tuple | None:
     word = int(words[at])
     step = int(at) - int(np.searchsorted(words[: at + 1], word, side="left"))
     counter = (int(key) + int(ROOM) * s + int(STEPS) * word + step) & ((1 << 64) - 1)
-    draw = lambda stream: float(uniform(np.array([counter], np.uint64), stream)[0])
+    draw = lambda stream: uniform_one(counter, stream)
+    below = lambda mass: -float(np.logaddexp(-value, math.log(-math.log(draw(2))) - mass))
     left = [e for e in range(lo, hi) if e not in taken]
     p = np.exp(t.logp[left])
     e = left[min(int(np.searchsorted(np.cumsum(p), draw(1) * p.sum())), len(left) - 1)]
     rest = [x for x in left if x != e]
     if rest:  # what is still untaken here
         mass = prefix + float(np.logaddexp.reduce(t.logp[rest]))
-        row.open.append((-float(np.logaddexp(-value, math.log(-math.log(draw(2))) - mass)), s, at, (*taken, e), prefix))
+        row.open.append((below(mass), s, at, (*taken, e), prefix))
     new, total, node = [e], prefix + float(t.logp[e]), int(t.to[e])
     while node >= 0:  # the word's other decisions
         counter = (counter + 1) & ((1 << 64) - 1)
-        e = int(t.draw(np.array([node]), np.array([draw(1)]))[0])
-        if t.missed[e] > -np.inf:
-            mass = total + float(t.missed[e])
-            row.open.append((-float(np.logaddexp(-value, math.log(-math.log(draw(2))) - mass)), s, at + len(new), (e,), total))
+        e, u = int(t.first[node]), draw(1)
+        while u > t.cum[e]:
+            e += 1
+        if (left_out := -math.expm1(t.logp[e])) > 0:
+            row.open.append((below(total + math.log(left_out)), s, at + len(new), (e,), total))
         new.append(e)
         total += float(t.logp[e])
         node = int(t.to[e])
@@ -442,7 +481,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = K, seed: str = "pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = Prefixes(shared.value)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 4 << 20):
             texts = [t.decode("utf-8", "replace") for t in b.column("text").to_pylist()]
             keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             got = sampled(texts, keys, shared.value, prefixes, k)
