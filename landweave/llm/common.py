@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than these; ``bytes.split()`` splits on the same six.
 SPACE = b" \t\n\x0b\x0c\r"
 
-_made: dict[str, list[str]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,10 +48,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if path not in _made:
-        _made[path] = [path]
-        atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._landweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a written table that nothing reads any more."""
+    _remove(df.sparkSession, df._landweave_path)
 
 
 def partitions(spark: SparkSession) -> int:
