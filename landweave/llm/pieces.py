@@ -192,60 +192,72 @@ class Lattices:
         pieces.append(np.array([model.bytes[x[0]] for x in extra], np.int64))
         slots.append(have[unknown])
         have[unknown] += 1
-        first = np.cumsum(have) - have  # edges in the order of their nodes, shorter pieces first
-        size_ = int(have.sum())
+        # edges are laid out by their node's distance from the word's end, shorter pieces first
+        away = end - np.arange(n)
+        order = np.argsort(away.astype(np.uint16) if n and away.max() < 1 << 16 else away, kind="stable")
+        count = have[:n][order]
+        begin = np.cumsum(count) - count
+        first = np.empty(n, np.int64)
+        first[order] = begin
+        size_ = int(count.sum())
         more = sum(len(x) - 1 for x in extra)  # one more edge for each further byte
-        source, length, piece = np.zeros(size_, np.int64), np.zeros(size_, np.int64), np.zeros(size_ + more, np.int32)
+        target, piece = np.zeros(size_, np.int64), np.zeros(size_ + more, np.int32)
         for f, l, x, k in zip(froms, lengths, pieces, slots, strict=True):
             spot = first[f] + k
-            source[spot], length[spot], piece[spot] = f, l, x
-        # log mass of all paths from each node, backwards from the words' ends
+            target[spot], piece[spot] = f + l, x
+        source = np.repeat(order, count)
+        inner = target < end[source] if n else np.zeros(0, bool)
         weight = logs[piece[:size_]]
         weight[first[unknown]] = 0.0  # such a node has this edge alone
-        target = source + length
-        away = end - np.arange(n)  # characters to the word's end
-        beta = np.zeros(n + 1)
-        far = away[source]
-        by = np.argsort(far.astype(np.uint16) if n and away.max() < 1 << 16 else far, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=1))]) if n else np.zeros(1, np.int64)
-        inner = target < end[source] if n else np.zeros(0, bool)
-        step = np.zeros(len(source))
-        for d in range(1, len(cuts) - 1):
-            e = by[cuts[d] : cuts[d + 1]]
-            if not len(e):
-                continue
-            v = weight[e] + np.where(inner[e], beta[target[e]], 0.0)
-            step[e] = v
-            own = source[e]
-            begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            top = np.maximum.reduceat(v, begin)
-            count = np.diff(np.concatenate([begin, [len(e)]]))
-            beta[own[begin]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), begin))
+        # mass of all paths from each node, backwards from the words' ends (node n), level by level;
+        # near the end as numbers, farther on, where they could underflow, as logarithms
+        goal = np.where(inner, target, n)
+        levels = np.bincount(away, minlength=1)[1:] if n else np.zeros(0, np.int64)
+        node_cuts = np.concatenate([[0], np.cumsum(levels)])
+        edge_cuts = np.append(begin, size_)[node_cuts]
         logp, cum = np.zeros(size_ + more), np.ones(size_ + more)
-        np.minimum(step - beta[source], 0.0, out=logp[:size_])
-        total = np.concatenate([[0.0], np.cumsum(np.exp(logp[:size_]))])
-        # sums restart at each node; rounding over a long array is kept out by the differences' scale
-        cum[:size_] = total[1:] - total[first[source]]
-        cum[first[1:] - 1] = 1.0
-        logp[first[:-1][have[:-1] == 1]] = 0.0
+        p = np.exp(weight)
+        mass = np.ones(n + 1)
+        near = min(len(levels), NEAR)
+        for d in range(near):
+            x, y, u, v = edge_cuts[d], edge_cuts[d + 1], node_cuts[d], node_cuts[d + 1]
+            if x < y:
+                p[x:y] *= mass[goal[x:y]]
+                total = np.add.reduceat(p[x:y], begin[u:v] - x)
+                mass[order[u:v]] = total
+                p[x:y] /= np.repeat(total, count[u:v])
+        x = edge_cuts[near]
+        logp[:x] = np.minimum(np.log(p[:x]), 0.0)
+        beta = np.log(mass) if len(levels) > near else None
+        for d in range(near, len(levels)):
+            x, y, u, v = edge_cuts[d], edge_cuts[d + 1], node_cuts[d], node_cuts[d + 1]
+            if x < y:
+                w = weight[x:y] + beta[goal[x:y]]
+                top = np.repeat(np.maximum.reduceat(w, begin[u:v] - x), count[u:v])
+                total = np.log(np.add.reduceat(np.exp(w - top), begin[u:v] - x)) + top[begin[u:v] - x]
+                beta[order[u:v]] = total
+                logp[x:y] = np.minimum(w - np.repeat(total, count[u:v]), 0.0)
+                p[x:y] = np.exp(logp[x:y])
+        running = np.concatenate([[0.0], np.cumsum(p)])
+        cum[:size_] = running[1:] - np.repeat(running[begin], count)
+        cum[begin + count - 1] = 1.0
+        logp[begin[count == 1]] = 0.0
         to = np.full(size_ + more, -1)
         to[:size_][inner] = target[inner]
         # the other bytes of characters that aren't in the vocabulary: nodes with one edge each
-        if extra:
-            more_piece, more_to, more_from, node = [], [], [], n
-            edge_of = first[unknown]
-            for x, e in zip(extra, edge_of.tolist(), strict=True):
+        if more:
+            node, at = n, size_
+            for u, x in zip(unknown.tolist(), extra, strict=True):
+                e = int(first[u])
                 last = int(to[e])
-                for k, byte in enumerate(x[1:]):
-                    if k == 0:
-                        to[e] = node
-                    more_piece.append(model.bytes[byte])
-                    more_to.append(node + 1 if k < len(x) - 2 else last)
-                    more_from.append(node)
-                    node += 1
-            piece[size_:], to[size_:] = more_piece, more_to
-            first = np.concatenate([first, first[-1] + 1 + np.arange(more)])
-        self.first, self.cum, self.logp, self.piece, self.to = first, cum, logp, piece, to
+                for byte in x[1:]:
+                    to[e] = node
+                    piece[at], to[at] = model.bytes[byte], last
+                    e, node, at = at, node + 1, at + 1
+            first = np.concatenate([first, size_ + np.arange(more)])
+            source = np.concatenate([source, n + np.arange(more)])
+            have = np.concatenate([have[:n], np.ones(more, np.int64)])
+        self.first, self.count, self.source, self.cum, self.logp, self.piece, self.to = first, have, source, cum, logp, piece, to
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node at which the cumulative probability reaches ``u``."""
@@ -327,6 +339,8 @@ class Row:
         self.open: list[tuple] = []  # (value, sample, decision, excluded edges)
 
 
+#: Characters before a word's end up to which path masses are kept as plain numbers (above 1e-250 there).
+NEAR = 40
 #: What a Gumbel value of a 53-bit uniform number can reach, down and up.
 LEAST, MOST = -3.7, 36.8
 
@@ -438,8 +452,9 @@ def opened(row: Row, t: Lattices, key: np.uint64, s: int) -> tuple | None:
     row.open.sort(key=lambda o: -o[0])
     value, sample, at, taken, prefix = row.open.pop(0)
     edges, words, *_ = row.samples[sample]
-    node = int(np.searchsorted(t.first, taken[0], side="right")) - 1
-    lo, hi = int(t.first[node]), int(t.first[node + 1])
+    node = t.source[taken[0]]
+    lo = int(t.first[node])
+    hi = lo + int(t.count[node])
     word = int(words[at])
     step = int(at) - int(np.searchsorted(words[: at + 1], word, side="left"))
     counter = (int(key) + int(ROOM) * s + int(STEPS) * word + step) & ((1 << 64) - 1)
