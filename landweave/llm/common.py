@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave.plans.stages import discard, written  # noqa: F401
+
 #: A word is a run of bytes other than these; ``bytes.split()`` splits on the same six.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -21,44 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='landweave-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone when the interpreter ends
-        pass
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    This cuts the lineage, and the files outlive any executor. They are removed
-    when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._landweave_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a written table that nothing reads any more."""
-    _remove(df.sparkSession, df._landweave_path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,6 +42,43 @@ def joined(*parts: Column | str) -> Column:
     return F.concat_ws(":", *cols)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: nothing to do
+        return lambda _: 0
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` for mapInArrow; a worker that waits for its next task gives its free memory back first."""
+
+    def run(batches):
+        yield from f(batches)
+        _trim()(0)
+
+    return run
+
+
+def lean_group(f: Callable) -> Callable:
+    """The same for applyInArrow on one group or a pair of groups."""
+
+    if f.__code__.co_argcount == 2:
+
+        def run(left, right):
+            out = f(left, right)
+            _trim()(0)
+            return out
+    else:
+
+        def run(table):
+            out = f(table)
+            _trim()(0)
+            return out
+
+    return run
+
+
 # --- Arrow batches -----------------------------------------------------------------------
 
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landweave.llm.common import lean_group
+
 PROJECTIONS = 96
 SHARE = 0.58
 BLOCK = 16_384
@@ -141,6 +143,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             "vec_id": ids[np.concatenate([r for r, _ in got])], "score": np.concatenate([s for _, s in got]),
         })
 
-    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(pair, "query_id long, query_key long, vec_id long, score double")
+    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(lean_group(pair), "query_id long, query_key long, vec_id long, score double")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,7 +15,7 @@ best unopened set is the threshold ``kappa`` of the inclusion score 1 - exp(-exp
   the format itself uses for a space.
 * An empty or null text has the one empty segmentation. Repeated rows give repeated samples. A null key
   is a key of its own. Other columns aren't read.
-* Texts are handled in pieces of 4 MB, a single longer text at once; the lattice of each distinct word of a
+* Texts are handled in pieces of 3 MB, a single longer text at once; the lattice of each distinct word of a
   piece is built once.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import MASK, joined, slices, utf8
+from landweave.llm.common import MASK, joined, lean, slices, utf8
 
 K = 2
 SPACE = "▁"
@@ -205,24 +205,25 @@ class Lattices:
         for f, l, x, k in zip(froms, lengths, pieces, slots, strict=True):
             spot = first[f] + k
             target[spot], piece[spot] = f + l, x
+        del froms, lengths, pieces, slots, active, h, codes
         source = np.repeat(order, count)
         inner = target < end[source] if n else np.zeros(0, bool)
+        target[~inner] = n  # a word's end
         weight = logs[piece[:size_]]
         weight[first[unknown]] = 0.0  # such a node has this edge alone
         # mass of all paths from each node, backwards from the words' ends (node n), level by level;
         # near the end as numbers, farther on, where they could underflow, as logarithms
-        goal = np.where(inner, target, n)
         levels = np.bincount(away, minlength=1)[1:] if n else np.zeros(0, np.int64)
         node_cuts = np.concatenate([[0], np.cumsum(levels)])
         edge_cuts = np.append(begin, size_)[node_cuts]
-        logp, cum = np.zeros(size_ + more), np.ones(size_ + more)
+        logp = np.zeros(size_ + more)
         p = np.exp(weight)
         mass = np.ones(n + 1)
         near = min(len(levels), NEAR)
         for d in range(near):
             x, y, u, v = edge_cuts[d], edge_cuts[d + 1], node_cuts[d], node_cuts[d + 1]
             if x < y:
-                p[x:y] *= mass[goal[x:y]]
+                p[x:y] *= mass[target[x:y]]
                 total = np.add.reduceat(p[x:y], begin[u:v] - x)
                 mass[order[u:v]] = total
                 p[x:y] /= np.repeat(total, count[u:v])
@@ -232,12 +233,14 @@ class Lattices:
         for d in range(near, len(levels)):
             x, y, u, v = edge_cuts[d], edge_cuts[d + 1], node_cuts[d], node_cuts[d + 1]
             if x < y:
-                w = weight[x:y] + beta[goal[x:y]]
+                w = weight[x:y] + beta[target[x:y]]
                 top = np.repeat(np.maximum.reduceat(w, begin[u:v] - x), count[u:v])
                 total = np.log(np.add.reduceat(np.exp(w - top), begin[u:v] - x)) + top[begin[u:v] - x]
                 beta[order[u:v]] = total
                 logp[x:y] = np.minimum(w - np.repeat(total, count[u:v]), 0.0)
                 p[x:y] = np.exp(logp[x:y])
+        del weight
+        cum = np.ones(size_ + more)
         running = np.concatenate([[0.0], np.cumsum(p)])
         cum[:size_] = running[1:] - np.repeat(running[begin], count)
         cum[begin + count - 1] = 1.0
@@ -496,7 +499,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = K, seed: str = "pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = Prefixes(shared.value)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 3 << 20):
             texts = [t.decode("utf-8", "replace") for t in b.column("text").to_pylist()]
             keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             got = sampled(texts, keys, shared.value, prefixes, k)
@@ -513,7 +516,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = K, seed: str = "pi
             )
 
     key = F.xxhash64(joined(seed, F.col("doc_id")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), utf8("text").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), utf8("text").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -529,7 +532,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -541,4 +544,4 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             texts = [None if ids is None else decode(shared.value, ids) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

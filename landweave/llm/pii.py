@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import slices, utf8
+from landweave.llm.common import lean, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -382,7 +382,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -400,4 +400,4 @@ def redacted(docs: DataFrame) -> DataFrame:
             cols[k] = pa.array(done, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

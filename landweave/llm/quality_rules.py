@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import WordHashes, data, hashed, in_one, covered, joined, rolling, slices, sums, utf8
+from landweave.llm.common import WordHashes, covered, data, hashed, in_one, joined, lean, rolling, slices, sums, utf8
 
 NGRAM = 4
 BUCKETS = 1 << 15
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = NGRAM, size: int = BUCKE
 
     counted = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-        .mapInArrow(count, "bucket long, raw long, target long")
+        .mapInArrow(lean(count), "bucket long, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw"), F.sum("target"))
     )
@@ -150,7 +150,7 @@ def scored(docs: DataFrame, ratio: np.ndarray, *, n: int = NGRAM, threshold: flo
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(score, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(lean(score), SCHEMA)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -181,4 +181,4 @@ def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
             yield b.select(names).filter(pa.array(~failed & (mean >= threshold)))
 
-    return with_bytes.mapInArrow(keep, docs.schema)
+    return with_bytes.mapInArrow(lean(keep), docs.schema)

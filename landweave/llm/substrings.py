@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import WordHashes, covered, hashed, in_one, rolling, slices, utf8, written
+from landweave.llm.common import WordHashes, covered, hashed, in_one, lean, lean_group, rolling, slices, utf8, written
 
 BLOCK, WINDOW = 18, 35
 GROUP = 6 << 20
@@ -177,7 +177,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     answer = "grp int, kind int, range int, body binary"
     anchors = written(
-        keyed.mapInArrow(probe, "range int, probes binary, blocks binary, grps binary, twice binary").groupBy("range").applyInArrow(match, answer), "anchors"
+        keyed.mapInArrow(lean(probe), "range int, probes binary, blocks binary, grps binary, twice binary").groupBy("range").applyInArrow(lean_group(match), answer), "anchors"
     )
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -227,7 +227,7 @@ def removed(docs: DataFrame) -> DataFrame:
     # Both uses of `keyed` below have the same exchange, which Spark makes once.
     dealt = keyed.groupBy("grp")
     repeats = (
-        dealt.cogroup(anchors.groupBy("grp")).applyInArrow(extend, "range int, grp int, entries binary, more binary, twice binary").groupBy("range").applyInArrow(compare, answer)
+        dealt.cogroup(anchors.groupBy("grp")).applyInArrow(lean_group(extend), "range int, grp int, entries binary, more binary, twice binary").groupBy("range").applyInArrow(lean_group(compare), answer)
     )
-    done = dealt.cogroup(anchors.unionByName(repeats).groupBy("grp")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept binary")
+    done = dealt.cogroup(anchors.unionByName(repeats).groupBy("grp")).applyInArrow(lean_group(finish), "doc_id long, n_words long, n_removed long, kept binary")
     return done.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from landweave.llm.common import slices, utf8
+from landweave.llm.common import lean, slices, utf8
 
 LIMIT = 1024
 
@@ -165,5 +165,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+        lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
