@@ -6,13 +6,17 @@ full sets is 0.75 or more; a group is what links connect.
 1. Equal sets are one class, stood for by its least id.
 2. 128 MinHash values in 32 bands of 4: two sets of similarity 0.75 share no band with probability
    (1 - 0.75**4)**32 = 5e-6, less above it.
-3. Every member of a band's bucket is a candidate with the bucket's least member only. Signatures are
-   compared in batches of 32 values; with a uniform prior the similarity's posterior after m of n equal
-   values is Beta(m + 1, n - m + 1), and a pair is dropped once P(similarity >= 0.75) < ``MISS``. Each
-   member's best survivor is verified on the full sets. These links join nearly all copies.
-4. Buckets whose members still lie in different groups get the rest: signatures of members of different
-   groups are compared as above, in chunks of at most about ``CHUNK`` by ``CHUNK``, and only survivors
-   leave the task; they are verified on the full sets. So no link between groups is lost to step 3.
+3. Rounds of stars. Every member of a band's bucket is a candidate with one member only, the bucket's
+   centre, unless they are in one group already. The first round's centre is the member with most
+   neighbours over all its buckets, later rounds draw it by a hash. Signatures are compared in batches of
+   32 values; with a uniform prior the similarity's posterior after m of n equal values is
+   Beta(m + 1, n - m + 1), and a pair is dropped once P(similarity >= 0.75) < ``MISS``. Each member's best
+   survivor is verified on the full sets. These links join nearly all copies, at a cost linear in buckets.
+4. Buckets whose members still lie in different groups get the rest: every member outside the bucket's
+   largest group is compared with every member of another group, in cells of at most about ``CHUNK`` by
+   ``PIECE``. A pair counts in the first band it shares. Of each cell only the members of surviving pairs go
+   on; they meet again with their full sets, and verified links leave the task. So no link between groups
+   is lost to step 3, and pairs are never rows.
 
 Large buckets are split into chunks, a star's centre with many members into salted parts. Links and
 components stay on the executors. The miss probability is per pair and batch; a pair can also be joined
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import WordHashes, discard, hashed, in_one, rolling, slices, utf8, written
+from landweave.llm.common import WordHashes, discard, hashed, in_one, lean, lean_group, rolling, slices, utf8, written
 from landweave.llm.components import components
 
 SIZE = 5
@@ -44,7 +48,8 @@ ROWS = PERMS // BANDS
 PERCENT = 75
 MISS = 1e-6
 BATCH = 32
-CHUNK = 64
+CHUNK, PIECE = 256, 1024
+ROUNDS = 3
 #: Members of one star verified together, and entries aimed at for one task's group.
 STAR, GROUP = 256, 512
 
@@ -111,7 +116,7 @@ def signed(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def least_matches(n: int, share: float = PERCENT / 100, miss: float = MISS) -> int:
@@ -155,27 +160,34 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("u").take(rows), b.column("v").take(rows), pa.array(matches)], ["u", "v", "matches"])
 
     both = pairs.join(reps.select(F.col("rep").alias("u"), F.col("sig").alias("a")), "u").join(reps.select(F.col("rep").alias("v"), F.col("sig").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, matches long")
+    return both.select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long, matches long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set: the full sets of the documents in ``ids`` (rep). This is the one place where texts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in slices(batches, "text"):
+            found = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), memo)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text")).where("id is not null")
+    mine = texts.join(ids.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
+    return written(mine.mapInArrow(lean(run), "id long, set binary"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the similarity.
 
     Pairs are stars around v. A part of a star is verified in one place, with the centre's set sent there once.
     """
+    pairs = written(pairs, "pairs")
     parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
     arms = pairs.join(parts, "v").select(F.col("u").alias("id"), F.col("v").alias("star"), F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("centre"))
     centres = parts.select(F.col("v").alias("id"), F.col("v").alias("star"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("centre"))
-    roles = written(arms.unionByName(centres), "stars")  # so its size is known, and a small one can be broadcast
-    groups = max(1, -(-roles.count() // GROUP))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text")).where("id is not null")
-    rows = roles.join(texts, "id").select("id", "star", "part", "centre", F.pmod(F.xxhash64("star", "part"), F.lit(groups)).cast("int").alias("grp"), "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for b in slices(batches, "text"):
-            found = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), memo)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "star", "part", "centre", "grp")), pa.array(found, pa.binary())], ["id", "star", "part", "centre", "grp", "set"])
+    groups = max(1, -(-pairs.count() // GROUP))
+    rows = arms.unionByName(centres).join(sets, "id").withColumn("grp", F.pmod(F.xxhash64("star", "part"), F.lit(groups)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
         star, part, centre, ids, found = (table.column(c).to_pylist() for c in ("star", "part", "centre", "id", "set"))
@@ -192,8 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     v.append(s)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    made = rows.mapInArrow(sets, "id long, star long, part int, centre boolean, grp int, set binary")
-    return made.groupBy("grp").applyInArrow(compare, "u long, v long")
+    return rows.groupBy("grp").applyInArrow(lean_group(compare), "u long, v long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -206,40 +217,108 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def across(buckets: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """u, v of plausible pairs that share a bucket but no group yet. ``groups``: node, root."""
-    placed = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = placed.join(mixed.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    # a chunk meets every chunk of its bucket, itself included, in a cell of its own
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "rep", "root", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
+def placed(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The bucket rows with their group's root."""
+    if groups is None:
+        return buckets.withColumn("root", F.col("rep"))
+    return buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """u, v: each bucket's members with its centre, where their groups differ."""
+    weight = F.struct("neighbours", (-F.col("rep")).alias("less")) if turn == 0 else F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("drawn"), F.col("rep"))
+    centre = rows.groupBy("key").agg(F.max(F.struct(weight.alias("weight"), "rep", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    met = rows.join(centre.select("key", F.col("c.rep").alias("v"), F.col("c.root").alias("v_root")), "key").where("root <> v_root")
+    return met.select(F.col("rep").alias("u"), "v").distinct()
+
+
+CELL = ["key", "i", "j"]
+
+
+def cells_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left rows, right rows) of each cell."""
+    key, i, j = (table.column(c).to_numpy() for c in CELL)
+    left = table.column("left").to_numpy(zero_copy_only=False)
+    order = np.lexsort((j, i, key))
+    k, x, y = key[order], i[order], j[order]
+    new = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    for rows in np.split(order, np.flatnonzero(new) + 1):
+        yield rows[left[rows]], rows[~left[rows]]
+
+
+def surviving_of(one: np.ndarray, two: np.ndarray, root: np.ndarray, band: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs of rows of a cell, in pieces of bounded size."""
+    if not len(one) or not len(two):
+        return
+    b = int(band[one[0]])
+    bands = sig.reshape(len(sig), BANDS, ROWS)
+    for at in range(0, len(one), 32):
+        p, q = (m.ravel() for m in np.meshgrid(one[at : at + 32], two, indexing="ij"))
+        keep = root[p] != root[q]
+        p, q = p[keep], q[keep]
+        alive, _ = surviving(sig, sig, p, q)
+        p, q = p[alive], q[alive]
+        if b and len(p):  # an earlier band has had the pair
+            fresh = ~(bands[p, :b] == bands[q, :b]).all(2).any(1)
+            p, q = p[fresh], q[fresh]
+        if len(p):
+            yield p, q
+
+
+def across(rows: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v of verified links between groups, one for each member, cell and group at least."""
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    mixed = mixed.select(
+        "key", F.col("most.root").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")
     )
-    met = written(met, "cells")
-    groups_ = max(1, -(-met.count() // (8 * GROUP)))
-    full = met.join(reps.select("rep", "sig"), "rep").withColumn("grp", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups_)).cast("int"))
+    mine = rows.join(mixed, "key").withColumns({"chunk": F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), "piece": F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("pieces")).cast("int")})
+    # cell (key, i, j) compares chunk i of the members outside the largest group with piece j of all members
+    minor = mine.where("root <> major").select("rep", "root", "band", "key", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("j"), F.lit(True).alias("left"))
+    every = mine.select("rep", "root", "band", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.col("piece").alias("j"), F.lit(False).alias("left"))
+
+    def dealt(cells: DataFrame) -> DataFrame:
+        groups = max(1, -(-cells.count() // (8 * GROUP)))
+        return cells.join(reps.select("rep", "sig"), "rep").withColumn("grp", F.pmod(F.xxhash64(*CELL), F.lit(groups)).cast("int"))
+
+    def survive(table: pa.Table) -> pa.Table:
+        root, band, sig = table.column("root").to_numpy(), table.column("band").to_numpy(), matrix(table.column("sig"))
+        used = np.zeros(table.num_rows, bool)
+        for one, two in cells_of(table):
+            for p, q in surviving_of(one, two, root, band, sig):
+                used[p] = used[q] = True
+        return table.select(["rep", "root", "band", *CELL, "left"]).take(pa.array(np.flatnonzero(used)))
+
+    def link(table: pa.Table) -> pa.Table:
+        root, band, rep, sig = (*(table.column(c).to_numpy() for c in ("root", "band", "rep")), matrix(table.column("sig")))
+        full = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        u, v = [], []
+        for one, two in cells_of(table):
+            for p, q in surviving_of(one, two, root, band, sig):
+                have: set[tuple[int, int]] = set()
+                for x, y in zip(p.tolist(), q.tolist(), strict=True):
+                    if (x, root[y]) not in have and similar(full[x], full[y]):
+                        have.add((x, root[y]))
+                        u.append(rep[x])
+                        v.append(rep[y])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    schema = "rep long, root long, band int, key long, i int, j int, left boolean"
+    some = written(dealt(written(minor.unionByName(every), "cells")).groupBy("grp").applyInArrow(lean_group(survive), schema), "survivors")
+    return dealt(some).join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("grp").applyInArrow(lean_group(link), "u long, v long")
 
-    def compare(table: pa.Table) -> pa.Table:
-        key, i, j, own, root, rep = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "root", "rep"))
-        sig = matrix(table.column("sig"))
-        order = np.lexsort((j, i, key))
-        cell = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])]))
-        found = []
-        for a, b in zip(cell, [*cell[1:], len(order)], strict=True):
-            rows = order[a:b]
-            one = i[rows[0]] == j[rows[0]]
-            left, right = (rows, rows) if one else (rows[own[rows] == i[rows[0]]], rows[own[rows] == j[rows[0]]])
-            for k in range(0, len(left), 256):  # bounded memory, should a chunk be larger
-                x, y = (p.ravel() for p in np.meshgrid(left[k : k + 256], right, indexing="ij"))
-                keep = (root[x] != root[y]) & ((rep[x] < rep[y]) if one else True)
-                x, y = x[keep], y[keep]
-                alive, _ = surviving(sig, sig, x, y)
-                found.append(np.stack([rep[x[alive]], rep[y[alive]]]))
-        u, v = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
-
-    return full.groupBy("grp").applyInArrow(compare, "u long, v long").distinct()
+
+def merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after the links (u, v) between nodes join groups."""
+    if groups is None:
+        return written(components(links), "groups")
+    links = written(links, "links")
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    raised = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    new = components(raised).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    moved = groups.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = new.join(groups.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))
+    return written(moved.unionByName(fresh), "groups")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,21 +329,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = written(signs.join(classes, "digest").where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]), "reps")
     discard(signs)
 
-    bands = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])).alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    buckets = written(bands.join(hubs, "key"), "buckets")
-
-    stars = buckets.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    best = plausible(stars, reps).groupBy("u").agg(F.max(F.struct("matches", (-F.col("v")).alias("less"))).alias("best")).select("u", (-F.col("best.less")).alias("v"))
-    first = components(verified(best, docs))
-    groups = written(first, "groups")
+    bands = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])).alias("band", "key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = written(bands.join(shared, "key"), "bands")
+    buckets = written(rows.join(rows.groupBy("rep").agg(F.sum("n").alias("neighbours")), "rep").select("key", "band", "rep", "neighbours"), "buckets")
+    sets = shingle_table(docs, buckets.select("rep").distinct())
 
-    more = written(verified(across(buckets, groups, reps), docs), "links")
-    root = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    joined = more.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
-    second = components(joined)
+    groups = None
+    for turn in range(ROUNDS):
+        best = plausible(stars(placed(buckets, groups), turn), reps).groupBy("u").agg(F.max(F.struct("matches", (-F.col("v")).alias("less"))).alias("best"))
+        groups = merged(groups, verified(best.select("u", (-F.col("best.less")).alias("v")), sets))
+    groups = merged(groups, across(placed(buckets, groups), reps, sets))
 
-    steps = [groups.select(F.col("node").alias("rep"), F.col("root").alias("r1")), second.select(F.col("node").alias("r1"), F.col("root").alias("r2"))]
-    out = members.join(steps[0], "rep", "left").withColumn("r1", F.coalesce("r1", "rep")).join(steps[1], "r1", "left")
-    component = F.coalesce("r2", "r1", "doc_id")
+    out = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
