@@ -30,7 +30,7 @@ def strong_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         found = kernels.strong_components(len(ids), both[: len(src)], both[len(src) :])
         return pa.table({"node": ids, "component": ids[found]})
 
-    return pairs.groupBy(F.lit(0)).applyInArrow(lambda t: label(t), "node long, component long")
+    return pairs.groupBy().applyInArrow(label, "node long, component long")
 
 
 def strong_components_by_colour(edges: DataFrame, rounds: int = 10_000) -> DataFrame:

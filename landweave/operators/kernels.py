@@ -234,7 +234,10 @@ def edge_flow(g: Graph, s: Solver, z: np.ndarray, targets: np.ndarray, prox: np.
 
 
 def dijkstra(g: Graph, root: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(distance from the root to each node, parent, nodes in the order they are reached) by edge costs."""
+    """(distance from the root to each node, parent, nodes in the order they are reached) by edge costs.
+
+    Of several parents on least-cost paths (within 1e-12) the least node is taken.
+    """
     if "out" not in g.__dict__:
         begin = starts_of(g.src, g.n)
         g.__dict__["out"] = [list(zip(g.dst[a:b].tolist(), g.cost[a:b].tolist(), strict=True)) for a, b in zip(begin[:-1], begin[1:], strict=True)]
@@ -250,10 +253,15 @@ def dijkstra(g: Graph, root: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
         done[u] = True
         order.append(u)
         for v, c in out[u]:
-            if c == c and d + c < dist[v]:
-                dist[v] = d + c
+            if c != c or done[v]:
+                continue
+            x = d + c
+            room = 1e-12 * max(1.0, x)
+            if x < dist[v] - room:
+                dist[v], parent[v] = x, u
+                heapq.heappush(heap, (x, v))
+            elif x <= dist[v] + room and u < parent[v]:
                 parent[v] = u
-                heapq.heappush(heap, (dist[v], v))
     return np.array(dist), np.array(parent), order
 
 

@@ -178,17 +178,18 @@ class Landscape:
             raise ValueError("least-cost distances have no temperature")
         return self._per_target(_least)
 
-    def expected_cost(self, *, theta: float, approx: bool = False) -> DataFrame:
-        return self._per_target(_Sweep(1, approx), _positive(theta))
+    def expected_cost(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
+        """node, target, value by sweeps until both distances change by less than ``tol`` relative to the largest."""
+        return self._per_target(_Sweep(1, approx, tol), _positive(theta))
 
-    def free_energy_distance(self, *, theta: float, approx: bool = False) -> DataFrame:
-        return self._per_target(_Sweep(0, approx), _positive(theta))
+    def free_energy_distance(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
+        return self._per_target(_Sweep(0, approx, tol), _positive(theta))
 
-    def survival_probability(self, *, theta: float, approx: bool = False) -> DataFrame:
-        return self.free_energy_distance(theta=theta, approx=approx).withColumn("value", F.exp(F.col("value") * -theta))
+    def survival_probability(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
+        return self.free_energy_distance(theta=theta, approx=approx, tol=tol).withColumn("value", F.exp(F.col("value") * -theta))
 
-    def power_mean_proximity(self, *, theta: float, approx: bool = False) -> DataFrame:
-        return self.survival_probability(theta=theta, approx=approx).withColumn("value", F.pow("value", F.lit(1.0 / theta)))
+    def power_mean_proximity(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
+        return self.survival_probability(theta=theta, approx=approx, tol=tol).withColumn("value", F.pow("value", F.lit(1.0 / theta)))
 
     def connected_habitat(self, connectivity: str = "expected_cost", *, theta: float | None = None, transform=None, diagonal: float | None = None, approx: bool = False) -> DataFrame:
         """row, col, value: quality of each cell times the quality it is connected to, without a fitted model."""
@@ -223,11 +224,11 @@ def _least(g: kernels.Graph, t: int) -> np.ndarray:
 
 
 class _Sweep:
-    def __init__(self, which: int, approx: bool):
-        self.which, self.approx = which, approx
+    def __init__(self, which: int, approx: bool, tol: float):
+        self.which, self.approx, self.tol = which, approx, tol
 
     def __call__(self, g: kernels.Graph, t: int) -> np.ndarray:
-        return kernels.sweep_distances(g, t, self.approx)[self.which]
+        return kernels.sweep_distances(g, t, self.approx, self.tol)[self.which]
 
 
 def missing_affinities(affinities: DataFrame, costs: DataFrame) -> DataFrame:

@@ -304,13 +304,10 @@ class RspModel:
         found = {r["target"]: np.array(r["column"]) for r in rows.toLocalIterator()}
         b = np.stack([found[t] for t in g.targets], axis=1)
         inner = b[g.targets]
-        values, vectors = np.linalg.eig(inner)
-        k = int(np.argmax(values.real))
-        value, v0 = float(values[k].real), np.abs(vectors[:, k].real)
+        value, v0 = dominant(inner, tol)
         right = b @ v0 / value
         right /= np.linalg.norm(right)
-        lvalues, lvectors = np.linalg.eig(inner.T)
-        u0 = np.abs(lvectors[:, int(np.argmax(lvalues.real))].real)
+        _, u0 = dominant(inner.T, tol)
         left = np.zeros(g.n)
         left[g.targets] = u0 / u0[0] if u0[0] else u0
         frame = lambda x: self.spark.createDataFrame(pa.table({"cell": g.cell, "value": x}))
@@ -345,6 +342,23 @@ class RspModel:
         return everywhere, value, right.select("cell", (F.col("value") / length).alias("value"))
 
 
+def dominant(a: np.ndarray, tol: float, rounds: int = 2000) -> tuple[float, np.ndarray]:
+    """(value, vector) of the Perron root of a non-negative matrix, by power iteration or else all eigenvalues."""
+    v, value = np.ones(len(a)), 0.0
+    for _ in range(rounds):
+        moved = a @ v
+        now = float(np.abs(moved).max())
+        if not now:
+            break
+        moved /= now
+        if abs(now - value) <= tol * now and np.abs(moved - v).max() <= 1e-12:
+            return now, moved
+        v, value = moved, now
+    values, vectors = np.linalg.eig(a)
+    k = int(np.argmax(values.real))
+    return float(values[k].real), np.abs(vectors[:, k].real)
+
+
 def habitat(g: kernels.Graph, change: Callable | None, diagonal: float | None, connectivity: str = "expected_cost") -> np.ndarray:
     """The habitat of every node, targets taken in blocks."""
     s = kernels.solver(g)
