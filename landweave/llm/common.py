@@ -43,19 +43,25 @@ def joined(*parts: Column | str) -> Column:
 
 
 @functools.lru_cache(maxsize=1)
-def _trim():
+def _malloc_trim():
     try:
         return ctypes.CDLL("libc.so.6").malloc_trim
     except (OSError, AttributeError):  # another C library: nothing to do
         return lambda _: 0
 
 
+def trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def lean(f: Callable) -> Callable:
     """``f`` for mapInArrow; a worker that waits for its next task gives its free memory back first."""
 
     def run(batches):
         yield from f(batches)
-        _trim()(0)
+        trim()
 
     return run
 
@@ -67,13 +73,13 @@ def lean_group(f: Callable) -> Callable:
 
         def run(left, right):
             out = f(left, right)
-            _trim()(0)
+            trim()
             return out
     else:
 
         def run(table):
             out = f(table)
-            _trim()(0)
+            trim()
             return out
 
     return run
@@ -82,7 +88,7 @@ def lean_group(f: Callable) -> Callable:
 # --- Arrow batches -----------------------------------------------------------------------
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``most`` bytes in ``column`` (one row at least)."""
     for batch in batches:
         lengths = batch.column(column)
@@ -118,7 +124,7 @@ def data(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for at most ``limit`` words."""
 
-    def __init__(self, limit: int = 1 << 19, seed: int = 0):
+    def __init__(self, limit: int = 1 << 17, seed: int = 0):
         super().__init__()
         self.limit, self.seed = limit, seed
 

@@ -15,7 +15,7 @@ best unopened set is the threshold ``kappa`` of the inclusion score 1 - exp(-exp
   the format itself uses for a space.
 * An empty or null text has the one empty segmentation. Repeated rows give repeated samples. A null key
   is a key of its own. Other columns aren't read.
-* Texts are handled in pieces of 3 MB, a single longer text at once; the lattice of each distinct word of a
+* Texts are handled in pieces of 1.5 MB, a single longer text at once; the lattice of each distinct word of a
   piece is built once.
 """
 
@@ -162,12 +162,12 @@ class Lattices:
         ends = np.cumsum(sizes)
         self.start = ends - sizes
         n = len(codes)
-        end = np.repeat(ends, sizes)
+        end = np.repeat(ends.astype(np.int32), sizes)
         logs = model.log_table
         # edges: strings that are pieces, longer and longer ones from each node
-        active, h = np.arange(n), np.zeros(n, np.uint64)
+        active, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         froms, lengths, pieces, slots = [], [], [], []
-        have = np.zeros(n + 1, np.int64)  # edges of each node so far
+        have = np.zeros(n + 1, np.int32)  # edges of each node so far
         size = 0
         while len(active):
             size += 1
@@ -176,7 +176,7 @@ class Lattices:
             hit = found >= 0
             own = active[hit]
             froms.append(own)
-            lengths.append(np.full(len(own), size))
+            lengths.append(size)
             pieces.append(found[hit])
             slots.append(have[own])
             have[own] += 1
@@ -188,25 +188,25 @@ class Lattices:
             unknown = np.zeros(0, np.int64)
         extra = [text[u].encode("utf-8", "replace") for u in unknown]  # characters written as their bytes
         froms.append(unknown)
-        lengths.append(np.ones(len(unknown), np.int64))
+        lengths.append(1)
         pieces.append(np.array([model.bytes[x[0]] for x in extra], np.int64))
         slots.append(have[unknown])
         have[unknown] += 1
         # edges are laid out by their node's distance from the word's end, shorter pieces first
-        away = end - np.arange(n)
+        away = end - np.arange(n, dtype=np.int32)
         order = np.argsort(away.astype(np.uint16) if n and away.max() < 1 << 16 else away, kind="stable")
         count = have[:n][order]
         begin = np.cumsum(count) - count
-        first = np.empty(n, np.int64)
+        first = np.empty(n, np.int32)
         first[order] = begin
         size_ = int(count.sum())
         more = sum(len(x) - 1 for x in extra)  # one more edge for each further byte
-        target, piece = np.zeros(size_, np.int64), np.zeros(size_ + more, np.int32)
+        target, piece = np.zeros(size_, np.int32), np.zeros(size_ + more, np.int32)
         for f, l, x, k in zip(froms, lengths, pieces, slots, strict=True):
             spot = first[f] + k
             target[spot], piece[spot] = f + l, x
         del froms, lengths, pieces, slots, active, h, codes
-        source = np.repeat(order, count)
+        source = np.repeat(order.astype(np.int32), count)
         inner = target < end[source] if n else np.zeros(0, bool)
         target[~inner] = n  # a word's end
         weight = logs[piece[:size_]]
@@ -242,10 +242,12 @@ class Lattices:
         del weight
         cum = np.ones(size_ + more)
         running = np.concatenate([[0.0], np.cumsum(p)])
-        cum[:size_] = running[1:] - np.repeat(running[begin], count)
+        del p
+        np.subtract(running[1:], np.repeat(running[begin], count), out=cum[:size_])
+        del running
         cum[begin + count - 1] = 1.0
         logp[begin[count == 1]] = 0.0
-        to = np.full(size_ + more, -1)
+        to = np.full(size_ + more, -1, np.int32)
         to[:size_][inner] = target[inner]
         # the other bytes of characters that aren't in the vocabulary: nodes with one edge each
         if more:
@@ -257,9 +259,9 @@ class Lattices:
                     to[e] = node
                     piece[at], to[at] = model.bytes[byte], last
                     e, node, at = at, node + 1, at + 1
-            first = np.concatenate([first, size_ + np.arange(more)])
-            source = np.concatenate([source, n + np.arange(more)])
-            have = np.concatenate([have[:n], np.ones(more, np.int64)])
+            first = np.concatenate([first, size_ + np.arange(more, dtype=np.int32)])
+            source = np.concatenate([source, n + np.arange(more, dtype=np.int32)])
+            have = np.concatenate([have[:n], np.ones(more, np.int32)])
         self.first, self.count, self.source, self.cum, self.logp, self.piece, self.to = first, have, source, cum, logp, piece, to
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -290,23 +292,23 @@ def paths(t: Lattices, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray,
 
     Gives (decisions of each word, edges, keys), the decisions of all words one after another.
     """
-    word = np.arange(len(nodes))
-    sizes = np.zeros(len(nodes), np.int64)
+    word = np.arange(len(nodes), dtype=np.int32)
+    sizes = np.zeros(len(nodes), np.int32)
     parts = []
     while len(word):
-        k = keys[word] + np.uint64(len(parts))
-        edge = t.draw(nodes, uniform(k, 1))
-        parts.append((word, edge, k))
+        edge = t.draw(nodes, uniform(keys[word] + np.uint64(len(parts)), 1))
+        parts.append((word, edge))
         sizes[word] += 1
         nodes = t.to[edge]
         on = nodes >= 0
         word, nodes = word[on], nodes[on]
     begin = np.cumsum(sizes) - sizes
-    edges, out = np.zeros(int(sizes.sum()), np.int64), np.zeros(int(sizes.sum()), np.uint64)
-    for step, (word, edge, k) in enumerate(parts):
+    total = int(sizes.sum())
+    edges = np.zeros(total, np.int32)
+    for step, (word, edge) in enumerate(parts):
         edges[begin[word] + step] = edge
-        out[begin[word] + step] = k
-    return sizes, edges, out
+    del parts
+    return sizes, edges, np.repeat(keys - begin.astype(np.uint64), sizes) + np.arange(total, dtype=np.uint64)
 
 
 def untaken(logp: np.ndarray) -> np.ndarray:
@@ -353,9 +355,11 @@ def sampled(texts: list[str], keys: np.ndarray, model: Model, prefixes: Prefixes
     split = [words_of(t) for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     numbers = Numbers()
-    number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+    number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+    del split
     t = Lattices(model, prefixes, list(numbers))
     starts = t.start[number]
+    del numbers, number
     from_ = np.cumsum(counts) - counts
     rows = [Row() for _ in texts]
     live = np.arange(len(texts))
@@ -374,11 +378,11 @@ def sampled(texts: list[str], keys: np.ndarray, model: Model, prefixes: Prefixes
         sizes, edge, key = paths(t, nodes, keys[live][owner] + ROOM * np.uint64(s) + STEPS * place.astype(np.uint64))
         per = np.bincount(owner, weights=sizes, minlength=len(live)).astype(np.int64)  # decisions of each row
         ends = np.cumsum(per)
-        words = np.repeat(place, sizes)
+        words = np.repeat(place.astype(np.int32), sizes)
         total = np.concatenate([[0.0], np.cumsum(t.logp[edge])])
         prefix = total[:-1] - np.repeat(total[ends - per] - before[live], per)  # log p before each decision
         # Sets that can't be among the k best whatever their draw are left out: any k sets bound them.
-        row_of = np.repeat(np.arange(len(live)), per)
+        row_of = np.repeat(np.arange(len(live), dtype=np.int32), per)
         early = np.flatnonzero(np.arange(len(edge)) - np.repeat(ends - per, per) < 64)
         rest = prefix[early] + untaken(t.logp[edge[early]])  # log mass of the paths not taken there
         close = tops(rest, np.bincount(row_of[early], minlength=len(live)), k)
@@ -481,8 +485,8 @@ def opened(row: Row, t: Lattices, key: np.uint64, s: int) -> tuple | None:
         new.append(e)
         total += float(t.logp[e])
         node = int(t.to[e])
-    so_far = np.concatenate([edges[:at], np.array(new, np.int64)])
-    of = np.concatenate([words[:at], np.full(len(new), word)])
+    so_far = np.concatenate([edges[:at], np.array(new, np.int32)])
+    of = np.concatenate([words[:at], np.full(len(new), word, np.int32)])
     return so_far, of, value, total, word + 1
 
 
@@ -499,7 +503,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = K, seed: str = "pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = Prefixes(shared.value)
-        for b in slices(batches, "text", 3 << 20):
+        for b in slices(batches, "text", 3 << 19):
             texts = [t.decode("utf-8", "replace") for t in b.column("text").to_pylist()]
             keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             got = sampled(texts, keys, shared.value, prefixes, k)
