@@ -31,6 +31,8 @@ MAX_TARGET = 20_000
 #: Mean log ratio per n-gram under which a document is rejected. On labelled rows good
 #: documents lie above -0.1, bad ones below -0.5.
 THRESHOLD = -0.3
+#: Share of the raw distribution in the target's, at least, and the n-grams that it counts as besides.
+FLOOR, PRIOR = 0.02, 2000.0
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = (
@@ -56,7 +58,11 @@ def buckets_of(raw: np.ndarray, at: np.ndarray, n: int, size: int) -> tuple[np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, n: int = NGRAM, size: int = BUCKETS, max_target: int = MAX_TARGET) -> np.ndarray:
-    """log(target / raw) for each bucket, both with one added to each count."""
+    """log(target / raw) for each bucket.
+
+    The raw counts get one added. The target's share is mixed with the raw one, FLOOR of it at least and more
+    with few target n-grams, so that what is unseen in the target is bounded and no target means no verdict.
+    """
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     ids = good.select("doc_id", F.md5(joined("target", F.col("doc_id"))).alias("_h")).distinct().orderBy("_h").limit(max_target)
     chosen = np.array(sorted(r[0] for r in ids.select("doc_id").collect()), np.int64)
@@ -79,12 +85,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = NGRAM, size: int = BUCKE
         .groupBy("bucket")
         .agg(F.sum("raw"), F.sum("target"))
     )
-    both = np.ones((2, size))
-    for bucket, raw, target in counted.collect():  # one row for each of `size` buckets at most
-        both[:, bucket] += raw, target
-    if both[1].sum() == size:
-        return np.zeros(size)
-    return np.log(both[1] / both[1].sum()) - np.log(both[0] / both[0].sum())
+    raw, target = np.ones(size), np.zeros(size)
+    for bucket, r, t in counted.collect():  # one row for each of `size` buckets at most
+        raw[bucket] += r
+        target[bucket] += t
+    return log_ratio(raw, target)
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    total = target.sum()
+    share = FLOOR + (1 - FLOOR) * PRIOR / (PRIOR + total)
+    p = raw / raw.sum()
+    return np.log(share * p + (1 - share) * target / max(total, 1.0)) - np.log(p)
 
 
 def measured(b: pa.RecordBatch, memo: WordHashes) -> dict[str, np.ndarray]:
