@@ -233,15 +233,79 @@ def edge_flow(g: Graph, s: Solver, z: np.ndarray, targets: np.ndarray, prox: np.
 # --- least cost --------------------------------------------------------------------------------
 
 
-def dijkstra(g: Graph, root: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(distance from the root to each node, parent, nodes in the order they are reached) by edge costs.
+class Heap:
+    """A binary heap of items by priority with decrease-key.
 
-    Of several parents on least-cost paths (within 1e-12) the least node is taken.
+    Of equal priorities a child on the right rises first and nothing overtakes an equal parent; this fixes
+    the order in which ties leave, and with it the trees of ``first_found_tree``.
     """
+
+    def __init__(self):
+        self.items: list[int] = []
+        self.rank: dict[int, float] = {}
+        self.place: dict[int, int] = {}
+
+    def put(self, item: int, rank: float) -> None:
+        if item not in self.place:
+            self.place[item] = len(self.items)
+            self.items.append(item)
+        self.rank[item] = rank
+        at = self.place[item]
+        while at and rank < self.rank[self.items[up := (at - 1) // 2]]:
+            self._set(at, self.items[up])
+            at = up
+        self._set(at, item)
+
+    def pop(self) -> int:
+        first, last = self.items[0], self.items.pop()
+        del self.place[first]
+        size = len(self.items)
+        if size:
+            at, rank = 0, self.rank[last]
+            while (child := 2 * at + 1) < size:
+                if child + 1 < size and not self.rank[self.items[child]] < self.rank[self.items[child + 1]]:
+                    child += 1
+                if not self.rank[self.items[child]] < rank:
+                    break
+                self._set(at, self.items[child])
+                at = child
+            self._set(at, last)
+        return first
+
+    def _set(self, at: int, item: int) -> None:
+        self.items[at] = item
+        self.place[item] = at
+
+
+def first_found_tree(g: Graph, root: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """As ``dijkstra``, but of several parents the first one found with the least floating-point sum stays."""
+    out = out_edges(g)
+    dist, parent, order, heap = [np.inf] * g.n, [-1] * g.n, [], Heap()
+    dist[root] = 0.0
+    heap.put(root, 0.0)
+    while heap.items:
+        u = heap.pop()
+        order.append(u)
+        for v, c in out[u]:
+            if (x := dist[u] + c) < dist[v]:
+                dist[v], parent[v] = x, u
+                heap.put(v, x)
+    return np.array(dist), np.array(parent), order
+
+
+def out_edges(g: Graph) -> list[list[tuple[int, float]]]:
     if "out" not in g.__dict__:
         begin = starts_of(g.src, g.n)
         g.__dict__["out"] = [list(zip(g.dst[a:b].tolist(), g.cost[a:b].tolist(), strict=True)) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-    out = g.__dict__["out"]
+    return g.__dict__["out"]
+
+
+def dijkstra(g: Graph, root: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(distance from the root to each node, parent, nodes in the order they are reached) by edge costs.
+
+    Of several parents on least-cost paths (within 1e-12) the least node is taken.
+    """
+    out = out_edges(g)
     dist = [np.inf] * g.n
     parent, done, order = [-1] * g.n, [False] * g.n, []
     dist[root] = 0.0
@@ -265,9 +329,14 @@ def dijkstra(g: Graph, root: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return np.array(dist), np.array(parent), order
 
 
-def least_cost_kl(g: Graph, root: int) -> np.ndarray:
-    """Sum of -log reference probability over the steps node -> parent of the least-cost tree; NaN if unreached."""
-    _, parent, order = dijkstra(g, root)
+def least_cost_kl(g: Graph, root: int, ties: str = "first") -> np.ndarray:
+    """Sum of -log reference probability over the steps node -> parent of the least-cost tree; NaN if unreached.
+
+    Where least-cost paths tie, the tree is that of the order of search (``first``) or takes the least node (``least``).
+    """
+    if ties not in ("first", "least"):
+        raise ValueError("ties are 'first' or 'least'")
+    _, parent, order = (first_found_tree if ties == "first" else dijkstra)(g, root)
     begin = starts_of(g.src, g.n)
     kl = np.full(g.n, np.nan)
     kl[root] = 0.0
@@ -284,9 +353,7 @@ def least_cost_kl(g: Graph, root: int) -> np.ndarray:
 
 def brandes(g: Graph, root: int) -> np.ndarray:
     """Dependencies of one source on each node over all shortest paths by cost (ties within 1e-12)."""
-    if "out" not in g.__dict__:
-        dijkstra(g, root)
-    out = g.__dict__["out"]
+    out = out_edges(g)
     dist, sigma = np.full(g.n, np.inf), np.zeros(g.n)
     dist[root], sigma[root] = 0.0, 1.0
     before: list[list[int]] = [[] for _ in range(g.n)]

@@ -137,6 +137,12 @@ class RspModel:
             transform = transforms.inverse(self.landscape.cost_name)
         return transforms.array_form(transform)
 
+    def _cell(self, row: int, col: int) -> int:
+        nrows, ncols = self.landscape.size
+        if not (1 <= row <= nrows and 1 <= col <= ncols):
+            raise ValueError(f"({row}, {col}) is outside the grid")
+        return (col - 1) * nrows + row
+
     # --- flow --------------------------------------------------------------------------------
 
     def _flow(self, edge: bool, connectivity: str | None, transform, diagonal: float | None) -> DataFrame:
@@ -211,7 +217,7 @@ class RspModel:
 
     def connected_habitat_degraded(self, row: int, col: int, transform=None, diagonal: float | None = None, avalue: float = SMALLEST, qs_value: float = 0.0, qt_value: float = 0.0) -> DataFrame:
         """The habitat canvas after one cell is degraded: its edges nearly closed, its qualities replaced."""
-        cell = (col - 1) * self.landscape.nrows + row
+        cell = self._cell(row, col)
         if cell not in self.graph.cell[self.graph.targets]:
             raise ValueError(f"({row}, {col}) is no target")
         found = self._degraded([cell], transform, diagonal, avalue, qs_value, qt_value)
@@ -242,24 +248,24 @@ class RspModel:
 
         return dealt(self.spark, self.graph, len(self.graph.targets), BLOCK, work, "value double").agg(F.sum("value").alias("value"))
 
-    def least_cost_kl(self) -> DataFrame:
+    def least_cost_kl(self, ties: str = "first") -> DataFrame:
         """node, target, value of the divergence of the least-cost path from the reference walk."""
-        return pairs(self.landscape, kernels.least_cost_kl)
+        return pairs(self.landscape, lambda g, t: kernels.least_cost_kl(g, t, ties))
 
-    def least_cost_kl_divergence(self, row: int, col: int) -> DataFrame:
+    def least_cost_kl_divergence(self, row: int, col: int, ties: str = "first") -> DataFrame:
         """The canvas of that divergence to one cell."""
-        cell = (col - 1) * self.landscape.nrows + row
+        cell = self._cell(row, col)
         g = self.landscape.arrays
         at = int(np.searchsorted(g.cell, cell))
         if at == g.n or g.cell[at] != cell:
             raise ValueError(f"({row}, {col}) is not an active cell")
-        found = dealt(self.spark, g, 1, 1, lambda g, _: _long(g, np.array([at]), kernels.least_cost_kl(g, at)[:, None]), PAIRS)
+        found = dealt(self.spark, g, 1, 1, lambda g, _: _long(g, np.array([at]), kernels.least_cost_kl(g, at, ties)[:, None]), PAIRS)
         return self.landscape.canvas(found.select(F.col("node").alias("cell"), "value"))
 
-    def mean_lc_kl_divergence(self) -> DataFrame:
+    def mean_lc_kl_divergence(self, ties: str = "first") -> DataFrame:
         """One row: the quality-weighted sum over sources and targets."""
         def work(g: kernels.Graph, at: np.ndarray) -> pa.Table:
-            return pa.table({"value": [float(sum(g.qt[t] * np.nansum(g.qs * kernels.least_cost_kl(g, t)) for t in g.targets[at]))]})
+            return pa.table({"value": [float(sum(g.qt[t] * np.nansum(g.qs * kernels.least_cost_kl(g, t, ties)) for t in g.targets[at]))]})
 
         g = self.landscape.arrays
         return dealt(self.spark, g, len(g.targets), 8, work, "value double").agg(F.sum("value").alias("value"))

@@ -433,23 +433,23 @@ def mean_kl_divergence(spark, sf_dir):
 
 @query
 def lc_kl_divergence(spark, sf_dir):
-    return rounded(model(spark, sf_dir).least_cost_kl())
+    return rounded(model(spark, sf_dir).least_cost_kl(ties="least"))
 
 
 @query
 def lc_kl_divergence_cell(spark, sf_dir):
-    return rounded(model(spark, sf_dir).least_cost_kl_divergence(16, 6))
+    return rounded(model(spark, sf_dir).least_cost_kl_divergence(16, 6, ties="least"))
 
 
 @query
 def mean_lc_kl_divergence(spark, sf_dir):
-    return rounded(model(spark, sf_dir).mean_lc_kl_divergence())
+    return rounded(model(spark, sf_dir).mean_lc_kl_divergence(ties="least"))
 
 
 @query
 def kl_percentage(spark, sf_dir):
     m = model(spark, sf_dir)
-    both = m.mean_kl_divergence().withColumnRenamed("value", "kl").crossJoin(m.mean_lc_kl_divergence().withColumnRenamed("value", "most"))  # one row each
+    both = m.mean_kl_divergence().withColumnRenamed("value", "kl").crossJoin(m.mean_lc_kl_divergence(ties="least").withColumnRenamed("value", "most"))  # one row each
     return rounded(both.select(rsp.kl_percentage(F.col("kl"), F.col("most")).alias("value")))
 
 
