@@ -241,10 +241,12 @@ class Lattices:
                 p[x:y] = np.exp(logp[x:y])
         del weight
         cum = np.ones(size_ + more)
-        running = np.concatenate([[0.0], np.cumsum(p)])
+        at = begin
+        cum[at] = p[at]
+        for k in range(1, int(count.max(initial=0))):  # sums within each node alone, so that no other word matters
+            at = at[have[source[at]] > k]
+            cum[at + k] = cum[at + k - 1] + p[at + k]
         del p
-        np.subtract(running[1:], np.repeat(running[begin], count), out=cum[:size_])
-        del running
         cum[begin + count - 1] = 1.0
         logp[begin[count == 1]] = 0.0
         to = np.full(size_ + more, -1, np.int32)
@@ -401,7 +403,7 @@ def sampled(texts: list[str], keys: np.ndarray, model: Model, prefixes: Prefixes
             head = heads[d]
             shift = len(head[0])
             own, of = (np.concatenate([head[0], edge[lo:hi]]), np.concatenate([head[1], words[lo:hi]])) if shift else (edge[lo:hi], words[lo:hi])
-            row.samples.append((own, of, float(value[d]), float(total[hi] - total[lo] + before[d])))
+            row.samples.append((own, of, float(value[d]), float(t.logp[own].sum())))
             for x in best:
                 if (j := x[n]) >= 0:
                     at = int(some[j])

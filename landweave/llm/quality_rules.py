@@ -32,7 +32,7 @@ MAX_TARGET = 20_000
 #: documents lie above -0.1, bad ones below -0.5.
 THRESHOLD = -0.3
 #: Share of the raw distribution in the target's, at least, and the n-grams that it counts as besides.
-FLOOR, PRIOR = 0.02, 2000.0
+FLOOR, PRIOR = 0.02, 50_000.0
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = (
