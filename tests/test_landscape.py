@@ -241,21 +241,27 @@ def test_solver_blocks_equal_dense():
 
 
 def test_distributed_solvers_equal_kernels(spark):
-    r = made(spark, np.random.default_rng(8).random((4, 5)) / 2 + 0.1)
-    land = Landscape.build(spark, 4, 5, raster.map_values(raster.raster_graph(r, 4, 5), lambda v: v * 0.8))
+    r = made(spark, np.random.default_rng(8).random((3, 3)) / 2 + 0.1)
+    land = Landscape.build(spark, 3, 3, raster.map_values(raster.raster_graph(r, 3, 3), lambda v: v * 0.8))
+    land.edges, land.nodes = written(land.edges, "e"), written(land.nodes, "n")
     model = RspModel(land, 1.0)
     t = land.targets().where("cell <= 3").select(F.col("cell").alias("target"))
     z = square(graph.neumann(model.walk, t, 64))
     assert np.allclose(z, square(model.fundamental_matrix())[:, :3], rtol=1e-9)
     assert np.allclose(square(graph.least_cost(land.edges, t)), square(land.least_cost_distance())[:, :3])
-    cut = land.edges.where("(src + dst) % 3 <> 0")
-    assert {tuple(x) for x in graph.strong_components(cut).collect()} == {tuple(x) for x in graph.strong_components_by_colour(cut).collect()}
+    cut = edges(spark, {(1, 2): 1, (2, 1): 1, (2, 3): 1, (3, 4): 1, (4, 3): 1, (5, 1): 1})
+    assert {tuple(x) for x in graph.strong_components(cut).collect()} == {tuple(x) for x in graph.strong_components_by_colour(cut).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+
+
+def test_power_iteration_equals_one_matrix(spark):
+    r = made(spark, np.random.default_rng(9).random((4, 4)) / 2 + 0.1)
+    land = Landscape.build(spark, 4, 4, raster.map_values(raster.raster_graph(r, 4, 4), lambda v: v * 0.8))
     few = RspModel(land.with_landmarks(2), 1.0)
     left, value, right = few.eigmax()
-    l2, v2, r2 = few._eigmax_by_power("expected_cost", None, None, 1e-14)
-    assert v2 == pytest.approx(value)
-    assert np.allclose(right.orderBy("cell").toPandas()["value"], r2.orderBy("cell").toPandas()["value"])
-    assert np.allclose(left.orderBy("cell").toPandas()["value"], l2.orderBy("cell").toPandas()["value"], atol=1e-6)
+    l2, v2, r2 = few._eigmax_by_power("expected_cost", None, None, 1e-6)
+    assert v2 == pytest.approx(value, rel=1e-4)
+    assert np.allclose(right.orderBy("cell").toPandas()["value"], r2.orderBy("cell").toPandas()["value"], atol=1e-3)
+    assert np.allclose(left.orderBy("cell").toPandas()["value"], l2.orderBy("cell").toPandas()["value"], atol=1e-2)
 
 
 def test_tiny_weights_stay_finite(spark):
