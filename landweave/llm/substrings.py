@@ -6,7 +6,7 @@ some offset. The steps:
 
 1. Index and probe. Hashes of all blocks (with the group of their document) and of every rolling window
    of 18 words (the probes) are dealt by hash. A block that occurs anywhere else is an anchor.
-2. Extend. Around each anchor all windows of 35 words that hold it are candidates. Their hashes (64 bits
+2. Extend. Around each anchor all windows of 35 words that hold it are candidates. Their hashes (56 bits
    and 16 more of a second polynomial, apart from those that deal them) are dealt likewise; those that
    occur twice are repeats, and neighbouring ones are the pieces of one maximal repeat.
 3. Remove every word that a repeated window covers.
@@ -125,7 +125,7 @@ def removed(docs: DataFrame) -> DataFrame:
     keyed = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = WordHashes(1 << 19)
         for b in slices(batches, "text", 4 << 20):
             t = Texts(b.column("text").to_pylist(), memo)
             at, keys = t.anchors(ranges, False)
@@ -183,7 +183,7 @@ def removed(docs: DataFrame) -> DataFrame:
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"range": [], "grp": [], "entries": [], "more": [], "twice": []}
         if left.num_rows:
-            t = Texts(left.column("text").to_pylist(), WordHashes())
+            t = Texts(left.column("text").to_pylist(), WordHashes(1 << 19))
             _, rng, a, b = t.candidates(anchored(t, right, ranges), ranges)
             first, _, times = listed(rng, a, b)
             cuts = np.searchsorted(rng[first], np.arange(ranges + 1, dtype=np.uint64))
@@ -209,7 +209,7 @@ def removed(docs: DataFrame) -> DataFrame:
         return pa.table({"grp": pa.array(col["grp"], pa.int32()), "kind": pa.array([2] * len(bits), pa.int32()), "range": pa.array(col["range"], pa.int32()), "body": pa.array(bits, pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = Texts(left.column("text").to_pylist(), WordHashes())
+        t = Texts(left.column("text").to_pylist(), WordHashes(1 << 19))
         starts, rng, a, b = t.candidates(anchored(t, right, ranges), ranges)
         first, entry, _ = listed(rng, a, b)
         again = np.zeros(len(first), bool)
