@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import MASK, joined, lean, slices, utf8
+from landweave.llm.common import MASK, joined, lean, slices, sums, utf8
 
 K = 2
 SPACE = "▁"
@@ -67,6 +67,9 @@ class Model:
             self.raw[k] = p.replace(SPACE, " ").encode()
         for b, k in self.bytes.items():
             self.raw[k] = bytes([b])
+        self.raw_size = np.fromiter(map(len, self.raw), np.int32, len(pieces))
+        self.raw_start = (np.cumsum(self.raw_size) - self.raw_size).astype(np.int32)
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,6 +141,19 @@ class Prefixes:
         return out
 
 
+def spell_alike(model: Model, ids: np.ndarray, sizes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Whether each row's ids (``sizes`` of them, one row after another) spell its text, all rows at once."""
+    n = model.raw_size[ids]
+    total = sums(n, sizes)
+    want = [b" " + t if t else b"" for t in texts]
+    same = total == np.fromiter(map(len, want), np.int64, len(want))
+    if not same.all():  # rows of other lengths would shift the rest
+        ends = np.cumsum(sizes)
+        return np.array([b"".join(map(model.raw.__getitem__, ids[e - k : e].tolist())) == w for e, k, w in zip(ends, sizes, want, strict=True)], bool)
+    at = np.repeat(model.raw_start[ids] - (np.cumsum(n) - n).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)
+    return sums(model.raw_flat[at] != np.frombuffer(b"".join(want), np.uint8), total) == 0
+
+
 class Numbers(dict):
     """word -> its number, in the order of first sight."""
 
@@ -514,10 +530,11 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = K, seed: str = "pi
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             all_ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(all_ids))
-            same = [decode(shared.value, f[2].tolist()) == texts[f[0]].replace(SPACE, " ") for f in flat]
+            raw = [t.replace(SPACE, " ").encode() for t in texts]
+            same = spell_alike(shared.value, all_ids, sizes, [raw[f[0]] for f in flat])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array([f[0] for f in flat], pa.int64())), pa.array([f[1] for f in flat], pa.int32()), pa.array(sizes), lists,
-                 pa.array([f[3] for f in flat], pa.float64()), pa.array([f[4] for f in flat], pa.float64()), pa.array(same, pa.bool_())],
+                 pa.array([f[3] for f in flat], pa.float64()), pa.array([f[4] for f in flat], pa.float64()), pa.array(same)],
                 ["doc_id", "sample", "n_pieces", "ids", "log_prob", "log_inclusion", "round_trip"],
             )
 

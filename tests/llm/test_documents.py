@@ -264,6 +264,11 @@ def test_long_words_and_bytes(model, monkeypatch):
     for t, row in zip(texts_, got, strict=True):
         assert len(row) == (1 if t[0] == "\U0001f600" else 2)  # it has one segmentation only
         assert all(pieces.decode(m, i.tolist()) == t for i, _, _ in row)
+    ids = [row[0][0] for row in got]
+    flat, sizes, raw = np.concatenate(ids), np.array([len(i) for i in ids]), [t.encode() for t in texts_]
+    assert pieces.spell_alike(m, flat, sizes, raw).all()
+    assert pieces.spell_alike(m, flat, sizes, [raw[0], raw[1][:-1] + b"?", *raw[2:]]).tolist() == [True, False, True, True]
+    assert pieces.spell_alike(m, flat, sizes, [raw[0], raw[1] + b"?", *raw[2:]]).tolist() == [True, False, True, True]
     monkeypatch.setattr(pieces, "NEAR", 3)  # most levels by logarithms
     again = pieces.sampled(texts_, keys, m, prefixes, 2)
     assert all((a[0] == b[0]).all() and abs(a[1] - b[1]) < 1e-8 for x, y in zip(got, again, strict=True) for a, b in zip(x, y, strict=True))
