@@ -14,7 +14,7 @@ from landweave.operators import graph, kernels, raster, rsp
 from landweave.operators.landscape import Landscape, missing_affinities
 from landweave.operators.rsp import RspModel
 from landweave.plans import tables
-from landweave.plans.stages import shared_dir
+from landweave.plans.stages import shared_dir, written
 from landweave.plans.tables import ACTIVITY, PART, SHIP
 from landweave.sources import ascgrid
 
@@ -231,7 +231,7 @@ def ascgrid_roundtrip(spark, sf_dir):
 
 def strong_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade links of more than an even share."""
-    return tables.trade_edges(spark, sf_dir).where("value > 0.06 and src <> dst")
+    return written(tables.trade_edges(spark, sf_dir).where("value > 0.06 and src <> dst"), "trade")
 
 
 @query

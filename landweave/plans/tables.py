@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landweave.operators import raster
 from landweave.operators.landscape import Landscape
+from landweave.plans.stages import written
 
 #: (rows, columns) of the rasters.
 SHIP, ACTIVITY, PART = (31, 12), (24, 20), (50, 25)
@@ -47,7 +48,7 @@ def value_of(cells: DataFrame, column: str) -> DataFrame:
 
 def ship_landscape(spark: SparkSession, sf_dir: str, npix: int | None = 3, costs="minus_log") -> Landscape:
     """The ship calendar as a landscape, with coarse-grained landmarks unless ``npix`` is None."""
-    cells = ship_cells(spark, sf_dir)
+    cells = written(ship_cells(spark, sf_dir), "cells")  # building takes several jobs: the large table is read once
     quality = value_of(cells, "quality")
     edges = raster.raster_graph(value_of(cells, "affinity"), *SHIP)
     marks = {} if npix is None else {"target_qualities": raster.coarse_graining(quality, *SHIP, npix), "landmarks": True}
