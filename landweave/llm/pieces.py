@@ -15,7 +15,7 @@ best unopened set is the threshold ``kappa`` of the inclusion score 1 - exp(-exp
   the format itself uses for a space.
 * An empty or null text has the one empty segmentation. Repeated rows give repeated samples. A null key
   is a key of its own. Other columns aren't read.
-* Texts are handled in pieces of 1.5 MB, a single longer text at once; the lattice of each distinct word of a
+* Texts are handled in pieces of 2.5 MB, a single longer text at once; the lattice of each distinct word of a
   piece is built once.
 """
 
@@ -521,7 +521,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = K, seed: str = "pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = Prefixes(shared.value)
-        for b in slices(batches, "text", 3 << 19):
+        for b in slices(batches, "text", 5 << 19):
             texts = [t.decode("utf-8", "replace") for t in b.column("text").to_pylist()]
             keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             got = sampled(texts, keys, shared.value, prefixes, k)
