@@ -253,6 +253,23 @@ def test_distributed_solvers_equal_kernels(spark):
     assert {tuple(x) for x in graph.strong_components(cut).collect()} == {tuple(x) for x in graph.strong_components_by_colour(cut).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
 
 
+def test_neumann_has_every_node_and_settles(spark):
+    def walk(pairs, theta):
+        d = [(i, j, 0.5**theta / len(near)) for i, near in pairs.items() for j in near]
+        return written(spark.createDataFrame(d, "src long, dst long, w double"), "w"), np.linalg.inv(np.eye(len(pairs)) - sum(v * np.outer(np.arange(len(pairs)) == i, np.arange(len(pairs)) == j) for i, j, v in d))
+
+    corner = spark.createDataFrame([(0,)], "target long")
+    corridor = {i: [j for j in (i - 1, i + 1) if 0 <= j < 140] for i in range(140)}
+    block = {5 * r + c: [5 * a + b for a in range(5) for b in range(5) if abs(a - r) + abs(b - c) == 1] for r in range(5) for c in range(5)}
+    for pairs, theta in ((corridor, 1.0), (corridor, 0.01), (block, 0.01)):
+        w, want = walk(pairs, theta)
+        got = graph.neumann(w, corner).orderBy("node").toPandas()
+        assert list(got["node"]) == list(range(len(pairs)))
+        assert np.allclose(got["value"], want[:, 0], rtol=1e-9, atol=0)
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.neumann(w, corner, 128)
+
+
 def test_power_iteration_equals_one_matrix(spark):
     r = made(spark, np.random.default_rng(9).random((4, 4)) / 2 + 0.1)
     land = Landscape.build(spark, 4, 4, raster.map_values(raster.raster_graph(r, 4, 4), lambda v: v * 0.8))
