@@ -33,6 +33,26 @@ def query(f: Query) -> Query:
     return f
 
 
+def landmarks(npix: int) -> Callable:
+    """A query (spark, sf_dir, npix) whose SQL is of landmarks under its own name, and with all active cells as targets as ``_all``."""
+
+    def register(f: Callable) -> Callable:
+        _REGISTRY[f.__name__], _REGISTRY[f"{f.__name__}_all"] = partial(f, npix=npix), partial(f, npix=None)
+        return f
+
+    return register
+
+
+def everywhere(npix: int) -> Callable:
+    """One without SQL: all active cells are targets under its own name, landmarks as ``_landmarks``."""
+
+    def register(f: Callable) -> Callable:
+        _REGISTRY[f.__name__], _REGISTRY[f"{f.__name__}_landmarks"] = partial(f, npix=None), partial(f, npix=npix)
+        return f
+
+    return register
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names or ("value",)})
 
@@ -208,9 +228,9 @@ def finite_total(spark, sf_dir):
     return rounded(raster.finite_total(tables.value_of(tables.ship_cells(spark, sf_dir), "quality")))
 
 
-@query
-def euclid_distance(spark, sf_dir):
-    land = tables.ship_landscape(spark, sf_dir, NPIX)
+@landmarks(NPIX)
+def euclid_distance(spark, sf_dir, npix):
+    land = tables.ship_landscape(spark, sf_dir, npix)
     return rounded(raster.euclidean(land.nodes, land.targets()))
 
 
@@ -260,14 +280,14 @@ def is_strongly_connected(spark, sf_dir):
     return spark.createDataFrame([(graph.is_strongly_connected(edges), graph.is_strongly_connected(tables.ship_landscape(spark, sf_dir, None).edges))], "trade boolean, ship boolean")
 
 
-@query
-def least_cost_distance(spark, sf_dir):
-    return rounded(tables.ship_landscape(spark, sf_dir).least_cost_distance())
+@landmarks(NPIX)
+def least_cost_distance(spark, sf_dir, npix):
+    return rounded(tables.ship_landscape(spark, sf_dir, npix).least_cost_distance())
 
 
-@query
-def least_cost_distance_distributed(spark, sf_dir):
-    land = tables.ship_landscape(spark, sf_dir, 5)
+@landmarks(5)
+def least_cost_distance_distributed(spark, sf_dir, npix):
+    land = tables.ship_landscape(spark, sf_dir, npix)
     return rounded(graph.least_cost(land.edges, land.targets().select(F.col("cell").alias("target"))))
 
 
@@ -296,144 +316,145 @@ def w_matrix(spark, sf_dir):
     return rounded(model(spark, sf_dir).walk.select("src", "dst", F.col("w").alias("value")), digits=9)
 
 
-@query
-def fundamental_matrix(spark, sf_dir):
-    return log_rounded(model(spark, sf_dir).fundamental_matrix())
+@landmarks(NPIX)
+def fundamental_matrix(spark, sf_dir, npix):
+    return log_rounded(model(spark, sf_dir, npix).fundamental_matrix())
 
 
-@query
-def fundamental_matrix_distributed(spark, sf_dir):
-    """The same by joins and sums alone, on coarser landmarks."""
-    m = model(spark, sf_dir, 5)
+@landmarks(5)
+def fundamental_matrix_distributed(spark, sf_dir, npix):
+    """The same by joins and sums alone."""
+    m = model(spark, sf_dir, npix)
     return log_rounded(graph.neumann(m.walk, m.landscape.targets().select(F.col("cell").alias("target"))))
 
 
-@query
-def survival_probability(spark, sf_dir):
-    return log_rounded(model(spark, sf_dir).survival_probability())
+@landmarks(NPIX)
+def survival_probability(spark, sf_dir, npix):
+    return log_rounded(model(spark, sf_dir, npix).survival_probability())
 
 
-@query
-def free_energy_distance(spark, sf_dir):
-    return rounded(model(spark, sf_dir).free_energy_distance())
+@landmarks(NPIX)
+def free_energy_distance(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).free_energy_distance())
 
 
-@query
-def power_mean_proximity(spark, sf_dir):
-    return log_rounded(model(spark, sf_dir, theta=2.0).power_mean_proximity())
+@landmarks(NPIX)
+def power_mean_proximity(spark, sf_dir, npix):
+    return log_rounded(model(spark, sf_dir, npix, theta=2.0).power_mean_proximity())
 
 
-@query
-def expected_cost(spark, sf_dir):
-    return rounded(model(spark, sf_dir).expected_cost())
+@landmarks(NPIX)
+def expected_cost(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).expected_cost())
 
 
-def _swept(name: str, log: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = getattr(tables.ship_landscape(spark, sf_dir, 5), name)(theta=THETA, tol=1e-13)
+def _swept(name: str, log: bool, npix: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = getattr(tables.ship_landscape(spark, sf_dir, npix), name)(theta=THETA, tol=1e-13)
     return found.withColumn("value", F.round(F.ln("value") if log else F.col("value"), 4))
 
 
-_REGISTRY |= {
-    "bf_expected_cost": partial(_swept, "expected_cost", False), "bf_free_energy": partial(_swept, "free_energy_distance", False),
-    "bf_survival": partial(_swept, "survival_probability", True), "bf_power_mean": partial(_swept, "power_mean_proximity", True),
-}
+_SWEPT = {"bf_expected_cost": ("expected_cost", False), "bf_free_energy": ("free_energy_distance", False), "bf_survival": ("survival_probability", True), "bf_power_mean": ("power_mean_proximity", True)}
+for _b, _args in _SWEPT.items():
+    _REGISTRY[_b], _REGISTRY[f"{_b}_all"] = partial(_swept, *_args, 5), partial(_swept, *_args, None)
 
 
-@query
-def bf_expected_cost_approx(spark, sf_dir):
-    return tables.ship_landscape(spark, sf_dir, 5).expected_cost(theta=THETA, approx=True)
+@everywhere(5)
+def bf_expected_cost_approx(spark, sf_dir, npix):
+    return tables.ship_landscape(spark, sf_dir, npix).expected_cost(theta=THETA, approx=True)
 
 
-@query
-def bf_free_energy_approx(spark, sf_dir):
-    return tables.ship_landscape(spark, sf_dir, 5).free_energy_distance(theta=THETA, approx=True)
+@everywhere(5)
+def bf_free_energy_approx(spark, sf_dir, npix):
+    return tables.ship_landscape(spark, sf_dir, npix).free_energy_distance(theta=THETA, approx=True)
 
 
 # --- flow --------------------------------------------------------------------------------------
 
 
-@query
-def betweenness_q(spark, sf_dir):
-    return rounded(model(spark, sf_dir).betweenness_qweighted())
+@landmarks(NPIX)
+def betweenness_q(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).betweenness_qweighted())
 
 
-@query
-def betweenness_k(spark, sf_dir):
-    return rounded(model(spark, sf_dir).betweenness_kweighted())
+@landmarks(NPIX)
+def betweenness_k(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).betweenness_kweighted())
 
 
-@query
-def betweenness_k_survival(spark, sf_dir):
-    return rounded(model(spark, sf_dir).betweenness_kweighted("survival_probability", diagonal=0.0))
+@landmarks(NPIX)
+def betweenness_k_survival(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).betweenness_kweighted("survival_probability", diagonal=0.0))
 
 
-@query
-def edge_betweenness_q(spark, sf_dir):
-    return rounded(model(spark, sf_dir).edge_betweenness_qweighted())
+@landmarks(NPIX)
+def edge_betweenness_q(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).edge_betweenness_qweighted())
 
 
-@query
-def edge_betweenness_k(spark, sf_dir):
-    return rounded(model(spark, sf_dir).edge_betweenness_kweighted())
+@landmarks(NPIX)
+def edge_betweenness_k(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).edge_betweenness_kweighted())
 
 
 # --- habitat and what follows ------------------------------------------------------------------
 
 
-def _habitat(name: str, diagonal: float | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(model(spark, sf_dir).connected_habitat(name, diagonal=diagonal))
+def _habitat(name: str, diagonal: float | None, npix: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(model(spark, sf_dir, npix).connected_habitat(name, diagonal=diagonal))
 
 
-_REGISTRY |= {
-    "connected_habitat_expected_cost": partial(_habitat, "expected_cost", None), "connected_habitat_free_energy": partial(_habitat, "free_energy_distance", None),
-    "connected_habitat_survival": partial(_habitat, "survival_probability", None), "connected_habitat_power_mean": partial(_habitat, "power_mean_proximity", None),
-    "connected_habitat_least_cost": partial(_habitat, "least_cost_distance", None), "connected_habitat_diagonal": partial(_habitat, "survival_probability", 0.0),
+_HABITAT = {
+    "connected_habitat_expected_cost": ("expected_cost", None), "connected_habitat_free_energy": ("free_energy_distance", None),
+    "connected_habitat_survival": ("survival_probability", None), "connected_habitat_power_mean": ("power_mean_proximity", None),
+    "connected_habitat_least_cost": ("least_cost_distance", None), "connected_habitat_diagonal": ("survival_probability", 0.0),
 }
+for _h, _args in _HABITAT.items():
+    _REGISTRY[_h], _REGISTRY[f"{_h}_all"] = partial(_habitat, *_args, NPIX), partial(_habitat, *_args, None)
 
 
-@query
-def habitat_landscape_path(spark, sf_dir):
+@landmarks(5)
+def habitat_landscape_path(spark, sf_dir, npix):
     """The habitat without a fitted model."""
-    return tables.ship_landscape(spark, sf_dir, 5).connected_habitat(theta=THETA).withColumn("value", F.round("value", 4))
+    return tables.ship_landscape(spark, sf_dir, npix).connected_habitat(theta=THETA).withColumn("value", F.round("value", 4))
 
 
-@query
-def habitat_from_z(spark, sf_dir):
-    m = model(spark, sf_dir)
+@landmarks(NPIX)
+def habitat_from_z(spark, sf_dir, npix):
+    m = model(spark, sf_dir, npix)
     return rounded(m.habitat_of(m.fundamental_matrix()))
 
 
-@query
-def capped_survival(spark, sf_dir):
-    return rounded(model(spark, sf_dir).fundamental_matrix().withColumn("value", transforms.capped(F.col("value"))))
+@landmarks(NPIX)
+def capped_survival(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).fundamental_matrix().withColumn("value", transforms.capped(F.col("value"))))
 
 
-@query
-def prob_connectivity(spark, sf_dir):
-    land = tables.ship_landscape(spark, sf_dir)
+@landmarks(NPIX)
+def prob_connectivity(spark, sf_dir, npix):
+    land = tables.ship_landscape(spark, sf_dir, npix)
     near = lambda x: transforms.zero_preserving(x, lambda d: transforms.exp_scaled(d, 2.5))
     return rounded(land.habitat_of(land.least_cost_distance().withColumn("value", near(F.col("value")))))
 
 
-@query
-def inverse_threshold_proximity(spark, sf_dir):
-    found = tables.ship_landscape(spark, sf_dir).least_cost_distance()
+@landmarks(NPIX)
+def inverse_threshold_proximity(spark, sf_dir, npix):
+    found = tables.ship_landscape(spark, sf_dir, npix).least_cost_distance()
     return rounded(found.withColumn("value", transforms.inverse_threshold(F.col("value"), 2.0)))
 
 
-@query
-def quality_scaled(spark, sf_dir):
-    return rounded(model(spark, sf_dir).quality_scaled(connectivity="survival_probability"), digits=8)
+@landmarks(NPIX)
+def quality_scaled(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).quality_scaled(connectivity="survival_probability"), digits=8)
 
 
-@query
-def mean_kl_divergence(spark, sf_dir):
-    return rounded(model(spark, sf_dir).mean_kl_divergence())
+@landmarks(NPIX)
+def mean_kl_divergence(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).mean_kl_divergence())
 
 
-@query
-def lc_kl_divergence(spark, sf_dir):
-    return rounded(model(spark, sf_dir).least_cost_kl(ties="least"))
+@landmarks(NPIX)
+def lc_kl_divergence(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).least_cost_kl(ties="least"))
 
 
 @query
@@ -441,52 +462,51 @@ def lc_kl_divergence_cell(spark, sf_dir):
     return rounded(model(spark, sf_dir).least_cost_kl_divergence(16, 6, ties="least"))
 
 
-@query
-def mean_lc_kl_divergence(spark, sf_dir):
-    return rounded(model(spark, sf_dir).mean_lc_kl_divergence(ties="least"))
+@landmarks(NPIX)
+def mean_lc_kl_divergence(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).mean_lc_kl_divergence(ties="least"))
 
 
-@query
-def kl_percentage(spark, sf_dir):
-    m = model(spark, sf_dir)
+@landmarks(NPIX)
+def kl_percentage(spark, sf_dir, npix):
+    m = model(spark, sf_dir, npix)
     both = m.mean_kl_divergence().withColumnRenamed("value", "kl").crossJoin(m.mean_lc_kl_divergence(ties="least").withColumnRenamed("value", "most"))  # one row each
     return rounded(both.select(rsp.kl_percentage(F.col("kl"), F.col("most")).alias("value")))
 
 
-@query
-def habitat_degraded_cell(spark, sf_dir):
-    return rounded(model(spark, sf_dir).connected_habitat_degraded(14, 5))
+@landmarks(NPIX)
+def habitat_degraded_cell(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).connected_habitat_degraded(14, 5))
 
 
-@query
-def criticality(spark, sf_dir):
-    """Of the landmarks of coarse-graining by 5."""
-    return rounded(model(spark, sf_dir, 5).criticality())
+@everywhere(5)
+def criticality(spark, sf_dir, npix):
+    return rounded(model(spark, sf_dir, npix).criticality())
 
 
-@query
-def eigmax_value(spark, sf_dir):
-    return spark.createDataFrame([(model(spark, sf_dir).eigmax("survival_probability")[1],)], "value double").withColumn("value", F.round("value", 6))
+@landmarks(NPIX)
+def eigmax_value(spark, sf_dir, npix):
+    return spark.createDataFrame([(model(spark, sf_dir, npix).eigmax("survival_probability")[1],)], "value double").withColumn("value", F.round("value", 6))
 
 
-@query
-def eigmax_right(spark, sf_dir):
+@landmarks(NPIX)
+def eigmax_right(spark, sf_dir, npix):
     """The right vector, its largest entry 1."""
-    right = model(spark, sf_dir).eigmax("survival_probability")[2]
+    right = model(spark, sf_dir, npix).eigmax("survival_probability")[2]
     top = right.agg(F.max("value").alias("top"))  # one row
     return rounded(right.crossJoin(top).select("cell", (F.col("value") / F.col("top")).alias("value")))
 
 
-@query
-def eigmax_left(spark, sf_dir):
-    left = model(spark, sf_dir).eigmax("survival_probability")[0]
+@landmarks(NPIX)
+def eigmax_left(spark, sf_dir, npix):
+    left = model(spark, sf_dir, npix).eigmax("survival_probability")[0]
     top = left.agg(F.max("value").alias("top"))
     return rounded(left.crossJoin(top).select("cell", (F.col("value") / F.col("top")).alias("value")))
 
 
-@query
-def theta_sweep(spark, sf_dir):
-    return rounded(rsp.theta_sweep(tables.ship_landscape(spark, sf_dir), [0.5, 1.0, 2.0]))
+@landmarks(NPIX)
+def theta_sweep(spark, sf_dir, npix):
+    return rounded(rsp.theta_sweep(tables.ship_landscape(spark, sf_dir, npix), [0.5, 1.0, 2.0]))
 
 
 @query
@@ -494,9 +514,9 @@ def coarseness_corr(spark, sf_dir):
     return rounded(rsp.coarseness_sweep(tables.ship_landscape(spark, sf_dir, None), THETA, [1, 3], connectivity="survival_probability"), "ratio", "correlation")
 
 
-@query
-def theta_calibration(spark, sf_dir):
-    land = tables.ship_landscape(spark, sf_dir, 5)
+@everywhere(5)
+def theta_calibration(spark, sf_dir, npix):
+    land = tables.ship_landscape(spark, sf_dir, npix)
     theta, kl = rsp.calibrate(land, 1.0)
     return spark.createDataFrame([(theta, kl)], "theta double, kl double")
 
