@@ -126,7 +126,7 @@ def shingles(text):
 
 
 def groups(all_):
-    sets = [shingles(t) for _, t in all_]
+    sets = [shingles(t or "") for _, t in all_]
     parent = list(range(len(all_)))
 
     def find(k):
@@ -153,19 +153,34 @@ def test_near_duplicates(odd, made, clashing):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_duplicates_in_one_large_group(spark):
-    """Many texts near one another, in several cells, with links that only the last step finds."""
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    """Many texts near one another, keys and cells in many parts, ids that repeat or are extreme."""
+    for name, value in (("HOT", 16), ("CHUNK", 16), ("PIECE", 40), ("STAR", 16), ("CELL_BYTES", 8000)):
+        monkeypatch.setattr(near_duplicates, name, value)
     rng = random.Random(4)
     head = [str(rng.random()) for _ in range(60)]
     data = []
-    for k in range(700):
+    for k in range(250):
         ws = list(head)
         for _ in range(rng.randint(0, 4)):
             ws[rng.randrange(60)] = str(rng.random())
         data.append((k, " ".join(ws)))
-    docs = spark.createDataFrame(data, "doc_id long, text string")
+    data += [(1000 + k, data[7][1]) for k in range(60)] + [(-(1 << 63), data[9][1]), ((1 << 63) - 1, "last of all and alone here")]
+    one, two, three = ([str(rng.random()) for _ in range(40)] for _ in range(3))
+    data += [(2001, " ".join(one)), (2001, " ".join(two)), (2002, " ".join(one[1:])), (2003, " ".join(two[1:])), (2001, ""), (2002, None)]
+    data += [(None, " ".join(three[1:])), (None, " ".join(three[1:])), (2005, " ".join(three)), (2004, " ".join(three[2:])), (None, " ".join(head[:30])), (None, " ".join(head[:30]))]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(data)], "doc_id long, text string, near_a int").repartition(5)
     got = rows(near_duplicates.near_duplicates(docs))
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == groups(data)
+    assert {r["component_id"] for r in got if r["doc_id"] in (2001, 2002, 2003)} == {2001}
+    kept = rows(near_duplicates.one_of_each(docs))
+    # texts alone decide: both texts of one id stay, an id comes before none, texts without words all stay
+    best = {}
+    for k, n, c in groups([(k, t) for k, (_, t) in enumerate(data)]):
+        d, t = data[k]
+        best[c if n else (k,)] = min(best.get(c if n else (k,), (True, 0, "")), (d is None, d or 0, t))
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((None if no else d, t) for no, d, t in best.values())
+    assert {tuple(r.values()) for r in kept} <= {(*r, k) for k, r in enumerate(data)}
 
 
 def test_posterior_bound():
