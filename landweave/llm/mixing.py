@@ -6,12 +6,19 @@ a hash of seed and id gives a uniform number, and the distribution function is i
 number depends on nothing but the seed, the id and the rate. Documents are exploded by their count,
 and the copies are put into one global order by a second hash.
 
+A rate above ``PART`` is drawn as a sum: the document is first exploded into parts of equal rates of at
+most PART, each of which draws by a hash of its own (sums of Poisson numbers are Poisson). So the table of
+a source's distribution function stays short, and a huge rate makes many rows but no long array.
+
 Only DataFrame functions are used. The table of rates has one row for each source.
 
 * ``weights`` maps sources to weights (a null source by None); sources that aren't named get weight 0.
   Without weights each source present weighs the same. Weights are scaled to sum 1.
-* Rows that repeat (same id) draw the same number of copies each. A null id is an id of its own.
-* An empty table gives an empty result. All columns are kept; clashes with the names used here are avoided.
+* Rows that repeat (same id) draw the same number of copies each. A null id is an id of its own. Ties of the
+  order's hash are broken by id, source and text; rows that also tie there are interchangeable.
+* Null, empty and very long texts are rows like others; texts move in one shuffle and are never compared but for ties.
+* An empty table gives an empty result. All columns are kept, whatever their names: they travel in a struct. The
+  columns that are added (mix_part, mix_copy, mix_place) get underscores at their end until they clash with none.
 """
 
 from __future__ import annotations
@@ -19,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landweave.llm.common import joined, partitions, unit_hash
-from landweave.llm.ranks import bucket_count, ranked
+from landweave.llm.common import free, joined, partitions, unit_hash
+from landweave.llm.ranks import bucket_count, hash_bucket, ranked
 
 SEED = "mix-1"
+#: The largest rate that is drawn at once.
+PART = 256
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int | None) -> DataFrame:
@@ -43,9 +52,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int |
 
 
 def thresholds(rate: str) -> Column:
-    """The Poisson distribution function at 0, 1, 2, ... up to where 1 - F is far below 2**-52."""
+    """The Poisson distribution function at 0, 1, 2, ... up to where 1 - F is far below 2**-52; for rates up to PART."""
     return F.expr(f"""
-        case when {rate} <= 0 then array(1.0d) else transform(
+        case when {rate} <= 0 then array(1.0d) else
             aggregate(
                 sequence(1, cast(ceil({rate} + 12 * sqrt({rate}) + 40) as int)),
                 named_struct('p', -{rate}, 'f', exp(-{rate}), 'all', array(exp(-{rate}))),
@@ -53,41 +62,46 @@ def thresholds(rate: str) -> Column:
                     'p', s.p + ln({rate}) - ln(cast(k as double)),
                     'f', s.f + exp(s.p + ln({rate}) - ln(cast(k as double))),
                     'all', array_append(s.all, s.f + exp(s.p + ln({rate}) - ln(cast(k as double)))))
-            ).all, x -> x) end""")
+            ).all end""")
 
 
 def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_copies, mix_copy (from 1) and mix_key, not yet shuffled."""
-    table = rates(docs, weights, total).withColumn("mix_cdf", thresholds("mix_rate"))
-    drawn = docs.withColumn("mix_u", unit_hash(seed, F.col("doc_id")))
-    counted = drawn.join(table, F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "inner").withColumn(
-        "mix_copies", F.expr("size(filter(mix_cdf, c -> c <= mix_u))")
-    )
-    return (
-        counted.where("mix_copies > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-        .withColumn("mix_key", F.md5(joined(seed + "-order", F.col("doc_id"), F.col("mix_copy"))))
-        .drop("mix_u", "mix_source", "mix_rate", "mix_cdf")
+    """Copies, not yet shuffled: row (a struct of all columns), doc_id and source as strings, part, copy (from 1), key."""
+    table = rates(docs, weights, total)
+    table = table.select("mix_source", F.greatest(F.ceil(F.col("mix_rate") / PART), F.lit(1)).cast("long").alias("parts"), "mix_rate")
+    table = table.select("mix_source", "parts", (F.col("mix_rate") / F.col("parts")).alias("rate")).withColumn("cdf", thresholds("rate"))
+    packed = docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    drawn = (
+        packed.join(table, packed["source"].eqNullSafe(table["mix_source"]), "inner")
+        .select("id", packed["source"], "row", "cdf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        .withColumn("u", unit_hash(seed, F.col("id"), F.col("part")))
+        .withColumn("copies", F.expr("size(filter(cdf, c -> c <= u))"))
+        .where("copies > 0")
     )
+    return drawn.select("id", "source", "row", "part", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).withColumn("key", F.md5(joined(seed + "-order", F.col("id"), F.col("part"), F.col("copy"))))
+
+
+def _named(rows: DataFrame, docs: DataFrame, extra: list[str]) -> DataFrame:
+    return rows.select("row.*", *[F.col(c).alias(free(docs, f"mix_{c}")) for c in extra])
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, mix_copies, mix_copy and mix_place, the row's place in the global order."""
-    rows = replicated(docs.select("doc_id", "source"), **options)
-    buckets = bucket_count(docs.count())
-    spread = rows.withColumn(
-        "mix_bucket", F.expr(f"cast(cast(conv(substring(mix_key, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296 as bigint)")
-    )
-    return ranked(spread, [], "mix_bucket", [F.col("mix_key"), F.col("doc_id"), F.col("source")], "mix_place").drop("mix_bucket", "mix_key")
+    """The replicated documents with all their columns, mix_part, mix_copy and mix_place, the row's place in the global order."""
+    rows = replicated(docs, **options)
+    # the number of copies is near the wanted total; it only sizes the buckets
+    wanted = options.get("total") or docs.count()
+    spread = rows.withColumn("bucket", hash_bucket("key", bucket_count(wanted)))
+    order = [F.col("key"), F.col("id"), F.col("source"), *([F.col("row.text")] if "text" in docs.columns else [])]
+    return _named(ranked(spread, [], "bucket", order, "place"), docs, ["part", "copy", "place"])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The replicated documents with all their columns, written in the global order.
 
-    The order is that of ``mix_key``; ranges of it are the output's partitions.
+    The order is that of the second hash; the output's partitions are equal ranges of it, in order.
     """
     rows = replicated(docs, **options)
     n = partitions(docs.sparkSession)
-    slot = F.expr(f"cast(cast(conv(substring(mix_key, 1, 8), 16, 10) as bigint) * {n} div 4294967296 as int)")
-    # hash keys are uniform, so equal ranges of them are equal shares: no sampling pass is needed
-    return rows.withColumn("mix_slot", slot).repartition(n, "mix_slot").sortWithinPartitions("mix_slot", "mix_key").select(*docs.columns)
+    # hashes are uniform, so equal ranges of them are equal shares: no sampling pass is needed
+    ranges = rows.withColumn("slot", hash_bucket("key", n).cast("int")).repartitionById(n, "slot")
+    return _named(ranges.sortWithinPartitions("key", "id", "source"), docs, [])

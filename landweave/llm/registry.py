@@ -87,21 +87,26 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL["op8_mixing"] = """
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rates AS (SELECT source, (SELECT count(*) FROM documents) * (1.0::DOUBLE / (SELECT count(*) FROM sizes)) / n AS rate FROM sizes),
+means AS (SELECT source, (SELECT count(*) FROM documents) * (1.0::DOUBLE / (SELECT count(*) FROM sizes)) / n AS mean FROM sizes),
+rates AS (SELECT source, greatest(ceil(mean / 256), 1)::BIGINT AS parts, mean / greatest(ceil(mean / 256), 1) AS rate FROM means),
 cdf AS (
   SELECT source, rate, 0 AS k, -rate AS p, exp(-rate) AS f FROM rates
   UNION ALL
   SELECT source, rate, k + 1, p + ln(rate) - ln((k + 1)::DOUBLE), f + exp(p + ln(rate) - ln((k + 1)::DOUBLE))
   FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
+), steps AS (
+  SELECT source, list(f ORDER BY k) AS fs FROM cdf GROUP BY source
+), parted AS (
+  SELECT d.*, unnest(range(parts)) AS part FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 ), drawn AS (
-  SELECT doc_id, source, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+  SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || part), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM parted
 ), counted AS (
-  SELECT d.doc_id, d.source, count(*) AS copies FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.f <= d.u GROUP BY ALL
+  SELECT d.*, len(list_filter(fs, lambda f: f <= u)) AS copies FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source
 ), copied AS (
   SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted
 )
-SELECT doc_id, source, copies::INT AS mix_copies, copy::INT AS mix_copy,
-  (row_number() OVER (ORDER BY md5('mix-1-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), doc_id, source) - 1)::BIGINT AS mix_place
+SELECT * EXCLUDE (part, u, copies, copy), part::BIGINT AS mix_part, copy::INT AS mix_copy,
+  (row_number() OVER (ORDER BY md5('mix-1-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || part || ':' || copy), doc_id, source, text) - 1)::BIGINT AS mix_place
 FROM copied
 """
 

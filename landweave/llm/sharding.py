@@ -11,6 +11,9 @@ over many tasks, and the global order is numbered in buckets of the fractional r
 * A null source is a source of its own; null ids and texts are allowed (a null text has no bytes).
 * Ties of the hash (repeated rows) are ordered by id, size and checksum; rows that also tie there are
   interchangeable. An empty table gives an empty result. Other columns are dropped by ``sharded``.
+* Very long texts are hashed where they are read; only their size and checksum are shuffled. Under the law ``rows``
+  equal texts are rows like others and may fall into different shards: keeping such a group together would break the
+  law as soon as it is larger than a shard.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.llm.common import joined
-from landweave.llm.ranks import bucket_count, ranked
+from landweave.llm.ranks import bucket_count, hash_bucket, ranked
 
 SEED = "shard-1"
 SHARDS = 24
@@ -38,9 +41,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFram
     total = docs.count()
     buckets = bucket_count(total)
     # 1. rank within the source, in buckets of the hash (its first 32 bits)
-    spread = rows.withColumn(
-        "bucket", F.expr(f"cast(cast(conv(substring(hash, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296 as bigint)")
-    )
+    spread = rows.withColumn("bucket", hash_bucket("hash", buckets))
     tie = [F.col("hash"), F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     within = ranked(spread, ["source"], "bucket", tie, "rank").drop("bucket")
     sizes = rows.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("of"))

@@ -1,6 +1,12 @@
 import pytest
 from hypothesis import strategies as st
 
+#: Names that operators use inside or add.
+CLASHES = (
+    "key", "rep", "grp", "bucket", "rank", "hash", "range", "sig", "row", "id", "part", "copy", "place", "u", "cdf", "a", "b", "near_a", "spot", "digest", "size", "_n", "_row", "_start", "_bytes", "_part",
+    "mix_source", "mix_rate", "mix_u", "mix_key", "mix_copy", "mix_copies", "mix_slot", "mix_part", "mix_place", "score", "kept", "n_words", "sample", "ids", "spans",
+)
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 #: Texts that every operator must take: null, empty, blank, short, repeated, long, with odd white space and marks.
@@ -19,7 +25,7 @@ def odd(spark):
 def clashing(odd):
     from pyspark.sql import functions as F
 
-    return odd.select("*", *[F.lit(1).alias(c) for c in ("key", "rep", "grp", "bucket", "rank", "hash", "mix_copy2", "range", "sig")])
+    return odd.select("*", *[F.lit(1).alias(c) for c in CLASHES])
 
 
 @pytest.fixture(scope="session")

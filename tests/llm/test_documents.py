@@ -353,28 +353,46 @@ def poisson(u, rate):
 
 
 def test_mixing(made, odd, clashing):
-    for docs, weights, total in ((made, {"s0": 1.0, "s1": 3.0}, 400), (made, None, None), (odd, None, None), (clashing, {"a": 1, None: 2}, 60)):
-        data = docs.select("doc_id", "source").collect()
+    for docs, weights, total in ((made, {"s0": 1.0, "s1": 3.0}, 400), (made, None, 90_000), (odd, None, None), (clashing, {"a": 1, None: 2}, 60)):
+        data = docs.select("doc_id", "source", "text").collect()
         n = Counter(r.source for r in data)
         w = dict.fromkeys(n, 1.0) if weights is None else {s: weights.get(s, 0) for s in n}
         t = total or len(data)
         want = Counter()
         for r in data:
-            k = poisson(uniform("mix-1", "null" if r.doc_id is None else r.doc_id), t * w[r.source] / sum(w.values()) / n[r.source])
-            want.update((r.doc_id, r.source, k, c) for c in range(1, k + 1))
-        got = rows(mixing.mixed_order(docs, weights=weights, total=total))
-        assert Counter((r["doc_id"], r["source"], r["mix_copies"], r["mix_copy"]) for r in got) == want
-        assert sorted(r["mix_place"] for r in got) == list(range(len(got)))
+            rate, i = t * w[r.source] / sum(w.values()) / n[r.source], "null" if r.doc_id is None else r.doc_id
+            parts = max(1, int(np.ceil(rate / mixing.PART)))
+            for part in range(parts):
+                k = poisson(uniform("mix-1", i, part), rate / parts)
+                want.update((r.doc_id, r.source, r.text, part, c) for c in range(1, k + 1))
+        ordered = mixing.mixed_order(docs, weights=weights, total=total)
+        names = [c for c in ordered.columns if c not in docs.columns]
+        assert ordered.columns == [*docs.columns, *names] and [c.strip("_") for c in names] == ["mix_part", "mix_copy", "mix_place"]
+        got = [(r.doc_id, r.source, r.text, *(r[c] for c in names)) for r in ordered.collect()]
+        assert Counter(r[:5] for r in got) == want
+        key = lambda r: hashlib.md5(f"mix-1-order:{'null' if r[0] is None else r[0]}:{r[3]}:{r[4]}".encode()).hexdigest()
+        got.sort(key=lambda r: r[5])
+        assert [r[5] for r in got] == list(range(len(got))) and [key(r) for r in got] == sorted(map(key, got))
         out = mixing.mixed(docs, weights=weights, total=total)
-        assert out.columns == docs.columns and out.count() == sum(want.values())
+        assert out.columns == docs.columns and Counter((r.doc_id, r.source, r.text) for r in out.collect()) == Counter(r[:3] for r in got)
+    rest = clashing.drop("text").schema.names[5:]
+    assert {tuple(r[c] for c in rest) for r in mixing.mixed_order(clashing).collect()} == {(1,) * len(rest)}
     with pytest.raises(ValueError):
         mixing.mixed(made, weights={"s0": -1.0})
 
 
+def test_output_of_mixing_is_in_ranges_of_the_order(made):
+    out = mixing.mixed(made, total=20_000).groupBy(F.spark_partition_id().alias("at")).count().collect()
+    assert len(out) == 4 and max(r["count"] for r in out) < 1.1 * min(r["count"] for r in out)
+
+
 def test_large_rates(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
-    counts = [r["mix_copies"] for r in rows(mixing.replicated(docs, total=400 * 900).select("doc_id", "mix_copies").distinct())]
+    counts = [r["count"] for r in mixing.replicated(docs, total=400 * 900).groupBy("id").count().collect()]
     assert len(counts) == 400 and abs(np.mean(counts) - 900) < 10 and 20 < np.std(counts) < 40
+    one = docs.limit(1).withColumn("source", F.lit("t")).unionByName(docs)
+    huge = mixing.replicated(one, {"t": 1.0}, 1_000_000).count()
+    assert abs(huge - 1_000_000) < 6000
 
 
 # --- 10 ------------------------------------------------------------------------------------------
