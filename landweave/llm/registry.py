@@ -120,30 +120,53 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from landweave.llm.warc import audit, damaged, records
+    from landweave.llm.warc import audit, replicas
 
-    pages = table(spark, sf_dir, "pages")
-    return audit(records(pages), records(damaged(pages)))
+    return audit(*replicas(table(spark, sf_dir, "pages")))
 
 
+# The same manifests, compared record by record.
 _SQL["op9_warc_audit"] = """
 WITH base AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5('record:' || coalesce(page_id::VARCHAR, 'null') || ':' || coalesce(url, '')) AS k,
-    ('0x' || substr(md5('warc-1:' || coalesce(page_id::VARCHAR, 'null')), 1, 2))::INT < 4 AND length(coalesce(html, '')) > 0 AS hit
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5('record:' || coalesce(page_id::VARCHAR, 'null') || ':' || coalesce(url, '')) AS record_id,
+    ('0x' || substr(md5('warc-1:' || coalesce(page_id::VARCHAR, 'null')), 1, 2))::INT AS fate
   FROM pages
 ), rec AS (
-  SELECT page_id, hit, 'WARC/1.1' || e'\\r\\nWARC-Type: resource\\r\\nWARC-Record-ID: <urn:uuid:' || substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-' || substr(k, 13, 4) || '-' || substr(k, 17, 4) || '-' || substr(k, 21, 12)
+  SELECT page_id, record_id AS k, fate, 'WARC/1.1' || e'\\r\\nWARC-Type: resource\\r\\nWARC-Record-ID: <urn:uuid:' || substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-' || substr(k, 13, 4) || '-' || substr(k, 17, 4) || '-' || substr(k, 21, 12)
     || e'>\\r\\nWARC-Target-URI: ' || url || e'\\r\\nWARC-Date: 2024-01-01T00:00:00Z\\r\\nContent-Type: text/html\\r\\nContent-Length: ' || octet_length(encode(html)) || e'\\r\\n\\r\\n' || html || e'\\r\\n\\r\\n' AS record
   FROM base
 ), placed AS (
-  SELECT page_id, hit, sha256(record) AS sha256, octet_length(encode(record))::BIGINT AS length,
-    row_number() OVER (ORDER BY md5('place:' || coalesce(page_id::VARCHAR, 'null')), page_id, sha256(record)) - 1 AS place
+  SELECT *, sha256(record) AS sha, row_number() OVER (ORDER BY md5('place:' || coalesce(page_id::VARCHAR, 'null')), page_id, sha256(record)) - 1 AS place,
+    CASE WHEN fate < 4 THEN 'X' || substr(record, 2) WHEN fate = 4 THEN left(record, length(record) - 4) ELSE record END AS other
   FROM rec
+), copies AS (
+  SELECT *, unnest(range(CASE fate WHEN 5 THEN 0 WHEN 6 THEN 2 ELSE 1 END)) AS copy FROM placed
+), ours AS (
+  SELECT page_id, k, place // 512 AS archive, octet_length(encode(record)) AS length, sha,
+    coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY place // 512 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM placed
+), theirs AS (
+  SELECT page_id, k, place // 512 AS archive, octet_length(encode(other)) AS length, sha256(other) AS sha,
+    coalesce(sum(octet_length(encode(other))) OVER (PARTITION BY place // 512 ORDER BY place, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM copies
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY sha ORDER BY archive, off) AS nth FROM ours ANTI JOIN theirs USING (archive, off, length, sha)
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY sha ORDER BY archive, off) AS nth FROM theirs ANTI JOIN ours USING (archive, off, length, sha)
+), moved AS (
+  SELECT a.archive, a.off, b.archive AS fa, b.off AS fo, 'moved' AS status FROM a JOIN b USING (sha, nth)
+), a2 AS (
+  SELECT * EXCLUDE (nth), row_number() OVER (PARTITION BY k ORDER BY archive, off) AS nth FROM a ANTI JOIN moved USING (archive, off)
+), b2 AS (
+  SELECT * EXCLUDE (nth), row_number() OVER (PARTITION BY k ORDER BY archive, off) AS nth FROM b ANTI JOIN moved m ON b.archive = m.fa AND b.off = m.fo
+), harmed AS (
+  SELECT a2.archive, a2.off, b2.archive AS fa, b2.off AS fo, CASE WHEN b2.length < a2.length THEN 'truncated' ELSE 'corrupt' END AS status FROM a2 JOIN b2 USING (k, nth)
+), found AS (
+  SELECT * FROM moved UNION ALL SELECT * FROM harmed UNION ALL SELECT archive, off, NULL, NULL, 'missing' FROM a2 ANTI JOIN harmed USING (archive, off)
 )
-SELECT page_id, (place // 512)::BIGINT AS archive,
-  coalesce(sum(length) OVER (PARTITION BY place // 512 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
-  length, sha256, CASE WHEN hit THEN 'corrupt' ELSE 'intact' END AS status
-FROM placed
+SELECT page_id, archive::BIGINT AS archive, off::BIGINT AS record_offset, length::BIGINT AS length, sha AS sha256, coalesce(status, 'intact') AS status,
+  (CASE WHEN status IS NULL THEN archive ELSE fa END)::BIGINT AS found_archive, (CASE WHEN status IS NULL THEN off ELSE fo END)::BIGINT AS found_offset
+FROM ours LEFT JOIN found USING (archive, off)
+UNION ALL
+SELECT page_id, archive, off, length, sha, 'extra', archive, off FROM b2 ANTI JOIN harmed h ON b2.archive = h.fa AND b2.off = h.fo
 """
 
 

@@ -56,31 +56,54 @@ def test_blocks_and_chunks(spark, monkeypatch):
     assert {tuple(r) for r in neighbours.nearest(table).collect()} == exact(np.arange(400) * 5, x)
 
 
-def test_audit(spark):
+def test_audit(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 1000)
     pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k}</p>" * (k % 7)) for k in range(1500)] + [(None, None, None), (3, "http://x/3", "<p>3</p>" * 3), (5, None, "y"), (1499, None, "")], "page_id long, url string, html string").withColumn("place", F.lit(0))
-    sound = warc.records(pages)
-    assert {r.status for r in warc.audit(sound, sound).collect()} == {"intact"}
-    torn = sound.where("page_id is null or page_id <> 77").withColumn("record", F.when(F.col("page_id").isin(5, 700), F.concat("record", F.lit(b"!"))).otherwise(F.col("record")))
-    found = Counter((r.page_id, r.status) for r in warc.audit(sound, torn).collect() if r.status != "intact")
-    assert found == Counter({(77, "missing"): 1, (5, "corrupt"): 2, (700, "corrupt"): 1})
-    out = sorted(warc.audit(sound, torn).collect(), key=lambda r: (r.archive, r.record_offset))
-    assert len(out) == 1504 and out[0].record_offset == 0
+    sound = spark.createDataFrame(warc.stored(pages).collect(), "page_id long, record_id string, archive long, offset long, length long, sha256 string")
+    out = sorted(warc.audit(sound, sound).collect(), key=lambda r: (r.archive, r.record_offset))
+    assert {r.status for r in out} == {"intact"} and len(out) == 1504 and out[0].record_offset == 0
     for a, b in zip(out, out[1:], strict=False):
         assert b.record_offset == (a.record_offset + a.length if a.archive == b.archive else 0)
-    assert warc.audit(sound.limit(0), sound).collect() == []
+
+    def differences(change):
+        """Statuses by archive after ``change`` of the list of one archive's records, relaid."""
+        rows = sorted((r.asDict() for r in sound.collect()), key=lambda r: (r["archive"], r["offset"]))
+        other, at = [], Counter()
+        for r in change(rows):
+            other.append({**r, "offset": at[r["archive"]]})
+            at[r["archive"]] += r["length"]
+        got = warc.audit(sound, spark.createDataFrame(other, sound.schema)).collect()
+        return Counter((r.archive, r.status) for r in got if r.status != "intact"), got
+
+    found, _ = differences(lambda rows: [{**r, "sha256": "bad"} if k == 700 else r for k, r in enumerate(rows)])
+    assert found == {(1, "corrupt"): 1}
+    found, _ = differences(lambda rows: [{**r, "sha256": "bad", "length": r["length"] - 4} if k == 700 else r for k, r in enumerate(rows)])
+    assert found == {(1, "truncated"): 1, (1, "moved"): 1023 - 700}
+    found, got = differences(lambda rows: rows[:1000] + rows[1001:])
+    assert found == {(1, "missing"): 1, (1, "moved"): 23} and [r.found_offset for r in got if r.status == "missing"] == [None]
+    found, got = differences(lambda rows: [*rows, {**rows[-1], "sha256": "new", "record_id": "new"}])
+    assert found == {(2, "extra"): 1} and sum(r.status == "intact" for r in got) == 1504
+    found, got = differences(lambda rows: rows[:1022] + [rows[1023], rows[1022]] + rows[1024:])
+    assert found == {(1, "moved"): 2} and all(r.found_offset != r.record_offset for r in got if r.status == "moved")
+    found, _ = differences(lambda rows: [r for r in rows if r["archive"] < 2])
+    assert found == {(2, "missing"): 1504 - 1024}
+    assert warc.audit(sound.limit(0), sound.limit(0)).collect() == []
+    assert {r.status for r in warc.audit(sound.limit(0), sound).collect()} == {"extra"}
 
 
 def test_archives_are_read_back(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k}", f"é{k}\r\n\r\n" * k) for k in range(20)], "page_id long, url string, html string")
-    raw = b"".join(bytes(r.record) for r in warc.records(pages).orderBy("page_id").collect())
+    raw = b"".join(r.record.encode() for r in warc.records(pages).orderBy("page_id").collect())
     (tmp_path / "a.warc").write_bytes(raw)
-    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw[:500]) + gzip.compress(raw[500:]))  # two members
     back = warc.read_warc(spark, str(tmp_path)).collect()
     assert Counter((r.url, bytes(r.payload).decode()) for r in back) == Counter({(f"http://x/{k}", f"é{k}\r\n\r\n" * k): 2 for k in range(20)})
-    with pytest.raises(ValueError):
-        list(warc.parse(b"not an archive"))
-    one = warc.hashed_records(warc.records(pages.where("page_id = 4"))).first()
-    assert one.sha256 == hashlib.sha256(bytes(warc.records(pages.where("page_id = 4")).first().record)).hexdigest()
+    for bad in (b"not an archive", raw[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.parse([bad]))
+    assert [x[0] for x in warc.parse(raw[k : k + 7] for k in range(0, len(raw), 7))] == [x[0] for x in warc.parse([raw])]
+    one = pages.where("page_id = 4")
+    assert warc.stored(one).first().sha256 == hashlib.sha256(warc.records(one).first().record.encode()).hexdigest()
 
 
 def test_pipeline(spark, odd, labels, tmp_path):
