@@ -2,147 +2,226 @@
 
 The largest inner product with a query is the least distance once each vector, scaled by the largest
 norm, gets one more component that makes its length 1. Of these vectors ``PROJECTIONS`` Gaussian
-projections are taken, each kept as a sorted array. A query's windows on all arrays are centred at its
-own projections and widened level by level (virtual rehashing: a level's windows hold the last one's);
-a vector's collisions are the windows it lies in. Once enough vectors have ``SHARE`` of all collisions,
-those are verified on the original vectors in double precision, and the best ``k`` are kept.
-
-* Vectors are dealt into blocks of about ``BLOCK`` rows by a hash; a block's arrays are its index. The
-  query set is dealt into chunks likewise, and each pair of block and chunk is one group of bounded
-  size, so no task holds more than BLOCK rows and as many queries. Every row is indexed; nothing is
-  sampled or capped. Windows widen until ``LEAST`` vectors or ``VERIFY`` of the block are verified, or
-  all are; a block of no more than LEAST rows is thus searched exactly.
+projections are taken, each kept as a sorted array. A query's window on each array is centred at its own
+projection and WIDTH * R wide to both sides: it holds a vector at distance R with the probability
+P(|N(0, 1)| < WIDTH). Vectors that lie in at least ``THRESHOLD`` of the windows are verified on the original
+vectors in double precision; a vector at distance R or less does so with probability 0.9 or more.
+
+1. Every query is searched in the block of vectors that it belongs to. Its windows are widened level by level
+   (virtual rehashing: a level's windows hold the last one's), until ``k`` verified vectors lie within R.
+2. The k-th best then bounds the radius everywhere, so the other blocks are searched once, with the windows of
+   that radius, and only what is no worse is sent on.
+
+So the threshold alone decides what is verified, by one rule at every size.
+
+* Vectors are dealt into blocks of about ``BLOCK`` rows by a hash; a block's arrays are its index, and every row
+  is in one. In step 2 a block's rows come first in its task and queries stream past them, so a task holds one
+  block and one batch. Each query is sent to each block: the work grows with queries times rows, as it must where
+  distances to near and far vectors differ by so little that windows reach everywhere.
 * Vectors that are null, zero, of another length than most, or that hold null or non-finite components
   take no part, nor do rows without an id. Rows that repeat an id and a vector count once. A query's
-  candidates are all rows of other ids. Ties go to the smaller id.
+  candidates are all rows of other ids. Ties go to the smaller id. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landweave.llm.common import lean_group
+from landweave.llm.common import lean, lean_group, written
 
-PROJECTIONS = 96
-SHARE = 0.58
+PROJECTIONS = 128
+WIDTH = 1.5
+#: Windows that a vector must lie in: the mean for one at distance R less 1.28 standard deviations.
+_P = math.erf(WIDTH / math.sqrt(2))
+THRESHOLD = math.ceil(PROJECTIONS * _P - 1.28 * math.sqrt(PROJECTIONS * _P * (1 - _P)))
 BLOCK = 16_384
-LEAST = 1024
-VERIFY = 0.15
-#: Half window of the first level in standard deviations of the difference of two rows' projections, and the factor between levels.
-FIRST, WIDER = 0.7, 1.15
+#: Radius of the first level (no two points are more than 2 apart), and the factor between levels at most.
+FIRST, WIDER = 0.6, 1.2
 K = 20
 SEED = 11
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, key (hash of the vector) and the vector of every row that takes part, each once."""
-    v = F.col("embedding")
     fine = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    rows = vectors.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("embedding"), F.size(v).alias("_size"))
-    most = rows.groupBy("_size").count().orderBy(F.col("count").desc(), "_size").limit(1).select(F.col("_size").alias("_most"))
-    found = most.collect()
-    size = found[0][0] if found else 0
+    rows = vectors.where(F.col("vec_id").isNotNull() & fine)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("_size"))
+    found = rows.groupBy("_size").count().orderBy(F.col("count").desc(), "_size").first()
+    size = found[0] if found else 0
     return rows.where(F.col("_size") == size).drop("_size").withColumn("key", F.xxhash64("embedding")).dropDuplicates(["vec_id", "key"])
 
 
-def search(block: np.ndarray, queries: np.ndarray, top_norm: float, k: int, own: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (rows of ``block`` found, their scores), best first; ``own``: ids of the queries."""
-    n, dim = block.shape
-    rng = np.random.default_rng(SEED)
-    directions = rng.standard_normal((dim + 1, PROJECTIONS)).astype(np.float32)
-    scaled = (block / top_norm).astype(np.float32)
-    tail = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", scaled, scaled, dtype=np.float64))).astype(np.float32)
-    placed = scaled @ directions[:dim] + tail[:, None] * directions[dim]
-    norms = np.sqrt(np.einsum("ij,ij->i", queries, queries, dtype=np.float64))
-    centres = (queries / norms[:, None]).astype(np.float32) @ directions[:dim]
-    order = np.argsort(placed, axis=0, kind="stable").T.astype(np.intp).copy()
-    arrays = np.take_along_axis(placed.T, order, axis=1)
-    spread = float(np.sqrt(2.0) * placed.std(axis=0).mean()) or 1.0
-    need, wanted = int(np.ceil(SHARE * PROJECTIONS)), min(n, max(LEAST, int(VERIFY * n)) + k)
-    # window edges of every level, query and projection
-    out = []
-    counts = np.empty(n, np.uint8)
-    wide = [spread * FIRST * WIDER**level for level in range(24)]
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
-    for q in range(len(queries)):
-        if q % 64 == 0:  # edges of the next 64 queries at once, level by level as needed
-            edges, some = [], centres[q : q + 64]
-        counts[:] = 0
+class Index:
+    """The sorted projections of a block of vectors."""
+
+    def __init__(self, ids: np.ndarray, block: np.ndarray, top_norm: float):
+        self.ids, self.block, self.top = ids, block, top_norm
+        n, dim = block.shape
+        self.directions = np.random.default_rng(SEED).standard_normal((dim + 1, PROJECTIONS))
+        scaled = block / top_norm
+        tail = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", scaled, scaled)))
+        placed = scaled @ self.directions[:dim] + tail[:, None] * self.directions[dim]
+        order = np.argsort(placed, axis=0, kind="stable").T
+        self.arrays = np.take_along_axis(placed.T, order, axis=1)
+        self.order = order.astype(np.intp)
+
+    def centre(self, query: np.ndarray) -> np.ndarray:
+        return (query / math.sqrt(float(query @ query))) @ self.directions[:-1]
+
+    def edges(self, centre: np.ndarray, radius: float) -> tuple[list[int], list[int]]:
+        half = WIDTH * radius
+        left = [int(a.searchsorted(c - half, "left")) for a, c in zip(self.arrays, centre, strict=True)]
+        return left, [int(a.searchsorted(c + half, "right")) for a, c in zip(self.arrays, centre, strict=True)]
+
+    def colliding(self, centre: np.ndarray, radius: float) -> np.ndarray:
+        """Rows with THRESHOLD collisions at ``radius``, counted by the windows that they miss."""
+        missed = np.zeros(len(self.ids), np.uint8)
+        for rows, a, b in zip(self.order, *self.edges(centre, radius), strict=True):
+            missed[rows[:a]] += 1
+            missed[rows[b:]] += 1
+        return np.flatnonzero(missed <= PROJECTIONS - THRESHOLD)
+
+    def widened(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Rows to verify once ``k`` of them lie within the level's radius."""
+        n, centre = len(self.ids), self.centre(query)
+        scale = self.top * math.sqrt(float(query @ query))
+        counts, near = np.zeros(n, np.uint8), np.full(n, np.inf)  # near: squared distance of verified rows
         lo = hi = None
-        for level, half in enumerate(wide):
-            if level == len(edges):
-                edges.append(tuple(np.array([np.searchsorted(a, some[:, j] + s * half, side) for j, a in enumerate(arrays)]) for s, side in ((-1, "left"), (1, "right"))))
-            left, right = edges[level][0][:, q % 64].tolist(), edges[level][1][:, q % 64].tolist()
+        radius = FIRST
+        while radius < 2.0:
+            left, right = self.edges(centre, radius)
             if lo is None:
-                for rows, a, b in zip(order, left, right, strict=True):
+                for rows, a, b in zip(self.order, left, right, strict=True):
                     counts[rows[a:b]] += 1
             else:
-                for rows, a, b, c, d in zip(order, left, lo, hi, right, strict=True):
-                    if a < b:
-                        counts[rows[a:b]] += 1
-                    if c < d:
-                        counts[rows[c:d]] += 1
+                for rows, a, b, c, d in zip(self.order, left, lo, hi, right, strict=True):
+                    counts[rows[a:b]] += 1
+                    counts[rows[c:d]] += 1
             lo, hi = left, right
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= wanted or all(b - a == n for a, b in zip(lo, hi, strict=True)):
-                break
-        else:
-            found = np.arange(n)  # the widest windows didn't hold enough: verify all
-        found = found[ids[found] != own[q]]
-        out.append(verified(block, queries[q], found, ids, k))
-    return out
-
-
-def verified(block: np.ndarray, query: np.ndarray, found: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` of ``found`` by inner product in double precision, ties to the smaller id."""
+            found = np.flatnonzero((counts >= THRESHOLD) & (self.ids != own))
+            if len(found) >= k:
+                new = found[np.isinf(near[found])]
+                near[new] = np.maximum(0.0, 2.0 - 2.0 * (self.block[new] @ query) / scale)
+                reach = math.sqrt(np.partition(near[found], k - 1)[k - 1])
+                if reach <= radius:
+                    return found
+                radius = min(radius * WIDER, max(reach, radius))  # at ``reach`` k vectors are within it
+            else:
+                radius *= WIDER
+        return np.flatnonzero(self.ids != own)  # fewer than k within reach: all rows
+
+
+def best_of(index: Index, query: np.ndarray, found: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of ``found`` by inner product in double precision, ``least`` at least, ties to the smaller id."""
     if len(found) > 4 * k:
-        rough = block[found] @ query  # single precision, to leave most out with room for its error
-        room = 1e-4 * float(np.abs(rough).max()) + 1e-30 if np.isfinite(rough).all() else np.inf
-        least = np.partition(rough, len(rough) - k)[len(rough) - k]
-        found = found[rough >= least - room] if np.isfinite(room) else found
-    rows, q = block[found].astype(np.float64), query.astype(np.float64)
+        rough = index.block[found] @ query  # summed in another order, so with room for rounding
+        room = 1e-12 * float(np.abs(query).sum()) * float(np.abs(index.block[found]).max()) + 1e-300
+        if math.isfinite(room) and np.isfinite(rough).all():
+            found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - room]
+    rows = index.block[found]
     score = np.zeros(len(found))
     for d in range(rows.shape[1]):  # summed from the first component on, whatever the number of rows
-        score += rows[:, d] * q[d]
-    best = np.lexsort((ids[found], -score))[:k]
+        score += rows[:, d] * query[d]
+    found, score = found[score >= least], score[score >= least]
+    best = np.lexsort((index.ids[found], -score))[:k]
     return found[best], score[best]
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+
+
+FOUND = "query_id long, query_key long, vec_id long, score double, verified long"
+_NAMES = [f.split()[0] for f in FOUND.split(", ")]
+
+
+def answers(rows: list[tuple[int, int, np.ndarray, np.ndarray, int]]) -> pa.Table:
+    """Rows of FOUND of (query's id, its key, ids, scores, number of verified vectors)."""
+    sizes = [len(r[2]) for r in rows]
+    join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(r[k] for r in rows)])
+    each = lambda k: np.repeat(np.array([r[k] for r in rows], np.int64), sizes)
+    return pa.table(dict(zip(_NAMES, (each(0), each(1), join(2, np.int64), join(3, np.float64), each(4)), strict=True)))
+
+
+def found(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
+    """query_id, query_key, vec_id, score, verified: the best of each block, with the number of vectors verified there."""
+    spark = vectors.sparkSession
+    rows = written(usable(vectors), "vectors")
+    query = F.col("vec_id") % every == 0
+    facts = rows.agg(F.count(F.lit(1)), F.max(F.expr("aggregate(embedding, 0d, (s, x) -> s + x * x)"))).first()
+    total, top = facts[0] or 0, math.sqrt(facts[1] or 1.0)
+    blocks = max(1, -(-total // BLOCK))
+    # with few blocks several tasks have the rows of one, each for a part of the queries
+    chunks = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
+    block = F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks)).cast("int")
+    spread = rows.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), chunk.alias("own"), "vec_id", "key", "embedding")
+
+    def home(t: pa.Table) -> pa.Table:
+        index = Index(t.column("vec_id").to_numpy(), matrix(t.column("embedding")), top)
+        keys, mine, c = t.column("key").to_numpy(), t.column("own").to_numpy(), t.column("chunk")[0].as_py()
+        out = []
+        for q in np.flatnonzero((index.ids % every == 0) & (mine == c)).tolist():
+            rows_ = index.widened(index.block[q], int(index.ids[q]), k)
+            got, score = best_of(index, index.block[q], rows_, k, -math.inf)
+            out.append((int(index.ids[q]), int(keys[q]), index.ids[got], score, len(rows_)))
+        return answers(out)
+
+    first = spread.groupBy("block", "chunk").applyInArrow(lean_group(home), FOUND)
+    if blocks == 1:
+        return first
+    first = written(first, "first")
+    bound = first.groupBy("query_id", "query_key").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    asked = rows.where(query).join(bound.withColumnsRenamed({"query_id": "vec_id", "query_key": "key"}), ["vec_id", "key"], "left")
+    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b != block)
+    sent = asked.select(F.explode(others).alias("block"), chunk.alias("chunk"), F.lit(1).alias("kind"), "vec_id", "key", "embedding", "least")
+    data = spread.select("block", "chunk", F.lit(0).alias("kind"), "vec_id", "key", "embedding", F.lit(None).cast("double").alias("least"))
+    spot: Column = F.col("block") * chunks + F.col("chunk")
+    dealt = data.unionByName(sent).withColumn("spot", spot.cast("int")).repartitionById(blocks * chunks, "spot").sortWithinPartitions("spot", "kind")
+
+    def others_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        index, open_ = None, None
+        for b in batches:
+            cuts = b.column("spot").to_numpy() * 2 + b.column("kind").to_numpy()
+            ends = [0, *(np.flatnonzero(cuts[1:] != cuts[:-1]) + 1).tolist(), b.num_rows]
+            for at, to in zip(ends, ends[1:], strict=False):
+                if at == to:
+                    continue
+                part = b.slice(at, to - at)
+                if part.column("spot")[0].as_py() != open_:
+                    open_, held, index = part.column("spot")[0].as_py(), [], None
+                if not part.column("kind")[0].as_py():
+                    held.append(part)
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    t = pa.Table.from_batches(held)
+                    index, held = Index(t.column("vec_id").to_numpy(), matrix(t.column("embedding")), top), []
+                queries, out = matrix(part.column("embedding")), []
+                for q, own, key, least in zip(queries, *(part.column(c).to_pylist() for c in ("vec_id", "key", "least")), strict=True):
+                    if least is None:
+                        rows_ = np.arange(len(index.ids))
+                    else:
+                        reach = math.sqrt(max(0.0, 2.0 - 2.0 * least / (top * math.sqrt(float(q @ q)))))
+                        rows_ = index.colliding(index.centre(q), reach)
+                    rows_ = rows_[index.ids[rows_] != own]
+                    got, score = best_of(index, q, rows_, k, -math.inf if least is None else least)
+                    out.append((own, key, index.ids[got], score, len(rows_)))
+                yield from answers(out).to_batches()
+
+    return first.unionByName(dealt.mapInArrow(lean(others_of), FOUND))
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each row whose id is divisible by ``every``."""
-    rows = usable(vectors)
-    facts = rows.agg(
-        F.count(F.lit(1)), F.sum(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)),
-        F.max(F.expr("aggregate(embedding, 0d, (s, x) -> s + cast(x as double) * x)")),
-    ).first()
-    total, queries, top = facts[0] or 0, facts[1] or 0, float(facts[2] or 1.0) ** 0.5
-    blocks, chunks = max(1, -(-total // BLOCK)), max(1, -(-queries // BLOCK))
-    spot = F.xxhash64("vec_id", "key")
-    data = rows.select(
-        F.pmod(spot, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "embedding"
-    )
-    asked = rows.where(F.col("vec_id") % every == 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(spot, F.lit(chunks)).cast("int").alias("chunk"), "vec_id", "key", "embedding"
-    )
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        c = t.column("embedding").combine_chunks()
-        return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "query_key": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, own = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        got = search(matrix(left), matrix(right), top, k, own, ids)
-        sizes = [len(r) for r, _ in got]
-        return pa.table({
-            "query_id": np.repeat(own, sizes), "query_key": np.repeat(right.column("key").to_numpy(), sizes),
-            "vec_id": ids[np.concatenate([r for r, _ in got])], "score": np.concatenate([s for _, s in got]),
-        })
-
-    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(lean_group(pair), "query_id long, query_key long, vec_id long, score double")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found(vectors, every, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

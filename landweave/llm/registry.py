@@ -186,18 +186,6 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-_SQL["op7_nearest_neighbours"] = """
-WITH v AS (
-  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
-)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
-"""
-
-
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from landweave.llm.substrings import removed
