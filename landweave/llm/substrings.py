@@ -12,18 +12,21 @@ some offset. The steps:
 3. Remove every word that a repeated window covers.
 
 Nothing is paired with anything: a passage in many documents is one hash per batch of texts, so hot
-passages cost no more than others. Hashes travel packed, sorted and without repeats within a batch;
-answers are lists and bit maps for groups of documents. Groups hold about ``GROUP`` bytes of text (a
-single longer text alone), ranges of hashes about ``RANGE`` entries, at any size of the corpus.
+passages cost no more than others. Extending each pair of places by itself would find the same words, but
+at a cost quadratic in the places of a hot passage. Hashes travel packed, sorted and without repeats within
+a batch; answers are lists and bit maps for groups of documents. Groups hold about ``GROUP`` bytes of text (a
+single longer text alone), ranges of hashes about ``RANGE`` entries, at any size of the corpus; each range has a
+task of its own. The rows with their groups are written once, so all steps see the same groups.
 
 * Words are compared by 64-bit hashes. A null or empty text has no words and keeps nothing. Repeated
   rows repeat each other's windows, so of a text of 35 words or more that occurs twice nothing is left.
 * Windows are judged on the input. Columns other than id and text aren't read.
+* Rows that repeat the same id and text are dealt to many groups (``SAME`` neighbouring rows stay together).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -35,7 +38,8 @@ from landweave.llm.common import WordHashes, covered, hashed, in_one, lean, lean
 
 BLOCK, WINDOW = 18, 35
 GROUP = 6 << 20
-RANGE = 4 << 20
+RANGE = 2 << 20
+SAME = 64
 OTHER_BASE = 0xC2B2AE3D27D4EB4F  # odd; of the second polynomial
 LOW = np.uint64((1 << 40) - 1)
 
@@ -109,6 +113,16 @@ def marked(table: pa.Table, wanted: int) -> Iterator[tuple[int, bytes]]:
             yield rng, body
 
 
+def at_once(f: Callable[[pa.Table], pa.Table]) -> Callable:
+    """``f`` on all rows of a partition, for mapInArrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def anchored(texts: Texts, answers: pa.Table, ranges: int) -> np.ndarray:
     """Positions of the anchors of a group, of the keys answered for it."""
     found = [unpack(body, 5) | np.uint64(rng << 40) for rng, body in marked(answers, 1)]
@@ -122,7 +136,8 @@ def removed(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP))
     ranges = max(1, -(-total // (6 * RANGE)))  # about one word in six bytes
-    keyed = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    near = F.expr(f"monotonically_increasing_id() div {SAME}")  # rows of one id and text mustn't all fall into one group
+    keyed = written(rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", near), F.lit(groups)).cast("int")), "texts")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes(1 << 19)
@@ -177,7 +192,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     answer = "grp int, kind int, range int, body binary"
     anchors = written(
-        keyed.mapInArrow(lean(probe), "range int, probes binary, blocks binary, grps binary, twice binary").groupBy("range").applyInArrow(lean_group(match), answer), "anchors"
+        keyed.mapInArrow(lean(probe), "range int, probes binary, blocks binary, grps binary, twice binary").repartitionById(ranges, "range").mapInArrow(lean(at_once(match)), answer), "anchors"
     )
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -224,10 +239,9 @@ def removed(docs: DataFrame) -> DataFrame:
             kept.append(b" ".join(words if not out else compress(words, (~gone[at : at + n]).tolist()) if out < n else ()))
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(t.counts), "n_removed": pa.array(n_removed), "kept": pa.array(kept, pa.binary())})
 
-    # Both uses of `keyed` below have the same exchange, which Spark makes once.
     dealt = keyed.groupBy("grp")
     repeats = (
-        dealt.cogroup(anchors.groupBy("grp")).applyInArrow(lean_group(extend), "range int, grp int, entries binary, more binary, twice binary").groupBy("range").applyInArrow(lean_group(compare), answer)
+        dealt.cogroup(anchors.groupBy("grp")).applyInArrow(lean_group(extend), "range int, grp int, entries binary, more binary, twice binary").repartitionById(ranges, "range").mapInArrow(lean(at_once(compare)), answer)
     )
     done = dealt.cogroup(anchors.unionByName(repeats).groupBy("grp")).applyInArrow(lean_group(finish), "doc_id long, n_words long, n_removed long, kept binary")
     return done.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))

@@ -347,6 +347,24 @@ def test_substrings(odd, made, clashing, monkeypatch):
     assert Counter(tuple(r) for r in substrings.removed(made).collect()) == removed(texts(made))
 
 
+def test_repeated_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", 20_000)
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.range(6000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(8, "alone " * 20)], "doc_id long, text string"))
+    sizes = []
+    keep = substrings.written
+
+    def noted(df, tag):
+        if tag == "texts":
+            sizes.extend(r["count"] for r in df.groupBy("grp").count().collect())
+        return keep(df, tag)
+
+    monkeypatch.setattr(substrings, "written", noted)
+    got = Counter(tuple(r) for r in substrings.removed(docs).collect())
+    assert got == Counter({(7, 40, 40, ""): 6000, (8, 20, 0, ("alone " * 20).strip()): 1})
+    assert max(sizes) < 1000
+
+
 def test_rolling_windows():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 90).astype(np.uint64)
