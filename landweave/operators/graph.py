@@ -83,34 +83,56 @@ def is_strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> b
     return count + alone <= 1
 
 
+class Powers:
+    """W, W^2, W^4, ... of a table (src, dst, w), each made once, by a join of the last one with itself."""
+
+    def __init__(self, w: DataFrame):
+        self.made = [written(w.select("src", "dst", "w").where("w > 0"), "power")]
+
+    def of(self, k: int, transposed: bool = False) -> DataFrame:
+        """W^(2^k)."""
+        while len(self.made) <= k:
+            last = self.made[-1]
+            right = last.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("b"))
+            squared = last.join(right, F.col("dst") == F.col("mid")).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("w") * F.col("b")).alias("w")).where("w > 0")
+            self.made.append(written(squared, "power"))
+        found = self.made[k]
+        return found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w") if transposed else found
+
+    def discard(self) -> None:
+        while self.made:
+            discard(self.made.pop())
+
+
 def neumann(w: DataFrame, targets: DataFrame, terms: int = 1 << 24, tol: float = 1e-8) -> DataFrame:
-    """node, target, value of the fundamental matrix by joins and sums alone; the table of W^m grows to all pairs of nodes.
+    """node, target, value of the fundamental matrix in the columns of ``targets`` (target)."""
+    powers = Powers(w)
+    try:
+        return series(powers, targets.select(F.col("target").alias("node"), "target", F.lit(1.0).alias("value")), terms, tol)
+    finally:
+        powers.discard()
+
+
+def series(powers: Powers, start: DataFrame, terms: int = 1 << 24, tol: float = 1e-8, transposed: bool = False) -> DataFrame:
+    """node, target, value of (I - W)^-1 E by joins and sums alone; the tables of powers grow to all pairs of nodes.
 
-    ``w`` is (src, dst, w), ``targets`` (target). The series E + WE + W^2 E + ... is summed in doubling steps:
-    with S_m its first m terms, S_2m = S_m + W^m S_m, and W^2m = W^m W^m. If W^m S_m <= e S_2m in every entry, then
-    W^m S_2m <= d S_2m with d = e / (1 - e), and what is missing is at most d^2 / (1 - d^2) of each entry, so no node either.
-    Raises if this does not hold for e = ``tol`` at ``terms`` terms. Values below double precision have no row.
+    ``start`` is E (node, target, value), not negative. The series E + WE + W^2 E + ... is summed in doubling steps: with
+    S_m its first m terms, S_2m = S_m + W^m S_m, and W^2m = W^m W^m. If W^m S_m <= e S_2m in every entry, then
+    W^m S_2m <= d S_2m with d = e / (1 - e), and what is missing is at most d^2 / (1 - d^2) of each entry, so no node
+    either. Raises if this does not hold for e = ``tol`` at ``terms`` terms. Values below double precision have no row.
     """
-    total = written(targets.select(F.col("target").alias("node"), "target", F.lit(1.0).alias("value"), F.lit(0.0).alias("added")), "neumann")
-    power = written(w.select("src", "dst", F.col("w").alias("w")).where("w > 0"), "neumann")
-    have = 1
-    while have < terms:
-        moved = power.join(total.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "target", (F.col("w") * F.col("value")).alias("value"))
+    total = written(start.select("node", "target", "value", F.lit(0.0).alias("added")), "series")
+    step = 0
+    while 1 << step < terms:
+        moved = powers.of(step, transposed).join(total.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "target", (F.col("w") * F.col("value")).alias("value"))
         both = total.withColumn("added", F.lit(0.0)).unionByName(moved.withColumn("added", F.col("value")))
-        grown = written(both.groupBy("node", "target").agg(F.sum("value").alias("value"), F.sum("added").alias("added")), "neumann")
+        grown = written(both.groupBy("node", "target").agg(F.sum("value").alias("value"), F.sum("added").alias("added")), "series")
         discard(total)
         total = grown
-        have *= 2
+        step += 1
         if total.where((F.col("added") > tol * F.col("value")) | (F.col("value") == float("inf"))).isEmpty():
-            discard(power)
             return total.drop("added")
-        if have < terms:
-            right = power.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("b"))
-            squared = power.join(right, F.col("dst") == F.col("mid")).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("w") * F.col("b")).alias("w")).where("w > 0")
-            squared = written(squared, "neumann")
-            discard(power)
-            power = squared
-    raise RuntimeError(f"the series did not settle in {have} terms")
+    raise RuntimeError(f"the series did not settle in {1 << step} terms")
 
 
 def least_cost(edges: DataFrame, targets: DataFrame, rounds: int = 10_000) -> DataFrame:

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 LARGEST = np.finfo(float).max
-DENSE = 1500  # nodes up to which a graph that is no lattice is solved densely without remark
+#: Bytes of the inverted blocks of one factorisation, at most; a 700 x 700 lattice takes 2.7 GB.
+SOLVER_BYTES = 3 << 30
 
 
 @dataclass
@@ -30,6 +31,10 @@ class Graph:
     pref: np.ndarray
     w: np.ndarray = field(default_factory=lambda: np.zeros(0))
     theta: float = 0.0
+    row: np.ndarray | None = None  # raster row of each node
+
+    def __getstate__(self) -> dict:  # what was derived stays behind
+        return {k: self.__dict__[k] for k in self.__dataclass_fields__}
 
     @property
     def n(self) -> int:
@@ -63,50 +68,82 @@ def edge_product(g: Graph, values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+class Band:
+    """A sparse matrix: the edges between two neighbouring blocks."""
+
+    def __init__(self, shape: tuple[int, int], i: np.ndarray, j: np.ndarray, v: np.ndarray):
+        self.shape, self.entries = shape, (i, j, v)
+        by = np.argsort(i, kind="stable")
+        self.rows, self.begin = np.unique(i[by], return_index=True)
+        self.j, self.v = j[by], v[by][:, None]
+
+    @property
+    def t(self) -> Band:
+        i, j, v = self.entries
+        return Band(self.shape[::-1], j, i, v)
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], x.shape[1]))
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(self.v * x[self.j], self.begin)
+        return out
+
+
+def blocks_of(src: np.ndarray, dst: np.ndarray, axes: list[np.ndarray]) -> np.ndarray:
+    """Block numbers with edges between neighbouring blocks only and the fewest squares of block sizes."""
+    best, cost = np.zeros(len(axes[0]), int), float(len(axes[0])) ** 2
+    for axis in axes:
+        block = np.unique(axis, return_inverse=True)[1]
+        size = float((np.bincount(block).astype(float) ** 2).sum()) if len(block) else 0.0
+        if size < cost and not (np.abs(block[src] - block[dst]) > 1).any():
+            best, cost = block, size
+    return best
+
+
 class Solver:
     """Solves (I - W) X = B and its transpose from one factorisation.
 
-    On a lattice the nodes of one raster column only meet those of the next ones, so I - W is block
-    tridiagonal by columns and is eliminated block by block; it is an M-matrix and needs no exchanges
-    between blocks. Other graphs are one block.
+    On a lattice the nodes of one raster column (or row: the shorter ones are taken) only meet those of the next
+    ones, so I - W is block tridiagonal and is eliminated block by block; it is an M-matrix and needs no exchanges
+    between blocks. Only the inverses of the blocks are dense. Other graphs are one block. More than SOLVER_BYTES
+    of inverses raise an error: ``DistributedModel`` needs none.
     """
 
-    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, col: np.ndarray):
-        kinds, block = np.unique(col, return_inverse=True)
-        if n and (np.abs(block[src] - block[dst]) > 1).any():
-            block = np.zeros(n, int)
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, *axes: np.ndarray):
+        block = blocks_of(src, dst, list(axes))
+        sizes = np.bincount(block, minlength=1)
+        if 8 * float((sizes.astype(float) ** 2).sum()) > SOLVER_BYTES:
+            raise ValueError(f"blocks of up to {sizes.max()} nodes are too large to factorise in a task: use DistributedModel")
         order = np.argsort(block, kind="stable")
         place = np.empty(n, int)
         place[order] = np.arange(n)
         self.order, self.n = order, n
-        sizes = np.bincount(block, minlength=1)
         self.cuts = np.concatenate([[0], np.cumsum(sizes)])
-        at = self.cuts[block]
-        inner = place - at
+        inner = place - self.cuts[block]
         m = len(sizes)
-        diag = [np.eye(s) for s in sizes]
-        self.up = [np.zeros((sizes[k], sizes[k + 1])) for k in range(m - 1)]
-        self.low = [np.zeros((sizes[k + 1], sizes[k])) for k in range(m - 1)]
         step = block[dst] - block[src]
         by = np.lexsort((step, block[src]))
-        keys = block[src][by] * 3 + step[by] + 1
-        for part in np.split(by, np.flatnonzero(np.diff(keys)) + 1) if len(by) else []:
-            b, s = block[src[part[0]]], step[part[0]]
-            to = diag[b] if s == 0 else self.up[b] if s == 1 else self.low[b - 1]
-            np.subtract.at(to, (inner[src[part]], inner[dst[part]]), w[part])
-        self.inv = []
+        runs = np.searchsorted((block[src] * 3 + step + 1)[by], np.arange(3 * m + 1))
+        part = lambda b, s: by[runs[3 * b + s + 1] : runs[3 * b + s + 2]]
+        band = lambda b, s: Band((sizes[b], sizes[b + s]), inner[src[part(b, s)]], inner[dst[part(b, s)]], -w[part(b, s)])
+        self.up = [band(k, 1) for k in range(m - 1)]
+        self.low = [band(k + 1, -1) for k in range(m - 1)]
+        self.inv: list[np.ndarray] = []
         for k in range(m):
-            d = diag[k] if k == 0 else diag[k] - self.low[k - 1] @ self.inv[k - 1] @ self.up[k - 1]
+            d, own = np.eye(sizes[k]), part(k, 0)
+            np.subtract.at(d, (inner[src[own]], inner[dst[own]]), w[own])
+            if k:
+                d -= self.low[k - 1].dot(self.up[k - 1].t.dot(self.inv[k - 1].T).T)
             self.inv.append(np.linalg.inv(d))
 
     def _run(self, b: np.ndarray, inv: list, low: list, up: list) -> np.ndarray:
         x = b[self.order].astype(float)
         part = [x[a:c] for a, c in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
         for k in range(1, len(part)):
-            part[k] = part[k] - low[k - 1] @ (inv[k - 1] @ part[k - 1])
+            part[k] = part[k] - low[k - 1].dot(inv[k - 1] @ part[k - 1])
         part[-1] = inv[-1] @ part[-1]
         for k in range(len(part) - 2, -1, -1):
-            part[k] = inv[k] @ (part[k] - up[k] @ part[k + 1])
+            part[k] = inv[k] @ (part[k] - up[k].dot(part[k + 1]))
         out = np.empty_like(x)
         out[self.order] = np.concatenate(part)
         return out
@@ -115,11 +152,14 @@ class Solver:
         return self._run(b, self.inv, self.low, self.up)
 
     def solve_transposed(self, b: np.ndarray) -> np.ndarray:
-        return self._run(b, [i.T for i in self.inv], [u.T for u in self.up], [x.T for x in self.low])
+        return self._run(b, [i.T for i in self.inv], [u.t for u in self.up], [x.t for x in self.low])
 
 
 def solver(g: Graph) -> Solver:
-    return Solver(g.n, g.src, g.dst, g.w, g.col)
+    """The graph's factorisation, made once in a worker for all blocks of targets that it gets."""
+    if "solver" not in g.__dict__:
+        g.__dict__["solver"] = Solver(g.n, g.src, g.dst, g.w, g.col, *([] if g.row is None else [g.row]))
+    return g.__dict__["solver"]
 
 
 def fundamental(g: Graph, s: Solver, targets: np.ndarray) -> np.ndarray:
@@ -390,7 +430,8 @@ def sweep_distances(g: Graph, target: int, approx: bool = False, tol: float = 1e
     """(free energy, expected cost) to one target by sweeps of the soft-minimum equation.
 
     Nodes are updated in order of their least-cost distance from the target, those at equal distance
-    together from the values before. ``approx`` stops after one sweep.
+    together from the values before. ``approx`` stops after one sweep. Raises where a node has no finite way to the
+    target, as in graphs that aren't strongly connected, and where ``most`` sweeps don't settle.
     """
     dist, _, order = dijkstra(g, target)
     begin = starts_of(g.src, g.n)
@@ -410,13 +451,15 @@ def sweep_distances(g: Graph, target: int, approx: bool = False, tol: float = 1e
         e = np.arange(begin[v], begin[v + 1])
         e = e[np.isfinite(phi[g.dst[e]]) & (g.pref[e] > 0)]
         if not len(e):
-            return np.inf, np.inf
+            raise ValueError(f"cell {g.cell[v]} has no successor with a finite distance to cell {g.cell[target]}")
         to, c, p = g.dst[e], g.cost[e], g.pref[e]
         if len(e) == 1:
             return float(c[0] + phi[to[0]] - np.log(p[0]) / theta), float(mean[to[0]] + c[0])
         energy = c + phi[to]
         least = energy.min()
         new = float(least - np.log((p * np.exp(theta * (least - energy))).sum()) / theta)
+        if not np.isfinite(new):
+            raise ValueError(f"the distance from cell {g.cell[v]} to cell {g.cell[target]} is not finite")
         q = p * np.exp(theta * (new - energy))
         return new, float((q * (c + mean[to])).sum())
 
@@ -433,6 +476,8 @@ def sweep_distances(g: Graph, target: int, approx: bool = False, tol: float = 1e
             change = [np.abs(x[ok] - y[ok]).max(initial=0.0) / max(x[ok].max(initial=0.0), 1e-300) for x, y in ((phi, old_phi), (mean, old_mean))]
             if max(change) < tol:
                 break
+    else:
+        raise RuntimeError(f"distances to cell {g.cell[target]} did not settle in {most} sweeps")
     return phi, mean
 
 

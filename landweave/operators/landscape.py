@@ -118,6 +118,28 @@ class Landscape:
         nodes = self.nodes.join(kept.withColumnRenamed("node", "cell"), "cell", "left_semi")
         return Landscape(self.spark, self.nrows, self.ncols, edges, nodes, self.qs, self.qt, self.landmarks, self.cost_name)
 
+    def impassable(self, cells: DataFrame, affinity: float = 1e-20, prune: bool = True) -> Landscape:
+        """The landscape with some cells (row, col) nearly closed: edges into and out of them get ``affinity`` (zero removes
+        them), their qualities become 0, costs follow from the new affinities, and what hangs off is pruned again."""
+        if self.cost_name is None:
+            raise ValueError("costs that are a table don't follow from affinities")
+        walls = cells.select("row", "col").distinct()
+        edges = self.edges.select("src", "dst", F.col("affinity").alias("value"))
+        numbered = walls.select(((F.col("col") - 1) * self.nrows + F.col("row")).cast("long").alias("cell"))
+        hit = walls.withColumn("_hit", F.lit(True))
+        zeroed = lambda q: q.join(hit, ["row", "col"], "left").select("row", "col", F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col("value")).alias("value"))
+        return Landscape.build(
+            self.spark, self.nrows, self.ncols, raster.impassable(edges, numbered, affinity), source_qualities=zeroed(self.qs), target_qualities=zeroed(self.qt),
+            landmarks=self.landmarks, costs=self.cost_name, prune=prune,
+        )
+
+    def check_symmetric(self) -> None:
+        """Raise unless costs are the same in both directions."""
+        e = self.edges
+        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cost").alias("back"))
+        if not e.join(back, ["src", "dst"], "left").where("back is null or abs(back - cost) > 1e-12").isEmpty():
+            raise ValueError("the view is undirected, but costs differ by direction")
+
     def with_landmarks(self, npix: int) -> Landscape:
         """The same landscape with the coarse-grained target qualities as landmarks."""
         qt = self.coarse_graining(npix)
@@ -149,7 +171,7 @@ class Landscape:
         edges = self.edges.select("src", "dst", "affinity", "cost")
         table = edges.limit(BROADCAST_EDGES + 1).toArrow()
         if table.num_rows > BROADCAST_EDGES:
-            raise ValueError(f"more than {BROADCAST_EDGES} edges: use graph.neumann and graph.least_cost, which keep the graph distributed")
+            raise ValueError(f"more than {BROADCAST_EDGES} edges: use DistributedModel and graph.least_cost, which keep the graph distributed")
         src, dst, affinity, cost = (table.column(c).to_numpy(zero_copy_only=False).astype(float if c in ("affinity", "cost") else int) for c in table.column_names)
         nodes = self.nodes.orderBy("cell").toPandas()
         cell = nodes["cell"].to_numpy(int)
@@ -161,7 +183,7 @@ class Landscape:
         qt = number("qt")
         if self.landmarks:
             qt = np.where(nodes["is_target"].to_numpy(bool), qt, 0.0)
-        return kernels.Graph(cell, nodes["col"].to_numpy(int), number("qs"), qt, targets, a, b, affinity, cost, kernels.reference_walk(len(cell), a, affinity))
+        return kernels.Graph(cell, nodes["col"].to_numpy(int), number("qs"), qt, targets, a, b, affinity, cost, kernels.reference_walk(len(cell), a, affinity), row=nodes["row"].to_numpy(int))
 
     # --- distances without a fitted model ----------------------------------------------------
 

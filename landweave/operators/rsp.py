@@ -196,7 +196,11 @@ class RspModel:
         return self.landscape.habitat_of(proximities, diagonal)
 
     def _degraded(self, cells: list[int] | None, transform, diagonal, avalue: float, qs_value: float, qt_value: float) -> DataFrame:
-        """cell, node, value: habitat of every node after each cell is degraded; all targets if ``cells`` is None."""
+        """cell, node, value: the habitat of every node after one of ``cells`` is degraded; or, where it is None, cell, after: the total of each target cell.
+
+        Each cell is factorised anew: with a low-rank update of one factorisation the tiny entries of a closed cell
+        would be differences of large ones.
+        """
         if not avalue > 0:
             raise ValueError("the affinity of a degraded cell must be positive")
         change = self._transform("expected_cost", transform)
@@ -205,15 +209,16 @@ class RspModel:
         which = g.targets if cells is None else np.searchsorted(g.cell, cells)
         if cells is not None and not np.isin(which, g.targets).all():
             raise ValueError("only targets can be degraded")
+        total = cells is None
 
         def work(g: kernels.Graph, at: np.ndarray) -> pa.Table:
             out = []
             for c in which[at]:
                 got = habitat(degrade(g, c, cost, avalue, qs_value, qt_value), change, diagonal)
-                out.append(pa.table({"cell": np.full(g.n, g.cell[c]), "node": g.cell, "value": got}))
+                out.append(pa.table({"cell": [g.cell[c]], "after": [float(got.sum())]}) if total else pa.table({"cell": np.full(g.n, g.cell[c]), "node": g.cell, "value": got}))
             return pa.concat_tables(out)
 
-        return dealt(self.spark, g, len(which), 4, work, "cell long, node long, value double")
+        return dealt(self.spark, g, len(which), 4, work, "cell long, after double" if total else "cell long, node long, value double")
 
     def connected_habitat_degraded(self, row: int, col: int, transform=None, diagonal: float | None = None, avalue: float = SMALLEST, qs_value: float = 0.0, qt_value: float = 0.0) -> DataFrame:
         """The habitat canvas after one cell is degraded: its edges nearly closed, its qualities replaced."""
@@ -229,11 +234,12 @@ class RspModel:
         Totals are over active cells. With ``strict_nan`` an inactive cell anywhere makes all values NaN.
         """
         change = self._transform("expected_cost", transform)
-        base = float(habitat(self.graph, change, diagonal).sum())
+        part = lambda g, at: pa.table({"value": [float(habitat(replace(g, targets=g.targets[at]), change, diagonal).sum())]})
+        base = dealt(self.spark, self.graph, len(self.graph.targets), BLOCK, part, "value double").agg(F.sum("value").alias("base"))
         if strict_nan and self.graph.n < self.landscape.nrows * self.landscape.ncols:
-            base = float("nan")
-        after = self._degraded(None, transform, diagonal, avalue, qs_value, qt_value).groupBy("cell").agg(F.sum("value").alias("after"))
-        return self.landscape.canvas(after.select("cell", (F.lit(base) - F.col("after")).alias("value")))
+            base = base.select(F.lit(float("nan")).alias("base"))
+        after = self._degraded(None, transform, diagonal, avalue, qs_value, qt_value)
+        return self.landscape.canvas(after.crossJoin(base).select("cell", (F.col("base") - F.col("after")).alias("value")))  # the base is one row
 
     # --- divergences -------------------------------------------------------------------------
 
@@ -298,26 +304,27 @@ class RspModel:
             return self._eigmax_by_power(connectivity, transform, diagonal, tol)
         change = self._transform(connectivity, transform)
 
-        def block(g: kernels.Graph, at: np.ndarray) -> pa.Table:
+        def scaled(g: kernels.Graph, at: np.ndarray) -> np.ndarray:
             targets = g.targets[at]
             s = kernels.solver(g)
             p = kernels.proximity(g, connectivity, s, kernels.fundamental(g, s, targets), targets, change, diagonal)
-            b = g.qs[:, None] * p * g.qt[targets]
-            return pa.table({"target": targets, "column": list(b.T)})
+            return g.qs[:, None] * p * g.qt[targets]
 
-        rows = dealt(self.spark, g, len(g.targets), BLOCK, block, "target long, column array<double>")
-        # k columns of n numbers, k bounded above
+        def inside(g: kernels.Graph, at: np.ndarray) -> pa.Table:
+            return pa.table({"target": g.targets[at], "column": list(scaled(g, at)[g.targets].T)})
+
+        rows = dealt(self.spark, g, len(g.targets), BLOCK, inside, "target long, column array<double>")
+        # k columns of k numbers, k bounded above
         found = {r["target"]: np.array(r["column"]) for r in rows.toLocalIterator()}
-        b = np.stack([found[t] for t in g.targets], axis=1)
-        inner = b[g.targets]
+        inner = np.stack([found[t] for t in g.targets], axis=1)
         value, v0 = dominant(inner, tol)
-        right = b @ v0 / value
-        right /= np.linalg.norm(right)
         _, u0 = dominant(inner.T, tol)
         left = np.zeros(g.n)
         left[g.targets] = u0 / u0[0] if u0[0] else u0
-        frame = lambda x: self.spark.createDataFrame(pa.table({"cell": g.cell, "value": x}))
-        return frame(left), value, frame(right)
+        part = dealt(self.spark, g, len(g.targets), BLOCK, lambda g, at: pa.table({"cell": g.cell, "value": scaled(g, at) @ v0[at]}), "cell long, value double")
+        right = part.groupBy("cell").agg((F.sum("value") / value).alias("value"))
+        length = float(right.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0])
+        return self.spark.createDataFrame(pa.table({"cell": g.cell, "value": left})), value, right.withColumn("value", F.col("value") / length)
 
     def _eigmax_by_power(self, connectivity: str, transform, diagonal, tol: float) -> tuple[DataFrame, float, DataFrame]:
         """The same from products with the pairs, which stay distributed; vectors of the targets are held by the driver."""
@@ -490,17 +497,15 @@ def brandes(land: Landscape) -> DataFrame:
 
     Costs must be the same in both directions.
     """
-    e = land.edges
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cost").alias("back"))
-    if not e.join(back, ["src", "dst"], "left").where("back is null or abs(back - cost) > 1e-12").isEmpty():
-        raise ValueError("the view is undirected, but costs differ by direction")
+    land.check_symmetric()
     g = land.arrays
     part = dealt(land.spark, g, g.n, 16, lambda g, at: pa.table({"cell": g.cell, "value": sum(kernels.brandes(g, int(s)) for s in at)}), "cell long, value double")
     return land.canvas(part.groupBy("cell").agg((F.sum("value") / 2).alias("value")))
 
 
 def floyd_warshall(land: Landscape) -> DataFrame:
-    """node, target, value: least costs between all cells of the undirected view."""
+    """node, target, value: least costs between all cells of the undirected view; costs must be the same in both directions."""
+    land.check_symmetric()
     every = Landscape(land.spark, land.nrows, land.ncols, land.edges, land.nodes.withColumn("is_target", F.lit(True)), land.qs, land.qt, False, land.cost_name)
     return every.least_cost_distance()
 

@@ -289,3 +289,18 @@ def _coarse(npix: int | None) -> str:
 add("coarseness_corr", " UNION ALL ".join(
     f"SELECT {p}::INT AS npix, round(sum(x.value) / sum(y.value), 6) AS ratio, round(corr(x.value, y.value), 6) AS correlation FROM ({_coarse(p)}) x JOIN ({_coarse(None)}) y USING (cell)" for p in (1, 3)
 ))
+add("underestimation", f"SELECT round((1 - sum(x.value) / sum(y.value)) * 100, 6) AS value FROM ({_coarse(3)}) x FULL JOIN ({_coarse(None)}) y USING (cell)")
+for _name in ("expected_cost", "betweenness_q", "edge_betweenness_q"):
+    add(f"{_name}_distributed", _SQL[_name])
+add("connected_habitat_distributed", _SQL["connected_habitat_survival"])
+# No cell is cut off by an affinity of 1e-20, so nothing is pruned.
+add("landscape_impassable", f"""WITH {SHIP}, {edges_sql('ship', 'affinity', 31, 12)}
+SELECT src, dst, 1.0::DOUBLE AS affinity, round(-ln(1e-20::DOUBLE), 6) AS cost, round(q, 6) AS qs, round(q, 6) AS qt FROM edges
+JOIN (SELECT ((col - 1) * 31 + "row")::BIGINT AS dst, CASE WHEN "row" = 15 THEN 0 ELSE quality END AS q FROM ship) USING (dst)
+WHERE src IN (SELECT ((col - 1) * 31 + "row")::BIGINT FROM ship) AND ((src - 1) % 31 = 14 OR (dst - 1) % 31 = 14)""")
+_PARTS = f"""WITH side AS (SELECT ceil(sqrt(max(p_partkey) + 1))::BIGINT AS s, max(p_retailprice)::DOUBLE AS top FROM part),
+cells AS (SELECT p_partkey % s + 1 AS "row", p_partkey // s + 1 AS col, 0.5 * p_retailprice::DOUBLE / top AS v FROM part, side), st(dr, dc, len) AS (VALUES {N8}),
+edges AS (SELECT ((col - dc - 1) * s + "row" - dr)::BIGINT AS src, ((col - 1) * s + "row")::BIGINT AS dst, v / len AS value
+  FROM cells, st, side WHERE v <> 0 AND "row" - dr BETWEEN 1 AND s AND col - dc BETWEEN 1 AND s)"""
+add("parts_adjacency", f"{_PARTS} SELECT src, dst, round(value, 6) AS value FROM edges")
+add("parts_outdegrees", f"{_PARTS} SELECT src AS cell, round(sum(value), 6) AS value FROM edges GROUP BY src")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from landweave.functions import transforms
 from landweave.operators import graph, kernels, raster, rsp
 from landweave.operators.landscape import Landscape, missing_affinities
+from landweave.operators.distributed import DistributedModel
 from landweave.operators.rsp import RspModel
 from landweave.plans import tables
 from landweave.plans.stages import shared_dir, written
@@ -200,6 +201,51 @@ def wall_impassable(spark, sf_dir):
     return rounded(raster.wall_affinities(spark, *WALL, impossible=0.0, corridor_widths=(3, 2)), digits=9)
 
 
+@query
+def landscape_impassable(spark, sf_dir):
+    """The ship landscape with its fifteenth day closed: edges that touch it, with the quality of where they lead."""
+    land = tables.ship_landscape(spark, sf_dir, None)
+    closed = land.impassable(land.nodes.where("row = 15"))
+    nodes = closed.nodes.select(F.col("cell").alias("dst"), "qs", "qt")
+    touched = closed.edges.where("(src - 1) % 31 = 14 or (dst - 1) % 31 = 14").join(nodes, "dst")
+    return rounded(touched.select("src", "dst", (F.col("affinity") * 1e20).alias("affinity"), "cost", "qs", "qt"), "affinity", "cost", "qs", "qt")
+
+
+# --- a raster that grows with the tables -------------------------------------------------------------
+
+
+@query
+def parts_adjacency(spark, sf_dir):
+    cells, side = tables.parts_grid(spark, sf_dir)
+    return rounded(raster.raster_graph(tables.value_of(cells, "affinity"), side, side))
+
+
+@query
+def parts_outdegrees(spark, sf_dir):
+    cells, side = tables.parts_grid(spark, sf_dir)
+    return rounded(raster.outdegrees(raster.raster_graph(tables.value_of(cells, "affinity"), side, side)).select("cell", "value"))
+
+
+@query
+def parts_least_cost(spark, sf_dir):
+    return tables.parts_landscape(spark, sf_dir).least_cost_distance()
+
+
+@query
+def parts_habitat(spark, sf_dir):
+    return RspModel(tables.parts_landscape(spark, sf_dir), THETA).connected_habitat("survival_probability")
+
+
+@query
+def parts_expected_cost(spark, sf_dir):
+    return RspModel(tables.parts_landscape(spark, sf_dir), THETA).expected_cost()
+
+
+@query
+def parts_flow(spark, sf_dir):
+    return RspModel(tables.parts_landscape(spark, sf_dir), THETA).betweenness_qweighted()
+
+
 @query
 def mask_reconcile(spark, sf_dir):
     parts = tables.value_of(tables.part_cells(spark, sf_dir), "affinity")
@@ -238,7 +284,7 @@ def euclid_distance(spark, sf_dir, npix):
 def ascgrid_roundtrip(spark, sf_dir):
     """The ship raster written as an ASCII grid to the shared folder and read again."""
     cells = tables.value_of(tables.ship_cells(spark, sf_dir), "affinity")
-    path = f"{shared_dir(spark).rstrip('/')}/{next(tempfile._get_candidate_names())}.asc"
+    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}.asc"
     meta = ascgrid.RasterMeta(ncols=SHIP[1], nrows=SHIP[0], cellsize=1.0)
     ascgrid.write_ascgrid(cells, path, meta)
     back, found = ascgrid.read_ascgrid(spark, path)
@@ -514,6 +560,39 @@ def coarseness_corr(spark, sf_dir):
     return rounded(rsp.coarseness_sweep(tables.ship_landscape(spark, sf_dir, None), THETA, [1, 3], connectivity="survival_probability"), "ratio", "correlation")
 
 
+@query
+def underestimation(spark, sf_dir):
+    """By how many percent landmarks fall short of the whole landscape's total habitat."""
+    land = tables.ship_landscape(spark, sf_dir, None)
+    total = lambda x, name: RspModel(x, THETA).connected_habitat("survival_probability").agg(F.sum("value").alias(name))
+    both = total(land.with_landmarks(NPIX), "part").crossJoin(total(land, "whole"))  # one row each
+    return rounded(both.select(rsp.underestimation(F.col("part"), F.col("whole")).alias("value")))
+
+
+def distributed(spark: SparkSession, sf_dir: str) -> DistributedModel:
+    return DistributedModel(tables.ship_landscape(spark, sf_dir, NPIX), THETA)
+
+
+@query
+def expected_cost_distributed(spark, sf_dir):
+    return rounded(distributed(spark, sf_dir).expected_cost())
+
+
+@query
+def connected_habitat_distributed(spark, sf_dir):
+    return rounded(distributed(spark, sf_dir).connected_habitat("survival_probability"))
+
+
+@query
+def betweenness_q_distributed(spark, sf_dir):
+    return rounded(distributed(spark, sf_dir).betweenness())
+
+
+@query
+def edge_betweenness_q_distributed(spark, sf_dir):
+    return rounded(distributed(spark, sf_dir).edge_betweenness())
+
+
 @everywhere(5)
 def theta_calibration(spark, sf_dir, npix):
     land = tables.ship_landscape(spark, sf_dir, npix)

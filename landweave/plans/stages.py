@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where none is set and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='landweave-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session ended before
+        return
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone when the interpreter ends
-        pass
+    except (Py4JError, ConnectionError) as e:  # scratch data, so a failure mustn't end the job
+        logging.getLogger(__name__).warning("could not remove %s: %s", path, e)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,32 @@ def ship_landscape(spark: SparkSession, sf_dir: str, npix: int | None = 3, costs
     return Landscape.build(spark, *SHIP, edges, qualities=quality, costs=costs, **marks)
 
 
+def parts_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """row, col, affinity, quality of a square raster with a cell for each part, and its side: it grows with the tables.
+
+    A part's affinity is its share of the dearest part's price, up to 0.5, its quality its share of the largest quantity sold.
+    """
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("key"), "p_retailprice")
+    last, top = parts.agg(F.max("key"), F.max("p_retailprice")).first()
+    side = math.isqrt(last or 0) + 1  # keys count from 0
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("key")).agg(F.sum("l_quantity").cast("double").alias("q"))
+    cells = parts.join(sold, "key", "left").select(
+        F.expr(f"cast(key % {side} + 1 as int)").alias("row"), F.expr(f"cast(key div {side} + 1 as int)").alias("col"),
+        (0.5 * F.col("p_retailprice").cast("double") / float(top or 1.0)).alias("affinity"), F.coalesce("q", F.lit(0.0)).alias("quality"),
+    )
+    return cells, side
+
+
+def parts_landscape(spark: SparkSession, sf_dir: str, marks: int = 5) -> Landscape:
+    """The parts' raster as a landscape with about ``marks`` squared landmarks."""
+    cells, side = parts_grid(spark, sf_dir)
+    cells = written(cells, "cells")
+    quality = value_of(cells, "quality")
+    npix = max(1, side // marks)
+    edges = raster.raster_graph(value_of(cells, "affinity"), side, side)
+    return Landscape.build(spark, side, side, edges, qualities=quality, target_qualities=raster.coarse_graining(quality, side, side, npix), landmarks=True)
+
+
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, value: each supplier nation's share of revenue by customer nation, as nodes 1 to 25."""
     revenue = (

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -45,11 +45,15 @@ def parse_header(lines: list[str]) -> RasterMeta:
 
 def read_ascgrid(spark: SparkSession, path: str, check: bool = True) -> tuple[DataFrame, RasterMeta]:
     """(raster, header). ``check`` compares the body's shape with the header (one pass)."""
-    lines = spark.read.format("text").option("wholetext", False).load(path)
-    # The line's place comes with the file's rows, so one file's order is kept without a shuffle or a driver pass.
-    head = [r[0] for r in lines.limit(len(KEYS)).collect()]
-    meta = parse_header(head)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("line long, value string")
+    # A split of the file begins at its block's start, and its lines follow in order: together they give a line's place.
+    # Blocks are numbered through over the small table of their sizes, lines only within their block.
+    at = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select("value", at.alias("block"), F.monotonically_increasing_id().alias("place"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    starts = lines.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1
+    numbered = lines.withColumn("within", within).join(starts, "block").select((F.col("start") + F.col("within")).alias("line"), "value")
+    meta = parse_header([r.value for r in numbered.where(F.col("line") < len(KEYS)).orderBy("line").collect()])
     body = numbered.where((F.col("line") >= len(KEYS)) & (F.trim("value") != "")).select(
         (F.col("line") - len(KEYS) + 1).cast("int").alias("row"), F.split(F.trim("value"), r"\s+").alias("cells")
     )

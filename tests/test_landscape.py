@@ -327,3 +327,97 @@ def test_sweeps_and_composites(spark, small):
     assert kl == pytest.approx(want, rel=1e-2)
     assert "3 x 4" in repr(open_) and "theta" in RspModel(open_, 1.0)._repr_html_()
     assert not RspModel(open_, 1.0).underflow()
+
+
+def test_solver_takes_the_shorter_side():
+    rng = np.random.default_rng(5)
+    for nrows, ncols in ((9, 4), (4, 9), (1, 7), (7, 1)):
+        row, col = (x.ravel() for x in np.meshgrid(np.arange(nrows), np.arange(ncols), indexing="ij"))
+        near = np.argwhere((np.abs(row[:, None] - row) <= 1) & (np.abs(col[:, None] - col) <= 1) & (rng.random((row.size, row.size)) < 0.9))
+        src, dst = near.T
+        w = rng.random(len(src)) / 10
+        a = np.eye(row.size)
+        np.subtract.at(a, (src, dst), w)
+        s, b = kernels.Solver(row.size, src, dst, w, col, row), rng.random((row.size, 3))
+        assert max(len(i) for i in s.inv) == min(nrows, ncols)
+        assert np.allclose(s.solve(b), np.linalg.solve(a, b)) and np.allclose(s.solve_transposed(b), np.linalg.solve(a.T, b))
+    s = kernels.Solver(row.size, np.array([0]), np.array([6]), np.array([0.5]), np.arange(7))  # no lattice
+    assert len(s.inv) == 1 and s.solve(np.eye(7))[0, 6] == 0.5
+
+
+def test_solver_is_bounded(monkeypatch):
+    monkeypatch.setattr(kernels, "SOLVER_BYTES", 8 * 16 * 3)
+    i = np.arange(16)
+    kernels.Solver(16, i[:-1], i[1:], np.full(15, 0.1), i // 2)
+    with pytest.raises(ValueError, match="DistributedModel"):
+        kernels.Solver(16, i[:-1], i[1:], np.full(15, 0.1), i // 8)
+
+
+def test_distributed_model(spark):
+    """By joins and sums alone, at a low temperature too."""
+    from landweave.operators.distributed import DistributedModel
+
+    q = raster.cells(spark, 3, 4).select("row", "col", (F.col("cell") / 10).alias("value"))
+    land = Landscape.build(spark, 3, 4, raster.map_values(raster.lattice(spark, 3, 4), lambda v: v * 0.5), qualities=q)
+    theta = 0.05
+    one, two = RspModel(land, theta), DistributedModel(land, theta)
+    for name in ("expected_cost", "free_energy_distance", "power_mean_proximity"):
+        a = {(r.node, r.target): r.value for r in getattr(one, name)().collect()}
+        b = {(r.node, r.target): r.value for r in getattr(two, name)().collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-7 * max(1, abs(a[k])) for k in a)
+    near = lambda x, y: np.allclose(x.orderBy("row", "col").toPandas()["value"], y.orderBy("row", "col").toPandas()["value"], rtol=1e-6)
+    assert near(one.connected_habitat(diagonal=0.0), two.connected_habitat(diagonal=0.0))
+    assert near(one.betweenness_kweighted(), two.betweenness("expected_cost"))
+    assert one.mean_kl_divergence().first()[0] == pytest.approx(two.mean_kl_divergence().first()[0], rel=1e-5)
+    edges = lambda df: {(r.src, r.dst): r.value for r in df.collect()}
+    a, b = edges(one.edge_betweenness_qweighted()), edges(two.edge_betweenness())
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-6 * max(1, abs(a[k])) for k in a)
+
+
+def test_impassable_landscape(spark):
+    land = Landscape.build(spark, 3, 5, raster.map_values(raster.lattice(spark, 3, 5), lambda v: v * 0.5))
+    wall = spark.createDataFrame([(r, 3) for r in (1, 2, 3)], "row int, col int")
+    closed = land.impassable(wall)
+    for e in closed.edges.collect():
+        hit = 7 <= e.src <= 9 or 7 <= e.dst <= 9
+        assert e.affinity == (1e-20 if hit else pytest.approx(e.affinity)) and (not hit or e.cost == pytest.approx(-np.log(1e-20)))
+    assert {r.cell: (r.qs, r.qt) for r in closed.nodes.collect()} == {k: (0.0, 0.0) if 7 <= k <= 9 else (1.0, 1.0) for k in range(1, 16)}
+    cut = land.impassable(wall, affinity=0.0)  # both halves have six cells; that of the least cell stays
+    assert sorted(r.cell for r in cut.nodes.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_directed_costs_have_no_undirected_view(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.1)], "src long, dst long, value double")
+    land = Landscape.build(spark, 2, 1, edges)
+    for f in (rsp.floyd_warshall, rsp.brandes):
+        with pytest.raises(ValueError, match="direction"):
+            f(land)
+
+
+def test_sweeps_end_with_an_error(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.5)], "src long, dst long, value double")  # 3 has no way back
+    g = Landscape.build(spark, 3, 1, edges, prune=False).arrays
+    g.theta = 1.0
+    with pytest.raises(ValueError, match="successor"):
+        kernels.sweep_distances(g, 0)
+    h = Landscape.build(spark, 2, 1, edges.where("dst < 3")).arrays
+    h.theta = 1.0
+    with pytest.raises(RuntimeError, match="settle"):
+        kernels.sweep_distances(h, 0, most=1)
+
+
+def test_landscape_of_parts_grows(spark):
+    from landweave.plans import queries, tables
+
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        land = tables.parts_landscape(spark, f"/root/testdata/{sf}")
+        sizes.append(land.nrows)
+    assert sizes[1] > 2 * sizes[0]
+    g = tables.parts_landscape(spark, "/root/testdata/sf0.001").arrays
+    w = np.zeros((g.n, g.n))
+    w[g.src, g.dst] = g.pref * np.exp(-g.cost)
+    z = np.linalg.inv(np.eye(g.n) - w)[:, g.targets]
+    want = g.qs * ((z / z[g.targets, np.arange(len(g.targets))]) @ g.qt[g.targets])
+    got = queries.registry()["parts_habitat"](spark, "/root/testdata/sf0.001").where("value is not null and not isnan(value)").orderBy("col", "row").toPandas()["value"]
+    assert np.allclose(got, want)
