@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import written
+from landweave.llm.common import discard, written
 
 ROUNDS = 60
 
@@ -48,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not seen[0]:
             break
-        now = written(_small(_large(now)), "edges")
+        before, now = now, written(_small(_large(now)), "edges")
+        discard(before)
         if (mark := _print(now)) == seen:
             break
         seen = mark

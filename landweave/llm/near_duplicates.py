@@ -433,7 +433,10 @@ def merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     new = components(raised).select(F.col("node").alias("root"), F.col("root").alias("new"))
     moved = groups.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = new.join(groups.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))
-    return written(moved.unionByName(fresh), "groups")
+    out = written(moved.unionByName(fresh), "groups")
+    discard(groups)
+    discard(links)
+    return out
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
