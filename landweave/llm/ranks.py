@@ -46,8 +46,9 @@ def ranked(df: DataFrame, group: list[str], bucket: str, order: list[Column], na
     sizes = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
     starts = running(sizes, group, bucket).select(*[F.col(c).alias(f"_k{c}") for c in (*group, bucket)], "_start")
     own = Window.partitionBy(*group, bucket).orderBy(*order)
-    on = F.lit(True)
-    for c in (*group, bucket):
+    # a plain equality of the buckets, so that without a group the window's partitioning serves the join too
+    on = F.col(bucket) == F.col(f"_k{bucket}")
+    for c in group:
         on = on & F.col(c).eqNullSafe(F.col(f"_k{c}"))
     local = df.withColumn("_row", F.row_number().over(own) - 1)
     return (
