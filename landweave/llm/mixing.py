@@ -26,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landweave.llm.common import free, joined, partitions, unit_hash
+from landweave.llm.common import free, joined, partitions, unit_hash, written
 from landweave.llm.ranks import bucket_count, hash_bucket, ranked
 
 SEED = "mix-1"
 #: The largest rate that is drawn at once.
 PART = 256
+#: Sources up to which the table of rates is broadcast, of 4 KB each at most; with more it is joined by a shuffle.
+SOURCES = 10_000
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int | None) -> DataFrame:
@@ -70,6 +72,9 @@ def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None,
     table = rates(docs, weights, total)
     table = table.select("mix_source", F.greatest(F.ceil(F.col("mix_rate") / PART), F.lit(1)).cast("long").alias("parts"), "mix_rate")
     table = table.select("mix_source", "parts", (F.col("mix_rate") / F.col("parts")).alias("rate")).withColumn("cdf", thresholds("rate"))
+    table = written(table, "rates")
+    if table.limit(SOURCES + 1).count() <= SOURCES:
+        table = F.broadcast(table)
     packed = docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     drawn = (
         packed.join(table, packed["source"].eqNullSafe(table["mix_source"]), "inner")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landweave.llm.common import written
+
 #: Rows aimed at for one bucket, and buckets for one run: 10^11 rows make 50,000 runs.
 PER_BUCKET, PER_RUN = 512, 4096
 
@@ -43,7 +45,7 @@ def ranked(df: DataFrame, group: list[str], bucket: str, order: list[Column], na
     ``bucket`` (a number) must not fall where ``order`` rises. Null groups are a group of their own. Names that begin
     with an underscore are used inside.
     """
-    sizes = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = written(df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n")), "sizes")  # read twice below
     starts = running(sizes, group, bucket).select(*[F.col(c).alias(f"_k{c}") for c in (*group, bucket)], "_start")
     own = Window.partitionBy(*group, bucket).orderBy(*order)
     # a plain equality of the buckets, so that without a group the window's partitioning serves the join too
