@@ -201,7 +201,7 @@ def test_near_duplicates_in_parts(spark, monkeypatch):
     best = {}
     for k, n, c in groups([(k, t) for k, (_, t) in enumerate(data)]):
         d, t = data[k]
-        best[c if n else (k,)] = min(best.get(c if n else (k,), (True, 0, "")), (d is None, d or 0, t))
+        best[c if n else (k,)] = min(best.get(c if n else (k,), (True, 1, "")), (d is None, d or 0, t))
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((None if no else d, t) for no, d, t in best.values())
     assert {tuple(r.values()) for r in kept} <= {(*r, k) for k, r in enumerate(data)}
 
