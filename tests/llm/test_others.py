@@ -2,15 +2,17 @@
 
 import gzip
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landweave.llm import neighbours, warc
+from landweave.llm import neighbours, pieces, pii, quality_rules, warc
 
 pytest.importorskip("public_tokenizers")
+from test_documents import base, plain_spans, poisson, shingles, uniform  # noqa: E402
 
 
 def exact(ids, x, k=20, every=20):
@@ -129,24 +131,111 @@ def test_archives_are_read_back(spark, tmp_path):
     assert warc.stored(one).first().sha256 == hashlib.sha256(warc.records(one).first().record.encode()).hexdigest()
 
 
-def test_pipeline(spark, odd, labels, tmp_path):
+def by_quality(docs, labels):
+    """Rows that no base rule rejects and whose mean log ratio, from plain counts, reaches the threshold."""
+    good = {r.doc_id for r in labels if r.quality == 1 and r.toxic == 0}
+    raw, target = np.ones(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    grams = []
+    for r in docs:
+        b = np.frombuffer((r.text or "").encode(), np.uint8)
+        grams.append(quality_rules.buckets_of(b, np.array([0, len(b)]), 4, quality_rules.BUCKETS)[0])
+        np.add.at(raw, grams[-1], 1)
+        if r.doc_id in good:
+            np.add.at(target, grams[-1], 1)
+    ratio = quality_rules.log_ratio(raw, target)
+    return [r for r, g in zip(docs, grams, strict=True) if not base(r.text or "")["base_failed"] and np.mean(ratio[g]) >= quality_rules.THRESHOLD]
+
+
+def by_texts(docs):
+    """Sets of rows of which one each must stay: that of the least id; rows without words all stay."""
+    sets = [shingles(r.text or "") for r in docs]
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if sets[a] and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return [[docs[k] for k in range(len(docs)) if group[k] == g] for g in sorted(set(group))]
+
+
+def masked(text, spans):
+    for kind, a, b in sorted(spans, key=lambda s: -s[1]):
+        text = text[:a] + f"<{kind.upper()}>" + text[b:]
+    return text
+
+
+def by_copies(docs):
+    n = Counter(r.source for r in docs)
+    out = Counter()
+    for r in docs:
+        out[r] += poisson(uniform("mix-1", "null" if r.doc_id is None else r.doc_id, 0), len(docs) / len(n) / n[r.source])
+    return +out
+
+
+def test_pipeline(spark, odd, tmp_path):
+    """Every stage against a brute-force version on its own input, and the whole against its stages."""
     import corpus_pipeline
-
-    good = [(200 + k, " ".join(f"{w}{k}" for w in "the quick brown fox jumps over a lazy dog while rain falls on old stone walls and small green birds sing of spring".split()), "en", "a", 9) for k in range(30)]
-    docs = odd.unionByName(spark.createDataFrame([*good, (300, good[0][1], "en", "a", 9)], odd.schema))
+    import public_tokenizers
+
+    rng = random.Random(4)
+    made = lambda letters, n: [("".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))) for _ in range(n)]
+    good = [made("abcdefgh", 150) for _ in range(60)]
+    extra = ["", " a.b@c.example.com", " call +1 (212) 555-0100 now", " at 10.0.0.1\nend", " card 4111111111111111"]
+    data = [(200 + k, " ".join(w) + extra[k % 5], "en", f"s{k % 3 if k % 2 else 0}", 9) for k, w in enumerate(good)]
+    data += [(300 + k, " ".join([*w[:70], "new", *w[71:]]), "en", "s1", 9) for k, w in enumerate(good[:20])]  # near copies
+    data += [(400 + k, " ".join(made("vwxyz", 150)), "en", "s2", 9) for k in range(20)]  # unlike the target
+    data += [data[3], (201, " ".join(made("abcdefgh", 90)), "fr", None, 9), (None, data[7][1], "en", "s0", 9), (None, " ".join(good[30][:100]), "en", "s0", 9)]
+    docs = odd.unionByName(spark.createDataFrame(data, odd.schema))
+    labels = spark.createDataFrame([(200 + k, 1, 0) for k in range(60)] + [(k, 0, 0) for k in range(400, 410)] + [(10, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, now, str(tmp_path))
-        out.write.parquet(str(tmp_path / str(k)))
-        before, now = now, spark.read.parquet(str(tmp_path / str(k)))
-        if k < 4:
-            assert now.columns == before.columns
-        if name == "near-duplicates":
-            ids = [r.doc_id for r in now.collect() if r.doc_id is not None]
-            assert len(ids) == len(set(ids)) and 300 not in ids
-    assert now.count() and corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    stages = [spark.read.parquet(str(tmp_path / "documents.parquet"))]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, stages[-1], str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        stages.append(spark.read.parquet(str(tmp_path / str(k))))
+        assert k == 4 or stages[-1].columns == docs.columns
+    raw, sound, single, clean, mixture, pieced = (s.collect() for s in stages)
+
+    assert Counter(sound) == Counter(by_quality(raw, labels.collect()))
+    ids = {r.doc_id for r in sound}
+    assert ids >= set(range(200, 260)) and not ids & set(range(400, 420))
+
+    left = Counter(single)
+    for group in by_texts(sound):
+        mine = [r for r in group if r in left]
+        if not shingles(group[0].text or ""):
+            assert left[group[0]] == Counter(sound)[group[0]]
+            continue
+        assert sum(left[r] for r in set(mine)) == 1 and mine[0].doc_id == min((r.doc_id for r in group if r.doc_id is not None), default=None)
+    assert left <= Counter(sound) and len(single) < len(sound) - 20
+
+    weights = pii.trained()
+    want = Counter()
+    for r in single:
+        spans = pii.all_spans(r.text, weights)[1]
+        assert set(plain_spans(r.text)) <= set(map(tuple, spans))
+        text = masked(r.text, spans)
+        want[(r.doc_id, text, r.lang, r.source, len(text))] += 1
+    assert Counter(map(tuple, clean)) == want and sum("<EMAIL>" in r.text for r in clean) >= 10
+
+    assert Counter(mixture) == by_copies(clean)
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.load(path)
+    spelled = Counter((r.doc_id, pieces.decode(model, r.ids)) for r in pieced)
+    assert spelled == Counter({(d, t): 2 * n for (d, t), n in Counter((r.doc_id, r.text) for r in mixture).items()})
+    row = lambda r: (r.doc_id, r.sample, tuple(r.ids), r.log_prob)
+    assert Counter(map(row, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(row, pieced))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("empty", empty)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert all(r.round_trip for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect())
 
 
 def test_registry():
