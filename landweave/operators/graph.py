@@ -33,8 +33,48 @@ def strong_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     return pairs.groupBy().applyInArrow(label, "node long, component long")
 
 
+def joined_both_ways(edges: DataFrame) -> DataFrame:
+    """node, root: nodes connected by edges that run in both directions, with the least node of their group.
+
+    Alternating stars: every node hands its larger neighbours, then its smaller ones, to the least node that it knows, so
+    the rounds grow with the logarithm of the nodes and not with the length of paths.
+    """
+    down = (F.col("src") > F.col("dst")).alias("down")
+    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"), down)
+    star = written(pairs.groupBy("u", "v").agg(F.min("down").alias("a"), F.max("down").alias("b")).where("a <> b").select("u", "v"), "scc")
+    while True:
+        both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "scc")
+        ends = F.explode(F.array(F.col("u"), F.col("v"))).alias("u")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(ends, F.col("m").alias("v")).where("u <> v").distinct()
+        small = written(small, "scc")
+        settled = small.count() == star.count() and small.join(star, ["u", "v"], "left_anti").isEmpty()
+        discard(large)
+        discard(star)
+        star = small
+        if settled:
+            return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
 def strong_components_by_colour(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """The same without a size limit: the largest id floods forward; what reaches its root within its colour is a component."""
+    """The same without a size limit.
+
+    Nodes that edges in both directions connect are one group, as on a raster most are; the groups are found in few
+    rounds, and only what lies between them is flooded.
+    """
+    edges = written(edges.select("src", "dst").distinct(), "scc")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    group = written(nodes.join(joined_both_ways(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "scc")
+    of = lambda c, r: group.select(F.col("node").alias(c), F.col("root").alias(r))
+    between = edges.join(of("src", "rs"), "src").join(of("dst", "rd"), "dst").where("rs <> rd").select(F.col("rs").alias("src"), F.col("rd").alias("dst"))
+    found = flooded(between, rounds).withColumnRenamed("node", "root")
+    return group.join(found, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+
+
+def flooded(edges: DataFrame, rounds: int) -> DataFrame:
+    """node, component: the largest id floods forward; what reaches its root within its colour is a component."""
     left = written(edges.distinct(), "scc")
     nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
     done = None

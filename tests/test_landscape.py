@@ -1,5 +1,7 @@
 """Golden values, identities and errors of the landscape operators."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from landweave.operators import graph, kernels, raster, rsp
 from landweave.operators.landscape import Landscape
 from landweave.operators.rsp import RspModel, brandes, calibrate, floyd_warshall, theta_sweep
 from landweave.plans.stages import written
+from landweave.sources.ascgrid import read_ascgrid
 
 
 def grid(df):
@@ -421,3 +424,37 @@ def test_landscape_of_parts_grows(spark):
     want = g.qs * ((z / z[g.targets, np.arange(len(g.targets))]) @ g.qt[g.targets])
     got = queries.registry()["parts_habitat"](spark, "/root/testdata/sf0.001").where("value is not null and not isnan(value)").orderBy("col", "row").toPandas()["value"]
     assert np.allclose(got, want)
+
+
+def test_components_of_long_and_mixed_graphs(spark):
+    rng = np.random.default_rng(3)
+    corridor = [(k, k + 1) for k in range(1, 400)] + [(k + 1, k) for k in range(1, 400)]
+    one_way = [(400, 500), (500, 501), (501, 502), (502, 500), (502, 600), (600, 601), (601, 600), (600, 600), (700, 700)]
+    mixed = [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 16, (24, 2))]
+    cut = spark.createDataFrame(corridor + one_way + mixed + corridor[:5], "src long, dst long")
+    want = {tuple(x) for x in graph.strong_components(cut).collect()}
+    got = graph.strong_components_by_colour(cut).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert {c for n, c in want if n <= 400} == {1} and (601, 600) in want and (700, 700) in want
+    assert graph.strong_components_by_colour(cut.limit(0)).isEmpty()
+
+
+@pytest.mark.skipif("GRID_AFFINITIES" not in os.environ, reason="GRID_AFFINITIES and GRID_QUALITIES name no 44 x 59 rasters")
+def test_real_rasters_golden(spark):
+    aff, meta = read_ascgrid(spark, os.environ["GRID_AFFINITIES"])
+    own, _ = read_ascgrid(spark, os.environ["GRID_QUALITIES"])
+    tiny = aff.where("value > 0").select("row", "col", F.lit(1e-20).alias("tiny"))
+    q = own.join(tiny, ["row", "col"], "full").select("row", "col", F.coalesce("value", "tiny").alias("value"))
+    model = RspModel(Landscape.build(spark, meta.nrows, meta.ncols, raster.raster_graph(aff, meta.nrows, meta.ncols), qualities=q), 0.1)
+    g = model.graph
+    last = np.lexsort((g.src, g.dst))[-3:]
+    assert g.pref[last] == pytest.approx([0.00031266870414554466, 0.00018055948867712768, 0.0001228960184654185])
+    assert g.w[last] == pytest.approx([5.521044625610329e-5, 3.300719810371289e-5, 2.1700745653826738e-5])
+    assert model.mean_kl_divergence().first()[0] == pytest.approx(323895.3828183995, rel=1.5e-8)
+    assert model.mean_lc_kl_divergence().first()[0] == pytest.approx(1.5660600315073947e6, rel=1.5e-8)
+    flow = grid(model.betweenness_qweighted()).loc[21:23, 21:23].to_numpy()
+    assert flow.ravel() == pytest.approx([1930.1334372152335, 256.91061166392745, 2866.2998374065373, 4911.996715311025, 1835.991238248377, 720.755518530375, 4641.815380725279, 3365.3296878569213, 477.1085971945757], rel=1.5e-8)
+    flow = grid(model.betweenness_kweighted(transform=lambda t: np.exp(-t / 50))).loc[21:23, 31:33].to_numpy()
+    assert flow.ravel() == pytest.approx([980.5828087688377, 1307.981162399926, 1602.8445739784497, 826.0710054834001, 1883.0940077789735, 1935.4450344630702, 676.9212075214159, 2228.2700913772774, 2884.0409495023364], rel=1.5e-8)
+    degraded = model.connected_habitat_degraded(20, 20).agg(F.sum("value")).first()[0]
+    assert degraded == pytest.approx(109.4795495188798, rel=1.5e-8)
