@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.plans.stages import discard, written  # noqa: F401
+from landweave.plans.stages import discard, keep, scope, scratch, written  # noqa: F401
 
 #: A word is a run of bytes other than these; ``bytes.split()`` splits on the same six.
 SPACE = b" \t\n\x0b\x0c\r"

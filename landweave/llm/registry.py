@@ -242,3 +242,87 @@ WITH RECURSIVE w AS (
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from landweave.llm.vector_codes import encoded
+
+    return encoded(table(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds written one after another; every number is an integer that doubles hold."""
+    near = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+a{k} AS MATERIALIZED (SELECT row, p, min(({near})::BIGINT * {entries} + k) AS best FROM parts JOIN c{k} USING (p) GROUP BY row, p)"""
+        if k < rounds:
+            steps += f""",
+m{k} AS (
+  SELECT p, k, list(((s - ((s % n + n) % n)) // n)::DOUBLE ORDER BY i) AS c FROM (
+    SELECT p, best % {entries} AS k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{k} JOIN parts USING (row, p), range(1, w + 1) t(i) GROUP BY 1, 2, 3
+  ) GROUP BY p, k
+), c{k + 1} AS MATERIALIZED (SELECT p, k, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, k))"""
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, len(embedding) // {parts} AS w, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT row, p, w, v[p * w + 1:p * w + w] AS v FROM kept, range({parts}) t(p)
+), c0 AS (SELECT p, row - 1 AS k, v AS c FROM parts WHERE row <= {entries}){steps}
+, coded AS (
+  SELECT row, string_agg(lower(substr('0123456789ABCDEF', (best % {entries} // 16 + 1)::INT, 1) || substr('0123456789ABCDEF', (best % 16 + 1)::INT, 1)), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error
+  FROM a{rounds} GROUP BY row
+), book AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, k)) AS sha FROM c{rounds}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded JOIN kept USING (row), book
+"""
+
+
+_SQL["op11_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from landweave.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from landweave.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+_SQL["op13_phrases"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), runs AS (
+  SELECT lang, 1 AS d, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+), f AS MATERIALIZED (SELECT lang, d, phrase, count(*) AS f FROM runs GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE d = 1 GROUP BY lang),
+cand AS (SELECT lang, d, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE d > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, d, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, d)) AS k FROM cand)
+), scored AS (
+  SELECT c.lang, c.d, c.phrase, a, min({'s': (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f), 'k': k, 'l': x.f, 'r': y.f}) AS cut
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail GROUP BY ALL
+), longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM cand WHERE d = 3) GROUP BY ALL
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.s DESC, a DESC, phrase) AS rank, phrase, a, cut.l AS l, cut.r AS r, cut.s::BIGINT AS score
+  FROM scored LEFT JOIN longer USING (lang, phrase) WHERE NOT coalesce(d = 2 AND 100 * longer >= 50 * a, false)
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
