@@ -13,10 +13,10 @@ bits``, and a range of ids needs the blocks that it touches and nothing else (``
 
 Tasks stream: a block leaves as soon as it is full, and Spark's own writer puts the blocks into the file (each is a row whose
 end the writer marks with the newline) and commits it, so a lost executor leaves no half files, and any file system that Spark writes to will do.
-Files are read whole by Spark's reader of binary files (2 GB at most each; they are made of ``FILE_BYTES``, unless one document is larger).
+Files are read whole by Spark's reader of binary files (2 GB at most each; they are made of ``FILE_TEXT`` bytes of text, unless one document is larger).
 
 Encoding is by white space: no token of this kind of tokenizer spans it, so each distinct run of other bytes
-goes through the library once and a bounded memo holds its ids. ``write_ids`` refuses a tokenizer that can't be cut there (see ``cut_by_space``).
+goes through the library and a bounded memo holds its ids. ``write_ids`` refuses a tokenizer that can't be cut there (see ``cut_by_space``).
 
 * A null or empty text has the end id alone. Null ids come first; rows that share an id are in the order of the MD5 of their texts, and equal rows
   follow each other. Very long texts are encoded whole, a slice of words at a time.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,11 +44,14 @@ from landweave.llm.common import lean, scratch, slices, utf8, written
 
 PER_BLOCK = 1 << 16
 DOCS_PER_BLOCK = 1 << 12
-FILE_BYTES = 8 << 20
+#: Bytes of text that stand behind a file.
+FILE_TEXT = 16 << 20
 MAGIC = b"bitpack1"
 END_ID = 1
 #: Words that a worker remembers, and the bytes of them.
-MEMO_WORDS, MEMO_BYTES = 1 << 19, 48 << 20
+MEMO_WORDS, MEMO_BYTES = 700_000, 32 << 20
+#: The end of a word and a mark behind it.
+ENDS = re.compile(rb"([a-z])([.,;:!?])")
 
 
 # --- packing ----------------------------------------------------------------------------------
@@ -216,12 +220,25 @@ def cut_by_space(path: str) -> bool:
 
 
 class Encoder:
-    """Texts as little-endian 32-bit ids, words through a bounded memo."""
+    """Texts as little-endian 32-bit ids, words through a bounded memo.
+
+    New words go through the library many at a time, with one of its special tokens between them as a mark.
+    """
 
     def __init__(self, path: str, words: int = MEMO_WORDS, bytes_: int = MEMO_BYTES):
         self.library, self.words, self.bytes = tokenizer(path), words, bytes_
         self.memo: dict[bytes, bytes] = {}
         self.size = 0
+        plain = [(k, t.content) for k, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.single_word or t.lstrip or t.rstrip)]
+        self.mark, self.content = plain[0] if plain else (None, None)
+
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each of some words."""
+        if self.mark is None or any(self.content in w for w in words):
+            return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.array(self.library.encode_batch_fast([self.content.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.mark)
+        return [ids[a:b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
 
     def _learn(self, words: list[bytes]) -> None:
         new = set(words) - self.memo.keys()
@@ -233,14 +250,25 @@ class Encoder:
             self.size, new = 0, set(words)
             size = sum(map(len, new))
         new = list(new)
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            for word, found in zip(part, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(found.ids, "<u4").tobytes()
+        for a in range(0, len(new), 4096):
+            part = new[a : a + 4096]
+            for word, found in zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True):
+                self.memo[word] = found.tobytes()
         self.size += size
 
+    @staticmethod
+    def words_of(text: bytes) -> list[bytes]:
+        """Parts of a text that encode alone as they do in it.
+
+        Besides white space a cut is right between an ASCII letter and a mark that is no apostrophe, and lower case changes nothing, unless
+        there are special tokens' strings or combining marks (U+0300 to U+036F, the ones that join ASCII letters), for which white space alone cuts.
+        """
+        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+            return text.split()
+        return ENDS.sub(rb"\1 \2", text.lower()).split()
+
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
+        words = self.words_of(text)
         out = []
         for a in range(0, len(words), 1 << 16):
             part = words[a : a + (1 << 16)]
@@ -251,49 +279,42 @@ class Encoder:
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         if sum(map(len, texts)) > 4 << 20:  # one long text, or few: its words in parts
             return [self.encode(t) for t in texts]
-        split = [t.split() for t in texts]
+        split = [self.words_of(t) for t in texts]
         self._learn([w for s in split for w in s])
         return [b"".join(map(self.memo.__getitem__, s)) for s in split]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, tie (MD5 of the text), ids: the text's ids and the end id, packed in fixed width."""
-    if not cut_by_space(path):
-        raise ValueError("the tokenizer's tokens may span white space")
-    bits = width_of(tokenizer(path).get_vocab_size(with_added_tokens=True))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), np.array([end_id], np.uint32)
-        for b in slices(batches, "text"):
-            ids = [np.concatenate([np.frombuffer(raw, "<u4"), last]) for raw in encoder.encode_all(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array([len(i) for i in ids], pa.int64()), pa.array([packed(i, bits) for i in ids], pa.binary())], ["doc_id", "tie", "n_tokens", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("tie"), utf8("text").alias("text"))
-    return rows.mapInArrow(lean(work), "doc_id long, tie string, n_tokens long, ids binary")
+@functools.lru_cache(maxsize=1)
+def remembered(path: str) -> Encoder:
+    """The worker's encoder, whose memo serves the tasks that follow too."""
+    return Encoder(path)
 
 
 # --- files ------------------------------------------------------------------------------------
 
 
-def write_ids(docs: DataFrame, out: str, path: str, *, end_id: int = END_ID, file_bytes: int = FILE_BYTES, per_block: int = PER_BLOCK) -> None:
+def write_ids(docs: DataFrame, out: str, path: str, *, end_id: int = END_ID, file_text: int = FILE_TEXT, per_block: int = PER_BLOCK) -> None:
     """The ids of all documents as files in the folder ``out``."""
+    if not cut_by_space(path):
+        raise ValueError("the tokenizer's tokens may span white space")
     bits = width_of(tokenizer(path).get_vocab_size(with_added_tokens=True))
-    # rows get a number, so that a document that is there very often doesn't go to one file; it is written, so that it stays
-    rows = written(encoded(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    total = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    text = F.col("text").cast("binary")
+    # rows have a number, so that a document that is there very often doesn't go to one file
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("tie"), F.monotonically_increasing_id().alias("row"), utf8("text").alias("text"))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first(), F.col("row")]
-    ranged = rows.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(max(1, -(-total // file_text)), *order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId(), bits, per_block)
+        packer, encoder, last = Packer(TaskContext.get().partitionId(), bits, per_block), remembered(path), np.array([end_id], np.uint32)
         rows = lambda blocks: pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
-        for b in slices(batches, "ids"):
-            for key, n, raw in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("ids"), strict=True):
-                for block in packer.add(key, unpacked(raw.as_buffer(), bits, 0, n)):
+        for b in slices(batches, "text"):
+            for key, raw in zip(b.column("doc_id").to_pylist(), encoder.encode_all(b.column("text").to_pylist()), strict=True):
+                for block in packer.add(key, np.concatenate([np.frombuffer(raw, "<u4"), last])):
                     yield rows([block])
         yield rows(list(packer.end()))
 
-    blocks = ranged.select("doc_id", "n_tokens", "ids").mapInArrow(lean(pack), "block binary")
+    blocks = ranged.select("doc_id", "text").mapInArrow(lean(pack), "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(out)
 
 

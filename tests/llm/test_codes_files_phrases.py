@@ -178,10 +178,10 @@ def same(a, b):
     return sorted(map(tuple, a), key=str) == sorted(b, key=str)
 
 
-@pytest.mark.parametrize("file_bytes", [500, 8 << 20])
-def test_round_trip_of_odd_rows(spark, clashing, file_bytes):
+@pytest.mark.parametrize("file_text", [1000, 8 << 20])
+def test_round_trip_of_odd_rows(spark, clashing, file_text):
     rows = [(r.doc_id, r.text) for r in clashing.collect()]
-    got = token_files.round_trip(clashing, PATH, file_bytes=file_bytes, per_block=64).collect()
+    got = token_files.round_trip(clashing, PATH, file_text=file_text, per_block=64).collect()
     assert same(got, by_library(rows))
 
 
@@ -192,12 +192,12 @@ def test_round_trip_of_nothing(spark, empty):
 def test_round_trip_of_one_document_that_is_everywhere(spark):
     rows = [(5, "the same words " * 20)] * 600 + [(k, f"word {k}") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    assert same(token_files.round_trip(df, PATH, file_bytes=2000).collect(), by_library(rows))
+    assert same(token_files.round_trip(df, PATH, file_text=2000).collect(), by_library(rows))
 
 
 def test_ids_are_read_back(spark, odd):
     folder = token_files.scratch(spark, "ids")
-    token_files.write_ids(odd, folder, PATH, file_bytes=4000)
+    token_files.write_ids(odd, folder, PATH, file_text=4000)
     got = sorted(((r.doc_id, r.ids) for r in token_files.read_ids(spark, folder).collect()), key=str)
     library = token_files.tokenizer(PATH)
     assert got == sorted(((r.doc_id, [*library.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in odd.collect()), key=str)
