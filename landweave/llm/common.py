@@ -30,6 +30,11 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: ``mapInArrow`` takes a dot in a name for a field. ``toDF(*df.columns)`` names them back."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import WordHashes, discard, free, hashed, in_one, lean, partitions, rolling, slices, utf8, written
+from landweave.llm.common import WordHashes, discard, free, hashed, in_one, lean, partitions, plain, rolling, slices, utf8, written
 from landweave.llm.components import components
 
 SIZE = 5
@@ -505,7 +505,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     winners = rooted(reps, groups).groupBy("root").agg(F.min("row").alias("row")).select("row.a", "row.b")
     worded = F.coalesce(F.expr("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'"), F.lit(False))
     a, b = free(docs, "near_a"), free(docs, "near_b")
-    rows = docs.where(worded).withColumns(dict(zip((a, b), keys(docs), strict=True)))
+    keyed = docs.where(worded).withColumns(dict(zip((a, b), keys(docs), strict=True)))
+    rows = plain(keyed)
+    a, b = rows.columns[-2:]
     mine = winners.select(F.col("a").alias(a), F.col("b").alias(b)).hint("merge")
     rows = rows.mapInArrow(once(a, b), rows.schema).join(mine, [a, b], "left_semi").dropDuplicates([a, b])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
+    return rows.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns).unionByName(docs.where(~worded))

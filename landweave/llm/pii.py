@@ -14,7 +14,7 @@ overlaps none. Ties of segmentations go to fewer entities, then to the type that
 
 * Every whole text is read once, in one pass without a shuffle; all scans take linear time.
 * A null or empty text has no spans. Repeated rows are treated alike. Other columns are untouched. A very long text
-  costs time by its length, as a run's segments are ``LONGEST`` tokens at most. Bytes that aren't UTF-8 are read, and
+  costs time by its length, as a run's segments are ``LONGEST`` tokens at most, and memory of some 30 bytes a token besides the text. Bytes that aren't UTF-8 are read, and
   by ``redacted`` written, as U+FFFD.
 """
 
@@ -24,6 +24,7 @@ import functools
 import hashlib
 import random
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import lean, slices, utf8
+from landweave.llm.common import lean, plain, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -162,12 +163,31 @@ def features(span: str, tokens: int, before: str, mark: str) -> np.ndarray:
     return x
 
 
-def runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
+class Run:
+    """Starts and ends of neighbouring tokens, 16 bytes each."""
+
+    def __init__(self, a: int | None = None, b: int | None = None):
+        self.starts, self.ends = array("q"), array("q")
+        if a is not None:
+            self.append((a, b))
+
+    def append(self, token: tuple[int, int]) -> None:
+        self.starts.append(token[0])
+        self.ends.append(token[1])
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, k: int) -> tuple[int, int]:
+        return self.starts[k], self.ends[k]
+
+
+def runs(text: str) -> Iterator[tuple[Run, str]]:
     """Runs of neighbouring tokens on one line that each hold a digit or '@', and the text before.
 
     A token ends at white space or '='.
     """
-    run: list[tuple[int, int]] = []
+    run = Run()
     at = 0
     while m := ANY.search(text, at):
         a, b = m.start(), m.end()
@@ -180,7 +200,7 @@ def runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
         else:
             if run:
                 yield run, text[max(0, run[0][0] - 40) : run[0][0]]
-            run = [(a, b)]
+            run = Run(a, b)
         at = b
     if run:
         yield run, text[max(0, run[0][0] - 40) : run[0][0]]
@@ -194,15 +214,19 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def segments(text: str, run: list[tuple[int, int]], left: str) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+def lead(text: str, run: Run, i: int, left: str) -> tuple[str, str]:
+    """(the word, the last character) before token ``i``."""
+    before = text[max(0, run[i][0] - 40) : run[i][0]] if i else left
+    ahead = before.rstrip(" \"'")
+    words = ahead.rstrip("=: ").split()
+    return words[-1].strip(EDGE + "()").lower() if words else "", ahead[-1:] or " "
+
+
+def segments(text: str, run: Run, left: str) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """Candidates (first token, one past the last, start, end) of a run, and a row of features each."""
     out, rows = [], []
     for i in range(len(run)):
-        before = text[max(0, run[i][0] - 40) : run[i][0]] if i else left
-        ahead = before.rstrip(" \"'")
-        mark = ahead[-1:] or " "
-        words = ahead.rstrip("=: ").split()
-        word = words[-1].strip(EDGE + "()").lower() if words else ""
+        word, mark = lead(text, run, i, left)
         for j in range(i + 1, min(len(run), i + LONGEST) + 1):
             a, b = trimmed(text, run[i][0], run[j - 1][1])
             if a < b:
@@ -365,17 +389,82 @@ def trained(samples: int = SAMPLES, seed: int = SEED, rounds: int = 25, rate: fl
     return w, trans
 
 
-def field_spans(text: str, weights: Weights) -> list[Span]:
-    w, trans = weights
-    out = []
-    for run, left in runs(text):
-        found, rows = segments(text, run, left)
-        if found:
-            out += [(KINDS[kind], found[k][2], found[k][3]) for k, kind in decode(len(run), found, rows @ w.T, trans)]
-    return out
+class Field:
+    """The trained weights, and the scores of the spans seen last."""
+
+    def __init__(self, weights: Weights, memo: int = 1 << 14):
+        self.w, self.trans = weights
+        self.memo, self.limit = {}, memo
 
+    def scores(self, span: str, tokens: int, word: str, mark: str) -> np.ndarray:
+        key = span, tokens, word, mark
+        if (found := self.memo.get(key)) is None:
+            found = self.w @ features(*key)
+            if len(self.memo) >= self.limit:
+                self.memo.clear()
+            if len(span) <= 200:
+                self.memo[key] = found
+        return found
 
-def all_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
+    def spans(self, text: str) -> list[Span]:
+        """The best segmentation of every run.
+
+        The dynamic program looks back ``LONGEST`` tokens, so only so many of its rows are held; of the rest of a run there are
+        two bytes for each token and type: how many tokens the best segment that ends there has, and the type before it.
+        """
+        out = []
+        for run, left in runs(text):
+            out += self._best(text, run, left)
+        return out
+
+    def _best(self, text: str, run: Run, left: str) -> list[Span]:
+        size, other = len(run), len(self.trans) - 1
+        taken, before = np.zeros((size + 1, other + 1), np.int8), np.zeros((size + 1, other + 1), np.int8)
+        none = np.full(other + 1, -np.inf)
+        alpha = none.copy()
+        alpha[other] = 0.0
+        enter = {0: self._enter(alpha, before[0])}
+        leads: dict[int, tuple[str, str]] = {}
+        for j in range(1, size + 1):
+            leads[j - 1] = lead(text, run, j - 1, left)
+            alpha = none.copy()
+            for i in range(max(0, j - LONGEST), j):
+                a, b = trimmed(text, run[i][0], run[j - 1][1])
+                if a < b:
+                    got = self.scores(text[a:b], j - i, *leads[i]) + enter[i][:other]
+                    better = got > alpha[:other]
+                    alpha[:other][better] = got[better]
+                    taken[j, :other][better] = j - i
+            alpha[other], taken[j, other] = enter[j - 1][other], 1
+            enter[j] = self._enter(alpha, before[j])
+            enter.pop(j - LONGEST, None)
+            leads.pop(j - LONGEST, None)
+        out, j, kind = [], size, self._top(alpha)
+        while j:
+            at = j - int(taken[j, kind])
+            if kind != other:
+                out.append((KINDS[kind], *trimmed(text, run[at][0], run[j - 1][1])))
+            j, kind = at, int(before[at, kind])
+        return out[::-1]
+
+    def _enter(self, alpha: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The best score that a segment of each type may follow; ``before`` gets the types that have it."""
+        both = alpha[:, None] + self.trans
+        best = both.max(0)
+        # "other" wins ties, then the first type
+        before[:] = np.where(both[-1] >= best - 1e-12, len(alpha) - 1, both.argmax(0))
+        return best
+
+    def _top(self, alpha: np.ndarray) -> int:
+        first = int(alpha.argmax())
+        return len(alpha) - 1 if alpha[-1] >= alpha[first] - 1e-12 else first
+
+
+def field_spans(text: str, weights: Weights | Field) -> list[Span]:
+    return (weights if isinstance(weights, Field) else Field(weights)).spans(text)
+
+
+def all_spans(text: str, w: Weights | Field) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), both by kind and start."""
     if not ANY.search(text):
         return [], []
@@ -413,7 +502,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = Field(shared.value)
         for b in slices(batches, "text"):
             rows = []
             for t in b.column("text").to_pylist():
@@ -433,15 +522,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, the text masked (a null text stays null)."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
-    names = docs.columns
+    rows = plain(docs)
+    names, text = rows.columns, rows.columns[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for b in slices(batches, "text"):
-            texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column("text").to_pylist()]
-            k = b.schema.get_field_index("text")
+        w = Field(shared.value)
+        for b in slices(batches, text):
+            texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column(text).to_pylist()]
             cols = b.columns
-            cols[k] = pa.array([None if t is None else masked(t, all_spans(t, w)[1]) for t in texts], pa.string())
+            cols[names.index(text)] = pa.array([None if t is None else masked(t, all_spans(t, w)[1]) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(lean(run), docs.schema)
+    return rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(lean(run), rows.schema).toDF(*docs.columns)

@@ -14,20 +14,22 @@ rejects it and the score reaches a threshold that is the same for all documents.
   the threshold is kept. An id whose labels contradict each other is no target.
 * With few target n-grams the target is mixed with the raw distribution, so that what it lacks isn't held against a
   document: under some 18,000 n-grams (18 kB of labelled good text) no score reaches the threshold, without any the
-  ratio is 0 for all, and only the base rules decide.
+  ratio is 0 for all, and only the base rules decide. ``ratio_applies`` is false in every row then, and ``filtered`` warns.
 * Columns other than the id and the text are passed through untouched by ``filtered``, whatever their names.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.common import WordHashes, covered, data, free, hashed, in_one, joined, lean, rolling, slices, sums, utf8
+from landweave.llm.common import WordHashes, covered, data, hashed, in_one, joined, lean, plain, rolling, slices, sums, utf8
 
 NGRAM = 4
 BUCKETS = 1 << 15
@@ -41,7 +43,7 @@ SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, base_failed boolean, score double, kept boolean"
+    "n_repeat_words long, base_failed boolean, score double, kept boolean, ratio_applies boolean"
 )
 
 
@@ -70,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = NGRAM, size: int = BUCKE
     good = (F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")
     sure = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), good).groupBy("id").agg(F.every("good").alias("good")).where("good")
     ids = sure.select("id", F.md5(joined("target", F.col("id"))).alias("hash")).orderBy("hash").limit(max_target)
-    chosen = np.array(sorted(r[0] for r in ids.select("id").collect()), np.int64)
+    chosen = pa.array([r[0] for r in ids.select("id").collect()], pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, size), np.int64)
@@ -78,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = NGRAM, size: int = BUCKE
             raw, at = data(b.column("text"))
             found, grams = buckets_of(raw, at, n, size)
             both[0] += np.bincount(found, minlength=size)
-            mine = np.isin(b.column("doc_id").to_numpy(zero_copy_only=False), chosen)
+            mine = pc.is_in(b.column("doc_id"), chosen).to_numpy(zero_copy_only=False)  # no id is in it that is null
             if mine.any():
                 both[1] += np.bincount(found[np.repeat(mine, grams)], minlength=size)
         some = np.flatnonzero(both[0])
@@ -104,6 +106,11 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(share * p + (1 - share) * target / max(total, 1.0)) - np.log(p)
 
 
+def applies(ratio: np.ndarray, threshold: float) -> bool:
+    """Whether some document could be rejected by its score."""
+    return bool(ratio.min() < threshold)
+
+
 def means(b: pa.RecordBatch, ratio: np.ndarray, n: int) -> np.ndarray:
     """The mean log ratio of each row's n-grams, summed for each row alone, so that its neighbours don't matter."""
     raw, at = data(b.column("text"))
@@ -166,7 +173,7 @@ def measured(b: pa.RecordBatch, memo: WordHashes) -> dict[str, np.ndarray]:
 
 def scored(docs: DataFrame, ratio: np.ndarray, *, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: base statistics, score and verdict."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared, sure = docs.sparkSession.sparkContext.broadcast(ratio), applies(ratio, threshold)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, ratio = WordHashes(), shared.value
@@ -176,8 +183,8 @@ def scored(docs: DataFrame, ratio: np.ndarray, *, n: int = NGRAM, threshold: flo
             failed, kept = verdict(got, mean, threshold)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(got[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-                 pa.array(failed), pa.array(mean), pa.array(kept)],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"],
+                 pa.array(failed), pa.array(mean), pa.array(kept), pa.array([sure] * b.num_rows)],
+                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "ratio_applies"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(lean(score), SCHEMA)
@@ -193,16 +200,18 @@ def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are kept, with all their columns, without a join."""
     threshold = options.pop("threshold", THRESHOLD)
     ratio = fit(docs, labels, **options)
+    if not applies(ratio, threshold):
+        logging.getLogger(__name__).warning("too few labelled good texts: only the base rules decide")
     n = options.get("n", NGRAM)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    names, body = docs.columns, free(docs, "text_bytes")
-    with_bytes = docs.withColumn(body, utf8("text"))
+    rows = plain(docs)
+    names, body = rows.columns, F.col(rows.columns[docs.columns.index("text")])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, ratio = WordHashes(), shared.value
-        for b in slices(batches, body):
-            text = pa.RecordBatch.from_arrays([b.column(body)], ["text"])
+        for b in slices(batches, "body"):
+            text = pa.RecordBatch.from_arrays([b.column("body")], ["text"])
             _, kept = verdict(measured(text, memo), means(text, ratio, n), threshold)
             yield b.select(names).filter(pa.array(kept))
 
-    return with_bytes.mapInArrow(lean(keep), docs.schema)
+    return rows.withColumn("body", utf8(body)).mapInArrow(lean(keep), rows.schema).toDF(*docs.columns)

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 #: Names that operators use inside or add.
 CLASHES = (
     "key", "rep", "grp", "bucket", "rank", "hash", "range", "sig", "row", "id", "part", "copy", "place", "u", "cdf", "a", "b", "near_a", "spot", "digest", "size", "_n", "_row", "_start", "_bytes", "_part",
-    "mix_source", "mix_rate", "mix_u", "mix_key", "mix_copy", "mix_copies", "mix_slot", "mix_part", "mix_place", "score", "kept", "n_words", "sample", "ids", "spans",
+    "mix_source", "mix_rate", "mix_u", "mix_key", "mix_copy", "mix_copies", "mix_slot", "mix_part", "mix_place", "score", "kept", "n_words", "sample", "ids", "spans", "a.b", "text.x", "c0",
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -127,6 +128,19 @@ def test_scores_of_any_batch(spark, made, clashing, labels):
 # --- 2 -------------------------------------------------------------------------------------------
 
 
+def test_target_ids_beside_null_ids(spark):
+    """Ids that doubles can't tell apart: only the labelled one is a target, whatever lies in its batch."""
+    text = lambda k: " ".join(f"w{(7 * j + k) % 53}" for j in range(4000))
+    rows_ = [(2**60, "good " * 30_000), (2**60 + 1, "other " * 30_000), *[(k, text(k)) for k in range(20)]]
+    labels = spark.createDataFrame([(2**60, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string").coalesce(1)
+    plain_, mixed_ = quality_rules.fit(frame(rows_), labels), quality_rules.fit(frame([*rows_, (None, None)]), labels)
+    assert (plain_ == mixed_).all() and quality_rules.applies(plain_, quality_rules.THRESHOLD)
+    kept = {r.doc_id: (r.score, r.ratio_applies) for r in quality_rules.quality_rules(frame([*rows_, (None, None)]), labels).collect()}
+    assert kept[2**60][0] > 0.5 > -0.5 > kept[2**60 + 1][0] and kept[None][1]
+    assert not quality_rules.quality_rules(frame(rows_), labels.limit(0)).first().ratio_applies
+
+
 def test_shards(odd, made, clashing):
     for docs in (odd, made, clashing):
         got, all_ = rows(sharding.sharded(docs)), texts(docs)
@@ -496,6 +510,25 @@ def test_field_by_enumeration():
         assert (pii.observed(size, found, marks) == best[2]).all()
 
 
+def test_field_looks_back_only():
+    """Spans of the streaming decoder against the decoder of whole runs, and its memory on a long run."""
+    w, rng = pii.trained(), random.Random(5)
+    for _ in range(300):
+        t = " ".join(rng.choice(["1", "12", "555-0134", "4111111111111111", "a@b.de", "1.2.3.4", "word", "key=", "+49", "9f86d081884c7d659a2f", "\"", "(415)"]) for _ in range(rng.randint(1, 25)))
+        want = []
+        for run, left in pii.runs(t):
+            found, x = pii.segments(t, run, left)
+            if found:
+                want += [(pii.KINDS[kind], found[k][2], found[k][3]) for k, kind in pii.decode(len(run), found, x @ w[0].T, w[1])]
+        assert pii.field_spans(t, w) == want, t
+    n = 30_000
+    tracemalloc.start()
+    pii.all_spans("7 " * n, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n + 2_000_000
+
+
 def test_field_on_other_lines():
     """Lines as people write them; none comes from the templates that the weights are fitted on."""
     w = pii.trained()
@@ -524,6 +557,13 @@ def test_field_on_made_lines():
     assert right >= 0.94 * len(cases)
 
 
+def test_any_column_names(clashing, labels):
+    for f in (pii.redacted, near_duplicates.one_of_each, mixing.mixed, lambda d: quality_rules.filtered(d, labels)):
+        out = f(clashing)
+        assert out.columns == clashing.columns and out.count() > 0
+        assert {tuple(r)[5:] for r in out.collect()} == {(1,) * (len(clashing.columns) - 5)}
+
+
 def test_pii(odd, made, spark):
     lines = ["call +1 (212) 555-0100 10.0.0.1 now", "cards 4111111111111111 5500000000000004 end", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "a.b@c.example.com, version 2.0 of 2021", None]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")

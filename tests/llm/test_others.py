@@ -133,17 +133,22 @@ def test_archives_are_read_back(spark, tmp_path):
 
 def by_quality(docs, labels):
     """Rows that no base rule rejects and whose mean log ratio, from plain counts, reaches the threshold."""
+    def bucket(gram):
+        g = 0
+        for c in gram:
+            g = (g * 257 + c) % 2**32
+        g = (g ^ (g >> 15)) * 0x2C1B3C6D % 2**32
+        return (g ^ (g >> 12)) % 2**15
+
     good = {r.doc_id for r in labels if r.quality == 1 and r.toxic == 0}
-    raw, target = np.ones(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
-    grams = []
-    for r in docs:
-        b = np.frombuffer((r.text or "").encode(), np.uint8)
-        grams.append(quality_rules.buckets_of(b, np.array([0, len(b)]), 4, quality_rules.BUCKETS)[0])
-        np.add.at(raw, grams[-1], 1)
-        if r.doc_id in good:
-            np.add.at(target, grams[-1], 1)
-    ratio = quality_rules.log_ratio(raw, target)
-    return [r for r, g in zip(docs, grams, strict=True) if not base(r.text or "")["base_failed"] and np.mean(ratio[g]) >= quality_rules.THRESHOLD]
+    grams = [Counter(map(bucket, (raw[i : i + 4] for raw in [(r.text or "").encode()] for i in range(len(raw) - 3)))) for r in docs]
+    raw, target = sum(grams, Counter()), sum((g for r, g in zip(docs, grams, strict=True) if r.doc_id in good), Counter())
+    n, m = sum(raw.values()) + 2**15, sum(target.values())
+    share = 0.02 + 0.98 * 50_000 / (50_000 + m)
+    p = {k: (v + 1) / n for k, v in raw.items()}
+    ratio = {k: np.log(share * p[k] + (1 - share) * target[k] / max(m, 1)) - np.log(p[k]) for k in p}
+    mean = lambda g: sum(c * ratio[k] for k, c in g.items()) / max(sum(g.values()), 1)
+    return [r for r, g in zip(docs, grams, strict=True) if not base(r.text or "")["base_failed"] and mean(g) >= -0.3]
 
 
 def by_texts(docs):
