@@ -1,7 +1,10 @@
 """From raw documents to token ids: quality rules, near-duplicates, personal data, mixing, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the next one's docs. All but the last return the columns of ``documents``.
+as the next one's docs. All but the last return the columns of ``documents``, whatever their names, and other columns that come with them.
+
+A null or empty text fails the first stage's base rule of 20 words. A null id, language or source is a value like others, and
+rows that repeat are judged each: the second stage leaves one of them. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.llm import mixing, near_duplicates, pieces, pii, quality_rules
-from landweave.llm.common import table, written
+from landweave.llm.common import discard, keep, scope, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind; n_chars follows."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    """Tables that a stage writes on its way go when it is done, its result when the next one has read it."""
+    docs, last = table(spark, sf_dir, "documents"), len(STAGES) - 1
+    for k, (_, stage) in enumerate(STAGES[:last]):
+        with scope(spark):
+            done = keep(written(stage(spark, docs, sf_dir), f"stage{k}"))
+        if k:
+            discard(docs)
+        docs = done
+    return STAGES[last][1](spark, docs, sf_dir)
