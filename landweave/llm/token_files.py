@@ -29,18 +29,18 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landweave.llm.common import lean, scratch, slices, utf8, written
+from landweave.llm.common import data, lean, scratch, slices, utf8, written
 
 PER_BLOCK = 1 << 16
 DOCS_PER_BLOCK = 1 << 12
@@ -50,8 +50,8 @@ MAGIC = b"bitpack1"
 END_ID = 1
 #: Words that a worker remembers, and the bytes of them.
 MEMO_WORDS, MEMO_BYTES = 700_000, 32 << 20
-#: The end of a word and a mark behind it.
-ENDS = re.compile(rb"([a-z])([.,;:!?])")
+#: Marks at a word's end: behind an ASCII letter they are a pre-token of their own. The apostrophe isn't one of them.
+ENDS = b".,;:!?#*$%&)"
 
 
 # --- packing ----------------------------------------------------------------------------------
@@ -222,7 +222,8 @@ def cut_by_space(path: str) -> bool:
 class Encoder:
     """Texts as little-endian 32-bit ids, words through a bounded memo.
 
-    New words go through the library many at a time, with one of its special tokens between them as a mark.
+    New words go through the library many at a time. Words of letters alone are one pre-token each, whose last token is known by the
+    vocabulary's mark of word ends; between other words stands one of the library's special tokens.
     """
 
     def __init__(self, path: str, words: int = MEMO_WORDS, bytes_: int = MEMO_BYTES):
@@ -231,57 +232,109 @@ class Encoder:
         self.size = 0
         plain = [(k, t.content) for k, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.single_word or t.lstrip or t.rstrip)]
         self.mark, self.content = plain[0] if plain else (None, None)
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each of some words."""
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocabulary = self.library.get_vocab(with_added_tokens=True) if suffix else {}
+        self.final = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.final[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
+        # a word of a-z is the model's own input, if nothing before the model changes it
+        tried = ["a", "z", *[w for w in sorted(self.library.get_vocab()) if w.isascii() and w.isalpha() and w.islower()][::97]]
+        self.direct = all(self._model(w) == x.ids for w, x in zip(tried, self.library.encode_batch_fast(tried, add_special_tokens=False), strict=True))
+
+    def _model(self, word: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(word)]
+
+    def _all(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _ids(self, words: list[str], letters: bool) -> list[np.ndarray]:
+        """The ids of each of some words; ``letters``: they are of nothing else."""
+        if letters and len(self.final):
+            ids = self._all(" ".join(words))
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return np.split(ids, ends[:-1])
         if self.mark is None or any(self.content in w for w in words):
             return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        ids = np.array(self.library.encode_batch_fast([self.content.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = self._all(self.content.join(words))
         cuts = np.flatnonzero(ids == self.mark)
         return [ids[a:b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
 
     def _learn(self, words: list[bytes]) -> None:
-        new = set(words) - self.memo.keys()
-        if not new:
-            return
-        size = sum(map(len, new))
-        if self.memo and (len(self.memo) + len(new) > self.words or self.size + size > self.bytes):
+        """Have all ``words`` in the memo. A word with marks at its end is made up of its stem and them."""
+        if len(self.memo) > self.words or self.size > self.bytes:
             self.memo.clear()
-            self.size, new = 0, set(words)
-            size = sum(map(len, new))
-        new = list(new)
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for word, found in zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True):
-                self.memo[word] = found.tobytes()
-        self.size += size
-
-    @staticmethod
-    def words_of(text: bytes) -> list[bytes]:
-        """Parts of a text that encode alone as they do in it.
-
-        Besides white space a cut is right between an ASCII letter and a mark that is no apostrophe, and lower case changes nothing, unless
-        there are special tokens' strings or combining marks (U+0300 to U+036F, the ones that join ASCII letters), for which white space alone cuts.
-        """
-        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-            return text.split()
-        return ENDS.sub(rb"\1 \2", text.lower()).split()
-
-    def encode(self, text: bytes) -> bytes:
-        words = self.words_of(text)
-        out = []
+            self.size = 0
+        new = set(words) - self.memo.keys()
+        ended = {}
+        for w in new:
+            stem = w.rstrip(ENDS)
+            if len(stem) < len(w) and stem[-1:].isalpha() and b"<|" not in w:
+                ended[w] = stem
+        new.difference_update(ended)
+        new.update(s for s in ended.values() if s not in self.memo)
+        new.update(t for t in {w[len(s) :] for w, s in ended.items()} if t not in self.memo)
+        kinds: tuple[list[bytes], list[bytes]] = [], []
+        texts = {}
+        tokenize = self.library.model.tokenize
+        for w in new:
+            t = w.decode("utf-8", "replace")
+            if self.direct and w.isalpha() and w.islower():
+                self.memo[w] = np.array([x.id for x in tokenize(t)], "<u4").tobytes()
+            else:
+                texts[w] = t
+                kinds[t.isalpha()].append(w)
+        for letters, some in enumerate(kinds):
+            for a in range(0, len(some), 4096):
+                part = some[a : a + 4096]
+                for word, found in zip(part, self._ids([texts[w] for w in part], bool(letters)), strict=True):
+                    self.memo[word] = found.tobytes()
+        for w, s in ended.items():
+            self.memo[w] = self.memo[s] + self.memo[w[len(s) :]]
+        self.size += sum(map(len, new)) + sum(map(len, ended))
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """A text alone, whatever is in it, its words in parts."""
+        words, out = text.split(), [b""]
         for a in range(0, len(words), 1 << 16):
             part = words[a : a + (1 << 16)]
             self._learn(part)
             out.append(b"".join(map(self.memo.__getitem__, part)))
-        return b"".join(out)
+        return np.frombuffer(b"".join(out), "<u4")
 
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        if sum(map(len, texts)) > 4 << 20:  # one long text, or few: its words in parts
-            return [self.encode(t) for t in texts]
-        split = [self.words_of(t) for t in texts]
-        self._learn([w for s in split for w in s])
-        return [b"".join(map(self.memo.__getitem__, s)) for s in split]
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Texts (binary) at once: words are cut, put in lower case, and told apart by Arrow, and only distinct ones come to Python.
+
+        Lower case is left to the library in texts where it might change something, which go alone: with strings of special tokens, or
+        combining marks (U+0300 to U+036F, the ones that join ASCII letters). Very long ones go alone too.
+        """
+        raw, at = data(texts)
+        odd = np.diff(at) > 8 << 20
+        if len(raw):
+            marks = np.flatnonzero((raw == 0xCC) | (raw == 0xCD) | ((raw == ord("<")) & (np.append(raw[1:], 0) == ord("|"))))
+            odd[np.searchsorted(at, marks, side="right") - 1] = True
+        out: list[np.ndarray] = [None] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.encode(texts[k].as_py())
+        some = np.flatnonzero(~odd)
+        if not len(some):
+            return out
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.take(pa.array(some)).view(pa.string())))
+        told = split.flatten().dictionary_encode()
+        words, place = told.dictionary.view(pa.binary()).to_pylist(), told.indices.to_numpy()
+        pieces = list(map(self.memo.get, words))
+        missing = [w for w, p in zip(words, pieces, strict=True) if p is None]
+        if missing:
+            self._learn(missing)
+            pieces = [self.memo[w] if p is None else p for w, p in zip(words, pieces, strict=True)]
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(lengths) - lengths
+        counts = lengths[place]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(starts[place] - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for k, a, b in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -308,9 +361,9 @@ def write_ids(docs: DataFrame, out: str, path: str, *, end_id: int = END_ID, fil
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, encoder, last = Packer(TaskContext.get().partitionId(), bits, per_block), remembered(path), np.array([end_id], np.uint32)
         rows = lambda blocks: pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
-        for b in slices(batches, "text"):
-            for key, raw in zip(b.column("doc_id").to_pylist(), encoder.encode_all(b.column("text").to_pylist()), strict=True):
-                for block in packer.add(key, np.concatenate([np.frombuffer(raw, "<u4"), last])):
+        for b in slices(batches, "text", 4 << 20):
+            for key, ids in zip(b.column("doc_id").to_pylist(), encoder.encode_all(b.column("text")), strict=True):
+                for block in packer.add(key, np.concatenate([ids, last])):
                     yield rows([block])
         yield rows(list(packer.end()))
 

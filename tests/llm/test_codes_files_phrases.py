@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,8 +159,11 @@ def test_access_reads_only_the_blocks_it_needs():
 def test_words_through_the_memo_encode_as_the_whole(text):
     encoder = token_files.Encoder(PATH, words=3)
     want = encoder.library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == want
-    assert np.frombuffer(encoder.encode_all([text.encode()])[0], "<u4").tolist() == want
+    assert encoder.encode(text.encode()).tolist() == want
+    other = encoder.library.encode("Other words, like these.", add_special_tokens=False).ids
+    batch = pa.array([b"", b"Other words, like these.", text.encode(), b"Other words, like these."], pa.binary())
+    for rows, expected in ((batch, [[], other, want, other]), (batch[2:3], [want])):
+        assert [x.tolist() for x in encoder.encode_all(rows)] == expected
 
 
 def by_library(rows):
