@@ -1,8 +1,8 @@
-"""The randomized-shortest-path model by joins and sums alone, for graphs that no task or driver can hold.
+"""The randomized-shortest-path model as tables: no graph in a task or on the driver.
 
-Nothing but tables: the fundamental matrix and every other solve are ``graph.series``, which doubles the number of terms
-until what is missing is below a stated share of each entry. It is dearer than the solver in tasks (its table of powers
-grows to all pairs of nodes that reach each other), so it is for graphs beyond the solver's limits, and a check of it.
+Solves go through the separator tree of ``dissection``; ``method="series"`` sums ``graph.series`` instead, whose tables of powers
+grow to all pairs of nodes that reach each other: it is a check of the tree, and the way for graphs whose edges don't stay near.
+Least costs, and the trees and divergences that follow from them, come from ``tiles``.
 
 Pairs whose entry of the fundamental matrix is below double precision have no row: their survival is 0, their distance
 infinite, and they add nothing to habitats and flows.
@@ -10,46 +10,75 @@ infinite, and they add nothing to habitats and flows.
 
 from __future__ import annotations
 
+import sys
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landweave.functions import transforms
 from landweave.operators import graph, kernels
+from landweave.operators.dissection import TILE, Dissection
 from landweave.operators.landscape import Landscape
-from landweave.operators.rsp import RspModel
+from landweave.operators.tiles import SAME, Tiles, parents, summed_up
 from landweave.plans.stages import written
 
 
+def reference_walk(land: Landscape, theta: float) -> DataFrame:
+    """src, dst, affinity, cost, pref, w: each edge's share of its source's affinity, and that times exp(-theta cost)."""
+    share = F.col("affinity") / F.sum("affinity").over(Window.partitionBy("src"))
+    cost = F.coalesce("cost", F.lit(0.0))
+    return land.edges.withColumn("pref", share).withColumn("w", F.nanvl(F.col("pref") * F.exp(-theta * cost), F.lit(0.0)))
+
+
 class DistributedModel:
     """A landscape at a temperature, as tables."""
 
-    def __init__(self, landscape: Landscape, theta: float, tol: float = 1e-8):
-        self.landscape, self.theta, self.tol = landscape, float(theta), tol
+    def __init__(self, landscape: Landscape, theta: float, tol: float = 1e-8, method: str = "dissection", tile: int = TILE):
+        if method not in ("dissection", "series"):
+            raise ValueError("the method is 'dissection' or 'series'")
+        self.landscape, self.theta, self.tol, self.method, self.tile = landscape, float(theta), tol, method, tile
 
     @cached_property
     def walk(self) -> DataFrame:
         """src, dst, cost, w of the steps that can be taken."""
-        steps = RspModel(self.landscape, self.theta).walk.where("w > 0").select("src", "dst", F.coalesce("cost", F.lit(0.0)).alias("cost"), "w")
+        steps = reference_walk(self.landscape, self.theta).where("w > 0").select("src", "dst", F.coalesce("cost", F.lit(0.0)).alias("cost"), "w")
         return written(steps, "walk")
 
     @cached_property
     def _powers(self) -> graph.Powers:
         return graph.Powers(self.walk)
 
+    @cached_property
+    def _tree(self) -> Dissection:
+        return Dissection(self.walk.select("src", "dst", "w"), *self.landscape.size, self.tile)
+
     def _solve(self, start: DataFrame, transposed: bool = False) -> DataFrame:
-        return graph.series(self._powers, start, tol=self.tol, transposed=transposed)
+        if self.method == "series":
+            return graph.series(self._powers, start, tol=self.tol, transposed=transposed)
+        return self._tree.solve(start, transposed)
 
     @cached_property
     def z(self) -> DataFrame:
         """node, target, value of the fundamental matrix in the targets' columns."""
         cells = self.landscape.targets().select(F.col("cell").alias("node"), F.col("cell").alias("target"), F.lit(1.0).alias("value"))
-        return self._solve(cells)
+        return written(self._solve(cells).where("value > 0"), "z")
+
+    def fundamental_matrix(self) -> DataFrame:
+        return self.z
 
     def _own(self, pairs: DataFrame) -> DataFrame:
         return pairs.where("node = target").select("target", F.col("value").alias("own"))
 
+    def __repr__(self) -> str:
+        return f"DistributedModel at theta {self.theta} of a {self.landscape!r}"
+
+    def underflow(self) -> bool:
+        """Whether some entry of the fundamental matrix is 0 (and so has no row) or below double precision."""
+        nodes = self.landscape.nodes
+        least, count = self.z.agg(F.min("value"), F.count(F.lit(1))).first()
+        return count < nodes.count() * nodes.where("is_target").count() or least < sys.float_info.min
+
     def survival_probability(self) -> DataFrame:
         return self.z.join(self._own(self.z), "target").select("node", "target", (F.col("value") / F.col("own")).alias("value"))
 
@@ -71,7 +100,7 @@ class DistributedModel:
         return self._quotient.join(self._own(self._quotient), "target").select("node", "target", (F.col("value") - F.col("own")).alias("value"))
 
     def proximities(self, connectivity: str = "expected_cost", transform=None, diagonal: float | None = None) -> DataFrame:
-        if connectivity == "least_cost_distance" or connectivity not in kernels.MEASURES:
+        if connectivity not in kernels.MEASURES:
             raise ValueError(f"unknown connectivity function {connectivity!r}")
         found = getattr(self, connectivity)()
         if connectivity in kernels.DISTANCES:
@@ -86,6 +115,41 @@ class DistributedModel:
         """row, col, value."""
         return self.landscape.habitat_of(self.proximities(connectivity, transform, diagonal))
 
+    def habitat_of(self, proximities: DataFrame, diagonal: float | None = None) -> DataFrame:
+        return self.landscape.habitat_of(proximities, diagonal)
+
+    def quality_scaled(self, **options) -> DataFrame:
+        """node, target, qs * proximity * qt."""
+        nodes = self.landscape.nodes
+        target = nodes.where("is_target").select(F.col("cell").alias("target"), F.coalesce("qt", F.lit(0.0)).alias("qt"))
+        found = self.proximities(**options).join(nodes.select(F.col("cell").alias("node"), "qs"), "node").join(target, "target")
+        return found.select("node", "target", (F.col("qs") * F.col("value") * F.col("qt")).alias("value"))
+
+    def degraded(self, row: int, col: int, affinity: float = sys.float_info.min, qs: float = 0.0, qt: float = 0.0) -> DistributedModel:
+        """The model after one target cell is degraded: its edges nearly closed, its qualities replaced; nothing is pruned.
+
+        Costs follow from the new affinities where they are a function of these.
+        """
+        land = self.landscape
+        if not affinity > 0:
+            raise ValueError("the affinity of a degraded cell must be positive")
+        here = (F.col("row") == row) & (F.col("col") == col)
+        if land.nodes.where(here & F.col("is_target")).isEmpty():
+            raise ValueError(f"({row}, {col}) is no target")
+        cell = (col - 1) * land.nrows + row
+        hit = (F.col("src") == cell) | (F.col("dst") == cell)
+        edges = land.edges.withColumn("affinity", F.when(hit, F.lit(float(affinity))).otherwise(F.col("affinity")))
+        if land.cost_name is not None:
+            edges = edges.withColumn("cost", F.when(hit, transforms.named(land.cost_name).column(F.col("affinity"))).otherwise(F.col("cost")))
+        put = lambda c, v: F.when(here, F.lit(float(v))).otherwise(F.col(c))
+        nodes = land.nodes.withColumns({"qs": put("qs", qs), "qt": put("qt", qt)})
+        other = Landscape(land.spark, land.nrows, land.ncols, edges, nodes, land.qs, land.qt, land.landmarks, land.cost_name)
+        return DistributedModel(other, self.theta, self.tol, self.method, self.tile)
+
+    def connected_habitat_degraded(self, row: int, col: int, transform=None, diagonal: float | None = None, **values) -> DataFrame:
+        """The habitat canvas after one cell is degraded."""
+        return self.degraded(row, col, **values).connected_habitat("expected_cost", transform, diagonal)
+
     def _adjoint(self, weights: DataFrame | None) -> DataFrame:
         """node, target, z, x: the adjoint solution of the weights over z less each target's own total."""
         nodes = self.landscape.nodes
@@ -96,10 +160,14 @@ class DistributedModel:
             k = k.join(weights.withColumnRenamed("value", "p"), ["node", "target"]).withColumn("k", F.col("k") * F.col("p"))
         k = written(k.where("k > 0").select("node", "target", "k", "value"), "weights")
         less = k.groupBy("target").agg(F.sum("k").alias("k")).join(self._own(self.z), "target")
-        plus = self._solve(k.select("node", "target", (F.col("k") / F.col("value")).alias("value")), transposed=True)
-        minus = self._solve(less.select(F.col("target").alias("node"), "target", (F.col("k") / F.col("own")).alias("value")), transposed=True)
-        both = plus.withColumnRenamed("value", "plus").join(minus.withColumnRenamed("value", "minus"), ["node", "target"], "full_outer")
-        x = both.select("node", "target", (F.coalesce("plus", F.lit(0.0)) - F.coalesce("minus", F.lit(0.0))).alias("x"))
+        plus = k.select("node", "target", (F.col("k") / F.col("value")).alias("value"))
+        minus = less.select(F.col("target").alias("node"), "target", (F.col("k") / F.col("own")).alias("value"))
+        if self.method == "series":  # which takes what isn't negative
+            both = self._solve(plus, transposed=True).withColumnRenamed("value", "plus").join(self._solve(minus, transposed=True).withColumnRenamed("value", "minus"), ["node", "target"], "full_outer")
+            x = both.select("node", "target", (F.coalesce("plus", F.lit(0.0)) - F.coalesce("minus", F.lit(0.0))).alias("x"))
+        else:
+            both = plus.unionByName(minus.withColumn("value", -F.col("value"))).groupBy("node", "target").agg(F.sum("value").alias("value"))
+            x = self._solve(both, transposed=True).withColumnRenamed("value", "x")
         return x.join(self.z.withColumnRenamed("value", "z"), ["node", "target"], "full_outer")
 
     def betweenness(self, connectivity: str | None = None, transform=None, diagonal: float | None = None) -> DataFrame:
@@ -117,9 +185,120 @@ class DistributedModel:
         steps = self.walk.select("src", "dst", "w").join(x, "src").join(z, ["dst", "target"])
         return steps.groupBy("src", "dst").agg(F.sum(F.col("w") * F.col("x") * F.col("z")).alias("value"))
 
+    def betweenness_qweighted(self) -> DataFrame:
+        return self.betweenness()
+
+    def betweenness_kweighted(self, connectivity: str = "expected_cost", transform=None, diagonal: float | None = None) -> DataFrame:
+        return self.betweenness(connectivity, transform, diagonal)
+
+    def edge_betweenness_qweighted(self) -> DataFrame:
+        return self.edge_betweenness()
+
+    def edge_betweenness_kweighted(self, transform=None, diagonal: float | None = None) -> DataFrame:
+        return self.edge_betweenness("expected_cost", transform, diagonal)
+
     def mean_kl_divergence(self) -> DataFrame:
         """One row: theta times the quality-weighted sum of free energy less expected cost."""
-        nodes = self.landscape.nodes
         both = self.free_energy_distance().withColumnRenamed("value", "phi").join(self.expected_cost(), ["node", "target"])
-        both = both.join(nodes.select(F.col("cell").alias("node"), "qs"), "node").join(nodes.where("is_target").select(F.col("cell").alias("target"), "qt"), "target")
-        return both.agg((self.theta * F.sum(F.col("qs") * (F.col("phi") - F.col("value")) * F.col("qt"))).alias("value"))
+        return self._weighted(both.select("node", "target", (self.theta * (F.col("phi") - F.col("value"))).alias("value")))
+
+    # --- least costs -----------------------------------------------------------------------
+
+    @cached_property
+    def _least(self) -> DataFrame:
+        return Tiles(self.landscape.edges, *self.landscape.size).least_costs(self._targets())
+
+    def _targets(self) -> DataFrame:
+        return self.landscape.targets().select(F.col("cell").alias("target"))
+
+    def least_cost_distance(self) -> DataFrame:
+        """node, target, value: the least cost from the target to the node."""
+        return self._least
+
+    def _divergence(self, dist: DataFrame, targets: DataFrame) -> DataFrame:
+        pref = reference_walk(self.landscape, self.theta).select(F.col("src").alias("node"), F.col("dst").alias("parent"), "pref")
+        tree = parents(self.landscape.edges, dist).join(pref, ["node", "parent"], "left")  # no step back: an infinite divergence
+        return summed_up(tree.withColumn("value", F.coalesce(-F.ln("pref"), F.lit(float("inf")))), targets)
+
+    def least_cost_kl(self) -> DataFrame:
+        """node, target, value: the divergence of the least-cost path from the reference walk; of tied paths that over the least nodes."""
+        return self._divergence(self._least, self._targets())
+
+    def least_cost_kl_divergence(self, row: int, col: int) -> DataFrame:
+        """The canvas of that divergence to one cell."""
+        land = self.landscape
+        if land.nodes.where((F.col("row") == row) & (F.col("col") == col)).isEmpty():
+            raise ValueError(f"({row}, {col}) is not an active cell")
+        target = land.spark.range(1).select(F.lit((col - 1) * land.nrows + row).cast("long").alias("target"))
+        found = self._divergence(Tiles(land.edges, *land.size).least_costs(target), target)
+        return land.canvas(found.select(F.col("node").alias("cell"), "value"))
+
+    def _weighted(self, pairs: DataFrame) -> DataFrame:
+        """One row: the sum over pairs, weighted by both qualities."""
+        nodes = self.landscape.nodes
+        both = pairs.join(nodes.select(F.col("cell").alias("node"), "qs"), "node").join(nodes.where("is_target").select(F.col("cell").alias("target"), "qt"), "target")
+        return both.agg(F.sum(F.col("qs") * F.col("value") * F.col("qt")).alias("value"))
+
+    def mean_lc_kl_divergence(self) -> DataFrame:
+        """One row: the quality-weighted sum over sources and targets."""
+        return self._weighted(self.least_cost_kl())
+
+
+def theta_sweep(land: Landscape, thetas: list[float]) -> DataFrame:
+    """theta, row, col, value: quality-weighted flow at several temperatures; each has a tree of its own."""
+    out = None
+    for theta in thetas:
+        flow = DistributedModel(land, theta).betweenness()
+        part = flow.where("value is not null").select(F.lit(float(theta)).alias("theta"), "row", "col", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def undirected(land: Landscape) -> Landscape:
+    """``land`` with every active cell as a target; raises unless costs are the same in both directions."""
+    land.check_symmetric()
+    return Landscape(land.spark, land.nrows, land.ncols, land.edges, land.nodes.withColumn("is_target", F.lit(True)), land.qs, land.qt, False, land.cost_name)
+
+
+def floyd_warshall(land: Landscape) -> DataFrame:
+    """node, target, value: least costs between all cells of the undirected view."""
+    every = undirected(land)
+    return Tiles(every.edges, *every.size).least_costs(every.targets().select(F.col("cell").alias("target")))
+
+
+def brandes(land: Landscape) -> DataFrame:
+    """row, col, value: classical shortest-path betweenness of the undirected view, each unordered pair counted once."""
+    dist = floyd_warshall(land)
+    return land.canvas(dependencies(land.edges, dist).select("cell", (F.col("value") / 2).alias("value")))
+
+
+def dependencies(edges: DataFrame, dist: DataFrame) -> DataFrame:
+    """cell, value: for each cell the sum over sources of Brandes' dependencies, all sources of ``dist`` (node, target, value) at once.
+
+    With T the edges on shortest paths from a source (ties within ``SAME``), paths are counted by sigma = sum of T^k of the source, and
+    (1 + delta) / sigma = sum of the transpose's powers of 1 / sigma; both end after as many joins as the longest path has edges.
+    """
+    ahead = dist.select(F.col("node").alias("src"), "target", F.col("value").alias("before")).join(edges.where("cost is not null and not isnan(cost)").select("src", F.col("dst").alias("node"), "cost"), "src")
+    x = F.col("before") + F.col("cost")
+    near = F.abs(x - F.col("value")) <= SAME * F.greatest(F.lit(1.0), F.col("value"))
+    tight = written(ahead.join(dist, ["node", "target"]).where(near & (F.col("cost") > 0)).select("target", "src", F.col("node").alias("dst")), "tight")
+    roots = dist.where("node = target").select("node", "target", F.lit(1.0).alias("n"))
+    sigma = written(powers(tight, roots, "src", "dst"), "sigma")
+    whole = powers(tight, sigma.select("node", "target", (1 / F.col("n")).alias("n")), "dst", "src").withColumnRenamed("n", "g")
+    both = sigma.join(whole, ["node", "target"]).where("node <> target")
+    return both.groupBy(F.col("node").alias("cell")).agg(F.sum(F.col("n") * F.col("g") - 1).alias("value"))
+
+
+def powers(tight: DataFrame, start: DataFrame, here: str, there: str, rounds: int = 100_000) -> DataFrame:
+    """node, target, n: the sum of all powers of an acyclic table of steps applied to ``start`` (node, target, n)."""
+    steps = tight.select("target", F.col(here).alias("node"), F.col(there).alias("next"))
+    now, parts = written(start, "powers"), []
+    for _ in range(rounds):
+        parts.append(now)
+        now = written(now.join(steps, ["node", "target"]).groupBy(F.col("next").alias("node"), "target").agg(F.sum("n").alias("n")), "powers")
+        if now.isEmpty():
+            whole = parts[0]
+            for p in parts[1:]:
+                whole = whole.unionByName(p)
+            return whole.groupBy("node", "target").agg(F.sum("n").alias("n"))
+    raise RuntimeError("the steps run in a circle")

@@ -1,7 +1,6 @@
 """Graph operators on edge tables: strong components, and the distributed solvers.
 
-Small graphs (a checked number of edges) are labelled in one task; larger ones by DataFrame loops whose
-rounds are written to the shared folder.
+Everything is a DataFrame loop whose rounds are written to the shared folder; a task holds the edges inside one range of ``PART`` ids.
 """
 
 from __future__ import annotations
@@ -14,23 +13,78 @@ from pyspark.sql import functions as F
 from landweave.operators import kernels
 from landweave.plans.stages import discard, written
 
-#: Edges up to which one task labels the components.
-ONE_TASK = 2_000_000
+#: Ids in one range, whose inner edges a task contracts.
+PART = 4096
 
 
-def strong_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """node, component (its least node) of every node that an edge touches."""
-    pairs = edges.select("src", "dst")
-    if pairs.limit(one_task + 1).count() > one_task:
-        return strong_components_by_colour(pairs)
+def strong_components(edges: DataFrame, part: int = PART) -> DataFrame:
+    """node, component (its least node) of every node that an edge touches.
+
+    The same steps at every size. What is strongly connected inside a range of ids is contracted first, a task for each range (on a
+    raster that is nearly all); then what edges in both directions connect; then chains, by pointer doubling, and ends, which are components of
+    their own; the rest is flooded.
+    """
+    pairs = written(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "scc")
 
     def label(table: pa.Table) -> pa.Table:
         src, dst = table.column("src").to_numpy(), table.column("dst").to_numpy()
         ids, both = np.unique(np.concatenate([src, dst]), return_inverse=True)
         found = kernels.strong_components(len(ids), both[: len(src)], both[len(src) :])
-        return pa.table({"node": ids, "component": ids[found]})
+        return pa.table({"node": ids, "root": ids[found]})
+
+    of = lambda c: F.expr(f"{c} div {part}")
+    inner = pairs.where(of("src") == of("dst")).groupBy(of("src")).applyInArrow(label, "node long, root long")
+    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    group = written(nodes.join(inner, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "scc")
+    between = written(contracted(pairs, group), "scc")
+    if between.isEmpty():
+        return group.select("node", F.col("root").alias("component"))
+    return whole(group, strong_components_by_colour(between))
+
+
+def contracted(edges: DataFrame, group: DataFrame) -> DataFrame:
+    """src, dst between different groups (node, root)."""
+    of = lambda c, r: group.select(F.col("node").alias(c), F.col("root").alias(r))
+    return edges.join(of("src", "rs"), "src").join(of("dst", "rd"), "dst").where("rs <> rd").select(F.col("rs").alias("src"), F.col("rd").alias("dst")).distinct()
+
+
+def whole(group: DataFrame, found: DataFrame) -> DataFrame:
+    """node, component from groups (node, root) and the components (node, component) of their roots, named by the least node."""
+    joined = group.join(found.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    return joined
+
+
+def chained(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(inner: node, ahead, behind of every node on a chain; ring: node, component of those on a ring alone).
+
+    A node on a chain has one edge in and one out. ``ahead`` and ``behind`` are the nodes off the chain where it comes from and leads to,
+    found by pointer doubling; a chain that has none is a ring, one component.
+    """
+    once = lambda c, o: edges.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(o).alias(o)).where("n = 1").select("node", o)
+    links = written(once("dst", "src").join(once("src", "dst"), "node"), "chains")
+    out = None
+    for end, name in (("src", "ahead"), ("dst", "behind")):
+        state = written(links.select("node", F.col(end).alias("at"), F.least("node", end).alias("least"), F.lit(True).alias("on")), "chains")
+        for _ in range(rounds):
+            nxt = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("least").alias("low"), F.lit(True).alias("more"))
+            moved = written(state.join(nxt, "at", "left").select("node", F.coalesce("next", "at").alias("at"), F.least("least", "low").alias("least"), F.col("more").isNotNull().alias("on")), "chains")
+            done = moved.where("on").isEmpty() or moved.select("node", "at", "least").where("on").exceptAll(state.select("node", "at", "least")).isEmpty()
+            # on a ring the least node is known after as many rounds as its length has bits, though pointers go on
+            settled = done or moved.join(state.select("node", F.col("least").alias("old")), "node").where("on and least <> old").isEmpty()
+            discard(state)
+            state = moved
+            if done or settled and _rings_only(state):
+                break
+        part = state.select("node", F.col("at").alias(name), F.col("least").alias(f"least_{name}"), F.col("on").alias(f"ring_{name}"))
+        out = part if out is None else out.join(part, "node")
+    both = written(out, "chains")
+    return both.where("not ring_ahead").select("node", "ahead", "behind"), both.where("ring_ahead").select("node", F.least("least_ahead", "least_behind").alias("component"))
+
 
-    return pairs.groupBy().applyInArrow(label, "node long, component long")
+def _rings_only(state: DataFrame) -> bool:
+    """Whether all pointers that still lead to nodes on chains stay on them: then these are rings."""
+    on = state.where("on").select("node", "at")
+    return on.join(state.where("not on").select(F.col("node").alias("at")), "at", "left_semi").isEmpty()
 
 
 def joined_both_ways(edges: DataFrame) -> DataFrame:
@@ -59,18 +113,65 @@ def joined_both_ways(edges: DataFrame) -> DataFrame:
 
 
 def strong_components_by_colour(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """The same without a size limit.
-
-    Nodes that edges in both directions connect are one group, as on a raster most are; the groups are found in few
-    rounds, and only what lies between them is flooded.
-    """
+    """The same without ranges of ids: groups of two-way edges, then chains and ends, then the flood."""
     edges = written(edges.select("src", "dst").distinct(), "scc")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     group = written(nodes.join(joined_both_ways(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "scc")
-    of = lambda c, r: group.select(F.col("node").alias(c), F.col("root").alias(r))
-    between = edges.join(of("src", "rs"), "src").join(of("dst", "rd"), "dst").where("rs <> rd").select(F.col("rs").alias("src"), F.col("rd").alias("dst"))
-    found = flooded(between, rounds).withColumnRenamed("node", "root")
-    return group.join(found, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    between = written(contracted(edges, group), "scc")
+    found = None
+    if not between.isEmpty():
+        found = thinned(between, rounds)
+    return group.select("node", F.col("root").alias("component")) if found is None else least_named(whole(group, found))
+
+
+def least_named(found: DataFrame) -> DataFrame:
+    """The components by their least node."""
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def thinned(edges: DataFrame, rounds: int) -> DataFrame:
+    """node, component: chains become one edge and ends go, as long as that removes a tenth of the nodes; the rest is flooded."""
+    alone, held, done = [], [], []
+    size = None
+    while True:
+        # ends: without an edge in, or out
+        sources, sinks = edges.select(F.col("src").alias("node")).distinct(), edges.select(F.col("dst").alias("node")).distinct()
+        kept = written(sources.join(sinks, "node", "left_semi"), "kept")
+        alone.append(sources.union(sinks).distinct().join(kept, "node", "left_anti").select("node", F.col("node").alias("component")))
+        inside = lambda c, k=kept: k.select(F.col("node").alias(c))
+        edges = written(edges.join(inside("src"), "src", "left_semi").join(inside("dst"), "dst", "left_semi"), "thin")
+        now = edges.count()
+        if not now:
+            break
+        if size is not None and now > 0.9 * size:
+            done.append(flooded(edges, rounds))
+            break
+        size = now
+        chain, ring = chained(edges)
+        chain = written(chain, "chain")
+        held.append(chain)
+        done.append(ring)
+        off = written(kept.join(chain.select("node").union(ring.select("node")), "node", "left_anti"), "off")
+        stay = lambda c, k=off: k.select(F.col("node").alias(c))
+        direct = edges.join(stay("src"), "src", "left_semi").join(stay("dst"), "dst", "left_semi")
+        across = chain.select(F.col("ahead").alias("src"), F.col("behind").alias("dst")).distinct()
+        # a chain that comes back to where it left is one component with it
+        edges = written(direct.unionByName(across.where("src <> dst")).distinct(), "thin")
+        lost = written(off.join(edges.select(F.col("src").alias("node")).union(edges.select("dst")), "node", "left_anti"), "lost")
+        alone.append(lost.select("node", F.col("node").alias("component")))
+        if edges.isEmpty():
+            break
+    found = alone[0]
+    for part in [*alone[1:], *done]:
+        found = found.unionByName(part)
+    found = written(found, "found")
+    for chain in reversed(held):  # a chain between two nodes of one component belongs to it
+        of = lambda c, f=found: f.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        mine = chain.join(of("ahead"), "ahead", "left").join(of("behind"), "behind", "left")
+        same = F.col("of_ahead") == F.col("of_behind")
+        found = written(found.unionByName(mine.select("node", F.when(same, F.col("of_ahead")).otherwise(F.col("node")).alias("component"))), "found")
+    return found
 
 
 def flooded(edges: DataFrame, rounds: int) -> DataFrame:

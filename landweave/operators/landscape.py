@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from landweave.functions import transforms
 from landweave.operators import graph, kernels, raster
+from landweave.operators.tiles import Tiles
 from landweave.plans.stages import written
 
 #: Edges up to which a graph is collected and broadcast to the kernels; beyond it the table operators of ``graph`` apply.
@@ -198,7 +199,7 @@ class Landscape:
             raise ValueError("least-cost distances have no approximation")
         if theta is not None:
             raise ValueError("least-cost distances have no temperature")
-        return self._per_target(_least)
+        return Tiles(self.edges, *self.size).least_costs(self.targets().select(F.col("cell").alias("target")))
 
     def expected_cost(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
         """node, target, value by sweeps until both distances change by less than ``tol`` relative to the largest."""
@@ -241,10 +242,6 @@ def _positive(theta: float | None) -> float:
     return theta
 
 
-def _least(g: kernels.Graph, t: int) -> np.ndarray:
-    return kernels.dijkstra(g, t)[0]
-
-
 class _Sweep:
     def __init__(self, which: int, approx: bool, tol: float):
         self.which, self.approx, self.tol = which, approx, tol

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SQRT2 = math.sqrt(2.0)
@@ -117,6 +117,52 @@ def neighborhood_sum(quality: DataFrame, row: int, col: int, npix: int) -> DataF
     return quality.where(near & F.col("value").isNotNull() & ~F.isnan("value")).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
 
 
+def summed_area(quality: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """row, col (from 0), sum: the sum of all values at or before each row and column, missing ones as 0.
+
+    Running sums along the rows, then down the columns: a window holds one row, or one column, of the raster.
+    """
+    known = quality.where("value is not null and not isnan(value)").select("row", "col", "value")
+    every = cells(quality.sparkSession, nrows, ncols).join(known, ["row", "col"], "left").select("row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+    along = every.withColumn("part", F.sum("value").over(Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)))
+    down = along.select("row", "col", F.sum("part").over(Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    return down
+
+
+def area_sums(table: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and value: the sums over the boxes (keys, top, bottom, left, right; inclusive, inside the raster) from four look-ups each in a summed area table."""
+    corner = lambda r, c, sign: F.struct(r.alias("row"), c.alias("col"), F.lit(sign).alias("sign"))
+    up, left = F.col("top") - 1, F.col("left") - 1
+    four = F.array(corner(F.col("bottom"), F.col("right"), 1.0), corner(up, F.col("right"), -1.0), corner(F.col("bottom"), left, -1.0), corner(up, left, 1.0))
+    looked = boxes.select(*keys, F.explode(four).alias("c")).select(*keys, "c.*").join(table, ["row", "col"], "left")  # row or column 0: nothing
+    return looked.groupBy(*keys).agg(F.sum(F.col("sign") * F.coalesce("sum", F.lit(0.0))).alias("value"))
+
+
+def neighborhood_sums(quality: DataFrame, nrows: int, ncols: int, npix: int) -> DataFrame:
+    """row, col, value: ``neighborhood_sum`` around every cell."""
+    if npix < 1:
+        raise ValueError("npix must be positive")
+    lo, hi = npix // 2, -(-npix // 2) - 1
+    at = lambda c, d, n: F.least(F.greatest(F.col(c) + d, F.lit(1)), F.lit(n)).cast("int")
+    boxes = cells(quality.sparkSession, nrows, ncols).select("row", "col", at("row", -lo, nrows).alias("top"), at("row", hi, nrows).alias("bottom"), at("col", -lo, ncols).alias("left"), at("col", hi, ncols).alias("right"))
+    return area_sums(summed_area(quality, nrows, ncols), boxes.withColumnsRenamed({"row": "at_row", "col": "at_col"}), ["at_row", "at_col"]).withColumnsRenamed({"at_row": "row", "at_col": "col"})
+
+
+def coarse_grainings(quality: DataFrame, nrows: int, ncols: int, sizes: list[int]) -> DataFrame:
+    """npix, row, col, value: ``coarse_graining`` by each of ``sizes``, all from one summed area table; sums within rounding of 0 are left out."""
+    if min(sizes) < 1:
+        raise ValueError("npix must be positive")
+    table = summed_area(quality, nrows, ncols)
+    out = None
+    for p in sizes:
+        blocks = quality.sparkSession.range((nrows // p) * (ncols // p)).select(F.expr(f"cast(id div {max(ncols // p, 1)} as int)").alias("br"), F.expr(f"cast(id % {max(ncols // p, 1)} as int)").alias("bc"))
+        edge = lambda c, d, p=p: (F.col(c) * p + d).cast("int")
+        boxes = blocks.select(F.lit(p).alias("npix"), edge("br", p // 2 + 1).alias("at_row"), edge("bc", p // 2 + 1).alias("at_col"), edge("br", 1).alias("top"), edge("br", p).alias("bottom"), edge("bc", 1).alias("left"), edge("bc", p).alias("right"))
+        out = boxes if out is None else out.unionByName(boxes)
+    found = area_sums(table, out, ["npix", "at_row", "at_col"]).withColumnsRenamed({"at_row": "row", "at_col": "col"})
+    return found.where("abs(value) > 1e-12")
+
+
 def canvas(spark: SparkSession, values: DataFrame, nrows: int, ncols: int, fill: float | None = None) -> DataFrame:
     """row, col, value of every cell; ``values`` has (cell, value). Cells without one get ``fill``."""
     grid = cells(spark, nrows, ncols).join(values.select("cell", "value"), "cell", "left")

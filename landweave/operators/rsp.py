@@ -476,12 +476,13 @@ def calibrate(land: Landscape, target: float, low: float = 1e-3, high: float = 3
     return (c, fc[1]) if fc[0] < fd[0] else (d, fd[1])
 
 
-def coarseness_sweep(land: Landscape, theta: float, sizes: list[int], measure: str = "connected_habitat", **options) -> DataFrame:
+def coarseness_sweep(land: Landscape, theta: float, sizes: list[int], measure: str = "connected_habitat", kind: type | None = None, **options) -> DataFrame:
     """npix, ratio (total over the full model's), correlation with the full model's canvas."""
-    full = getattr(RspModel(land, theta), measure)(**options).withColumnRenamed("value", "full")
+    kind = kind or RspModel
+    full = getattr(kind(land, theta), measure)(**options).withColumnRenamed("value", "full")
     out = None
     for p in sizes:
-        part = getattr(RspModel(land.with_landmarks(p), theta), measure)(**options).join(full, ["row", "col"]).where("value is not null and full is not null")
+        part = getattr(kind(land.with_landmarks(p), theta), measure)(**options).join(full, ["row", "col"]).where("value is not null and full is not null")
         one = part.agg(F.lit(p).alias("npix"), (F.sum("value") / F.sum("full")).alias("ratio"), F.corr("value", "full").alias("correlation"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -510,5 +511,10 @@ def floyd_warshall(land: Landscape) -> DataFrame:
     return every.least_cost_distance()
 
 
+def unwrapped(model) -> Landscape:
+    """The landscape of a model, or the landscape itself."""
+    return getattr(model, "landscape", model)
+
+
 def kl_percentage(kl: Column, largest: Column) -> Column:
     return kl / largest * 100

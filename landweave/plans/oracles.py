@@ -139,10 +139,13 @@ for _n in (4, 8):
         for _m in ("affinity", "cost"):
             add(f"adj_n{_n}_{_w}_{_m}", f"WITH {ACTIVITY}, {edges_sql('act', 'affinity', 24, 20, _n, _w, _m)} SELECT src, dst, round(value, 9) AS value FROM edges")
 add("adj_part", f"WITH {PART}, {edges_sql('prt', 'affinity', 50, 25)} SELECT src, dst, round(value, 9) AS value FROM edges")
-_GRID = 'g AS (SELECT r::INT AS "row", c::INT AS col FROM range(1, {0}) a(r) CROSS JOIN range(1, {1}) b(c))'
+SIDE = 'side AS (SELECT ceil(sqrt(max(p_partkey) + 1))::BIGINT AS s, max(p_retailprice)::DOUBLE AS top FROM part)'
+_S = "(SELECT s FROM side)"
+#: The grid of the parts' raster.
+_GRID = f'{SIDE}, g AS (SELECT a.r::INT AS "row", b.c::INT AS col FROM range(1, {_S} + 1) a(r) CROSS JOIN range(1, {_S} + 1) b(c))'
 for _n in (4, 8):
-    add(f"lattice_n{_n}", f"WITH {_GRID.format(13, 10)}, {edges_sql('g', '1.0::DOUBLE', 12, 9, _n)} SELECT src, dst, round(value, 9) AS value FROM edges")
-add("stencil_n8", f"SELECT dr::INT AS dr, dc::INT AS dc, round(len, 9) AS len FROM (VALUES {N8}) t(dr, dc, len)")
+    add(f"lattice_n{_n}", f"WITH {_GRID}, {edges_sql('g', '1.0::DOUBLE', _S, _S, _n)} SELECT src, dst, round(value, 9) AS value FROM edges")
+add("stencil_n8", f'WITH {SIDE} SELECT (p_partkey % s + 1)::INT AS "row", (p_partkey // s + 1)::INT AS col, dr::INT AS dr, dc::INT AS dc, round(len, 9) AS len FROM part, side, (VALUES {N8}) t(dr, dc, len)')
 _SHIP_EDGES = f"WITH {SHIP}, {edges_sql('ship', 'affinity', 31, 12)}"
 _FORMS = {"minus_log": "-ln(value) + 0.0", "exp_minus": "exp(-value)", "inv": "1 / value", "odds_against": "1 / value - 1", "odds_for": "value / (1 - value)"}
 for _t, _e in _FORMS.items():
@@ -159,8 +162,9 @@ add("value_map", rec(land_sql(None), on_canvas("SELECT cell, q AS value FROM nod
 add("target_nodes", rec(land_sql(3), 'SELECT cell, "row", col, round(qt, 6) AS qt FROM targets JOIN nodes USING (cell)'))
 add("cost_validation", f"{_SHIP_EDGES} SELECT src, dst, round(-ln(3 * value), 6) AS value FROM edges WHERE -ln(3 * value) < 0")
 add("edge_containment", f"WITH {SHIP}, {edges_sql('ship', 'affinity', 31, 12, 4, name='a')}, {edges_sql('ship', 'affinity', 31, 12, 8, matrix='cost', name='c')} SELECT src, dst FROM c WHERE value <> 0 EXCEPT SELECT src, dst FROM a")
-_WALL = f"""{_GRID.format(31, 61)}, {edges_sql('g', '1.0::DOUBLE', 30, 60)},
-wall AS (SELECT "row", col, ((col - 1) * 30 + "row")::BIGINT AS cell FROM g WHERE col BETWEEN 30 AND 32 AND ("row" <= 8 OR "row" BETWEEN 12 AND 20 OR "row" >= 23))"""
+# Corridors of 3 and 2 cells at 0.35 and 0.7 of the rows.
+_WALL = f"""{_GRID}, {edges_sql('g', '1.0::DOUBLE', _S, _S)}, stones AS (SELECT s, round_even(s * 0.5 - 0.5, 0)::INT AS first, floor(s * 0.35)::INT - 2 AS a, floor(s * 0.7)::INT - 1 AS b FROM side),
+wall AS (SELECT "row", col, ((col - 1) * s + "row")::BIGINT AS cell FROM g, stones WHERE col BETWEEN first AND first + 2 AND ("row" <= a OR "row" BETWEEN a + 4 AND b OR "row" >= greatest(a, b) + 3))"""
 add("wall_cells", f'WITH {_WALL} SELECT cell, "row", col FROM wall')
 _BLOCKED = "CASE WHEN src IN (SELECT cell FROM wall) OR dst IN (SELECT cell FROM wall) THEN {0} ELSE 0.5 * value END"
 add("wall_affinities", f"WITH {_WALL} SELECT src, dst, round({_BLOCKED.format('0.001::DOUBLE')}, 9) AS value FROM edges")
@@ -190,19 +194,19 @@ add("largest_subgraph", rec(_REACH, "SELECT node FROM scc WHERE component = (SEL
 add("is_strongly_connected", rec(_REACH, "SELECT count(DISTINCT component) <= 1 AS trade, true AS ship FROM scc"))
 add("least_cost_distance", rec(f"{land_sql(3)}, {least_sql()}", pairs("d", "round(v, 6)")))
 add("least_cost_distance_distributed", rec(f"{land_sql(5)}, {least_sql()}", pairs("d", "round(v, 6)")))
-_OPEN = f"""{_GRID.format(7, 8)}, {edges_sql('g', '0.5::DOUBLE', 6, 7, name='e0')}, e AS (SELECT src, dst, value AS affinity, -ln(value) AS cost FROM e0),
-targets AS (SELECT ((col - 1) * 6 + "row")::BIGINT AS cell FROM g)"""
-add("floyd_warshall_undirected", rec(f"{_OPEN}, {least_sql(14)}", pairs("d", "round(v, 6)")))
+_OPEN = f"""{SHIP}, {edges_sql('ship', 'affinity', 31, 12, weight='average', name='e0')}, {CANVAS}, e AS (SELECT src, dst, value AS affinity, -ln(value) + 0.0 AS cost FROM e0),
+targets AS (SELECT ((col - 1) * 31 + "row")::BIGINT AS cell FROM ship)"""
+add("floyd_warshall_undirected", rec(f"{_OPEN}, {least_sql()}", pairs("d", "round(v, 6)")))
 # Pair dependencies: sigma(s, v) * sigma(v, t) / sigma(s, t) where the distances add up; sigma counts shortest paths along tight edges.
-add("brandes_undirected", rec(f"""{_OPEN}, {least_sql(14)},
-tight AS (SELECT a.target AS root, e.src, e.dst FROM d a JOIN e ON e.src = a.node JOIN d b ON b.target = a.target AND b.node = e.dst WHERE abs(a.v + e.cost - b.v) < 1e-9),
+add("brandes_undirected", rec(f"""{_OPEN}, {least_sql()},
+tight AS (SELECT a.target AS root, e.src, e.dst FROM d a JOIN e ON e.src = a.node JOIN d b ON b.target = a.target AND b.node = e.dst WHERE abs(a.v + e.cost - b.v) < 1e-11),
 sig_k AS (SELECT 0 AS k, cell AS root, cell AS node, 1.0::DOUBLE AS n FROM targets
-  UNION ALL SELECT k + 1, s.root, t.dst, sum(s.n) FROM sig_k s JOIN tight t ON t.root = s.root AND t.src = s.node WHERE k < 14 GROUP BY k + 1, s.root, t.dst),
+  UNION ALL SELECT k + 1, s.root, t.dst, sum(s.n) FROM sig_k s JOIN tight t ON t.root = s.root AND t.src = s.node WHERE k < 45 GROUP BY k + 1, s.root, t.dst),
 sig AS (SELECT root, node, sum(n) AS n FROM sig_k GROUP BY root, node),
 dep AS (SELECT sv.node AS cell, sum(sv.n * vt.n / st.n) / 2 AS value FROM sig sv JOIN sig vt ON vt.root = sv.node JOIN sig st ON st.root = sv.root AND st.node = vt.node
   JOIN d a ON a.target = sv.root AND a.node = sv.node JOIN d b ON b.target = sv.node AND b.node = vt.node JOIN d c ON c.target = sv.root AND c.node = vt.node
-  WHERE abs(a.v + b.v - c.v) < 1e-9 AND sv.node <> sv.root AND sv.node <> vt.node GROUP BY sv.node)""",
-    'SELECT "row", col, round(coalesce(value, 0), 6) AS value FROM g LEFT JOIN dep ON dep.cell = (col - 1) * 6 + "row"'))
+  WHERE abs(a.v + b.v - c.v) < 1e-11 AND sv.node <> sv.root AND sv.node <> vt.node GROUP BY sv.node),
+every AS (SELECT t.cell, coalesce(value, 0) AS value FROM targets t LEFT JOIN dep USING (cell))""", on_canvas("SELECT cell, value FROM every", 4)))
 
 # --- the model ---------------------------------------------------------------------------------
 
@@ -298,9 +302,51 @@ add("landscape_impassable", f"""WITH {SHIP}, {edges_sql('ship', 'affinity', 31,
 SELECT src, dst, 1.0::DOUBLE AS affinity, round(-ln(1e-20::DOUBLE), 6) AS cost, round(q, 6) AS qs, round(q, 6) AS qt FROM edges
 JOIN (SELECT ((col - 1) * 31 + "row")::BIGINT AS dst, CASE WHEN "row" = 15 THEN 0 ELSE quality END AS q FROM ship) USING (dst)
 WHERE src IN (SELECT ((col - 1) * 31 + "row")::BIGINT FROM ship) AND ((src - 1) % 31 = 14 OR (dst - 1) % 31 = 14)""")
-_PARTS = f"""WITH side AS (SELECT ceil(sqrt(max(p_partkey) + 1))::BIGINT AS s, max(p_retailprice)::DOUBLE AS top FROM part),
+_PARTS = f"""WITH {SIDE},
 cells AS (SELECT p_partkey % s + 1 AS "row", p_partkey // s + 1 AS col, 0.5 * p_retailprice::DOUBLE / top AS v FROM part, side), st(dr, dc, len) AS (VALUES {N8}),
 edges AS (SELECT ((col - dc - 1) * s + "row" - dr)::BIGINT AS src, ((col - 1) * s + "row")::BIGINT AS dst, v / len AS value
   FROM cells, st, side WHERE v <> 0 AND "row" - dr BETWEEN 1 AND s AND col - dc BETWEEN 1 AND s)"""
 add("parts_adjacency", f"{_PARTS} SELECT src, dst, round(value, 6) AS value FROM edges")
 add("parts_outdegrees", f"{_PARTS} SELECT src AS cell, round(sum(value), 6) AS value FROM edges GROUP BY src")
+add("wall_parts", f"""{_PARTS}, {_WALL.split("stones AS", 1)[1].join(["stones AS", ""]).replace("FROM g, stones", "FROM cells, stones")}
+SELECT src, dst, round(CASE WHEN src IN (SELECT cell FROM wall) OR dst IN (SELECT cell FROM wall) THEN 0.001::DOUBLE ELSE value END, 9) AS value FROM edges""")
+
+
+def parts_sql() -> str:
+    """The parts' landscape: ``land_sql`` on a raster that grows with the tables; all its cells are connected."""
+    return f"""{_PARTS.removeprefix("WITH ")}, sold AS (SELECT l_partkey AS k, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1),
+grid AS (SELECT a.r::INT AS "row", b.c::INT AS col, ((b.c - 1) * {_S} + a.r)::BIGINT AS cell FROM range(1, {_S} + 1) a(r) CROSS JOIN range(1, {_S} + 1) b(c)),
+nodes AS (SELECT ((p_partkey // s) * s + p_partkey % s + 1)::BIGINT AS cell, (p_partkey % s + 1)::INT AS "row", (p_partkey // s + 1)::INT AS col, coalesce(q, 0) AS q FROM part CROSS JOIN side LEFT JOIN sold ON k = p_partkey),
+size AS (SELECT s, greatest(1, s // 5) AS p FROM side),
+targets AS (SELECT n.cell, c.v AS qt FROM (
+  SELECT br * p + p // 2 + 1 AS r, bc * p + p // 2 + 1 AS c, sum(q) AS v FROM (SELECT ("row" - 1) // p AS br, (col - 1) // p AS bc, q, p, s FROM nodes, size)
+  WHERE (br + 1) * p <= s AND (bc + 1) * p <= s GROUP BY br, bc, p HAVING sum(q) <> 0) c JOIN nodes n ON n."row" = c.r AND n.col = c.c),
+e AS (SELECT src, dst, value AS affinity, -ln(value) + 0.0 AS cost FROM edges WHERE src IN (SELECT cell FROM nodes))"""
+
+
+_PARTS_MODEL = f"""{parts_sql()},
+w AS (SELECT src, dst, pref, cost, pref * exp(-cost) AS w FROM (SELECT *, affinity / sum(affinity) OVER (PARTITION BY src) AS pref FROM e)),
+{solve_sql('z', 'SELECT cell AS node, cell AS target, 1.0::DOUBLE AS v FROM targets')},
+zt AS (SELECT target, v FROM z WHERE node = target),
+s AS (SELECT z.node, z.target, z.v / zt.v AS v FROM z JOIN zt USING (target))"""
+add("parts_fundamental_matrix", rec(_PARTS_MODEL, pairs("z", "round(ln(v), 6)")))
+add("parts_habitat", rec(_PARTS_MODEL, habitat("s", "p.v").replace("round(value, 6)", "round(value, 5)")))
+add("parts_expected_cost", rec(f"{_PARTS_MODEL}, {cost_sql()}", pairs("c", "round(v, 5)")))
+add("parts_flow", rec(f"{_PARTS_MODEL}, {flow_sql()}", _NODE.replace("round(value, 6)", "round(value, 5)")))
+add("parts_flow_k", rec(f"{_PARTS_MODEL}, {flow_sql('s.v', 'JOIN s ON s.node = z.node AND s.target = z.target')}", _NODE.replace("round(value, 6)", "round(value, 5)")))
+add("parts_least_cost", rec(f"{parts_sql()}, {least_sql(100)}", pairs("d", "round(v, 5)")))
+add("parts_least_cost_kl", rec(f"{_PARTS_MODEL}, {least_sql(100)}, {_TREE}", pairs("kl_k", "round(v, 5)")))
+add("sum_neighborhoods", f"""WITH {parts_sql()} SELECT g."row", g.col, round(coalesce(sum(n.q), 0), 6) AS value FROM grid g
+LEFT JOIN nodes n ON n."row" BETWEEN g."row" - 2 AND g."row" + 2 AND n.col BETWEEN g.col - 2 AND g.col + 2 GROUP BY g."row", g.col""")
+add("coarse_graining_sizes", f"""WITH {parts_sql()}, blocks AS (
+  SELECT p::INT AS npix, ("row" - 1) // p AS br, (col - 1) // p AS bc, sum(q) AS v, s FROM nodes, side, range(1, 13) t(p) GROUP BY ALL)
+SELECT npix, (br * npix + npix // 2 + 1)::INT AS "row", (bc * npix + npix // 2 + 1)::INT AS col, round(v, 6) AS value FROM blocks WHERE (br + 1) * npix <= s AND (bc + 1) * npix <= s AND v <> 0""")
+add("canvas_infinite", f"WITH {SHIP}, {CANVAS} SELECT g.\"row\", g.col, round(coalesce(quality, 'Infinity'::DOUBLE), 6) AS value FROM grid g LEFT JOIN ship x ON x.\"row\" = g.\"row\" AND x.col = g.col AND quality > 0.5")
+add("grid_size", f"WITH {SHIP}, {SIDE} SELECT 'ship' AS name, 31::BIGINT AS rows, 12::BIGINT AS cols, count(*) AS active FROM ship UNION ALL SELECT 'parts', min(s), min(s), count(*) FROM part, side")
+add("reprs", f"""WITH {SIDE}, names AS (SELECT 'Landscape of size ' || s || ' x ' || s || ' with landmarks' AS land FROM side)
+SELECT 'landscape' AS name, land AS value FROM names UNION ALL SELECT 'model', 'DistributedModel at theta 1.0 of a ' || land FROM names UNION ALL SELECT 'unwrapped', land FROM names""")
+add("landscape_checks", f"""{_SHIP_EDGES}, a AS (SELECT min(least(src, dst)) AS lo, max(greatest(src, dst)) AS hi, min(least(src, dst + 31)) AS clo, max(greatest(src, dst + 31)) AS chi, min(-ln(3 * value)) AS least FROM edges)
+SELECT 'complete' AS name, false AS refused, NULL AS reason UNION ALL SELECT 'no affinities', true, 'affinities are needed'
+UNION ALL SELECT 'grid too small', true, 'grid size (30, 12) is incompatible with the cells ' || lo || ' to ' || hi FROM a WHERE hi > 360
+UNION ALL SELECT 'costs outside', true, 'grid size (31, 12) is incompatible with the cells ' || clo || ' to ' || chi FROM a WHERE chi > 372
+UNION ALL SELECT 'negative costs', least < 0, 'the cost graph can have only non-negative edge weights' FROM a""")

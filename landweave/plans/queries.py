@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.functions import transforms
-from landweave.operators import graph, kernels, raster, rsp
-from landweave.operators.landscape import Landscape, missing_affinities
+from landweave.operators import distributed, graph, kernels, raster, rsp
 from landweave.operators.distributed import DistributedModel
+from landweave.operators.landscape import Landscape, missing_affinities
 from landweave.operators.rsp import RspModel
 from landweave.plans import tables
 from landweave.plans.stages import shared_dir, written
@@ -22,7 +22,6 @@ from landweave.sources import ascgrid
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 THETA, NPIX = 1.0, 3
-WALL = (30, 60)
 
 
 def registry() -> dict[str, Query]:
@@ -71,8 +70,13 @@ def ship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.raster_graph(ship(spark, sf_dir), *SHIP)
 
 
-def model(spark: SparkSession, sf_dir: str, npix: int | None = NPIX, theta: float = THETA) -> RspModel:
-    return RspModel(tables.ship_landscape(spark, sf_dir, npix), theta)
+def model(spark: SparkSession, sf_dir: str, npix: int | None = NPIX, theta: float = THETA) -> DistributedModel:
+    return DistributedModel(tables.ship_landscape(spark, sf_dir, npix), theta)
+
+
+def arrays(spark: SparkSession, sf_dir: str, npix: int | None = NPIX) -> RspModel:
+    """For what has no table form."""
+    return RspModel(tables.ship_landscape(spark, sf_dir, npix), THETA)
 
 
 # --- rasters and graphs ------------------------------------------------------------------------
@@ -110,7 +114,9 @@ def adj_part(spark, sf_dir):
 
 
 def _lattice(neighbors: int, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(raster.lattice(spark, 12, 9, neighbors), digits=9)
+    """A uniform grid of the size of the parts' raster."""
+    side = tables.parts_side(spark, sf_dir)
+    return rounded(raster.lattice(spark, side, side, neighbors), digits=9)
 
 
 _REGISTRY["lattice_n4"], _REGISTRY["lattice_n8"] = partial(_lattice, 4), partial(_lattice, 8)
@@ -118,7 +124,9 @@ _REGISTRY["lattice_n4"], _REGISTRY["lattice_n8"] = partial(_lattice, 4), partial
 
 @query
 def stencil_n8(spark, sf_dir):
-    return rounded(raster.stencil_table(spark, 8), "len", digits=9)
+    """The stencil of 8 neighbours at every cell of the parts' raster."""
+    cells, _ = tables.parts_grid(spark, sf_dir)
+    return rounded(cells.select("row", "col", F.explode(raster.stencil(8)).alias("s")).select("row", "col", "s.*"), "len", digits=9)
 
 
 def _cost(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +158,20 @@ def sum_neighborhood(spark, sf_dir):
     return rounded(raster.neighborhood_sum(tables.value_of(tables.ship_cells(spark, sf_dir), "quality"), 16, 6, 5))
 
 
+@query
+def sum_neighborhoods(spark, sf_dir):
+    """Sums of 5 x 5 cells around every cell of the parts' raster."""
+    cells, side = tables.parts_grid(spark, sf_dir)
+    return rounded(raster.neighborhood_sums(tables.value_of(cells, "quality"), side, side, 5))
+
+
+@query
+def coarse_graining_sizes(spark, sf_dir):
+    """Landmarks of the parts' raster by every block size up to 12."""
+    cells, side = tables.parts_grid(spark, sf_dir)
+    return rounded(raster.coarse_grainings(tables.value_of(cells, "quality"), side, side, list(range(1, 13))))
+
+
 @query
 def outdegree_map(spark, sf_dir):
     return rounded(tables.ship_landscape(spark, sf_dir, None).outdegree_map())
@@ -166,6 +188,53 @@ def value_map(spark, sf_dir):
     return rounded(land.canvas(land.nodes.select("cell", F.col("qs").alias("value"))))
 
 
+@query
+def canvas_infinite(spark, sf_dir):
+    """Qualities above the middle on a canvas of infinity."""
+    land = tables.ship_landscape(spark, sf_dir, None)
+    return rounded(land.canvas(land.nodes.where("qs > 0.5").select("cell", F.col("qs").alias("value")), fill=float("inf")))
+
+
+@query
+def grid_size(spark, sf_dir):
+    """Rows, columns and active cells of both landscapes."""
+    out = None
+    for name, land in (("ship", tables.ship_landscape(spark, sf_dir, None)), ("parts", tables.parts_landscape(spark, sf_dir))):
+        one = land.nodes.agg(F.lit(name).alias("name"), F.lit(land.size[0]).cast("long").alias("rows"), F.lit(land.size[1]).cast("long").alias("cols"), F.count(F.lit(1)).alias("active"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def reprs(spark, sf_dir):
+    """What a landscape, its model and the model's landscape are called."""
+    m = DistributedModel(tables.parts_landscape(spark, sf_dir), THETA)
+    return spark.createDataFrame([("landscape", repr(m.landscape)), ("model", repr(m)), ("unwrapped", repr(rsp.unwrapped(m)))], "name string, value string")
+
+
+@query
+def landscape_checks(spark, sf_dir):
+    """Whether a landscape is refused, with a reason: without affinities, with cells outside its grid (in affinities, or in costs), with negative costs."""
+    edges = ship_edges(spark, sf_dir)
+    rows, cols = SHIP
+    cases = {
+        "complete": lambda: Landscape.build(spark, rows, cols, edges, prune=False), "no affinities": lambda: Landscape.build(spark, rows, cols),
+        "grid too small": lambda: Landscape.build(spark, rows - 1, cols, edges, prune=False),
+        "costs outside": lambda: Landscape.build(spark, rows, cols, edges, costs=edges.withColumn("dst", F.col("dst") + rows), prune=False),
+        "negative costs": lambda: Landscape.build(spark, rows, cols, raster.map_values(edges, lambda v: v * 3), prune=False),
+    }
+
+    def reason(f: Callable) -> str | None:
+        try:
+            f()
+        except ValueError as e:
+            return str(e).split(" of the ")[0]
+        return None
+
+    found = [(name, reason(f)) for name, f in cases.items()]
+    return spark.createDataFrame([(name, why is not None, why) for name, why in found], "name string, refused boolean, reason string")
+
+
 @query
 def target_nodes(spark, sf_dir):
     return rounded(tables.ship_landscape(spark, sf_dir, NPIX).targets(), "qt")
@@ -187,18 +256,30 @@ def edge_containment(spark, sf_dir):
 
 @query
 def wall_cells(spark, sf_dir):
-    return raster.wall_table(spark, *WALL, corridor_widths=(3, 2))
+    """A wall across a raster of the size of the parts' one."""
+    side = tables.parts_side(spark, sf_dir)
+    return raster.wall_table(spark, side, side, corridor_widths=(3, 2))
 
 
 @query
 def wall_affinities(spark, sf_dir):
-    return raster.wall_affinities(spark, *WALL, impossible=1e-3, corridor_widths=(3, 2)).withColumn("value", F.round("value", 9))
+    side = tables.parts_side(spark, sf_dir)
+    return rounded(raster.wall_affinities(spark, side, side, impossible=1e-3, corridor_widths=(3, 2)), digits=9)
 
 
 @query
 def wall_impassable(spark, sf_dir):
     """With no affinity left at the wall its edges are gone."""
-    return rounded(raster.wall_affinities(spark, *WALL, impossible=0.0, corridor_widths=(3, 2)), digits=9)
+    side = tables.parts_side(spark, sf_dir)
+    return rounded(raster.wall_affinities(spark, side, side, impossible=0.0, corridor_widths=(3, 2)), digits=9)
+
+
+@query
+def wall_parts(spark, sf_dir):
+    """The parts' own affinities behind a wall."""
+    cells, side = tables.parts_grid(spark, sf_dir)
+    edges = raster.raster_graph(tables.value_of(cells, "affinity"), side, side)
+    return rounded(raster.impassable(edges, raster.wall_table(spark, side, side, corridor_widths=(3, 2)), 1e-3), digits=9)
 
 
 @query
@@ -228,22 +309,37 @@ def parts_outdegrees(spark, sf_dir):
 
 @query
 def parts_least_cost(spark, sf_dir):
-    return tables.parts_landscape(spark, sf_dir).least_cost_distance()
+    return rounded(tables.parts_landscape(spark, sf_dir).least_cost_distance(), digits=5)
+
+
+@query
+def parts_fundamental_matrix(spark, sf_dir):
+    return log_rounded(DistributedModel(tables.parts_landscape(spark, sf_dir), THETA).fundamental_matrix())
+
+
+@query
+def parts_least_cost_kl(spark, sf_dir):
+    return rounded(DistributedModel(tables.parts_landscape(spark, sf_dir), THETA).least_cost_kl(), digits=5)
+
+
+@query
+def parts_flow_k(spark, sf_dir):
+    return rounded(DistributedModel(tables.parts_landscape(spark, sf_dir), THETA).betweenness_kweighted("survival_probability"), digits=5)
 
 
 @query
 def parts_habitat(spark, sf_dir):
-    return RspModel(tables.parts_landscape(spark, sf_dir), THETA).connected_habitat("survival_probability")
+    return rounded(DistributedModel(tables.parts_landscape(spark, sf_dir), THETA).connected_habitat("survival_probability"), digits=5)
 
 
 @query
 def parts_expected_cost(spark, sf_dir):
-    return RspModel(tables.parts_landscape(spark, sf_dir), THETA).expected_cost()
+    return rounded(DistributedModel(tables.parts_landscape(spark, sf_dir), THETA).expected_cost(), digits=5)
 
 
 @query
 def parts_flow(spark, sf_dir):
-    return RspModel(tables.parts_landscape(spark, sf_dir), THETA).betweenness_qweighted()
+    return rounded(DistributedModel(tables.parts_landscape(spark, sf_dir), THETA).betweenness_qweighted(), digits=5)
 
 
 @query
@@ -339,14 +435,12 @@ def least_cost_distance_distributed(spark, sf_dir, npix):
 
 @query
 def floyd_warshall_undirected(spark, sf_dir):
-    open_ = Landscape.build(spark, 6, 7, raster.map_values(raster.lattice(spark, 6, 7), lambda v: v * 0.5))
-    return rounded(rsp.floyd_warshall(open_))
+    return rounded(distributed.floyd_warshall(tables.even_landscape(spark, sf_dir)))
 
 
 @query
 def brandes_undirected(spark, sf_dir):
-    open_ = Landscape.build(spark, 6, 7, raster.map_values(raster.lattice(spark, 6, 7), lambda v: v * 0.5))
-    return rounded(rsp.brandes(open_))
+    return rounded(distributed.brandes(tables.even_landscape(spark, sf_dir)), digits=4)
 
 
 # --- the model ---------------------------------------------------------------------------------
@@ -354,12 +448,12 @@ def brandes_undirected(spark, sf_dir):
 
 @query
 def pref(spark, sf_dir):
-    return rounded(model(spark, sf_dir).walk.select("src", "dst", F.col("pref").alias("value")), digits=9)
+    return rounded(distributed.reference_walk(tables.ship_landscape(spark, sf_dir), THETA).select("src", "dst", F.col("pref").alias("value")), digits=9)
 
 
 @query
 def w_matrix(spark, sf_dir):
-    return rounded(model(spark, sf_dir).walk.select("src", "dst", F.col("w").alias("value")), digits=9)
+    return rounded(distributed.reference_walk(tables.ship_landscape(spark, sf_dir), THETA).select("src", "dst", F.col("w").alias("value")), digits=9)
 
 
 @landmarks(NPIX)
@@ -500,23 +594,23 @@ def mean_kl_divergence(spark, sf_dir, npix):
 
 @landmarks(NPIX)
 def lc_kl_divergence(spark, sf_dir, npix):
-    return rounded(model(spark, sf_dir, npix).least_cost_kl(ties="least"))
+    return rounded(model(spark, sf_dir, npix).least_cost_kl())
 
 
 @query
 def lc_kl_divergence_cell(spark, sf_dir):
-    return rounded(model(spark, sf_dir).least_cost_kl_divergence(16, 6, ties="least"))
+    return rounded(model(spark, sf_dir).least_cost_kl_divergence(16, 6))
 
 
 @landmarks(NPIX)
 def mean_lc_kl_divergence(spark, sf_dir, npix):
-    return rounded(model(spark, sf_dir, npix).mean_lc_kl_divergence(ties="least"))
+    return rounded(model(spark, sf_dir, npix).mean_lc_kl_divergence())
 
 
 @landmarks(NPIX)
 def kl_percentage(spark, sf_dir, npix):
     m = model(spark, sf_dir, npix)
-    both = m.mean_kl_divergence().withColumnRenamed("value", "kl").crossJoin(m.mean_lc_kl_divergence(ties="least").withColumnRenamed("value", "most"))  # one row each
+    both = m.mean_kl_divergence().withColumnRenamed("value", "kl").crossJoin(m.mean_lc_kl_divergence().withColumnRenamed("value", "most"))  # one row each
     return rounded(both.select(rsp.kl_percentage(F.col("kl"), F.col("most")).alias("value")))
 
 
@@ -527,70 +621,71 @@ def habitat_degraded_cell(spark, sf_dir, npix):
 
 @everywhere(5)
 def criticality(spark, sf_dir, npix):
-    return rounded(model(spark, sf_dir, npix).criticality())
+    return rounded(arrays(spark, sf_dir, npix).criticality())
 
 
 @landmarks(NPIX)
 def eigmax_value(spark, sf_dir, npix):
-    return spark.createDataFrame([(model(spark, sf_dir, npix).eigmax("survival_probability")[1],)], "value double").withColumn("value", F.round("value", 6))
+    return spark.createDataFrame([(arrays(spark, sf_dir, npix).eigmax("survival_probability")[1],)], "value double").withColumn("value", F.round("value", 6))
 
 
 @landmarks(NPIX)
 def eigmax_right(spark, sf_dir, npix):
     """The right vector, its largest entry 1."""
-    right = model(spark, sf_dir, npix).eigmax("survival_probability")[2]
+    right = arrays(spark, sf_dir, npix).eigmax("survival_probability")[2]
     top = right.agg(F.max("value").alias("top"))  # one row
     return rounded(right.crossJoin(top).select("cell", (F.col("value") / F.col("top")).alias("value")))
 
 
 @landmarks(NPIX)
 def eigmax_left(spark, sf_dir, npix):
-    left = model(spark, sf_dir, npix).eigmax("survival_probability")[0]
+    left = arrays(spark, sf_dir, npix).eigmax("survival_probability")[0]
     top = left.agg(F.max("value").alias("top"))
     return rounded(left.crossJoin(top).select("cell", (F.col("value") / F.col("top")).alias("value")))
 
 
 @landmarks(NPIX)
 def theta_sweep(spark, sf_dir, npix):
-    return rounded(rsp.theta_sweep(tables.ship_landscape(spark, sf_dir, npix), [0.5, 1.0, 2.0]))
+    return rounded(distributed.theta_sweep(tables.ship_landscape(spark, sf_dir, npix), [0.5, 1.0, 2.0]))
 
 
 @query
 def coarseness_corr(spark, sf_dir):
-    return rounded(rsp.coarseness_sweep(tables.ship_landscape(spark, sf_dir, None), THETA, [1, 3], connectivity="survival_probability"), "ratio", "correlation")
+    return rounded(rsp.coarseness_sweep(tables.ship_landscape(spark, sf_dir, None), THETA, [1, 3], kind=DistributedModel, connectivity="survival_probability"), "ratio", "correlation")
 
 
 @query
 def underestimation(spark, sf_dir):
     """By how many percent landmarks fall short of the whole landscape's total habitat."""
     land = tables.ship_landscape(spark, sf_dir, None)
-    total = lambda x, name: RspModel(x, THETA).connected_habitat("survival_probability").agg(F.sum("value").alias(name))
+    total = lambda x, name: DistributedModel(x, THETA).connected_habitat("survival_probability").agg(F.sum("value").alias(name))
     both = total(land.with_landmarks(NPIX), "part").crossJoin(total(land, "whole"))  # one row each
     return rounded(both.select(rsp.underestimation(F.col("part"), F.col("whole")).alias("value")))
 
 
-def distributed(spark: SparkSession, sf_dir: str) -> DistributedModel:
-    return DistributedModel(tables.ship_landscape(spark, sf_dir, NPIX), THETA)
+def summed(spark: SparkSession, sf_dir: str) -> DistributedModel:
+    """The model by the series of powers."""
+    return DistributedModel(tables.ship_landscape(spark, sf_dir, NPIX), THETA, method="series")
 
 
 @query
 def expected_cost_distributed(spark, sf_dir):
-    return rounded(distributed(spark, sf_dir).expected_cost())
+    return rounded(summed(spark, sf_dir).expected_cost())
 
 
 @query
 def connected_habitat_distributed(spark, sf_dir):
-    return rounded(distributed(spark, sf_dir).connected_habitat("survival_probability"))
+    return rounded(summed(spark, sf_dir).connected_habitat("survival_probability"))
 
 
 @query
 def betweenness_q_distributed(spark, sf_dir):
-    return rounded(distributed(spark, sf_dir).betweenness())
+    return rounded(summed(spark, sf_dir).betweenness())
 
 
 @query
 def edge_betweenness_q_distributed(spark, sf_dir):
-    return rounded(distributed(spark, sf_dir).edge_betweenness())
+    return rounded(summed(spark, sf_dir).edge_betweenness())
 
 
 @everywhere(5)

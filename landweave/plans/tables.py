@@ -63,8 +63,7 @@ def parts_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     A part's affinity is its share of the dearest part's price, up to 0.5, its quality its share of the largest quantity sold.
     """
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("key"), "p_retailprice")
-    last, top = parts.agg(F.max("key"), F.max("p_retailprice")).first()
-    side = math.isqrt(last or 0) + 1  # keys count from 0
+    top, side = parts.agg(F.max("p_retailprice")).first()[0], parts_side(spark, sf_dir)
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("key")).agg(F.sum("l_quantity").cast("double").alias("q"))
     cells = parts.join(sold, "key", "left").select(
         F.expr(f"cast(key % {side} + 1 as int)").alias("row"), F.expr(f"cast(key div {side} + 1 as int)").alias("col"),
@@ -83,6 +82,18 @@ def parts_landscape(spark: SparkSession, sf_dir: str, marks: int = 5) -> Landsca
     return Landscape.build(spark, side, side, edges, qualities=quality, target_qualities=raster.coarse_graining(quality, side, side, npix), landmarks=True)
 
 
+def even_landscape(spark: SparkSession, sf_dir: str) -> Landscape:
+    """The ship calendar with average affinities, so that costs are the same in both directions."""
+    cells = written(ship_cells(spark, sf_dir), "cells")
+    edges = raster.raster_graph(value_of(cells, "affinity"), *SHIP, weight="average").where("not isnan(value)")
+    return Landscape.build(spark, *SHIP, edges, qualities=value_of(cells, "quality"))
+
+
+def parts_side(spark: SparkSession, sf_dir: str) -> int:
+    """The side of the parts' raster."""
+    return math.isqrt(table(spark, sf_dir, "part").agg(F.max(F.col("p_partkey").cast("long"))).first()[0] or 0) + 1
+
+
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, value: each supplier nation's share of revenue by customer nation, as nodes 1 to 25."""
     revenue = (
