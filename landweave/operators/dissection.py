@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from landweave.plans.stages import discard, written
 
-TILE = 16
+TILE = 32
 COLUMNS = 512
 #: Cells of one front at most: 8 bytes for each pair of them.
 FRONT = 8000

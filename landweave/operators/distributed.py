@@ -10,6 +10,7 @@ infinite, and they add nothing to habitats and flows.
 
 from __future__ import annotations
 
+import math
 import sys
 from functools import cached_property
 
@@ -254,6 +255,38 @@ def theta_sweep(land: Landscape, thetas: list[float]) -> DataFrame:
     return out
 
 
+def calibrate(land: Landscape, target: float, low: float = 1e-3, high: float = 3.0, tol: float = 1e-7, most: int = 40) -> tuple[float, float]:
+    """(theta, divergence): the temperature between ``low`` and ``high`` at which the mean KL divergence is ``target``, within ``tol`` of it.
+
+    Secants of the logarithms inside a bracket; where the end that stays would slow them down its weight is halved. The reachable range
+    is looked at first: a target outside it raises. One factorisation for each temperature tried.
+    """
+    if not target > 0:
+        raise ValueError("the target must be positive")
+    seen: dict[float, float] = {}
+
+    def gap(theta: float) -> float:
+        seen[theta] = float(DistributedModel(land, theta).mean_kl_divergence().first()[0])
+        return math.log(max(seen[theta], sys.float_info.min) / target)
+
+    a, b = math.log(low), math.log(high)
+    fa, fb = gap(low), gap(high)
+    if fa * fb > 0:
+        raise ValueError(f"no temperature from {low} to {high} has the divergence {target}: it is {seen[low]:.6g} and {seen[high]:.6g} there")
+    side = 0
+    for _ in range(most):
+        x = (a * fb - b * fa) / (fb - fa)
+        theta = math.exp(x)
+        f = gap(theta)
+        if abs(f) <= tol or b - a <= 1e-13:
+            return theta, seen[theta]
+        if f * fb > 0:
+            b, fb, fa, side = x, f, fa / 2 if side == 1 else fa, 1
+        else:
+            a, fa, fb, side = x, f, fb / 2 if side == -1 else fb, -1
+    raise RuntimeError(f"no temperature found in {most} steps")
+
+
 def undirected(land: Landscape) -> Landscape:
     """``land`` with every active cell as a target; raises unless costs are the same in both directions."""
     land.check_symmetric()

@@ -36,12 +36,20 @@ def strong_components(edges: DataFrame, part: int = PART) -> DataFrame:
     inner = pairs.where(of("src") == of("dst")).groupBy(of("src")).applyInArrow(label, "node long, root long")
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     group = written(nodes.join(inner, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "scc")
-    between = written(contracted(pairs, group), "scc")
+    # groups without an edge in, or out, are alone; on a raster these are the cells that can't be entered
+    between = written(inside(contracted(pairs, group)), "scc")
     if between.isEmpty():
         return group.select("node", F.col("root").alias("component"))
     return whole(group, strong_components_by_colour(between))
 
 
+def inside(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have edges in and out."""
+    into, out = edges.select(F.col("dst").alias("node")).distinct(), edges.select(F.col("src").alias("node")).distinct()
+    both = into.join(out, "node", "left_semi")
+    return edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
 def contracted(edges: DataFrame, group: DataFrame) -> DataFrame:
     """src, dst between different groups (node, root)."""
     of = lambda c, r: group.select(F.col("node").alias(c), F.col("root").alias(r))

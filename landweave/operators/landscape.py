@@ -201,17 +201,26 @@ class Landscape:
             raise ValueError("least-cost distances have no temperature")
         return Tiles(self.edges, *self.size).least_costs(self.targets().select(F.col("cell").alias("target")))
 
-    def expected_cost(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
-        """node, target, value by sweeps until both distances change by less than ``tol`` relative to the largest."""
-        return self._per_target(_Sweep(1, approx, tol), _positive(theta))
+    def _tables(self, theta: float):
+        from landweave.operators.distributed import DistributedModel
 
-    def free_energy_distance(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
-        return self._per_target(_Sweep(0, approx, tol), _positive(theta))
+        return DistributedModel(self, _positive(theta))
 
-    def survival_probability(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
+    def expected_cost(self, *, theta: float, approx: bool = False, tol: float | None = None) -> DataFrame:
+        """node, target, value.
+
+        The distances solve the soft-minimum equations, as the fundamental matrix has them, so they come from the separator tree. ``approx`` is one
+        sweep over the nodes in order of their least cost; with a ``tol`` sweeps go on until both distances change by less than it, relative to the largest.
+        """
+        return self._per_target(_Sweep(1, approx, tol or 1e-8), _positive(theta)) if approx or tol else self._tables(theta).expected_cost()
+
+    def free_energy_distance(self, *, theta: float, approx: bool = False, tol: float | None = None) -> DataFrame:
+        return self._per_target(_Sweep(0, approx, tol or 1e-8), _positive(theta)) if approx or tol else self._tables(theta).free_energy_distance()
+
+    def survival_probability(self, *, theta: float, approx: bool = False, tol: float | None = None) -> DataFrame:
         return self.free_energy_distance(theta=theta, approx=approx, tol=tol).withColumn("value", F.exp(F.col("value") * -theta))
 
-    def power_mean_proximity(self, *, theta: float, approx: bool = False, tol: float = 1e-8) -> DataFrame:
+    def power_mean_proximity(self, *, theta: float, approx: bool = False, tol: float | None = None) -> DataFrame:
         return self.survival_probability(theta=theta, approx=approx, tol=tol).withColumn("value", F.pow("value", F.lit(1.0 / theta)))
 
     def connected_habitat(self, connectivity: str = "expected_cost", *, theta: float | None = None, transform=None, diagonal: float | None = None, approx: bool = False) -> DataFrame:

@@ -350,3 +350,6 @@ SELECT 'complete' AS name, false AS refused, NULL AS reason UNION ALL SELECT 'no
 UNION ALL SELECT 'grid too small', true, 'grid size (30, 12) is incompatible with the cells ' || lo || ' to ' || hi FROM a WHERE hi > 360
 UNION ALL SELECT 'costs outside', true, 'grid size (31, 12) is incompatible with the cells ' || clo || ' to ' || chi FROM a WHERE chi > 372
 UNION ALL SELECT 'negative costs', least < 0, 'the cost graph can have only non-negative edge weights' FROM a""")
+add("separator_tree_z", _SQL["fundamental_matrix"])
+add("separator_tree_flow", _SQL["betweenness_q"])
+add("theta_calibration", rec(f"{model_sql(npix=5)}, {cost_sql()}", f"SELECT 1.0::DOUBLE AS theta, round(value, 3) AS kl FROM ({_KL})"))

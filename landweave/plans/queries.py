@@ -188,6 +188,15 @@ def value_map(spark, sf_dir):
     return rounded(land.canvas(land.nodes.select("cell", F.col("qs").alias("value"))))
 
 
+def _tiled(name: str, tile: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ship landscape cut into small tiles, so that its separator tree has several levels."""
+    return getattr(DistributedModel(tables.ship_landscape(spark, sf_dir, NPIX), THETA, tile=tile), name)()
+
+
+_REGISTRY["separator_tree_z"] = lambda spark, sf_dir: log_rounded(_tiled("fundamental_matrix", 4, spark, sf_dir))
+_REGISTRY["separator_tree_flow"] = lambda spark, sf_dir: rounded(_tiled("betweenness_qweighted", 4, spark, sf_dir))
+
+
 @query
 def canvas_infinite(spark, sf_dir):
     """Qualities above the middle on a canvas of infinity."""
@@ -489,7 +498,7 @@ def expected_cost(spark, sf_dir, npix):
 
 
 def _swept(name: str, log: bool, npix: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = getattr(tables.ship_landscape(spark, sf_dir, npix), name)(theta=THETA, tol=1e-13)
+    found = getattr(tables.ship_landscape(spark, sf_dir, npix), name)(theta=THETA)
     return found.withColumn("value", F.round(F.ln("value") if log else F.col("value"), 4))
 
 
@@ -688,11 +697,13 @@ def edge_betweenness_q_distributed(spark, sf_dir):
     return rounded(summed(spark, sf_dir).edge_betweenness())
 
 
-@everywhere(5)
+@landmarks(5)
 def theta_calibration(spark, sf_dir, npix):
+    """The temperature at which the divergence is what it is at 1, found from the divergence."""
     land = tables.ship_landscape(spark, sf_dir, npix)
-    theta, kl = rsp.calibrate(land, 1.0)
-    return spark.createDataFrame([(theta, kl)], "theta double, kl double")
+    land.edges, land.nodes = written(land.edges, "edges"), written(land.nodes, "nodes")
+    theta, kl = distributed.calibrate(land, float(DistributedModel(land, THETA).mean_kl_divergence().first()[0]), 0.5, 2.0)
+    return rounded(spark.createDataFrame([(theta, kl)], "theta double, kl double"), "theta", "kl", digits=3)
 
 
 MEASURES = kernels.MEASURES

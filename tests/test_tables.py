@@ -151,6 +151,21 @@ def test_model_by_tables_equals_arrays(land):
             bad()
 
 
+def test_calibration(land):
+    want = DistributedModel(land, 0.7).mean_kl_divergence().first()[0]
+    theta, kl = distributed.calibrate(land, want, 0.05, 2.0)
+    assert theta == pytest.approx(0.7, rel=1e-5) and kl == pytest.approx(want, rel=1e-6)
+    with pytest.raises(ValueError, match="no temperature"):
+        distributed.calibrate(land, 1e9, 0.05, 2.0)
+    with pytest.raises(ValueError, match="positive"):
+        distributed.calibrate(land, 0.0)
+
+
+def test_distances_without_a_model(land):
+    for name in ("expected_cost", "free_energy_distance", "survival_probability"):
+        alike(getattr(land, name)(theta=0.5, tol=1e-13), getattr(land, name)(theta=0.5), rel=1e-6)
+
+
 def test_sweep_by_tables(land):
     alike(rsp.theta_sweep(land, [0.2, 0.5]), distributed.theta_sweep(land, [0.2, 0.5]))
 
