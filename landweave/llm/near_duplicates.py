@@ -201,12 +201,12 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("u", "v", "size", "a", "b").mapInArrow(lean(run), "u long, v long, size long, matches long")
 
 
-def once(a: str, b: str) -> Callable:
+def once(a: str, b: str, text: str = "text") -> Callable:
     """For mapInArrow: rows whose keys a task meets again are dropped before the shuffle, as long as they are remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, text):
             keep = []
             for k in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True):
                 keep.append(k not in seen)
@@ -509,5 +509,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = plain(keyed)
     a, b = rows.columns[-2:]
     mine = winners.select(F.col("a").alias(a), F.col("b").alias(b)).hint("merge")
-    rows = rows.mapInArrow(once(a, b), rows.schema).join(mine, [a, b], "left_semi").dropDuplicates([a, b])
+    rows = rows.mapInArrow(once(a, b, f"c{docs.columns.index('text')}"), rows.schema).join(mine, [a, b], "left_semi").dropDuplicates([a, b])
     return rows.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns).unionByName(docs.where(~worded))

@@ -557,11 +557,12 @@ def test_field_on_made_lines():
     assert right >= 0.94 * len(cases)
 
 
-def test_any_column_names(clashing, labels):
-    for f in (pii.redacted, near_duplicates.one_of_each, mixing.mixed, lambda d: quality_rules.filtered(d, labels)):
-        out = f(clashing)
-        assert out.columns == clashing.columns and out.count() > 0
-        assert {tuple(r)[5:] for r in out.collect()} == {(1,) * (len(clashing.columns) - 5)}
+def test_any_column_names(clashing, made, labels):
+    dotted = made.select("*", F.lit(1).alias("a.b"), F.lit(1).alias("c1"))
+    for docs, f in ((clashing, pii.redacted), (clashing, near_duplicates.one_of_each), (clashing, mixing.mixed), (dotted, lambda d: quality_rules.filtered(d, labels))):
+        out = f(docs)
+        assert out.columns == docs.columns
+        assert {tuple(r)[5:] for r in out.collect()} == {(1,) * (len(docs.columns) - 5)}
 
 
 def test_pii(odd, made, spark):
