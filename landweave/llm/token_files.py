@@ -49,7 +49,7 @@ FILE_TEXT = 16 << 20
 MAGIC = b"bitpack1"
 END_ID = 1
 #: Words that a worker remembers, and the bytes of them.
-MEMO_WORDS, MEMO_BYTES = 700_000, 32 << 20
+MEMO_WORDS, MEMO_BYTES = 550_000, 32 << 20
 #: Marks at a word's end: behind an ASCII letter they are a pre-token of their own. The apostrophe isn't one of them.
 ENDS = b".,;:!?#*$%&)"
 
@@ -361,7 +361,7 @@ def write_ids(docs: DataFrame, out: str, path: str, *, end_id: int = END_ID, fil
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, encoder, last = Packer(TaskContext.get().partitionId(), bits, per_block), remembered(path), np.array([end_id], np.uint32)
         rows = lambda blocks: pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text"):
             for key, ids in zip(b.column("doc_id").to_pylist(), encoder.encode_all(b.column("text")), strict=True):
                 for block in packer.add(key, np.concatenate([ids, last])):
                     yield rows([block])
