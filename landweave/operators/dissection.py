@@ -40,8 +40,6 @@ class Grid:
     """The tiles and lines of a raster."""
 
     def __init__(self, nrows: int, ncols: int, tile: int, reach: int):
-        if reach > tile:
-            raise ValueError(f"edges reach over {reach} cells, further than a tile of {tile}: use the series, which needs no raster")
         self.nrows, self.ncols, self.tile, self.reach, self.pitch = nrows, ncols, tile, reach, tile + reach
         lines = [max(0, -(-(n - tile) // self.pitch)) for n in (nrows, ncols)]
         tiles = [-(-n // self.pitch) for n in (nrows, ncols)]
@@ -72,7 +70,7 @@ class Front:
         mine = grid.level(cells) == level
         cells = np.concatenate([cells[mine], cells[~mine]])
         if len(cells) > FRONT:
-            raise ValueError(f"a front of {len(cells)} cells is too large for a task")
+            raise ValueError(f"a front of {len(cells)} cells is too large for a task: edges reach far, or the raster is large; use the series")
         by = np.argsort(cells)
         at = lambda x: by[np.searchsorted(cells, x, sorter=by)]
         f = np.zeros((len(cells), len(cells)))
@@ -134,7 +132,8 @@ class Dissection:
         row = lambda c: f"(({c} - 1) % {nrows})"
         col = lambda c: f"(({c} - 1) div {nrows})"
         far = w.agg(F.max(F.expr(f"greatest(abs({row('src')} - {row('dst')}), abs({col('src')} - {col('dst')}))"))).first()[0]
-        self.grid = Grid(nrows, ncols, tile, max(1, far or 0))
+        reach = max(1, far or 0)
+        self.grid = Grid(nrows, ncols, max(tile, reach), reach)  # tiles are as large as the longest edge, at least
         # an edge belongs to the block that eliminates its first end
         a, b = self.grid.place("src"), self.grid.place("dst")
         placed = w.where("w <> 0").select("src", "dst", "w", a.alias("a"), b.alias("b"))

@@ -71,8 +71,9 @@ def test_separator_tree_of_odd_graphs(spark):
     assert got == {(1, 7): pytest.approx(4 / 7), (2, 7): pytest.approx(8 / 7), (8, 8): 2.0, (9, 7): 3.0}  # cell 9 has no edges
     assert tree.solve(start.limit(0)).collect() == []
     far = spark.createDataFrame([(1, 9, 0.5)], "src long, dst long, w double")
-    with pytest.raises(ValueError, match="series"):
-        dissection.Dissection(far, 3, 3, 1)
+    tree = dissection.Dissection(far, 3, 3, 1)  # its tiles are larger
+    assert tree.grid.tile == 2
+    assert {r.node: r.value for r in tree.solve(spark.createDataFrame([(9, 9, 1.0)], "node long, target long, value double")).collect()} == {1: 0.5, 9: 1.0}
 
 
 def graph_of(n, src, dst, cost, pref):
