@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landweave.functions import transforms
-from landweave.operators import graph, kernels
+from landweave.operators import graph, kernels, spectrum
 from landweave.operators.dissection import TILE, Dissection
 from landweave.operators.landscape import Landscape
 from landweave.operators.tiles import SAME, Tiles, parents, summed_up
@@ -203,6 +203,46 @@ class DistributedModel:
         both = self.free_energy_distance().withColumnRenamed("value", "phi").join(self.expected_cost(), ["node", "target"])
         return self._weighted(both.select("node", "target", (self.theta * (F.col("phi") - F.col("value"))).alias("value")))
 
+    def _eigen_pairs(self, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The quality-scaled proximities, those from targets, and the targets. Columns off the targets are zero, so these settle the value."""
+        pairs = written(self.quality_scaled(**options).where("value > 0"), "pairs")
+        targets = self.landscape.targets().select("cell")
+        return pairs, written(pairs.join(targets.withColumnRenamed("cell", "node"), "node", "left_semi"), "pairs"), targets
+
+    def _everywhere(self, found: DataFrame) -> DataFrame:
+        return self.landscape.nodes.select("cell").join(found, "cell", "left").select("cell", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+    def eigmax_value(self, connectivity: str = "expected_cost", transform=None, diagonal: float | None = None, tol: float = 1e-10) -> float:
+        """The dominant eigenvalue of the quality-scaled proximities."""
+        _, inside, targets = self._eigen_pairs(connectivity=connectivity, transform=transform, diagonal=diagonal)
+        return spectrum.dominant(inside, targets, tol=tol)[0]
+
+    def eigmax_right(self, connectivity: str = "expected_cost", transform=None, diagonal: float | None = None, tol: float = 1e-10) -> DataFrame:
+        """cell, value: its right vector, of length 1."""
+        pairs, inside, targets = self._eigen_pairs(connectivity=connectivity, transform=transform, diagonal=diagonal)
+        return self._right(pairs, *spectrum.dominant(inside, targets, tol=tol))
+
+    def eigmax_left(self, connectivity: str = "expected_cost", transform=None, diagonal: float | None = None, tol: float = 1e-10) -> DataFrame:
+        """cell, value: its left vector, 1 at the first target (if that entry isn't 0) and 0 off the targets."""
+        _, inside, targets = self._eigen_pairs(connectivity=connectivity, transform=transform, diagonal=diagonal)
+        return self._left(spectrum.dominant(inside, targets, "target", "node", tol)[1])
+
+    def eigmax(self, connectivity: str = "expected_cost", transform=None, diagonal: float | None = None, tol: float = 1e-10) -> tuple[DataFrame, float, DataFrame]:
+        """(left, value, right): all three from one table of proximities."""
+        pairs, inside, targets = self._eigen_pairs(connectivity=connectivity, transform=transform, diagonal=diagonal)
+        value, v = spectrum.dominant(inside, targets, tol=tol)
+        return self._left(spectrum.dominant(inside, targets, "target", "node", tol)[1]), value, self._right(pairs, value, v)
+
+    def _right(self, pairs: DataFrame, value: float, v: DataFrame) -> DataFrame:
+        moved = pairs.join(v.select(F.col("cell").alias("target"), F.col("value").alias("x")), "target").groupBy(F.col("node").alias("cell")).agg((F.sum(F.col("value") * F.col("x")) / value).alias("value"))
+        moved = written(moved, "right")
+        length = float(moved.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0])
+        return self._everywhere(moved.withColumn("value", F.col("value") / length))
+
+    def _left(self, u: DataFrame) -> DataFrame:
+        first = float(u.agg(F.min_by("value", "cell")).first()[0])
+        return self._everywhere(u.withColumn("value", F.col("value") / (first or 1.0)))
+
     # --- least costs -----------------------------------------------------------------------
 
     @cached_property

@@ -21,8 +21,6 @@ from landweave.operators import kernels
 from landweave.operators.landscape import Landscape
 
 BLOCK = 64
-#: Targets up to which the dominant eigenvector is found on one matrix; beyond it from products with the pairs.
-DENSE_TARGETS = 3000
 SMALLEST = float(np.finfo(float).tiny)
 
 
@@ -293,6 +291,15 @@ class RspModel:
         nodes = self.landscape.nodes
         return nodes.select(F.col("cell").alias("node"), "qs"), nodes.where("is_target").select(F.col("cell").alias("target"), F.coalesce("qt", F.lit(0.0)).alias("qt"))
 
+    def eigmax_value(self, *args, **options) -> float:
+        return self.eigmax(*args, **options)[1]
+
+    def eigmax_left(self, *args, **options) -> DataFrame:
+        return self.eigmax(*args, **options)[0]
+
+    def eigmax_right(self, *args, **options) -> DataFrame:
+        return self.eigmax(*args, **options)[2]
+
     def eigmax(self, connectivity: str = "expected_cost", transform=None, diagonal: float | None = None, tol: float = 1e-14) -> tuple[DataFrame, float, DataFrame]:
         """(left, value, right): the dominant eigenvalue of the quality-scaled proximities and its vectors (cell, value).
 
@@ -300,8 +307,6 @@ class RspModel:
         target rows alone. The right vector has length 1, the left one 1 at the first target.
         """
         g = self.graph
-        if len(g.targets) > DENSE_TARGETS:
-            return self._eigmax_by_power(connectivity, transform, diagonal, tol)
         change = self._transform(connectivity, transform)
 
         def scaled(g: kernels.Graph, at: np.ndarray) -> np.ndarray:
@@ -314,7 +319,7 @@ class RspModel:
             return pa.table({"target": g.targets[at], "column": list(scaled(g, at)[g.targets].T)})
 
         rows = dealt(self.spark, g, len(g.targets), BLOCK, inside, "target long, column array<double>")
-        # k columns of k numbers, k bounded above
+        # k columns of k numbers: a check of the table form, for few targets
         found = {r["target"]: np.array(r["column"]) for r in rows.toLocalIterator()}
         inner = np.stack([found[t] for t in g.targets], axis=1)
         value, v0 = dominant(inner, tol)
@@ -326,70 +331,6 @@ class RspModel:
         length = float(right.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0])
         return self.spark.createDataFrame(pa.table({"cell": g.cell, "value": left})), value, right.withColumn("value", F.col("value") / length)
 
-    def _eigmax_by_power(self, connectivity: str, transform, diagonal, tol: float) -> tuple[DataFrame, float, DataFrame]:
-        """The same from products with the pairs, which stay distributed; vectors of the targets are held by the driver."""
-        from landweave.plans.stages import written
-
-        g = self.graph
-        cells = g.cell[g.targets]
-        b = written(self.quality_scaled(connectivity=connectivity, transform=transform, diagonal=diagonal), "pairs")
-        frame = lambda x, cell: self.spark.createDataFrame(pa.table({"cell": cell, "value": x}))
-
-        def product(table: DataFrame, to: str, of: str, v: np.ndarray) -> DataFrame:
-            moved = table.withColumnRenamed("value", "b").join(F.broadcast(frame(v, cells).withColumnRenamed("cell", of)), of)  # one row a target
-            return moved.groupBy(F.col(to).alias("cell")).agg(F.sum(F.col("b") * F.col("value")).alias("value"))
-
-        def times(to: str, of: str) -> Callable[[np.ndarray], np.ndarray]:
-            def f(v: np.ndarray) -> np.ndarray:
-                got = product(rows, to, of, v).toArrow()
-                out = np.zeros(len(cells))
-                out[np.searchsorted(cells, got.column("cell").to_numpy())] = got.column("value").to_numpy()
-                return out
-
-            return f
-
-        rows = b.join(F.broadcast(frame(np.ones(len(cells)), cells).select(F.col("cell").alias("node"))), "node", "left_semi")  # one row a target
-        rows = written(rows, "pairs")
-        value, right0 = dominant_by_products(times("node", "target"), len(cells), tol)
-        _, left0 = dominant_by_products(times("target", "node"), len(cells), tol)
-        left = np.zeros(g.n)
-        left[g.targets] = left0 / left0[0] if left0[0] else left0
-        right = product(b, "node", "target", right0 / value)
-        length = float(right.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0])
-        return frame(left, g.cell), value, right.select("cell", (F.col("value") / length).alias("value"))
-
-
-def dominant_by_products(times: Callable[[np.ndarray], np.ndarray], n: int, tol: float, size: int = 30, restarts: int = 40) -> tuple[float, np.ndarray]:
-    """(value, vector) of the Perron root of a non-negative matrix known by its products, by restarted Arnoldi iterations.
-
-    The residual over the distance to the next value bounds the vector's error, by first order: it has to be at most
-    ``tol``, or else 1e-6 with the residual at rounding (1e-13 of the value). Raises if that is not reached.
-    """
-    v = np.ones(n)
-    for _ in range(restarts):
-        basis, h = [v / np.linalg.norm(v)], np.zeros((size + 1, size))
-        for j in range(min(size, n)):
-            moved = times(basis[j])
-            for _ in range(2):  # the second pass removes what rounding left
-                parts = np.array([q @ moved for q in basis])
-                h[: j + 1, j] += parts
-                moved = moved - parts @ np.array(basis)
-            h[j + 1, j] = np.linalg.norm(moved)
-            values, vectors = np.linalg.eig(h[: j + 1, : j + 1])
-            k = int(np.argmax(values.real))
-            value, y = float(values[k].real), vectors[:, k].real
-            y = y / np.linalg.norm(y)
-            v = y @ np.array(basis)
-            gap = min((abs(x - values[k]) for i, x in enumerate(values) if i != k), default=np.inf if n == 1 else 0.0)
-            residual = h[j + 1, j] * abs(y[j])
-            if residual <= max(tol * gap, min(1e-13 * abs(value), 1e-6 * gap)):
-                if value <= 0:
-                    raise ValueError("the quality-scaled proximities have no positive eigenvalue")
-                return value, np.abs(v)
-            if j + 1 < min(size, n):
-                basis.append(moved / h[j + 1, j])
-    raise RuntimeError(f"the dominant eigenvector did not settle in {restarts} restarts")
-
 
 def dominant(a: np.ndarray, tol: float, rounds: int = 2000) -> tuple[float, np.ndarray]:
     """(value, vector) of the Perron root of a non-negative matrix, by power iteration or else all eigenvalues."""

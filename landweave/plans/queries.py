@@ -633,22 +633,27 @@ def criticality(spark, sf_dir, npix):
     return rounded(arrays(spark, sf_dir, npix).criticality())
 
 
+def spectral(spark: SparkSession, sf_dir: str, npix: int | None):
+    """By tables; by arrays where every cell is a target, as the other form's check."""
+    return model(spark, sf_dir, npix) if npix else arrays(spark, sf_dir, npix)
+
+
 @landmarks(NPIX)
 def eigmax_value(spark, sf_dir, npix):
-    return spark.createDataFrame([(arrays(spark, sf_dir, npix).eigmax("survival_probability")[1],)], "value double").withColumn("value", F.round("value", 6))
+    return spark.createDataFrame([(spectral(spark, sf_dir, npix).eigmax_value("survival_probability"),)], "value double").withColumn("value", F.round("value", 6))
 
 
 @landmarks(NPIX)
 def eigmax_right(spark, sf_dir, npix):
     """The right vector, its largest entry 1."""
-    right = arrays(spark, sf_dir, npix).eigmax("survival_probability")[2]
+    right = spectral(spark, sf_dir, npix).eigmax_right("survival_probability")
     top = right.agg(F.max("value").alias("top"))  # one row
     return rounded(right.crossJoin(top).select("cell", (F.col("value") / F.col("top")).alias("value")))
 
 
 @landmarks(NPIX)
 def eigmax_left(spark, sf_dir, npix):
-    left = arrays(spark, sf_dir, npix).eigmax("survival_probability")[0]
+    left = spectral(spark, sf_dir, npix).eigmax_left("survival_probability")
     top = left.agg(F.max("value").alias("top"))
     return rounded(left.crossJoin(top).select("cell", (F.col("value") / F.col("top")).alias("value")))
 

@@ -273,44 +273,6 @@ def test_neumann_has_every_node_and_settles(spark):
         graph.neumann(w, corner, 128)
 
 
-def test_power_iteration_equals_one_matrix(spark):
-    r = made(spark, np.random.default_rng(9).random((4, 4)) / 2 + 0.1)
-    land = Landscape.build(spark, 4, 4, raster.map_values(raster.raster_graph(r, 4, 4), lambda v: v * 0.8))
-    few = RspModel(land.with_landmarks(2), 1.0)
-    left, value, right = few.eigmax()
-    l2, v2, r2 = few._eigmax_by_power("expected_cost", None, None, 1e-6)
-    assert v2 == pytest.approx(value, rel=1e-4)
-    assert np.allclose(right.orderBy("cell").toPandas()["value"], r2.orderBy("cell").toPandas()["value"], atol=1e-3)
-    assert np.allclose(left.orderBy("cell").toPandas()["value"], l2.orderBy("cell").toPandas()["value"], atol=1e-2)
-
-
-def test_eigenvectors_of_two_nearly_equal_patches(spark, monkeypatch):
-    values = np.full((3, 9), 0.3)
-    values[:, 3:6] = 1e-4
-    quality = np.ones((3, 9))
-    quality[:, 3:6] = 1e-3
-    quality[:, 6:] = 0.9999
-    land = Landscape.build(spark, 3, 9, raster.raster_graph(made(spark, values), 3, 9), qualities=made(spark, quality))
-    land.edges, land.nodes = written(land.edges, "e"), written(land.nodes, "n")
-    model = RspModel(land, 1.0)
-    a = square(model.quality_scaled(connectivity="survival_probability"))
-    spectrum, vectors = np.linalg.eig(a)
-    first, second = np.sort(spectrum.real)[::-1][:2]
-    assert 0.999 < second / first < 1
-    want = np.abs(vectors[:, np.argmax(spectrum.real)].real)
-    spectrum, vectors = np.linalg.eig(a.T)
-    wanted = np.abs(vectors[:, np.argmax(spectrum.real)].real)
-    monkeypatch.setattr(rsp, "DENSE_TARGETS", 5)
-    left, value, right = model.eigmax("survival_probability")
-    assert value == pytest.approx(first, rel=1e-9)
-    assert np.allclose(right.orderBy("cell").toPandas()["value"], want, atol=1e-7)
-    assert np.allclose(left.orderBy("cell").toPandas()["value"], wanted / wanted[0], rtol=1e-6, atol=1e-7)
-    rng = np.random.default_rng(1)
-    big = np.diag(np.linspace(0.9999, 1, 400)) + 1e-6 * rng.random((400, 400))
-    with pytest.raises(RuntimeError, match="settle"):
-        rsp.dominant_by_products(lambda v: big @ v, 400, 1e-14, size=3, restarts=2)
-
-
 def test_tiny_weights_stay_finite(spark):
     r = made(spark, np.full((12, 12), 1e-6))
     land = Landscape.build(spark, 12, 12, raster.raster_graph(r, 12, 12), target_qualities=made(spark, [[1.0]]), landmarks=True)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landweave.operators import dissection, distributed, graph, kernels, raster, rsp, tiles
+from landweave.operators import dissection, distributed, graph, kernels, raster, rsp, spectrum, tiles
 from landweave.operators.distributed import DistributedModel
 from landweave.operators.landscape import Landscape
 from landweave.operators.rsp import RspModel
@@ -243,3 +243,80 @@ def test_scopes_remove_what_was_written_inside(spark):
         assert here(gone)
     assert not here(gone) and not here(lifted) and here(stays)
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def matrix(spark, a):
+    i, j = np.nonzero(a)
+    return frame(spark, "node target value", i + 1, j + 1, a[i, j]), spark.range(1, len(a) + 1).toDF("cell")
+
+
+def perron(a):
+    values, vectors = np.linalg.eig(a)
+    k = np.argmax(values.real)
+    return values[k].real, np.abs(vectors[:, k].real)
+
+
+def test_dominant_vector_of_a_table(spark):
+    rng = np.random.default_rng(4)
+    a = rng.random((7, 7)) * (rng.random((7, 7)) < 0.7)
+    pairs, cells = matrix(spark, a)
+    for size in (30, 4):  # with and without restarts
+        value, v = spectrum.dominant(pairs, cells, size=size)
+        want, vector = perron(a)
+        assert value == pytest.approx(want, rel=1e-9)
+        assert np.allclose(v.orderBy("cell").toPandas()["value"], vector, atol=1e-8)
+    value, v = spectrum.dominant(pairs, cells, "target", "node")
+    assert np.allclose(v.orderBy("cell").toPandas()["value"], perron(a.T)[1], atol=1e-8)
+
+
+def test_dominant_vector_of_odd_tables(spark):
+    pairs, cells = matrix(spark, np.array([[2.0]]))
+    value, v = spectrum.dominant(pairs, cells)
+    assert value == 2 and [tuple(r) for r in v.collect()] == [(1, 1.0)]
+    with pytest.raises(ValueError, match="positive"):
+        spectrum.dominant(pairs.limit(0), cells)
+    with pytest.raises(ValueError, match="no cells"):
+        spectrum.dominant(pairs, cells.limit(0))
+    pairs, cells = matrix(spark, np.array([[0.0, 1.0], [1.0, 0.0]]))  # the ones are an eigenvector already; -1 is as large
+    value, v = spectrum.dominant(pairs, cells)
+    assert value == pytest.approx(1) and np.allclose(v.toPandas()["value"], 0.5**0.5)
+    rng = np.random.default_rng(1)
+    pairs, cells = matrix(spark, np.diag(np.linspace(0.9999, 1, 40)) + 1e-6 * rng.random((40, 40)))
+    with pytest.raises(RuntimeError, match="settle"):
+        spectrum.dominant(pairs, cells, size=2, restarts=2)
+
+
+def test_eigenvectors_of_two_nearly_equal_patches(spark):
+    values = np.full((3, 9), 0.3)
+    values[:, 3:6] = 1e-4
+    quality = np.ones((3, 9))
+    quality[:, 3:6] = 1e-3
+    quality[:, 6:] = 0.9999
+    made = lambda v: spark.createDataFrame([(r + 1, c + 1, float(v[r, c])) for r, c in np.ndindex(*v.shape)], "row int, col int, value double")
+    land = Landscape.build(spark, 3, 9, raster.raster_graph(made(values), 3, 9), qualities=made(quality))
+    land.edges, land.nodes = written(land.edges, "e"), written(land.nodes, "n")
+    old = RspModel(land, 1.0)
+    got = old.quality_scaled(connectivity="survival_probability").toPandas()
+    a = got.pivot(index="node", columns="target", values="value").to_numpy()
+    spread = np.sort(np.linalg.eigvals(a).real)
+    assert 0.999 < spread[-2] / spread[-1] < 1
+    value, right = perron(a)
+    left = perron(a.T)[1]
+    for l, v, r in (DistributedModel(land, 1.0).eigmax("survival_probability"), old.eigmax("survival_probability")):
+        assert v == pytest.approx(value, rel=1e-9)
+        assert np.allclose(r.orderBy("cell").toPandas()["value"], right, atol=1e-8)
+        assert np.allclose(l.orderBy("cell").toPandas()["value"], left / left[0], rtol=1e-7, atol=1e-8)
+
+
+def test_eigenvectors_with_landmarks(spark):
+    rng = np.random.default_rng(7)
+    made = spark.createDataFrame([(r, c, float(rng.uniform(0.1, 0.9))) for r in range(1, 8) for c in range(1, 8)], "row int, col int, value double")
+    land = Landscape.build(spark, 7, 7, raster.raster_graph(made, 7, 7), qualities=made).with_landmarks(3)
+    land.edges, land.nodes = written(land.edges, "e"), written(land.nodes, "n")
+    model, old = DistributedModel(land, 0.5), RspModel(land, 0.5)
+    left, value, right = model.eigmax()
+    l2, v2, r2 = old.eigmax()
+    assert value == pytest.approx(v2, rel=1e-9)
+    for mine, other in ((left, l2), (right, r2)):
+        a, b = mine.orderBy("cell").toPandas(), other.orderBy("cell").toPandas()
+        assert list(a["cell"]) == list(b["cell"]) and np.allclose(a["value"], b["value"], rtol=1e-7, atol=1e-9)
