@@ -320,3 +320,43 @@ def test_eigenvectors_with_landmarks(spark):
     for mine, other in ((left, l2), (right, r2)):
         a, b = mine.orderBy("cell").toPandas(), other.orderBy("cell").toPandas()
         assert list(a["cell"]) == list(b["cell"]) and np.allclose(a["value"], b["value"], rtol=1e-7, atol=1e-9)
+
+
+def test_separator_tree_is_balanced():
+    """The parts' raster at 6 GB: without balance the second level's front had 8,449 cells, more than a task takes."""
+    for nrows, ncols, reach in ((2684, 2684, 1), (1096, 1096, 1), (3000, 40, 1), (35, 34, 2), (34, 10, 1)):
+        grid = dissection.Grid(nrows, ncols, 32, reach)
+        assert reach <= grid.tile <= 32
+        longest = max(nrows, ncols)
+        side = grid.pitch << grid.top
+        assert longest <= side - reach and side < longest + reach + (1 << grid.top)
+        assert 4 * (side >> 1) * reach < dissection.FRONT  # two lines across a quarter of the raster and two beside it
+        cell = np.arange(1, nrows * ncols + 1)
+        assert grid.level(cell).max() == grid.top
+
+
+@pytest.mark.parametrize("reach", [1, 2])
+def test_strips_equal_the_inverse(reach):
+    rng = np.random.default_rng(reach)
+    src, dst, _, _, w = lattice(rng, 7, 9, 0.5, reach)
+    a = np.eye(63)
+    a[src - 1, dst - 1] -= w
+    b = rng.normal(size=(63, 4))
+    strips = dissection.Strips(a, [*range(0, 63, 7 * reach), 63])
+    assert np.allclose(strips.solve(b), np.linalg.solve(a, b)) and np.allclose(strips.solve(b, True), np.linalg.solve(a.T, b))
+
+
+@pytest.mark.parametrize(("connectivity", "diagonal"), [(None, None), ("survival_probability", 0.0)])
+def test_flow_has_a_row_for_each_cell(spark, monkeypatch, connectivity, diagonal):
+    """One row for each cell and block of targets, not for each pair, enters a solve; the flow is that of the pairs."""
+    cells = spark.createDataFrame([(r, c, 0.1 + (r * 7 + c * 3) % 5 / 12) for r in range(1, 7) for c in range(1, 6)], "row int, col int, value double")
+    land = Landscape.build(spark, 6, 5, raster.raster_graph(cells, 6, 5), qualities=cells)
+    model = distributed.DistributedModel(land, 1.0)
+    pairs = model._adjoint(model.proximities(connectivity, None, diagonal) if connectivity else None)
+    want = {r.cell: r.v for r in pairs.groupBy(F.col("node").alias("cell")).agg(F.sum(F.col("x") * F.col("z")).alias("v")).collect()}
+    monkeypatch.setattr(dissection, "COLUMNS", 16)  # two blocks of targets
+    taken, columns = [], dissection.Dissection.columns
+    monkeypatch.setattr(dissection.Dissection, "columns", lambda self, rows, *rest, **more: taken.append(rows.count()) or columns(self, rows, *rest, **more))
+    got = {(r.col - 1) * 6 + r.row: r.value for r in model.betweenness(connectivity, diagonal=diagonal).collect()}
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert taken == [16, 30 + 16, 14, 30 + 14]
