@@ -1,5 +1,7 @@
 """The table forms: separator tree, tiles, trees of least cost, chains, summed areas."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -360,3 +362,25 @@ def test_flow_has_a_row_for_each_cell(spark, monkeypatch, connectivity, diagonal
     got = {(r.col - 1) * 6 + r.row: r.value for r in model.betweenness(connectivity, diagonal=diagonal).collect()}
     assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
     assert taken == [16, 30 + 16, 14, 30 + 14]
+
+
+def test_calibration_takes_few_rounds(monkeypatch):
+    """Four temperatures at once, then few one after another."""
+    tried, together = [], threading.Barrier(4, timeout=20)
+
+    class Stub:
+        def __init__(self, land, theta):
+            self.theta = theta
+
+        def mean_kl_divergence(self):
+            tried.append(self.theta)
+            if len(tried) <= 4:
+                together.wait()
+            return self
+
+        def first(self):
+            return [5 * self.theta**-1.7 * np.exp(-0.4 * self.theta) + 0.01]
+
+    monkeypatch.setattr(distributed, "DistributedModel", Stub)
+    theta, _ = distributed.calibrate(None, 5 * np.exp(-0.4) + 0.01, 0.5, 2.0)
+    assert theta == pytest.approx(1.0, abs=1e-6) and len(tried) <= 7
