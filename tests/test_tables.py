@@ -1,12 +1,13 @@
 """The table forms: separator tree, tiles, trees of least cost, chains, summed areas."""
 
+import re
 import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landweave.operators import dissection, distributed, graph, kernels, raster, rsp, spectrum, tiles
+from landweave.operators import dissection, distributed, graph, kernels, landscape, raster, rsp, spectrum, tiles
 from landweave.operators.distributed import DistributedModel
 from landweave.operators.landscape import Landscape
 from landweave.operators.rsp import RspModel
@@ -384,3 +385,26 @@ def test_calibration_takes_few_rounds(monkeypatch):
     monkeypatch.setattr(distributed, "DistributedModel", Stub)
     theta, _ = distributed.calibrate(None, 5 * np.exp(-0.4) + 0.01, 0.5, 2.0)
     assert theta == pytest.approx(1.0, abs=1e-6) and len(tried) <= 7
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Well compressed files look small to Spark: what has a row for each cell or edge has to be joined by merge, or it goes through the driver."""
+    cells = spark.createDataFrame([(r, c, 0.1 + (r * 7 + c * 3) % 5 / 12) for r in range(1, 9) for c in range(1, 8)], "row int, col int, value double")
+    plans = []
+
+    def noted(df, tag, write=written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    for module in (landscape, graph, dissection, distributed):
+        monkeypatch.setattr(module, "written", noted)
+    marks = raster.coarse_graining(cells, 8, 7, 3)
+    land = Landscape.build(spark, 8, 7, raster.raster_graph(written(cells, "cells"), 8, 7), qualities=written(cells, "cells"), target_qualities=marks, landmarks=True)
+    flow = distributed.DistributedModel(land, 1.0, tile=3).betweenness()
+    plans.append(flow._jdf.queryExecution().executedPlan().toString())
+    assert flow.where("value > 0").count() > 50
+    joins = {(re.sub(r"#\d+L?", "", keys).split(",")[0], kind) for p in plans for keys, kind in re.findall(r"BroadcastHashJoin \[([^\]]*)\], \[[^\]]*\], (\w+)", p)}
+    # blocks, the one largest component, a block of targets
+    assert joins and {key for key, _ in joins if key != "root"} <= {"br", "component", "target", "n", "cell"} and ("root", "LeftOuter") not in joins
+    on_cells = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin [cell#" in line]
+    assert len(on_cells) <= 1  # the marks of a block of targets
