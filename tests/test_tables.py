@@ -408,3 +408,41 @@ def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
     assert joins and {key for key, _ in joins if key != "root"} <= {"br", "component", "target", "n", "cell"} and ("root", "LeftOuter") not in joins
     on_cells = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin [cell#" in line]
     assert len(on_cells) <= 1  # the marks of a block of targets
+
+
+@pytest.mark.parametrize(("front", "patch", "together"), [(8000, 3, 2), (10, 4, 32)])
+def test_least_costs_by_the_tree_and_paths_by_patches(spark, monkeypatch, front, patch, together):
+    """By the tree, with no round for each tile, or by hops where a front would be too large; paths are summed inside patches, then between them."""
+    rng = np.random.default_rng(patch)
+    src, dst, cost, pref, _ = lattice(rng, 9, 8, 1.0, 1, 0.3)
+    n = 72
+    into = dst != n  # the last cell can't be reached
+    src, dst, cost, pref = src[into], dst[into], cost[into], pref[into]
+    cost = np.where(rng.random(len(cost)) < 0.5, 1.0, cost)  # some ties
+    targets = [1, 30, 33, 71]
+    monkeypatch.setattr(dissection, "FRONT", front)
+    monkeypatch.setattr(dissection, "COLUMNS", 3)  # two blocks of targets
+    monkeypatch.setattr(tiles, "PATCH", patch)
+    monkeypatch.setattr(tiles, "TOGETHER", together)
+    rounds, hops = [], tiles.Tiles._by_hops
+    monkeypatch.setattr(tiles.Tiles, "_by_hops", lambda self, *a: rounds.append(1) or hops(self, *a))
+    found = tiles.Tiles(frame(spark, "src dst cost", src, dst, cost), 9, 8, 3)
+    marks = frame(spark, "target", np.array(targets))
+    g = graph_of(n, src, dst, cost, pref)
+    want = np.stack([kernels.dijkstra(g, t - 1)[0] for t in targets], axis=1)
+    assert np.allclose(dense(found.least_costs(marks), n, targets), np.where(np.isfinite(want), want, 0.0), rtol=1e-12)
+    kl = np.stack([kernels.least_cost_kl(g, t - 1, "least") for t in targets], axis=1)
+    got = found.summed_paths(frame(spark, "node parent value", src, dst, -np.log(pref)), marks).toPandas()
+    assert len(got) == (~np.isnan(kl)).sum() and not got.duplicated(["node", "target"]).any()
+    assert np.allclose(got.value, kl[got.node - 1, [targets.index(t) for t in got.target]])
+    assert bool(rounds) == (front == 10)
+
+
+@pytest.mark.parametrize("patch", [1, 8])
+def test_paths_in_a_circle_are_refused(spark, monkeypatch, patch):
+    """Cells 2 and 3 are each other's parents, in one patch or in two."""
+    monkeypatch.setattr(tiles, "PATCH", patch)
+    monkeypatch.setattr(tiles, "summed_up", lambda tree, targets, up=tiles.summed_up: up(tree, targets, rounds=5))
+    edges = spark.createDataFrame([(4, 3, 1.0), (3, 2, 0.0), (2, 3, 0.0), (2, 1, 1.0)], "src long, dst long, cost double")
+    with pytest.raises(ValueError, match="circle"):
+        tiles.Tiles(edges, 4, 1).summed_paths(edges.select(F.col("dst").alias("node"), F.col("src").alias("parent"), "cost").withColumnRenamed("cost", "value"), spark.createDataFrame([(4,)], "target long")).collect()
