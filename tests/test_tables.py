@@ -446,3 +446,38 @@ def test_paths_in_a_circle_are_refused(spark, monkeypatch, patch):
     edges = spark.createDataFrame([(4, 3, 1.0), (3, 2, 0.0), (2, 3, 0.0), (2, 1, 1.0)], "src long, dst long, cost double")
     with pytest.raises(ValueError, match="circle"):
         tiles.Tiles(edges, 4, 1).summed_paths(edges.select(F.col("dst").alias("node"), F.col("src").alias("parent"), "cost").withColumnRenamed("cost", "value"), spark.createDataFrame([(4,)], "target long")).collect()
+
+
+def test_flow_to_the_edge_of_double_precision(spark):
+    """Weights over entries near 1e-308 don't overflow: one such pair made the flow of all cells NaN."""
+    cells = spark.createDataFrame([(r, c, 1e-3, 100.0 + r * c) for r in (1, 2) for c in range(1, 101)], "row int, col int, affinity double, value double")
+    marks = spark.createDataFrame([(1, 2, 5e4)], "row int, col int, value double")
+    land = Landscape.build(spark, 2, 100, raster.raster_graph(cells.withColumn("value", F.col("affinity")), 2, 100), qualities=cells.drop("affinity"), target_qualities=marks, landmarks=True)
+    land.edges, land.nodes = written(land.edges, "e"), written(land.nodes, "n")
+    model = distributed.DistributedModel(land, 1.0)
+
+    def solve(a, b):
+        a, b = a.copy(), b.copy()
+        for i in range(len(b)):
+            for j in np.flatnonzero(a[i + 1 :, i]) + i + 1:
+                f = a[j, i] / a[i, i]
+                a[j], b[j] = a[j] - f * a[i], b[j] - f * b[i]
+        for i in reversed(range(len(b))):
+            b[i] = (b[i] - a[i, i + 1 :] @ b[i + 1 :]) / a[i, i]
+        return b
+
+    w = model.walk.toPandas()
+    a = np.eye(200, dtype=np.longdouble)
+    a[w.src - 1, w.dst - 1] -= w.w.to_numpy().astype(np.longdouble)
+    unit = np.zeros(200, np.longdouble)
+    unit[2] = 1.0
+    z = solve(a, unit)
+    kept = z >= np.finfo(float).tiny
+    assert 0 < kept.sum() < 200 and 5e6 / z[kept].min() > np.finfo(float).max  # it has entries above and below double precision
+    cell = np.arange(200)
+    k = np.where(kept, (100.0 + (cell % 2 + 1) * (cell // 2 + 1)) * 5e4, 0.0)
+    x = solve(a.T.copy(), np.where(kept, k / np.where(kept, z, 1), 0) - unit * k.sum() / z[2])
+    want = np.where(kept, x * z, 0).astype(float)
+    got = model.betweenness_qweighted().orderBy("col", "row").toPandas().value.to_numpy()
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-6)
+    assert model.edge_betweenness_qweighted().where("isnan(value) or abs(value) = double('infinity')").isEmpty()
